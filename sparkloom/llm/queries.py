@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, quality_rules, token_files, url_filter
+from sparkloom.llm import chat, decontaminate, quality_rules, token_files, url_filter
 from sparkloom.session import scratch_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,31 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], rows.schema)
     return chat.digests(chat.format_conversations(rows.unionByName(extra)))
+
+
+DECONTAMINATION_SQL = r"""
+WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') ws FROM documents),
+iw AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') ws FROM benchmark),
+win AS (SELECT DISTINCT item_id, array_to_string(g, ' ') g, len(g) n FROM (SELECT item_id, ws[i:i + 9] g FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) i FROM iw WHERE len(ws) > 0))),
+sizes AS (SELECT DISTINCT n FROM win),
+dg AS (SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') g FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) i FROM dw, sizes WHERE len(ws) >= n)),
+occ AS (SELECT DISTINCT doc_id, i, n, item_id FROM dg JOIN win USING (g, n)),
+hit AS (SELECT doc_id, count(DISTINCT p) n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) p FROM occ) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) n_items, string_agg(item, ',' ORDER BY item) s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR item FROM occ) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT n_words, coalesce(n_hit, 0)::BIGINT n_hit, coalesce(n_items, 0)::BIGINT n_items,
+  sha256(coalesce(s, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)"""
+
+
+@register("op4_decontamination", DECONTAMINATION_SQL)
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = decontaminate.judged(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
