@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, decontaminate, pii, quality_rules, sentencepieces, token_files, url_filter
+from sparkloom.llm import chat, decontaminate, pii, quality_model, quality_rules, sentencepieces, token_files, url_filter
 from sparkloom.session import scratch_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +166,10 @@ def piece_model() -> str:
 @register("op9_sentencepiece")
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), piece_model())
+
+
+@register("op7_quality_model")
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = quality_model.trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_model.scored(docs, model)
