@@ -3,7 +3,7 @@
 The documents, in ascending order of their id, are encoded, each followed by the end id, and laid end to end. Each
 shard holds a consecutive range of documents and cuts its ids into sequences of seq_len; the last sequence of a
 shard is padded. A shard is two Arrow files: tokens-NNNNN.arrow with fixed-size-list columns ids (uint16 where the
-vocabulary fits, else uint32) and mask (uint8, 1: an id, 0: padding) in record batches of batch_sequences rows, so
+vocabulary fits, else uint32) and mask (bool, one bit a place; false: padding) in record batches of batch_sequences rows, so
 sequence s is row s % batch_sequences of batch s // batch_sequences, read from a memory map without a copy; and
 docs-NNNNN.arrow with doc_id, start (in the shard) and n_tokens.
 
@@ -27,8 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where a letter, a space and a letter meet, the tokenizer's pattern always begins a new piece at the space.
-_SAFE_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+from sparkloom.llm.batches import slices
+
+#: At a single space between two of these characters (none is white space to any pattern) a byte-level BPE tokenizer's
+#: pattern always begins a new piece, so no token crosses it.
+_SOLID = "!-~\u00a1-\u167f"
+_CUT = re.compile(f" (?<=[{_SOLID}] )(?=[{_SOLID}])")
 _TOKENIZERS: dict = {}
 
 
@@ -41,47 +45,87 @@ def _tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
+def _encoder(path: str) -> Encoder:
+    """The encoder of a worker process, with its cache."""
+    if ("encoder", path) not in _TOKENIZERS:
+        _TOKENIZERS["encoder", path] = Encoder(path)
+    return _TOKENIZERS["encoder", path]
+
+
 def _filesystem(path: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(path)
 
 
-def pieces(text: str, most: int = 1 << 16) -> list[str]:
-    """text cut into parts of about `most` characters at places that no token crosses."""
-    if len(text) <= 2 * most:
-        return [text]
-    out, at = [], 0
-    while at < len(text):
-        cut = _SAFE_CUT.search(text, at + most)
-        end = cut.start() if cut else len(text)
-        out.append(text[at:end])
-        at = end
-    return out
-
-
-def encoded(tokenizer, texts: list[str], most: int = 1 << 18) -> Iterator[np.ndarray]:
-    """The ids of each text; about `most` characters are encoded at once."""
-    waiting: list[tuple[str, bool]] = []
-    size = 0
-    head: list[np.ndarray] = []
-
-    def flush():
-        for e, (_, last) in zip(tokenizer.encode_batch_fast([t for t, _ in waiting], add_special_tokens=False), waiting):
-            head.append(np.array(e.ids, dtype=np.uint32))
-            if last:
-                yield head[0] if len(head) == 1 else np.concatenate(head)
-                head.clear()
-
-    for text in texts:
-        parts = pieces(text)
-        for i, part in enumerate(parts):
-            waiting.append((part, i == len(parts) - 1))
-            size += len(part)
-            if size >= most:
-                yield from flush()
-                waiting, size = [], 0
-    yield from flush()
+class Encoder:
+    """Encodes texts with the library; chunks between safe cuts that were met before are looked up.
+
+    Only chunks of at most longest characters are kept, and all are dropped when there are more than cache.
+    """
+
+    def __init__(self, path: str, cache: int = 800_000, longest: int = 40):
+        self.tokenizer, self.cache, self.longest = _tokenizer(path), cache, longest
+        self.clear()
+
+    def clear(self) -> None:
+        #: the place of each chunk, with and without a space in front
+        self.after: dict[str, int] = {}
+        self.first: dict[str, int] = {}
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _store(self, chunks: list[str]) -> int:
+        """Encodes chunks into the pool; the place of the first of them."""
+        first = len(self.at)
+        ids, n = [], np.zeros(len(chunks), np.int64)
+        for at in range(0, len(chunks), 2000):
+            for i, e in enumerate(self.tokenizer.encode_batch_fast(chunks[at : at + 2000], add_special_tokens=False), at):
+                own = e.ids
+                n[i] = len(own)
+                ids += own
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.at = np.concatenate([self.at, self.used + np.cumsum(n) - n])
+        self.n = np.concatenate([self.n, n])
+        self.used += len(ids)
+        return first
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and how many each has."""
+        if len(self.after) + len(self.first) > self.cache:
+            self.clear()
+        chunks: list[str] = []
+        counts = np.zeros(len(texts), np.int64)
+        heads = []
+        for i, text in enumerate(texts):
+            if text:
+                own = _CUT.split(text)
+                heads.append(len(chunks))
+                chunks += own
+                counts[i] = len(own)
+        start, own_first = [chunks[h] for h in heads], self.first
+        new = list({c for c in start if c not in own_first})
+        place = self._store(new)
+        own_first.update(zip(new, range(place, place + len(new))))
+        after = self.after
+        new = list({c for c in chunks if c not in after})
+        place = self._store([" " + c for c in new])
+        after.update(zip(new, range(place, place + len(new))))
+        which = np.fromiter(map(after.__getitem__, chunks), np.int64, len(chunks))
+        which[heads] = [own_first[c] for c in start]
+        n = self.n[which]
+        ids = self.pool[np.repeat(self.at[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        total, ends = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(counts)])
+        long = [c for c in new if len(c) > self.longest]
+        for c in long:
+            del after[c]
+        for c in [c for c in start if len(c) > self.longest]:
+            own_first.pop(c, None)
+        if sum(map(len, long)) > 1 << 20:
+            self.clear()
+        return ids, total[ends[1:]] - total[ends[:-1]]
 
 
 class _Shard:
@@ -94,7 +138,7 @@ class _Shard:
         self.temporary = [f"{x}.{attempt}.tmp" for x in self.final]
         self.sinks = [self.fs.open_output_stream(x) for x in self.temporary]
         kind = pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema({"ids": pa.list_(kind, seq_len), "mask": pa.list_(pa.uint8(), seq_len)})
+        self.schema = pa.schema({"ids": pa.list_(kind, seq_len), "mask": pa.list_(pa.bool_(), seq_len)})
         self.docs_schema = pa.schema({"doc_id": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64()})
         self.tokens = pa.ipc.new_file(self.sinks[0], self.schema)
         self.docs = pa.ipc.new_file(self.sinks[1], self.docs_schema)
@@ -118,7 +162,7 @@ class _Shard:
 
     def _write(self) -> None:
         n = -(-self.filled // self.seq_len) * self.seq_len
-        mask = (np.arange(n) < self.filled).astype(np.uint8)
+        mask = np.arange(n) < self.filled
         self.buffer[self.filled : n] = 0
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (self.buffer[:n], mask)]
         self.tokens.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
@@ -160,12 +204,13 @@ def write(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        tokenizer, shard = _tokenizer(tokenizer_path), None
+        encoder, shard = _encoder(tokenizer_path), None
         end = np.array([end_id], np.uint32)
-        for batch in batches:
+        for batch in slices(batches, 1, 1 << 22):
             shard = shard or _Shard(path, context.partitionId(), context.taskAttemptId(), seq_len, batch_sequences, dtype)
-            for key, ids in zip(batch.column(0).to_pylist(), encoded(tokenizer, batch.column(1).to_pylist())):
-                shard.add(key, np.concatenate([ids, end]))
+            ids, counts = encoder.encode(batch.column(1).to_pylist())
+            for key, own in zip(batch.column(0).to_pylist(), np.split(ids, np.cumsum(counts)[:-1])):
+                shard.add(key, np.concatenate([own, end]))
         if shard:
             shard.close()
             yield pa.RecordBatch.from_pydict({"shard": [context.partitionId()], "n_tokens": [shard.total], "n_docs": [shard.n_docs]}, schema=found)
@@ -208,11 +253,12 @@ class Reader:
             self._last = (i, self.file.get_batch(i))
         return self._last[1]
 
-    def sequence(self, s: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence s, as views of the file."""
+    def sequence(self, s: int) -> tuple[np.ndarray, pa.Array]:
+        """Ids (an array) and mask (an Arrow array of bits) of sequence s, as views of the file."""
         rows = self.step // self.seq_len
         batch, at = self._batch(s // rows), s % rows * self.seq_len
-        return tuple(batch.column(c).values.to_numpy(zero_copy_only=True)[at : at + self.seq_len] for c in (0, 1))
+        ids, mask = (batch.column(c).values.slice(at, self.seq_len) for c in (0, 1))
+        return ids.to_numpy(zero_copy_only=True), mask
 
     def parts(self, start: int, n: int) -> Iterator[np.ndarray]:
         """Views that hold the ids from start to start + n."""
