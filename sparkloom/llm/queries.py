@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, decontaminate, pii, quality_model, quality_rules, sentencepieces, token_files, url_filter
+from sparkloom.llm import chat, decontaminate, jaccard_join, pii, quality_model, quality_rules, sentencepieces, token_files, url_filter
 from sparkloom.session import scratch_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,21 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = quality_model.trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_model.scored(docs, model)
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2]) END) g FROM w),
+e AS (SELECT doc_id, len(g) n, unnest(g) x FROM s),
+c AS (SELECT a.doc_id a, b.doc_id b, a.n na, b.n nb, count(*) i FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * b.n >= 90 * a.n AND 100 * a.n >= 90 * b.n GROUP BY ALL),
+l AS (SELECT a, b FROM c WHERE 100 * i >= 90 * (na + nb - i)),
+d AS (SELECT a x, b y FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT x AS node, x AS reach FROM (SELECT DISTINCT x FROM d) UNION SELECT r.node, d.y FROM r JOIN d ON r.reach = d.x)
+SELECT s.doc_id, len(g)::BIGINT n_shingles, coalesce((SELECT min(reach) FROM r WHERE node = s.doc_id), s.doc_id)::BIGINT component_id,
+  (SELECT count(*) FROM d WHERE x = s.doc_id)::BIGINT n_links FROM s"""
+
+
+@register("op2_jaccard_join", JACCARD_SQL)
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return jaccard_join.join(docs, words=3, percent=90)
