@@ -5,17 +5,17 @@ pair whose smaller set has a size in band i differs in at most k elements, k fol
 instance i of the signature scheme serves it: the feature domain is partitioned by a hash into n1 groups of n2 = 2
 parts; at most k differences leave some group with one at most; so of the subsets of n2 - 1 parts of that group, one
 agrees in full. A set emits, for the instance of its band and for that of the band below where a partner could be in
-it, one signature for each group and subset: the hash of its elements there. About a sixth as many signatures as
-shingles result for 0.9.
+it, one signature for each group and subset: the hash of its elements there.
 
-Signatures over one element or none are weak: unrelated sets share them. With `spare` groups more than needed, a
-linked pair agrees in 1 + spare groups, so a set whose weak signatures are in at most `spare` groups may leave these
-out. Other sets replace a weak signature by its combinations with those of a second partition of the domain, and those
-again, so the condition stays necessary and exact.
+There are `spare` groups more than needed, so a linked pair agrees in 1 + spare signatures at least. Each set leaves
+out its `spare` most frequent ones, by a global order of frequency and hash: of the agreeing signatures of a pair the
+least frequent is left out by neither, since else all 1 + spare would be. So signatures over few elements, or over a
+passage that many unrelated documents share, go, and no link is lost.
 
-Equal sets collapse to the least document id first. Sets with a common signature form families: each signature is
-aggregated to its least id (pre-aggregated on the map side), which gives stars, and the stars' components are the
-families. Links are then verified inside families: a family is dealt to blocks of a bounded number of documents and
+Equal sets are one node. The first pass counts each signature (pre-aggregated on the map side); a Bloom filter of
+fixed size, built of the shared ones, thins the second pass before an exact join with them. Sets with a common
+signature in one instance form families: each signature is aggregated to its least node, which gives stars, and the
+stars' components are the families. Links are then verified inside families: a family is dealt to blocks of a bounded number of documents and
 elements, each pair of blocks is one unit of work that counts intersections as matrix products, and what it puts out
 is a spanning forest of its links and the number of links of each set, never the pairs. No candidate is dropped.
 
@@ -31,7 +31,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.batches import slices
@@ -57,57 +57,99 @@ def instances(size: int, num: int, den: int) -> list[tuple[int, int]]:
         low, band = high + 1, band + 1
 
 
-def signatures(h: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The PartEnum signatures of a set of hashes."""
-    out = [_emitted(h, k, U(i + 1), 0) for i, k in instances(len(h), num, den)]
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+def spare_groups(k: int) -> int:
+    return 1 + k // 10
 
 
-def _emitted(h: np.ndarray, k: int, prefix: np.uint64, depth: int) -> np.ndarray:
-    spare = 2 + k // 40 if k >= 16 else 0
-    groups = k // 2 + 1 + spare
+def signatures(h: np.ndarray, num: int, den: int) -> list[tuple[int, np.ndarray]]:
+    """(instance, PartEnum signatures) of a set of hashes."""
+    return [(i, _emitted(h, k, i)) for i, k in instances(len(h), num, den)]
+
+
+def _emitted(h: np.ndarray, k: int, instance: int) -> np.ndarray:
+    groups = k // 2 + 1 + spare_groups(k)
     cells = groups * PARTS
-    place = mix(h + U(0xA0761D6478BD642F + depth * 2))
-    cell = ((place >> U(32)) * U(cells) >> U(32)).astype(np.int64)
+    cell = ((mix(h + U(0xA0761D6478BD642F)) >> U(32)) * U(cells) >> U(32)).astype(np.int64)
     value = mix(h ^ U(0xE7037ED1A0B428DB))
     low = np.bincount(cell, (value & U(0xFFFFFFFF)).astype(np.float64), cells).astype(np.uint64)
     high = np.bincount(cell, (value >> U(32)).astype(np.float64), cells).astype(np.uint64)
     total = (low + (high << U(32))).reshape(groups, PARTS)
-    count = np.bincount(cell, minlength=cells).reshape(groups, PARTS)
-    sums = np.stack([total[:, s].sum(1, dtype=np.uint64) for s in _SUBSETS], 1)
-    few = np.stack([count[:, s].sum(1) for s in _SUBSETS], 1) <= (1 if spare else 0)
-    number = np.arange(sums.size, dtype=np.uint64).reshape(sums.shape)
-    with np.errstate(over="ignore"):
-        found = mix(mix(sums + number * U(0x9FB21C651E98DF25)) + mix(np.array([prefix], np.uint64) + U(depth)))
-    if not few.any():
-        return found.ravel()
-    strong = found[~few]
-    if few.any(1).sum() <= spare:
-        return strong
-    if depth == 2:
-        return found.ravel()
-    return np.concatenate([strong, *(_emitted(h, k, s, depth + 1) for s in found[few])])
-
-
-def profiles(docs: DataFrame, k: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n (size of the set), f1 and f2 (its fingerprint), sigs."""
+    sums = np.stack([total[:, s].sum(1, dtype=np.uint64) for s in _SUBSETS], 1).ravel()
+    number = np.arange(len(sums), dtype=np.uint64) + U(instance << 32)
+    return mix(sums + mix(number))
+
+
+def profiles(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n (size of the set), f1 and f2 (its fingerprint)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 1 << 21):
             h, n = shingle_sets(batch.column(1).to_pylist(), k)
-            ends = np.cumsum(n)
-            one, two = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ U(s)), dtype=np.uint64)]) for s in (0x8BB84B93962EACC9, 0x2D358DCCAA6C78A5))
-            f1, f2 = (x[ends] - x[ends - n] for x in (one, two))
-            sigs = [signatures(h[e - m : e], num, den) for e, m in zip(ends, n)]
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
-            flat = np.concatenate(sigs).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["doc_id", "n", "f1", "f2", "sigs"],
-            )
+            f1, f2 = fingerprints(h, n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))], names=["doc_id", "n", "f1", "f2"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sigs array<long>")
+    return rows.mapInArrow(run, "doc_id long, n long, f1 long, f2 long")
+
+
+def fingerprints(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ends = np.cumsum(n)
+    one, two = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ U(s)), dtype=np.uint64)]) for s in (0x8BB84B93962EACC9, 0x2D358DCCAA6C78A5))
+    return tuple(mix(x[ends] - x[ends - n]) for x in (one, two))
+
+
+#: A node is a set in an instance: the upper 58 bits of the set's fingerprint and 6 bits for the instance.
+INSTANCES = 64
+
+
+def emitted(docs: DataFrame, k: int, num: int, den: int, text: str = "text") -> DataFrame:
+    """(sig, node) for the signatures of all texts. Fingerprints that agree by chance add candidates, never links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0, 1 << 21):
+            h, n = shingle_sets(batch.column(0).to_pylist(), k)
+            f1, _ = fingerprints(h, n)
+            sigs, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            for e, m, f in zip(np.cumsum(n), n, f1):
+                for i, own in signatures(h[e - m : e], num, den):
+                    sigs.append(own)
+                    nodes.append(np.full(len(own), (int(f) & ~(INSTANCES - 1)) | i, np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (sigs, nodes)], names=["sig", "node"])
+
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "sig long, node long")
+
+
+def _maybe(sigs: DataFrame, shared: DataFrame, most: int) -> DataFrame:
+    """The rows of sigs that a Bloom filter of shared may hold: at most `most` blocks of four words, broadcast."""
+    blocks = 1
+    size = shared.count()
+    while blocks < most and blocks * 16 < size:
+        blocks *= 2
+    block = F.shiftrightunsigned("sig", 40).bitwiseAND(F.lit(blocks - 1)).cast("int")
+    masks = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("sig", 6 * w).bitwiseAND(F.lit(63)).cast("int")) for w in range(4)]
+    bloom = shared.groupBy(block.alias("block")).agg(*[F.bit_or(m).alias(f"w{w}") for w, m in enumerate(masks)])
+    test = F.lit(True)
+    for w, m in enumerate(masks):
+        test = test & (F.col(f"w{w}").bitwiseAND(m) != 0)
+    return sigs.withColumn("block", block).join(F.broadcast(bloom), "block").where(test).select("sig", "node")
+
+
+def candidates(docs: DataFrame, k: int, num: int, den: int, text: str = "text", bloom_blocks: int = 1 << 18) -> DataFrame:
+    """Stars (a, b) of nodes with a common signature that neither leaves out."""
+    sigs = emitted(docs, k, num, den, text)
+    shared = sigs.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("often"))
+    shared = written(shared.where("a <> b").select("sig", "often"), "shared")
+    rows = _maybe(sigs, shared.select("sig"), bloom_blocks).distinct().join(shared, "sig")
+    low, spare = 1, []
+    for _ in range(INSTANCES):
+        high = max(low, low * 7 // 5)
+        spare.append(spare_groups(high * (den - num) // num))
+        low = high + 1
+    left_out = F.element_at(F.array(*map(F.lit, spare)), F.col("node").bitwiseAND(F.lit(INSTANCES - 1)).cast("int") + 1)
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("often"), "sig"))
+    kept = written(rows.withColumn("rank", rank).where(F.col("rank") > left_out).select("sig", "node"), "kept")
+    leaders = kept.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("sig", "a")
+    return kept.join(leaders, "sig").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
 def linked(sets: list[np.ndarray], num: int, den: int, left: int) -> np.ndarray:
@@ -201,18 +243,14 @@ def join(
 ) -> DataFrame:
     """For each row of docs: doc_id, n_shingles, component_id, n_links (linked documents, equal sets included)."""
     num, den = percent, 100
-    profile = written(profiles(docs, words, num, den, doc_id, text), "profiles")
+    profile = written(profiles(docs, words, doc_id, text), "profiles")
     known = profile.where("n > 0 AND doc_id IS NOT NULL")
-    reps = known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    reps = written(reps, "reps")
-    firsts = reps.select(F.col("rep").alias("doc_id"), "n", "f1", "f2")
-    sigs = known.join(firsts, ["doc_id", "n", "f1", "f2"], "left_semi").select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("rep"))
-    leaders = sigs.groupBy("sig").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("sig", "a")
-    stars = sigs.join(leaders, "sig").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    families = written(components(stars), "families")
-
-    members = families.select(F.col("node").alias("rep"), F.col("component").alias("family")).join(reps.select("rep", "n", "copies"), "rep")
-    members = members.groupBy("rep", "family").agg(F.max("n").alias("n"), F.sum("copies").alias("copies"))
+    reps = written(known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
+    families = written(components(candidates(docs, words, num, den, text)), "families")
+
+    part = lambda c: F.col(c).bitwiseAND(F.lit(~(INSTANCES - 1)))
+    members = families.select(part("node").alias("part"), F.col("component").alias("family")).join(reps.withColumn("part", part("f1")), "part")
+    members = members.groupBy("rep", "family").agg(F.max("n").alias("n"), F.max("copies").alias("copies"))
     sizes = members.groupBy("family").agg(
         F.ceil(F.greatest(F.count("*") / block_docs, F.sum("n") / block_elements)).cast("int").alias("blocks")
     )
