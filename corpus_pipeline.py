@@ -55,9 +55,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and the text decoded from the ids."""
-    model = piece_model()
-    rows = sentencepieces.encode(docs.select("doc_id", "lang", "source", "text"), model).drop("text")
-    rows = sentencepieces.decode(rows, model, text="text")
+    rows = sentencepieces.round_trip(docs.select("doc_id", "lang", "source", "text"), piece_model())
     return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 

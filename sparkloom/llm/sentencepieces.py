@@ -31,6 +31,7 @@ from sparkloom.llm.batches import slices
 MARK = "▁"
 _MARK = MARK.encode()
 _CHUNK = re.compile(" +[^ ]*|[^ ]+")
+SLICE = 1 << 21  # bytes of text that a worker handles at once
 
 
 class DoubleArray:
@@ -304,6 +305,10 @@ def vocabulary(path: str) -> Vocabulary:
     return _VOCABULARIES[path]
 
 
+def _int_lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids))
+
+
 def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     """docs with ids (array of int); a column ids in docs is replaced."""
     docs = docs.drop("ids")
@@ -311,10 +316,9 @@ def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(model_path)
-        for batch in slices(batches, at, 1 << 22):
+        for batch in slices(batches, at, SLICE):
             ids, counts = own.encode(batch.column(at).to_pylist())
-            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(ids))], names=[*batch.schema.names, "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _int_lists(ids, counts)], names=[*batch.schema.names, "ids"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
@@ -327,8 +331,8 @@ def decode(rows: DataFrame, model_path: str, ids: str = "ids", text: str = "deco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(model_path)
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
+            for start in range(0, whole.num_rows, 200):
+                batch = whole.slice(start, 200)
                 column = batch.column(at)
                 counts = np.array([len(x) if x.is_valid else 0 for x in column], np.int64)
                 values = column.flatten().to_numpy(zero_copy_only=False)
@@ -337,25 +341,41 @@ def decode(rows: DataFrame, model_path: str, ids: str = "ids", text: str = "deco
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(text, T.StringType())]))
 
 
+def round_trip(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
+    """docs with ids, and with the text decoded from them in place of the text; both in one pass of one worker."""
+    docs = docs.drop("ids")
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = vocabulary(model_path)
+        for batch in slices(batches, at, SLICE):
+            ids, counts = own.encode(batch.column(at).to_pylist())
+            columns = [*batch.columns, _int_lists(ids, counts)]
+            columns[at] = pa.array(own.decode(ids, counts), pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "ids"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+
+
 def digests(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For each document: doc_id, n_tokens, n_bytes (byte pieces), ids_crc32 (of little-endian 32-bit ids), restored."""
 
-    rows = decode(encode(docs.select(doc_id, text), model_path, text), model_path)
-    byte_id = vocabulary(model_path).is_byte
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(2)
-            out = [x.values.to_numpy(zero_copy_only=False) for x in column]
+        own = vocabulary(model_path)
+        for batch in slices(batches, 1, SLICE):
+            texts = batch.column(1).to_pylist()
+            ids, counts = own.encode(texts)
+            out = np.split(ids, np.cumsum(counts)[:-1])
+            same = [(a or "") == b for a, b in zip(texts, own.decode(ids, counts))]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array([len(x) for x in out], pa.int64()),
-                    pa.array([int(byte_id[x].sum()) for x in out], pa.int64()),
+                    pa.array(counts, pa.int64()),
+                    pa.array([int(own.is_byte[x].sum()) for x in out], pa.int64()),
                     pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in out], pa.int64()),
-                    pa.array([(a or "") == b for a, b in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())]),
+                    pa.array(same),
                 ],
                 names=[doc_id, "n_tokens", "n_bytes", "ids_crc32", "restored"],
             )
 
-    return rows.mapInArrow(run, f"{doc_id} long, n_tokens long, n_bytes long, ids_crc32 long, restored boolean")
+    return docs.select(doc_id, text).mapInArrow(run, f"{doc_id} long, n_tokens long, n_bytes long, ids_crc32 long, restored boolean")
