@@ -105,12 +105,12 @@ def glob_match(path: Column, pattern: str) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """Bytes with a unit."""
+    """Bytes with a unit; ties round to even."""
     return (
         F.when(n < 1024, F.format_string("%d B", n))
-        .when(n < 1024**2, F.format_string("%.1f KB", n / 1024))
-        .when(n < 1024**3, F.format_string("%.1f MB", n / 1024**2))
-        .otherwise(F.format_string("%.2f GB", n / 1024**3))
+        .when(n < 1024**2, F.format_string("%.1f KB", F.bround(n / 1024, 1)))
+        .when(n < 1024**3, F.format_string("%.1f MB", F.bround(n / 1024**2, 1)))
+        .otherwise(F.format_string("%.2f GB", F.bround(n / 1024**3, 2)))
     )
 
 

@@ -178,7 +178,7 @@ class SyntaxChunker:
     def _python(self, content: str) -> list[tuple]:
         try:
             tree = ast.parse(content)
-        except (SyntaxError, ValueError, RecursionError):
+        except (SyntaxError, ValueError, RecursionError, MemoryError):  # the parser's stack counts as memory
             return []
         out = []
 

@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from sparkloom.plans import search_queries  # noqa: F401
+    from sparkloom.plans import index_queries, search_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
