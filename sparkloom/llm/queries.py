@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, decontaminate, jaccard_join, pii, quality_model, quality_rules, sentencepieces, token_files, url_filter
+from sparkloom.llm import chat, decontaminate, jaccard_join, pii, quality_model, quality_rules, sentencepieces, suffix_dedup, token_files, url_filter
 from sparkloom.session import scratch_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +191,8 @@ SELECT s.doc_id, len(g)::BIGINT n_shingles, coalesce((SELECT min(reach) FROM r W
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return jaccard_join.join(docs, words=3, percent=90)
+
+
+@register("op3_suffix_dedup")
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"), length=400, keep=False)
