@@ -94,7 +94,7 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def removed(rows: DataFrame, paths: DataFrame, column: str, path: str = "path") -> DataFrame:
     """rows without those of the paths."""
-    return rows.join(paths.select(F.col(path).alias(column)).distinct(), column, "left_anti")
+    return rows.join(paths.select(F.col(path).alias(column)).distinct(), column, "left_anti").select(*rows.columns)
 
 
 class Store:
