@@ -17,7 +17,6 @@ text. Columns other than the id and the text are not read.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,12 +26,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.batches import slices
+from sparkloom.llm.batches import bounded_batches, slices
+from sparkloom.llm.shingles import _BYTE, mix, powers
 
-#: At a single space between two of these characters (none is white space to any pattern) a byte-level BPE tokenizer's
-#: pattern always begins a new piece, so no token crosses it.
-_SOLID = "!-~\u00a1-\u167f"
-_CUT = re.compile(f" (?<=[{_SOLID}] )(?=[{_SOLID}])")
 _TOKENIZERS: dict = {}
 
 
@@ -58,74 +54,133 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def cuts(data: np.ndarray) -> np.ndarray:
+    """The places of single spaces between solid characters in UTF-8 bytes.
+
+    Solid are U+0021 to U+007E and U+00A1 to U+07FF: none is white space to any pattern. A byte-level BPE tokenizer's
+    pattern always begins a new piece at such a space, so no token crosses it.
+    """
+    at = np.flatnonzero(data[2:-1] == 0x20) + 2 if len(data) > 3 else np.zeros(0, np.int64)
+    last, lead, ahead, second = data[at - 1], data[at - 2], data[at + 1], data[np.minimum(at + 2, len(data) - 1)]
+    plain = lambda b: (b >= 0x21) & (b <= 0x7E)
+    two = lambda a, b: (b >= 0x80) & (((a >= 0xC3) & (a <= 0xDF)) | ((a == 0xC2) & (b > 0xA0))) & (b < 0xC0)
+    return at[(plain(last) | two(lead, last)) & (plain(ahead) | two(ahead, second))]
+
+
 class Encoder:
     """Encodes texts with the library; chunks between safe cuts that were met before are looked up.
 
-    Only chunks of at most longest characters are kept, and all are dropped when there are more than cache.
+    A chunk is known by a 64-bit hash of its bytes and its first eight bytes, in an open-addressing table of 2^bits
+    places; when half of them are taken the table starts anew. Chunks of over `longest` bytes are not kept.
     """
 
-    def __init__(self, path: str, cache: int = 800_000, longest: int = 40):
-        self.tokenizer, self.cache, self.longest = _tokenizer(path), cache, longest
+    def __init__(self, path: str, bits: int = 21, longest: int = 64):
+        self.tokenizer, self.bits, self.longest = _tokenizer(path), bits, longest
+        words = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.size = np.zeros(max(words.values()) + 1, np.int64)  # bytes of each token: byte-level tokens have a character for each
+        self.size[list(words.values())] = [len(w) for w in words]
         self.clear()
 
     def clear(self) -> None:
-        #: the place of each chunk, with and without a space in front
-        self.after: dict[str, int] = {}
-        self.first: dict[str, int] = {}
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _store(self, chunks: list[str]) -> int:
-        """Encodes chunks into the pool; the place of the first of them."""
-        first = len(self.at)
-        ids, n = [], np.zeros(len(chunks), np.int64)
-        for at in range(0, len(chunks), 2000):
-            for i, e in enumerate(self.tokenizer.encode_batch_fast(chunks[at : at + 2000], add_special_tokens=False), at):
-                own = e.ids
-                n[i] = len(own)
-                ids += own
-        if self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
+        n = 1 << self.bits
+        self.key, self.head, self.place = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.full(n, -1, np.int32)
+        self.pool, self.used, self.stored = np.zeros(1 << 20, np.uint32), 0, 0
+        self.at, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+
+    def _find(self, key: np.ndarray, head: np.ndarray) -> np.ndarray:
+        """The number of each chunk, or -1."""
+        mask, out = np.uint64((1 << self.bits) - 1), np.full(len(key), -1, np.int64)
+        slot, live = (key & mask).astype(np.int64), np.arange(len(key))
+        while len(live):
+            own = self.place[slot]
+            hit = (own >= 0) & (self.key[slot] == key[live]) & (self.head[slot] == head[live])
+            out[live[hit]] = own[hit]
+            go = (own >= 0) & ~hit
+            live, slot = live[go], (slot[go] + 1) & int(mask)
+        return out
+
+    def _insert(self, key: np.ndarray, head: np.ndarray, number: np.ndarray) -> None:
+        mask = (1 << self.bits) - 1
+        slot, live = (key & np.uint64(mask)).astype(np.int64), np.arange(len(key))
+        while len(live):
+            free = self.place[slot] < 0
+            self.place[slot[free]] = number[live[free]]  # of several for one place the last stays
+            won = free & (self.place[slot] == number[live])
+            self.key[slot[won]], self.head[slot[won]] = key[live[won]], head[live[won]]
+            live, slot = live[~won], (slot[~won] + 1) & mask
+
+    def _store(self, chunks: list[bytes], joined: np.ndarray) -> np.ndarray:
+        """Encodes chunks into the pool; their numbers.
+
+        joined marks chunks with a safe cut at both ends: they are laid end to end and encoded as one text, and the
+        bytes of the tokens show where each ends. The others are encoded one by one.
+        """
+        n = np.zeros(len(chunks), np.int64)
+        solid, rest = np.flatnonzero(joined), np.flatnonzero(~joined)
+        parts = [solid[a : a + 1000] for a in range(0, len(solid), 1000)]
+        pool = []
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([b"".join([chunks[i] for i in part]).decode() for part in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(chunks[i]) for i in part]), "right")
+            n[part] = np.diff(ends, prepend=0)
+            pool.append(ids)
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([chunks[i].decode() for i in rest], add_special_tokens=False)):
+            n[i] = len(e.ids)
+            pool.append(np.array(e.ids, np.uint32))
+        order = np.concatenate([solid, rest])
+        at = np.zeros(len(chunks), np.int64)
+        at[order] = self.used + np.cumsum(n[order]) - n[order]
+        ids = np.concatenate(pool) if pool else np.zeros(0, np.uint32)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(ids)] = ids
-        self.at = np.concatenate([self.at, self.used + np.cumsum(n) - n])
-        self.n = np.concatenate([self.n, n])
         self.used += len(ids)
-        return first
+        while self.stored + len(chunks) > len(self.at):
+            self.at, self.n = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.n))
+        number = self.stored + np.arange(len(chunks))
+        self.at[number], self.n[number] = at, n
+        self.stored += len(chunks)
+        return number
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and how many each has."""
-        if len(self.after) + len(self.first) > self.cache:
+        if self.stored > 1 << (self.bits - 1) or self.used > 1 << (self.bits + 2):
             self.clear()
-        chunks: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        heads = []
-        for i, text in enumerate(texts):
-            if text:
-                own = _CUT.split(text)
-                heads.append(len(chunks))
-                chunks += own
-                counts[i] = len(own)
-        start, own_first = [chunks[h] for h in heads], self.first
-        new = list({c for c in start if c not in own_first})
-        place = self._store(new)
-        own_first.update(zip(new, range(place, place + len(new))))
-        after = self.after
-        new = list({c for c in chunks if c not in after})
-        place = self._store([" " + c for c in new])
-        after.update(zip(new, range(place, place + len(new))))
-        which = np.fromiter(map(after.__getitem__, chunks), np.int64, len(chunks))
-        which[heads] = [own_first[c] for c in start]
-        n = self.n[which]
+        raw = [t.encode() for t in texts]
+        whole = b"".join(raw)
+        data = np.frombuffer(whole, np.uint8)
+        ends = np.cumsum([len(r) for r in raw]) if raw else np.zeros(0, np.int64)
+        bounds = np.concatenate([[0], ends])
+        safe = np.zeros(len(data) + 1, bool)
+        safe[cuts(data)] = True
+        safe[bounds] = safe[np.maximum(bounds - 1, 0)] = False  # a space at a text's end is not between characters
+        begins = safe.copy()
+        begins[bounds[:-1][np.diff(bounds) > 0]] = True
+        start = np.flatnonzero(begins)
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        end = np.append(start[1:], len(data))
+        up, down = powers(len(data) + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[:-1], dtype=np.uint64)])
+        size = end - start
+        key = mix((total[end] - total[start]) * down[start] + size.astype(np.uint64))
+        eight = np.lib.stride_tricks.as_strided(np.concatenate([data, np.zeros(8, np.uint8)]), (len(data), 8), (1, 1))[start]
+        head = np.ascontiguousarray(eight).view(np.uint64).ravel() & np.where(size >= 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (np.minimum(size, 7) * 8).astype(np.uint64)) - np.uint64(1))
+        which = self._find(key, head)
+        fresh = np.flatnonzero(which < 0)
+        if len(fresh):
+            _, one, back = np.unique(key[fresh], return_index=True, return_inverse=True)
+            rows = fresh[one]
+            cut = safe[start[rows]] & safe[end[rows]]
+            number = self._store([whole[a:b] for a, b in zip(start[rows].tolist(), end[rows].tolist())], cut)
+            which[fresh] = number[back]
+            short = size[rows] <= self.longest
+            self._insert(key[rows][short], head[rows][short], number[short])
+        n = self.n[which].astype(np.int64)
         ids = self.pool[np.repeat(self.at[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        total, ends = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(counts)])
-        long = [c for c in new if len(c) > self.longest]
-        for c in long:
-            del after[c]
-        for c in [c for c in start if len(c) > self.longest]:
-            own_first.pop(c, None)
-        if sum(map(len, long)) > 1 << 20:
-            self.clear()
-        return ids, total[ends[1:]] - total[ends[:-1]]
+        summed = np.concatenate([[0], np.cumsum(n)])
+        own = summed[np.searchsorted(start, bounds)]
+        return ids, np.diff(own)
 
 
 class _Shard:
@@ -198,6 +253,7 @@ def write(
 ) -> list[dict]:
     """Writes docs under path (a folder that all executors reach); returns the manifest, one entry for each shard."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     vocabulary = max(_tokenizer(tokenizer_path).get_vocab_size(with_added_tokens=True), end_id + 1)
     dtype = np.uint16 if vocabulary <= 1 << 16 else np.uint32
