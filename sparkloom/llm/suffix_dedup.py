@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.batches import slices
+from sparkloom.llm.batches import bounded_batches, slices
 from sparkloom.llm.shingles import _BYTE, U, mix, powers
 from sparkloom.session import written
 
@@ -321,12 +321,13 @@ def repeated_bytes(docs: DataFrame, length: int = 400, gram: int = 128, doc_id:
     """docs as rid, doc_id, text; and rid, cuts (start, end, start, end, ... of the bytes to remove) of those that have any."""
     if length - gram + 1 > 4000 or gram < 1 or gram > length:
         raise ValueError("gram must be from length - 3999 to length")
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     found = written(_all_anchors(rows.select("rid", "text"), length, gram), "anchors")
-    often = found.groupBy("kg").agg(F.count("*").alias("c")).where("c > 1").select("kg")
-    shared = written(found.join(often, "kg", "left_semi"), "shared")
     first = F.min(F.struct("rid", "start", "n", "off")).alias("r")
-    classes = shared.groupBy("kg", "cls").agg(F.count("*").alias("members"), first)
+    classes = found.groupBy("kg", "cls").agg(F.count("*").alias("members"), first)
+    often = classes.groupBy("kg").agg(F.sum("members").alias("c")).where("c > 1").select("kg")
+    classes = classes.join(often, "kg", "left_semi")
     items = classes.groupBy("r.rid").agg(F.collect_list(F.struct("kg", "cls", "members", F.col("r.start").alias("start"), F.col("r.n").alias("n"), F.col("r.off").alias("off"))).alias("items"))
     items = written(items, "items")
     wanted = items.select("rid")
@@ -334,8 +335,8 @@ def repeated_bytes(docs: DataFrame, length: int = 400, gram: int = 128, doc_id:
         wanted = F.broadcast(wanted)
     chosen = rows.select("rid", "text").join(wanted, "rid", "left_semi").join(items, "rid")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    verdicts = _verdicts(_suffix_runs(chosen, length, partitions), length, gram)
-    back = shared.select("rid", "kg", "cls", "start").join(verdicts, ["kg", "cls"])
+    verdicts = written(_verdicts(_suffix_runs(chosen, length, partitions), length, gram), "verdicts")
+    back = found.select("rid", "kg", "cls", "start").join(verdicts, ["kg", "cls"])
     cuts = _covered(back.select("rid", (F.col("start") + F.col("first")).alias("start"), "windows"), length)
     return rows, written(cuts, "cuts")
 
