@@ -7,14 +7,24 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: int, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
     """The rows of batches, in order, in slices of about `most` bytes of a string column (one row at least)."""
     for batch in batches:
+        if not batch.num_rows:
+            continue
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
         part = np.cumsum(size) // most
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # the worker process goes on to other tasks
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds what one Arrow batch holds, in rows and bytes: long texts make the default of 10,000 rows very large."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))

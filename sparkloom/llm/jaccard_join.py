@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.batches import slices
+from sparkloom.llm.batches import bounded_batches, slices
 from sparkloom.llm.graphs import components
 from sparkloom.llm.shingles import U, mix, shingle_sets
 from sparkloom.session import written
@@ -83,7 +83,7 @@ def profiles(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text"
     """doc_id, n (size of the set), f1 and f2 (its fingerprint)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, 1 << 21):
+        for batch in slices(batches, 1, 1 << 20):
             h, n = shingle_sets(batch.column(1).to_pylist(), k)
             f1, f2 = fingerprints(h, n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))], names=["doc_id", "n", "f1", "f2"])
@@ -106,7 +106,7 @@ def emitted(docs: DataFrame, k: int, num: int, den: int, text: str = "text") ->
     """(sig, node) for the signatures of all texts. Fingerprints that agree by chance add candidates, never links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 0, 1 << 21):
+        for batch in slices(batches, 0, 1 << 20):
             h, n = shingle_sets(batch.column(0).to_pylist(), k)
             f1, _ = fingerprints(h, n)
             sigs, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
@@ -235,14 +235,15 @@ def join(
     docs: DataFrame,
     words: int = 5,
     percent: int = 80,
-    block_docs: int = 1000,
-    block_elements: int = 2_000_000,
+    block_docs: int = 500,
+    block_elements: int = 1_000_000,
     broadcast_ids: int = 1_000_000,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
     """For each row of docs: doc_id, n_shingles, component_id, n_links (linked documents, equal sets included)."""
     num, den = percent, 100
+    bounded_batches(docs.sparkSession)
     profile = written(profiles(docs, words, doc_id, text), "profiles")
     known = profile.where("n > 0 AND doc_id IS NOT NULL")
     reps = written(known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
@@ -259,7 +260,7 @@ def join(
         members = F.broadcast(members)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, 1 << 21):
+        for batch in slices(batches, 1, 1 << 20):
             h, n = shingle_sets(batch.column(1).to_pylist(), words)
             ends = np.cumsum(n)
             yield pa.RecordBatch.from_arrays(

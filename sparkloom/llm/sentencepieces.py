@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sparkloom.llm.batches import slices
+from sparkloom.llm.batches import bounded_batches, slices
 
 MARK = "▁"
 _MARK = MARK.encode()
@@ -93,7 +93,7 @@ class DoubleArray:
 class Vocabulary:
     """Pieces of a model file with the trie, the solved chunks, and the bytes of each id."""
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 150_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -103,7 +103,7 @@ class Vocabulary:
         self.setup(pieces, [model.get_score(i) for i in range(n)], plain, {int(pieces[i][3:5], 16): i for i in range(n) if model.is_byte(i)}, model.unk_id(), cache)
 
     @classmethod
-    def of(cls, pieces: list[str], scores: list[float], bytes_from: int | None = None, unknown: int = 0, cache: int = 300_000) -> Vocabulary:
+    def of(cls, pieces: list[str], scores: list[float], bytes_from: int | None = None, unknown: int = 0, cache: int = 150_000) -> Vocabulary:
         """A vocabulary of given pieces, all plain but the unknown one; bytes_from: the id of the first of 256 byte pieces."""
         self = cls.__new__(cls)
         own = {} if bytes_from is None else {b: bytes_from + b for b in range(256)}
@@ -311,6 +311,7 @@ def _int_lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     """docs with ids (array of int); a column ids in docs is replaced."""
+    bounded_batches(docs.sparkSession)
     docs = docs.drop("ids")
     at = docs.columns.index(text)
 
@@ -325,6 +326,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
 
 def decode(rows: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """rows with the text of their ids; null ids count as none."""
+    bounded_batches(rows.sparkSession)
     rows = rows.drop(text)
     at = rows.columns.index(ids)
 
@@ -343,6 +345,7 @@ def decode(rows: DataFrame, model_path: str, ids: str = "ids", text: str = "deco
 
 def round_trip(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     """docs with ids, and with the text decoded from them in place of the text; both in one pass of one worker."""
+    bounded_batches(docs.sparkSession)
     docs = docs.drop("ids")
     at = docs.columns.index(text)
 
@@ -359,6 +362,7 @@ def round_trip(docs: DataFrame, model_path: str, text: str = "text") -> DataFram
 
 def digests(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For each document: doc_id, n_tokens, n_bytes (byte pieces), ids_crc32 (of little-endian 32-bit ids), restored."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(model_path)
