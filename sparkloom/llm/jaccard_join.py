@@ -43,18 +43,24 @@ PARTS = 2  # n2; a group may differ in one element, so subsets are of n2 - 1 par
 _SUBSETS = [list(c) for c in combinations(range(PARTS), PARTS - 1)]
 
 
+def band_end(low: int, num: int, den: int) -> int:
+    """The last size of the band that begins at low: wide enough for a partner to be in the same band or the next."""
+    return max(low, low * 7 // 5, low * den // num)
+
+
 @lru_cache(65536)
 def instances(size: int, num: int, den: int) -> list[tuple[int, int]]:
     """(instance, k) for the signatures of a set of a size."""
     low, band, out, below = 1, 0, [], None
-    while True:
-        high = max(low, low * 7 // 5)
+    while size:
+        high = band_end(low, num, den)
         if low <= size <= high:
             if below and size * num <= below[1] * den:
                 out.append((below[0], below[1] * (den - num) // num))
             return [x for x in [*out, (band, high * (den - num) // num)] if x[1]]
         below = (band, high)
         low, band = high + 1, band + 1
+    return []
 
 
 def spare_groups(k: int) -> int:
@@ -142,14 +148,18 @@ def candidates(docs: DataFrame, k: int, num: int, den: int, text: str = "text",
     rows = _maybe(sigs, shared.select("sig"), bloom_blocks).distinct().join(shared, "sig")
     low, spare = 1, []
     for _ in range(INSTANCES):
-        high = max(low, low * 7 // 5)
+        high = band_end(low, num, den)
         spare.append(spare_groups(high * (den - num) // num))
         low = high + 1
     left_out = F.element_at(F.array(*map(F.lit, spare)), F.col("node").bitwiseAND(F.lit(INSTANCES - 1)).cast("int") + 1)
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("often"), "sig"))
     kept = written(rows.withColumn("rank", rank).where(F.col("rank") > left_out).select("sig", "node"), "kept")
     leaders = kept.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("sig", "a")
-    return kept.join(leaders, "sig").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    # a node's leaders as a chain from the least: most nodes of a family have the same ones, so few pairs are distinct
+    own = kept.join(leaders, "sig").groupBy("node").agg(F.sort_array(F.collect_set("a")).alias("own"))
+    chain = F.zip_with(F.slice("own", 1, F.size("own") - 1), F.slice("own", 2, F.size("own") - 1), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+    pairs = F.concat(F.array(F.struct(F.element_at("own", 1).alias("a"), F.col("node").alias("b"))), chain)
+    return own.select(F.explode(pairs).alias("p")).select("p.a", "p.b").where("a <> b").distinct()
 
 
 def linked(sets: list[np.ndarray], num: int, den: int, left: int) -> np.ndarray:
@@ -197,10 +207,17 @@ def _forest(mask: np.ndarray) -> np.ndarray:
 def _verified(rows: DataFrame, num: int, den: int) -> DataFrame:
     """rows (family, i, j, side, rep, copies, set) as a, b (a link of a spanning forest, or null) and a's links."""
 
-    def result(group: list[tuple]) -> tuple[list, list, list]:
+    lows = [1]
+    for _ in range(INSTANCES):
+        lows.append(band_end(lows[-1], num, den) + 1)
+
+    def result(group: list[tuple], instance: int) -> tuple[list, list, list]:
         group.sort(key=lambda r: (r[0], r[1]))
         left = sum(r[0] == 0 for r in group) if group[-1][0] else 0
         mask = linked([np.frombuffer(r[3], np.uint64) for r in group], num, den, left)
+        size = np.array([len(r[3]) // 8 for r in group])
+        less = np.minimum(size[:, None], size[None, :])  # each pair counts in the instance of its smaller set alone
+        mask &= (less >= lows[instance]) & (less < lows[instance + 1])
         label = _forest(mask)
         weight = mask @ np.array([r[2] for r in group], np.int64)
         keep = np.flatnonzero(weight)
@@ -212,7 +229,7 @@ def _verified(rows: DataFrame, num: int, den: int) -> DataFrame:
 
         def close():
             if len(group) > 1:
-                for o, x in zip(out, result(group)):
+                for o, x in zip(out, result(group, key[0] & (INSTANCES - 1))):
                     o.extend(x)
 
         for batch in slices(batches, 6):
