@@ -195,9 +195,9 @@ def _symbols(spark, sf):
 _SYM = "WITH s AS (SELECT p_brand || ':' || p_partkey id, p_name AS name, p_brand AS file, CASE p_size % 5 WHEN 0 THEN 'function' WHEN 1 THEN 'struct' WHEN 2 THEN 'method' WHEN 3 THEN 'class' ELSE 'trait' END kind, 'fn ' || p_name signature, p_type summary FROM part)"
 
 
-@register("symbol_search", _SYM + " SELECT id, name, lower(name) = 'part 1' AS exact, row_number() OVER (ORDER BY lower(name) = 'part 1' DESC, id) AS rank FROM s WHERE contains(lower(name), 'part 1') OR contains(lower(signature), 'part 1') OR contains(lower(summary), 'part 1')")
+@register("symbol_search", _SYM + " SELECT id, name, lower(name) = 'red widget' AS exact, row_number() OVER (ORDER BY lower(name) = 'red widget' DESC, id) AS rank FROM s WHERE contains(lower(name), 'red widget') OR contains(lower(signature), 'red widget') OR contains(lower(summary), 'red widget')")
 def symbol_search(spark, sf):
-    return symbols.search(_symbols(spark, sf), "Part 1").select("id", "name", "exact", "rank")
+    return symbols.search(_symbols(spark, sf), "Red Widget").select("id", "name", "exact", "rank")
 
 
 @register("symbol_stats", _SYM + " SELECT count(*) symbols, count(*) FILTER (kind IN ('function', 'method')) functions, count(*) FILTER (kind IN ('struct', 'class')) structs, count(*) FILTER (kind NOT IN ('function', 'method', 'struct', 'class')) other FROM s")
