@@ -2,13 +2,12 @@
 
 Cross-document part: each line is normalised (A-Z lower-cased, runs of digits made one 0, runs of white space one
 space, trimmed) and hashed; for each host the distinct documents of a line are counted; a line of more than
-max_line_docs documents is boilerplate and removed; a document of which less than min_left_percent of the words
-remain is depleted and rejected. Documents of one host with equal numbers of lines count as one distinct document,
-because copies and near copies of a text agree in that number: a family of copies does not turn its own text into
-boilerplate, whatever its size.
+max_line_docs documents is boilerplate; a document of which less than min_left_percent of the words remain is
+depleted and rejected. Documents of one host are distinct when their normalised lines, in order, differ: a family of
+copies counts once and does not turn its own text into boilerplate, whatever its size; near copies count each.
 
-Only SQL functions are used. The per-document part works inside the row; the cross-document part shuffles one
-16-byte key for each line, pre-aggregated.
+Only SQL functions are used. The per-document part works inside the row; the cross-document part shuffles the
+hashes of line and document for each line, pre-aggregated.
 """
 
 from __future__ import annotations
@@ -116,15 +115,15 @@ def judged(docs: DataFrame, max_line_docs: int = 10, min_left_percent: int = 20,
             F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("")).alias("_host"),
             F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), normalised), lambda x: x != "").alias("_norm"),
         )
-        .select("_rid", "_host", F.size("_norm").alias("_shape"), F.explode("_norm").alias("_line"))
+        .select("_rid", "_host", F.xxhash64("_norm").alias("_doc"), F.explode("_norm").alias("_line"))
         .select(
             "_rid",
-            "_shape",
+            "_doc",
             F.xxhash64("_host", "_line").alias("_key"),
             (F.length("_line") - F.length(F.translate("_line", " ", "")) + 1).cast("long").alias("_n"),
         )
     )
-    often = lines.groupBy("_key", "_shape").agg(F.lit(1).alias("x")).groupBy("_key").count().where(F.col("count") > max_line_docs).select("_key")
+    often = lines.groupBy("_key", "_doc").agg(F.lit(1).alias("x")).groupBy("_key").count().where(F.col("count") > max_line_docs).select("_key")
     removed = lines.join(often, "_key", "left_semi").groupBy("_rid").agg(F.sum("_n").alias("_removed"))
     left = F.col("n_words") - F.coalesce("_removed", F.lit(0))
     return (

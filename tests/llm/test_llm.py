@@ -350,6 +350,17 @@ def test_line_frequency(spark):
     assert not got[300] and not got[301]  # hardly anything but lines that 12 documents of different length have
 
 
+def test_line_frequency_counts_documents(spark):
+    shared = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60))
+    own = lambda i: f"only {chr(97 + i)} has this"
+    rows = [(i, f"{own(i)}\n{shared}", "en", "s", 0) for i in range(11)]  # unrelated, all of two lines
+    rows += [(100 + i, f"{own(i)}\n{shared}", "en", "t", 0) for i in range(10)]  # at the limit
+    rows += [(200 + i, f"{own(i % 10)}\n\n{shared.upper()} ", "en", "u", 0) for i in range(40)]  # ten texts in copies
+    got = {r.doc_id: r.kept for r in quality_rules.judged(spark.createDataFrame(rows, DOCS)).collect()}
+    assert not any(got[i] for i in range(11))
+    assert all(got[100 + i] for i in range(10)) and all(got[200 + i] for i in range(40))
+
+
 def test_repeated_words_paths(spark):
     rng = random.Random(8)
     rows = [(i, " ".join(rng.choices("abcd", k=rng.randint(0, 30)))) for i in range(200)]
