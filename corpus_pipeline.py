@@ -26,8 +26,11 @@ def without(docs: DataFrame, removed: DataFrame, key: str, broadcast_rows: int =
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
-    return quality_rules.judged(docs).where("kept").select(*docs.columns)
+    """Documents that pass the quality rules, without their boilerplate lines; n_chars follows the text."""
+    found = quality_rules.judged(docs).where("kept")
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return found.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

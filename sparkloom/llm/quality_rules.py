@@ -2,8 +2,8 @@
 
 Cross-document part: each line is normalised (A-Z lower-cased, runs of digits made one 0, runs of white space one
 space, trimmed) and hashed; for each host the distinct documents of a line are counted; a line of more than
-max_line_docs documents is boilerplate; a document of which less than min_left_percent of the words remain is
-depleted and rejected. Documents of one host are distinct when their normalised lines, in order, differ: a family of
+max_line_docs documents is boilerplate and removed from the text; a document of which less than min_left_percent of
+the words remain is depleted and rejected. Documents of one host are distinct when their normalised lines, in order, differ: a family of
 copies counts once and does not turn its own text into boilerplate, whatever its size; near copies count each.
 
 Only SQL functions are used. The per-document part works inside the row; the cross-document part shuffles the
@@ -102,34 +102,41 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def judged(docs: DataFrame, max_line_docs: int = 10, min_left_percent: int = 20, text: str = "text", host: str = "source") -> DataFrame:
-    """docs with the measures and kept; the text stays as it is, only the verdict looks at the lines that remain.
+    """docs with the measures, kept, and the text without its boilerplate lines; the measures are those of the text as given.
 
-    A null host is a host of its own. Null and empty texts have no lines and fail the base rules. Repeated rows and
+    Other lines stay as they are, with blank ones and the order. A null host is a host of its own. Null and empty texts have no lines and fail the base rules. Repeated rows and
     equal ids are judged each by itself. Columns of docs with the names of results are replaced.
     """
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "_rid", "_words", "_lines"]
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "_rid", "_words", "_lines", "_removed", "_gone"]
     docs = docs.drop(*[c for c in docs.columns if c in made]).withColumn("_rid", F.monotonically_increasing_id())
     lines = (
         docs.select(
             "_rid",
             F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("")).alias("_host"),
-            F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), normalised), lambda x: x != "").alias("_norm"),
+            F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), normalised).alias("_norm"),
         )
-        .select("_rid", "_host", F.xxhash64("_norm").alias("_doc"), F.explode("_norm").alias("_line"))
+        .select("_rid", "_host", F.xxhash64(F.filter("_norm", lambda x: x != "")).alias("_doc"), F.posexplode("_norm").alias("_at", "_line"))
+        .where("_line <> ''")
         .select(
             "_rid",
             "_doc",
+            "_at",
             F.xxhash64("_host", "_line").alias("_key"),
             (F.length("_line") - F.length(F.translate("_line", " ", "")) + 1).cast("long").alias("_n"),
         )
     )
     often = lines.groupBy("_key", "_doc").agg(F.lit(1).alias("x")).groupBy("_key").count().where(F.col("count") > max_line_docs).select("_key")
-    removed = lines.join(often, "_key", "left_semi").groupBy("_rid").agg(F.sum("_n").alias("_removed"))
+    removed = lines.join(often, "_key", "left_semi").groupBy("_rid").agg(F.sum("_n").alias("_removed"), F.collect_list("_at").alias("_gone"))
     left = F.col("n_words") - F.coalesce("_removed", F.lit(0))
+    # the lines are bound once, by a list of one, and not split anew for each line that stays
+    rest = F.transform(
+        F.array(F.split(text, "\n")), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "_gone"), lambda i: F.get(x, i)), "\n")
+    )
     return (
         measures(docs, text)
         .join(removed, "_rid", "left")
+        .withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.element_at(rest, 1)))
         # one CASE, not a conjunction: a filter on it stays above the join and is not copied down into the measures
         .withColumn("kept", F.when(F.col("base_failed"), False).otherwise(~(100 * left < min_left_percent * F.col("n_words"))))
-        .drop("_rid", "_removed")
+        .drop("_rid", "_removed", "_gone")
     )

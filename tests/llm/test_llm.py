@@ -361,6 +361,27 @@ def test_line_frequency_counts_documents(spark):
     assert all(got[100 + i] for i in range(10)) and all(got[200 + i] for i in range(40))
 
 
+def test_frequent_lines_are_removed(spark):
+    import corpus_pipeline
+
+    line = "Subscribe to our letter No 7"
+    rng = random.Random(5)
+    own = lambda: [" ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(12)) for _ in range(5)]
+    rows, want = [], {}
+    for i in range(11):
+        a = own()
+        rows.append((i, "\n".join([line.upper(), *a[:2], "", line, *a[2:], f"  {line} "]), "en", "s", 0))
+        want[i] = "\n".join([*a[:2], "", *a[2:]])
+    rows += [(20 + i, "\n".join([*own(), line]), "en", "t", 0) for i in range(10)]  # at the limit
+    want |= {r[0]: r[1] for r in rows[11:]}
+    docs = spark.createDataFrame(rows, DOCS)
+    assert {r.doc_id: r.text for r in quality_rules.judged(docs).collect()} == want
+    path = scratch_path(spark, "q")
+    docs.write.parquet(path)
+    got = corpus_pipeline.quality(spark, spark.read.parquet(path), SF).collect()
+    assert {r.doc_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
+
+
 def test_repeated_words_paths(spark):
     rng = random.Random(8)
     rows = [(i, " ".join(rng.choices("abcd", k=rng.randint(0, 30)))) for i in range(200)]
