@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
@@ -350,28 +349,52 @@ def find_file(spark, sf):
     return graph.find_file(T.parts(spark, sf), "1")
 
 
-def _log(spark, sf):
+#: The SQL twins of parse_log_group and blame_forward_fill ask for these orders only; parse_log_all and blame_all have all.
+_FEW = "{} <= 400"
+
+
+def _log(spark, sf, only="true"):
     """Log lines made of orders and their parts, in order of key."""
-    o = T.read(spark, sf, "orders").where("o_orderkey <= 400").select(
+    o = T.read(spark, sf, "orders").where(only.format("o_orderkey")).select(
         F.col("o_orderkey").alias("k"), F.lit(0).cast("long").alias("n"),
         F.concat_ws("|", F.sha1(F.col("o_orderkey").cast("string")), F.concat(F.lit("c"), "o_custkey"), F.unix_timestamp("o_orderdate").cast("string"), "o_orderpriority", F.lit("")).alias("line"),
     )
-    li = T.read(spark, sf, "lineitem").where("l_orderkey <= 400").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("n"), F.concat(F.lit("f"), "l_partkey").alias("line"))
-    return o.unionByName(li).withColumn("line_no", F.row_number().over(Window.orderBy("k", "n", "line")))
+    li = T.read(spark, sf, "lineitem").where(only.format("l_orderkey")).select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("n"), F.concat(F.lit("f"), "l_partkey").alias("line"))
+    return history.numbered(o.unionByName(li), F.floor(F.col("k") / 4096), "k", "n", "line")
+
+
+def _parsed_log(lines):
+    return history.parse_log(lines).select("hash", "author", "timestamp", "message", F.array_join("files_modified", ",").alias("files"))
 
 
 @register("parse_log_group", "SELECT sha1(o_orderkey::VARCHAR) hash, 'c' || o_custkey author, epoch(o_orderdate)::BIGINT AS timestamp, o_orderpriority message, coalesce((SELECT string_agg('f' || l_partkey, ',' ORDER BY l_linenumber, 'f' || l_partkey) FROM lineitem WHERE l_orderkey = o_orderkey), '') files FROM orders WHERE o_orderkey <= 400")
 def parse_log_group(spark, sf):
-    return history.parse_log(_log(spark, sf)).select("hash", "author", "timestamp", "message", F.array_join("files_modified", ",").alias("files"))
+    return _parsed_log(_log(spark, sf, _FEW))
+
+
+@register("parse_log_all", "SELECT sha1(o_orderkey::VARCHAR) hash, 'c' || o_custkey author, epoch(o_orderdate)::BIGINT AS timestamp, o_orderpriority message, coalesce(f, '') files FROM orders LEFT JOIN (SELECT l_orderkey, string_agg('f' || l_partkey, ',' ORDER BY l_linenumber, 'f' || l_partkey) f FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey")
+def parse_log_all(spark, sf):
+    """The log of all orders."""
+    return _parsed_log(_log(spark, sf))
 
 
 @register("blame_forward_fill", "SELECT l_linenumber::BIGINT line_number, sha1(l_orderkey::VARCHAR) commit_hash, 'c' || o_custkey author, l_quantity::BIGINT::VARCHAR content FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey <= 400")
 def blame_forward_fill(spark, sf):
-    li = T.read(spark, sf, "lineitem").where("l_orderkey <= 400").join(T.read(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    return _blamed(spark, sf, _FEW)
+
+
+@register("blame_all", "SELECT l_linenumber::BIGINT line_number, sha1(l_orderkey::VARCHAR) commit_hash, 'c' || o_custkey author, l_quantity::BIGINT::VARCHAR content FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+def blame_all(spark, sf):
+    """The blame lines of all of lineitem."""
+    return _blamed(spark, sf)
+
+
+def _blamed(spark, sf, only="true"):
+    li = T.read(spark, sf, "lineitem").where(only.format("l_orderkey")).join(T.read(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     h = F.sha1(F.col("l_orderkey").cast("string"))
     three = F.array(F.concat_ws(" ", h, F.lit("1"), F.col("l_linenumber").cast("string")), F.concat(F.lit("author c"), "o_custkey"), F.concat(F.lit("\t"), F.col("l_quantity").cast("long").cast("string")))
-    rows = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", F.posexplode(three).alias("p", "line"))
-    rows = rows.withColumn("line_no", F.row_number().over(Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "p")))
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    rows = history.numbered(li.select(*order, F.posexplode(three).alias("p", "line")), F.floor(F.col("l_orderkey") / 4096), *order, "p")
     return history.parse_blame(rows.select("line_no", "line")).select("line_number", "commit_hash", "author", "content")
 
 

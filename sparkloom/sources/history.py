@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import subprocess
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 LOG_FORMAT = "%H|%an|%at|%s|%P"
 _HEADER = "^[0-9a-fA-F]{40}\\|"
+#: Lines of a block; the table of all blocks has a row for each.
+BLOCK = 1 << 16
 
 
 def git_lines(spark: SparkSession, repo: str, *args: str) -> DataFrame:
@@ -23,14 +26,32 @@ def log(spark: SparkSession, repo: str, limit: int, path: str | None = None) ->
     return parse_log(git_lines(spark, repo, "log", f"-{limit}", f"--format={LOG_FORMAT}", "--name-only", *extra))
 
 
-def parse_log(lines: DataFrame) -> DataFrame:
+def _earlier() -> WindowSpec:
+    """All rows before one in a table of blocks, which is small enough for one task."""
+    return Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def numbered(rows: DataFrame, block: Column, *order: str) -> DataFrame:
+    """rows with line_no, their place by block and order from 1 on; blocks are numbered apart and moved by the rows before."""
+    rows = rows.withColumn("_block", block)
+    blocks = rows.groupBy("_block").agg(F.count("*").alias("_n"))
+    blocks = blocks.select("_block", F.coalesce(F.sum("_n").over(_earlier()), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_block").orderBy(*order))
+    return rows.withColumn("line_no", place).join(blocks, "_block").withColumn("line_no", F.col("line_no") + F.col("_before")).drop("_block", "_before")
+
+
+def parse_log(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     """hash, author, timestamp, message, parent_hashes, files_modified. A '|' in author or subject shifts fields.
 
-    The running number of headers groups the lines of a commit. Log lines are the output of one command and are
-    numbered, so the window over all of them is a scan of a sorted file.
+    The running number of headers groups the lines of a commit: it is counted within blocks of line numbers and
+    carried from block to block.
     """
     header = F.col("line").rlike(_HEADER)
-    grouped = lines.withColumn("commit", F.sum(header.cast("int")).over(Window.orderBy("line_no")))
+    lines = lines.withColumn("_block", F.floor(F.col("line_no") / block))
+    blocks = lines.groupBy("_block").agg(F.sum(header.cast("int")).alias("_n"))
+    blocks = blocks.select("_block", F.coalesce(F.sum("_n").over(_earlier()), F.lit(0)).alias("_before"))
+    own = F.sum(header.cast("int")).over(Window.partitionBy("_block").orderBy("line_no"))
+    grouped = lines.withColumn("commit", own).join(blocks, "_block").withColumn("commit", F.col("commit") + F.col("_before"))
     f = F.split(F.max(F.when(header, F.col("line"))), "\\|")
     part = lambda i: F.get(f, i)
     names = F.sort_array(F.collect_list(F.when(~header & (F.trim("line") != ""), F.struct("line_no", "line"))))
@@ -65,18 +86,23 @@ def changed_since(spark: SparkSession, repo: str, ref: str) -> DataFrame:
     return parse_name_status(git_lines(spark, repo, "diff", "--name-status", ref)).select("path")
 
 
-def parse_blame(lines: DataFrame) -> DataFrame:
-    """line_number, commit_hash, author, timestamp, content of porcelain lines; headers fill forward, and a commit's
-    author and time, which appear once, hold for its later lines."""
+def parse_blame(lines: DataFrame, block: int = BLOCK) -> DataFrame:
+    """line_number, commit_hash, author, timestamp, content of porcelain lines; headers fill forward within blocks of
+    line numbers and from block to block, and a commit's author and time, which appear once, hold for its later lines."""
     head = F.regexp_extract("line", "^([0-9a-f]{40}) \\d+ (\\d+)", 1)
     number = F.regexp_extract("line", "^([0-9a-f]{40}) \\d+ (\\d+)", 2)
-    order = Window.orderBy("line_no")
+    found = F.when(head != "", F.struct(head.alias("hash"), number.cast("long").alias("number")))
+    lines = lines.withColumns({"_block": F.floor(F.col("line_no") / block), "_head": found})
+    blocks = lines.groupBy("_block").agg(F.max_by("_head", F.when(F.col("_head").isNotNull(), F.col("line_no"))).alias("_head"))
+    blocks = blocks.select("_block", F.last("_head", ignorenulls=True).over(_earlier()).alias("_before"))
+    order = Window.partitionBy("_block").orderBy("line_no")
+    lines = lines.withColumn("_head", F.last("_head", ignorenulls=True).over(order)).join(blocks, "_block").withColumn("_head", F.coalesce("_head", "_before"))
     value = lambda name: F.when(F.col("line").startswith(name + " "), F.substr("line", F.lit(len(name) + 2)))
     filled = lines.select(
         "line_no",
         "line",
-        F.last(F.nullif(head, F.lit("")), ignorenulls=True).over(order).alias("commit_hash"),
-        F.last(F.nullif(number, F.lit("")), ignorenulls=True).over(order).cast("long").alias("line_number"),
+        F.col("_head")["hash"].alias("commit_hash"),
+        F.col("_head")["number"].alias("line_number"),
         value("author").alias("a"),
         value("author-time").alias("t"),
     )

@@ -204,6 +204,31 @@ def test_git_sources(spark, tmp_path):
     assert history.repo_info(str(tmp_path))["tracked"] == 1 and history.is_tracked(str(tmp_path), "b.py")
 
 
+def test_history_over_blocks(spark):
+    """Small blocks, so that commits and headers reach over several of them; no window holds all lines."""
+    sha = lambda i: f"{i:040x}"
+    log, blame = ["noise"], []
+    for i in range(9):
+        log += [f"{sha(i)}|a{i}|{i}|m|", ""] + [f"f{i}.{k}" for k in range(i)]
+        blame += [f"{sha(i % 4)} 1 {i + 1}"] + ([f"author a{i}", f"author-time {i}"] if i < 4 else []) + ["filename f", f"\tline {i}"]
+    table = lambda x: spark.createDataFrame(list(enumerate(x, 1)), "line_no long, line string").repartition(5)
+    for block in (1, 3, 1 << 16):
+        got = {r.hash: (r.author, r.timestamp, r.files_modified) for r in history.parse_log(table(log), block).collect()}
+        assert got == {sha(i): (f"a{i}", i, [f"f{i}.{k}" for k in range(i)]) for i in range(9)}
+        got = sorted(tuple(r) for r in history.parse_blame(table(blame), block).collect())
+        assert got == [(i + 1, sha(i % 4), f"a{i % 4}", i % 4, f"line {i}") for i in range(9)]
+    rows = spark.range(100).selectExpr("(id * 37) % 100 AS k", "id").repartition(4)
+    assert all(r.line_no == r.k + 1 for r in history.numbered(rows, F.floor(F.col("k") / 7), "k").collect())
+
+
+def test_history_queries_take_all_orders(spark):
+    from sparkloom.plans import catalogue
+
+    sf, q = "/root/testdata/sf0.01", catalogue.queries()
+    assert q["parse_log_all"](spark, sf).count() == spark.read.parquet(f"{sf}/orders.parquet").count() > 400
+    assert q["blame_all"](spark, sf).count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+
+
 def test_scan_tree(spark, tmp_path):
     (tmp_path / ".gitignore").write_text("*.log.py\nbuild/\n!keep.log.py\n")
     for name, data in {"a.py": b"x", "b.log.py": b"x", "keep.log.py": b"x", "build/c.py": b"x", "n.py": b"a\0b", "u.py": b"\xff", "big.py": b"x" * 1_000_001, "d.exe": b"x", ".h/e.rs": b"x", "Makefile": b"x"}.items():
