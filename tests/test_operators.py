@@ -229,6 +229,14 @@ def test_history_queries_take_all_orders(spark):
     assert q["blame_all"](spark, sf).count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
 
 
+def test_commit_edges_of_all_orders(spark):
+    from sparkloom.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    edges = catalogue.queries()["graph_commit_edges_all"](spark, sf).agg(F.sum("edges")).first()[0]
+    assert edges == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+
+
 def test_scan_tree(spark, tmp_path):
     (tmp_path / ".gitignore").write_text("*.log.py\nbuild/\n!keep.log.py\n")
     for name, data in {"a.py": b"x", "b.log.py": b"x", "keep.log.py": b"x", "build/c.py": b"x", "n.py": b"a\0b", "u.py": b"\xff", "big.py": b"x" * 1_000_001, "d.exe": b"x", ".h/e.rs": b"x", "Makefile": b"x"}.items():
