@@ -337,11 +337,48 @@ def related_files_depth2(spark, sf):
 
 @register("related_expansion", _REACH + " SELECT page_id chunk_id, page_id::BIGINT AS path, 0.5::DOUBLE score, (1 + row_number() OVER (ORDER BY page_id))::BIGINT AS rank FROM pages WHERE page_id IN (SELECT id FROM n) UNION ALL SELECT 3, 3, 0.9::DOUBLE, 1 ORDER BY rank LIMIT 15")
 def related_expansion(spark, sf):
+    return _expanded(spark, sf, T.links(spark, sf))
+
+
+_L_ALL = f"l AS (SELECT src, dst FROM {_LINKS} WHERE src <> dst)"
+
+
+@register("most_connected_all", f"WITH {_L_ALL} SELECT src::VARCHAR AS file, count(DISTINCT dst) imports FROM l GROUP BY src ORDER BY imports DESC, file LIMIT 10")
+def most_connected_all(spark, sf):
+    return graph.most_connected(graph.import_edges(T.links(spark, sf, "true")), 10)
+
+
+@register("file_imports_all", f"WITH {_L_ALL} SELECT DISTINCT src::VARCHAR src, dst::VARCHAR target, coalesce(p.url, dst || ' (external)') AS name FROM l LEFT JOIN pages p ON p.page_id = l.dst")
+def file_imports_all(spark, sf):
+    pages = T.read(spark, sf, "pages").select(F.col("page_id").cast("string").alias("id"), F.col("url").alias("path"))
+    return graph.file_imports(graph.import_edges(T.links(spark, sf, "true")), pages)
+
+
+@register("direct_imports_all", f"WITH {_L_ALL} SELECT DISTINCT src::VARCHAR src, dst::VARCHAR id FROM l JOIN pages p ON p.page_id = l.dst")
+def direct_imports_all(spark, sf):
+    pages = T.read(spark, sf, "pages").select(F.col("page_id").cast("string").alias("id"))
+    return graph.imports_of(graph.import_edges(T.links(spark, sf, "true")), pages).select("src", "id")
+
+
+_REACH_ALL = f"WITH RECURSIVE {_L_ALL}, e AS (SELECT src a, dst b FROM l UNION SELECT dst, src FROM l), r AS (SELECT 3 AS id, 0 AS step UNION SELECT e.b, r.step + 1 FROM r JOIN e ON e.a = r.id WHERE r.step < 2), n AS (SELECT DISTINCT id FROM r WHERE id <> 3)"
+
+
+@register("related_files_depth2_all", _REACH_ALL + " SELECT id::BIGINT id FROM n")
+def related_files_depth2_all(spark, sf):
+    return graph.reachable(T.links(spark, sf, "true"), spark.range(3, 4), 2)
+
+
+@register("related_expansion_all", _REACH_ALL + " SELECT page_id chunk_id, page_id::BIGINT AS path, 0.5::DOUBLE score, (1 + row_number() OVER (ORDER BY page_id))::BIGINT AS rank FROM pages WHERE page_id IN (SELECT id FROM n) UNION ALL SELECT 3, 3, 0.9::DOUBLE, 1 ORDER BY rank LIMIT 15")
+def related_expansion_all(spark, sf):
+    return _expanded(spark, sf, T.links(spark, sf, "true"))
+
+
+def _expanded(spark, sf, links):
     from sparkloom.operators.search import related
 
     chunks = T.read(spark, sf, "pages").select(F.col("page_id").alias("chunk_id"), F.col("page_id").alias("path"))
     hit = spark.createDataFrame([(3, 3, 0.9, 0.5, 0.9, 1)], "chunk_id long, path long, score double, bm25_score double, vector_score double, rank long")
-    return related(hit, chunks, T.links(spark, sf), 2, 15).select("chunk_id", "path", "score", "rank")
+    return related(hit, chunks, links, 2, 15).select("chunk_id", "path", "score", "rank")
 
 
 @register("file_history", "WITH h AS (SELECT DISTINCT o_orderkey, o_custkey, o_orderdate, o_orderpriority FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_partkey = 7), r AS (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey::VARCHAR) AS rank, count(*) OVER () total FROM h) SELECT o_orderkey::VARCHAR hash, substr(o_orderkey::VARCHAR, 1, 7) short_hash, o_custkey::VARCHAR author, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS date, o_orderpriority message, total, rank FROM r WHERE rank <= 10")

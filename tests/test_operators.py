@@ -237,6 +237,14 @@ def test_commit_edges_of_all_orders(spark):
     assert edges == spark.read.parquet(f"{sf}/lineitem.parquet").count()
 
 
+def test_all_pages_import(spark):
+    from sparkloom.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    pages = {str(r[0]) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id").collect()}
+    assert {r.src for r in catalogue.queries()["file_imports_all"](spark, sf).select("src").collect()} == pages
+
+
 def test_scan_tree(spark, tmp_path):
     (tmp_path / ".gitignore").write_text("*.log.py\nbuild/\n!keep.log.py\n")
     for name, data in {"a.py": b"x", "b.log.py": b"x", "keep.log.py": b"x", "build/c.py": b"x", "n.py": b"a\0b", "u.py": b"\xff", "big.py": b"x" * 1_000_001, "d.exe": b"x", ".h/e.rs": b"x", "Makefile": b"x"}.items():
