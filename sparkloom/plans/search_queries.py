@@ -72,6 +72,14 @@ def vector_topk_batch(spark, sf):
     return rounded(search.vector_topk(rows, asked, 5), "vector_score")
 
 
+@register("vector_topk_batch_all", _PAIRS.format("a.vec_id % 20 = 0"))
+def vector_topk_batch_all(spark, sf):
+    """Every vector whose id is divisible by 20 against all; the SQL twin of vector_topk_batch asks with 20 only."""
+    rows = T.read(spark, sf, "embeddings")
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return rounded(search.vector_topk(rows, asked, 5), "vector_score")
+
+
 @register("find_similar_code", _PAIRS.format("a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id"))
 def find_similar_code(spark, sf):
     """Every vector whose id is divisible by 20 against all; itself is dropped."""
@@ -124,6 +132,12 @@ def bm25_normalized_zero_match(spark, sf):
     return chunks.join(found, "chunk_id", "left").where("bm25 IS NULL").select("chunk_id", S.bm25_normalised(F.coalesce("bm25", F.lit(0.0))).alias("bm25_score"))
 
 
+@register("postings_all", BASE + " SELECT term, chunk_id, tf, len::DOUBLE length FROM tf")
+def postings_all(spark, sf):
+    """The whole inverted index; the SQL twin of postings_terms asks for three terms only."""
+    return keyword.postings(T.chunks(spark, sf), "chunk_id", "content")
+
+
 @register("postings_terms", BASE + " SELECT term, chunk_id, tf, len::DOUBLE length FROM tf WHERE term IN ('the', 'der', 'que')")
 def postings_terms(spark, sf):
     return keyword.postings(T.chunks(spark, sf), "chunk_id", "content").where(F.col("term").isin("the", "der", "que"))

@@ -245,6 +245,15 @@ def test_all_pages_import(spark):
     assert {r.src for r in catalogue.queries()["file_imports_all"](spark, sf).select("src").collect()} == pages
 
 
+def test_whole_batch_and_index(spark):
+    from sparkloom.plans import catalogue
+
+    sf, q = "/root/testdata/sf0.001", catalogue.queries()
+    asked = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0").count()
+    assert q["vector_topk_batch_all"](spark, sf).select("query_id").distinct().count() == asked > 20
+    assert q["postings_all"](spark, sf).select("term").distinct().count() == q["bm25_idf"](spark, sf).count() > 3
+
+
 def test_scan_tree(spark, tmp_path):
     (tmp_path / ".gitignore").write_text("*.log.py\nbuild/\n!keep.log.py\n")
     for name, data in {"a.py": b"x", "b.log.py": b"x", "keep.log.py": b"x", "build/c.py": b"x", "n.py": b"a\0b", "u.py": b"\xff", "big.py": b"x" * 1_000_001, "d.exe": b"x", ".h/e.rs": b"x", "Makefile": b"x"}.items():
