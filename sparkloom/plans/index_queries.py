@@ -86,6 +86,12 @@ def scan_filter(spark, sf):
     return scan.as_files(_odd(spark, sf), most=4000).select("path", F.octet_length("content").cast("long").alias("bytes"))
 
 
+@register("scan_filter_all", f"SELECT {_ODD} path, strlen(text)::BIGINT bytes FROM documents WHERE doc_id % 6 IN (0, 1, 4, 5) AND strlen(text) <= 1000000")
+def scan_filter_all(spark, sf):
+    """With the limit of the scanner; the SQL twin of scan_filter has a limit of 4,000 bytes."""
+    return scan.as_files(_odd(spark, sf)).select("path", F.octet_length("content").cast("long").alias("bytes"))
+
+
 @register("detect_language", f"SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'rust' WHEN 4 THEN 'c' WHEN 5 THEN 'python' END language, CASE doc_id % 6 WHEN 0 THEN 'rust' WHEN 4 THEN 'c' WHEN 5 THEN 'python' END chunk_language, CASE doc_id % 6 WHEN 0 THEN 'rust' WHEN 4 THEN 'cpp' WHEN 5 THEN 'python' ELSE 'unknown' END symbol_language FROM documents")
 def detect_language(spark, sf):
     p = F.col("path")

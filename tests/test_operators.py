@@ -254,6 +254,15 @@ def test_whole_batch_and_index(spark):
     assert q["postings_all"](spark, sf).select("term").distinct().count() == q["bm25_idf"](spark, sf).count() > 3
 
 
+def test_scan_filter_keeps_long_texts(spark):
+    from sparkloom.plans import catalogue
+
+    rows = catalogue.queries()["scan_filter_all"](spark, "/root/testdata/sf0.01")
+    assert rows.where("bytes > 4000").count() > 0
+    few = spark.createDataFrame([("a.py", bytearray(b"x" * n)) for n in (1, 10, 11)], "path string, content binary")
+    assert sorted(len(r.content) for r in files.as_files(few, most=10).collect()) == [1, 10]
+
+
 def test_scan_tree(spark, tmp_path):
     (tmp_path / ".gitignore").write_text("*.log.py\nbuild/\n!keep.log.py\n")
     for name, data in {"a.py": b"x", "b.log.py": b"x", "keep.log.py": b"x", "build/c.py": b"x", "n.py": b"a\0b", "u.py": b"\xff", "big.py": b"x" * 1_000_001, "d.exe": b"x", ".h/e.rs": b"x", "Makefile": b"x"}.items():
