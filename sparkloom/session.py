@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -26,13 +27,16 @@ def local_session(cpus: int | str = "*", memory: str = "12g") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors can reach.
+    """The folder that the driver and all executors can reach, from spark.checkpoint.dir.
 
-    Read from spark.checkpoint.dir. Only where that is unset (a local session, as in tests) a temporary
-    folder is made and set.
+    Where that is unset, a local session (as in tests) gets a temporary folder; a cluster gets an error, since a
+    folder of one machine is no place for what all of them read.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.sparkContext.setCheckpointDir(folder)
     elif not spark.sparkContext.getCheckpointDir():
@@ -40,9 +44,21 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_ROOTS: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
+    """A new path under the shared folder. The scratch of an application is deleted when its driver ends."""
+    root = f"{shared_dir(spark)}/sparkloom/{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        atexit.register(_forget, spark, root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def _forget(spark: SparkSession, root: str) -> None:
+    if spark.sparkContext._jsc is not None:  # a stopped context has no file systems left
+        delete_path(spark, root)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -50,7 +66,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path, compression="zstd")
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that written() made and that no result still reads."""
+    for df in tables:
+        delete_path(df.sparkSession, df._scratch)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
