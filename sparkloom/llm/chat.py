@@ -27,8 +27,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.batches import bounded_batches
-
 START, END = b"<|im_start|>", b"<|im_end|>\n"
 _CONTROL = re.compile(rb"<(?=\||/?s>)|\[(?=/?INST\])")
 _ESCAPED = re.compile(rb"\\(.)", re.DOTALL)
@@ -124,7 +122,6 @@ def format_conversations(rows: DataFrame, max_bytes: int = 1 << 24) -> DataFrame
         if waiting:
             yield _rows(pa.Table.from_batches(waiting), parts)
 
-    bounded_batches(rows.sparkSession)
     empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     ordered = (
         rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", empty("role"), empty("text"))

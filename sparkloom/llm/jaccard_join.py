@@ -12,32 +12,37 @@ out its `spare` most frequent ones, by a global order of frequency and hash: of
 least frequent is left out by neither, since else all 1 + spare would be. So signatures over few elements, or over a
 passage that many unrelated documents share, go, and no link is lost.
 
-Equal sets are one node. The first pass counts each signature (pre-aggregated on the map side); a Bloom filter of
-fixed size, built of the shared ones, thins the second pass before an exact join with them. Sets with a common
-signature in one instance form families: each signature is aggregated to its least node, which gives stars, and the
-stars' components are the families. Links are then verified inside families: a family is dealt to blocks of a bounded number of documents and
-elements, each pair of blocks is one unit of work that counts intersections as matrix products, and what it puts out
-is a spanning forest of its links and the number of links of each set, never the pairs. No candidate is dropped.
+Equal sets are one node, the row of least number, and only nodes emit signatures. The first pass counts each signature
+(pre-aggregated on the map side); a Bloom filter of fixed size, built of the shared ones, thins the second pass before
+an exact join with them. Nodes with a common signature form families: each signature is aggregated to its least node,
+which gives stars, and the stars' components are the families. Links are then verified inside families. A family that
+one block holds is one unit of work. A larger one is cut by the logarithm of the sets' sizes, so that only the same
+and the next cut can hold partners, and each cut is dealt to blocks of a bounded number of documents and elements; a
+unit is a pair of blocks that can hold partners. A unit counts intersections as matrix products, in smaller blocks,
+and puts out a spanning forest of its links and the number of links of each set, never the pairs. No candidate is
+dropped.
 
 Documents without words, or null texts, have no shingles and link with nothing. A null id has a null component and
-links with nothing. Rows of equal id are one node. Columns other than id and text are not read.
+links with nothing. Rows of equal id are documents of their own, which share a component where they link. Columns
+other than id and text are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.batches import bounded_batches, slices
+from sparkloom.llm.batches import bounded_batches, numbered, slices
 from sparkloom.llm.graphs import components
 from sparkloom.llm.shingles import U, mix, shingle_sets
-from sparkloom.session import written
+from sparkloom.session import discard, written
 
 PARTS = 2  # n2; a group may differ in one element, so subsets are of n2 - 1 parts
 _SUBSETS = [list(c) for c in combinations(range(PARTS), PARTS - 1)]
@@ -85,17 +90,17 @@ def _emitted(h: np.ndarray, k: int, instance: int) -> np.ndarray:
     return mix(sums + mix(number))
 
 
-def profiles(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n (size of the set), f1 and f2 (its fingerprint)."""
+def profiles(rows: DataFrame, k: int) -> DataFrame:
+    """rows (_rid, doc_id, text) as _rid, doc_id, n (size of the set), f1 and f2 (its fingerprint)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, 1 << 20):
-            h, n = shingle_sets(batch.column(1).to_pylist(), k)
+        for batch in slices(batches, 2, 1 << 20):
+            h, n = shingle_sets(batch.column(2).to_pylist(), k)
             f1, f2 = fingerprints(h, n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))], names=["doc_id", "n", "f1", "f2"])
+            columns = [*batch.columns[:2], pa.array(n.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["_rid", "doc_id", "n", "f1", "f2"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, f1 long, f2 long")
+    return rows.mapInArrow(run, "_rid long, doc_id long, n long, f1 long, f2 long")
 
 
 def fingerprints(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,25 +109,20 @@ def fingerprints(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(mix(x[ends] - x[ends - n]) for x in (one, two))
 
 
-#: A node is a set in an instance: the upper 58 bits of the set's fingerprint and 6 bits for the instance.
-INSTANCES = 64
-
-
-def emitted(docs: DataFrame, k: int, num: int, den: int, text: str = "text") -> DataFrame:
-    """(sig, node) for the signatures of all texts. Fingerprints that agree by chance add candidates, never links."""
+def emitted(nodes: DataFrame, k: int, num: int, den: int, named: bool = True) -> DataFrame:
+    """(sig, node, band), or (sig) alone, for the signatures of nodes (node, text); no node has a signature twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 0, 1 << 20):
-            h, n = shingle_sets(batch.column(0).to_pylist(), k)
-            f1, _ = fingerprints(h, n)
-            sigs, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-            for e, m, f in zip(np.cumsum(n), n, f1):
-                for i, own in signatures(h[e - m : e], num, den):
-                    sigs.append(own)
-                    nodes.append(np.full(len(own), (int(f) & ~(INSTANCES - 1)) | i, np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (sigs, nodes)], names=["sig", "node"])
+        for batch in slices(batches, 1, 1 << 20):
+            h, n = shingle_sets(batch.column(1).to_pylist(), k)
+            own = [(node, band, x) for node, e, m in zip(batch.column(0).to_pylist(), np.cumsum(n), n) for band, x in signatures(h[e - m : e], num, den)]
+            columns = [pa.array(np.concatenate([np.zeros(0, np.uint64), *(x for _, _, x in own)]).view(np.int64))]
+            if named:
+                size = [len(x) for _, _, x in own]
+                columns += [pa.array(np.repeat(np.array([x[i] for x in own], t), size)) for i, t in ((0, np.int64), (1, np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["sig", "node", "band"][: len(columns)])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "sig long, node long")
+    return nodes.select("node", "text").mapInArrow(run, "sig long, node long, band int" if named else "sig long")
 
 
 def _maybe(sigs: DataFrame, shared: DataFrame, most: int) -> DataFrame:
@@ -137,29 +137,35 @@ def _maybe(sigs: DataFrame, shared: DataFrame, most: int) -> DataFrame:
     test = F.lit(True)
     for w, m in enumerate(masks):
         test = test & (F.col(f"w{w}").bitwiseAND(m) != 0)
-    return sigs.withColumn("block", block).join(F.broadcast(bloom), "block").where(test).select("sig", "node")
+    return sigs.withColumn("block", block).join(F.broadcast(bloom), "block").where(test).select("sig", "node", "band")
 
 
-def candidates(docs: DataFrame, k: int, num: int, den: int, text: str = "text", bloom_blocks: int = 1 << 18) -> DataFrame:
-    """Stars (a, b) of nodes with a common signature that neither leaves out."""
-    sigs = emitted(docs, k, num, den, text)
-    shared = sigs.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("often"))
-    shared = written(shared.where("a <> b").select("sig", "often"), "shared")
-    rows = _maybe(sigs, shared.select("sig"), bloom_blocks).distinct().join(shared, "sig")
-    low, spare = 1, []
-    for _ in range(INSTANCES):
+def _spares(num: int, den: int, bands: int = 64) -> Column:
+    """By number of band, how many signatures a set leaves out; 64 bands reach to sets of 2^31 elements."""
+    low, out = 1, []
+    for _ in range(bands):
         high = band_end(low, num, den)
-        spare.append(spare_groups(high * (den - num) // num))
+        out.append(spare_groups(high * (den - num) // num))
         low = high + 1
-    left_out = F.element_at(F.array(*map(F.lit, spare)), F.col("node").bitwiseAND(F.lit(INSTANCES - 1)).cast("int") + 1)
-    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("often"), "sig"))
-    kept = written(rows.withColumn("rank", rank).where(F.col("rank") > left_out).select("sig", "node"), "kept")
+    return F.array(*map(F.lit, out))
+
+
+def candidates(nodes: DataFrame, k: int, num: int, den: int, bloom_blocks: int = 1 << 18) -> DataFrame:
+    """Stars (a, b) of nodes (node, n, text) with a common signature that neither leaves out."""
+    shared = emitted(nodes, k, num, den, named=False).groupBy("sig").agg(F.count("*").alias("often"))
+    shared = written(shared.where("often > 1"), "shared")
+    rows = _maybe(emitted(nodes, k, num, den), shared.select("sig"), bloom_blocks).join(shared, "sig")
+    rank = F.row_number().over(Window.partitionBy("node", "band").orderBy(F.desc("often"), "sig"))
+    kept = rows.withColumn("rank", rank).where(F.col("rank") > F.element_at(_spares(num, den), F.col("band") + 1))
+    kept = written(kept.select("sig", "node"), "kept")
     leaders = kept.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("sig", "a")
     # a node's leaders as a chain from the least: most nodes of a family have the same ones, so few pairs are distinct
     own = kept.join(leaders, "sig").groupBy("node").agg(F.sort_array(F.collect_set("a")).alias("own"))
     chain = F.zip_with(F.slice("own", 1, F.size("own") - 1), F.slice("own", 2, F.size("own") - 1), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
     pairs = F.concat(F.array(F.struct(F.element_at("own", 1).alias("a"), F.col("node").alias("b"))), chain)
-    return own.select(F.explode(pairs).alias("p")).select("p.a", "p.b").where("a <> b").distinct()
+    stars = written(own.select(F.explode(pairs).alias("p")).select("p.a", "p.b").where("a <> b").distinct(), "candidates")
+    discard(shared, kept)
+    return stars
 
 
 def linked(sets: list[np.ndarray], num: int, den: int, left: int) -> np.ndarray:
@@ -204,24 +210,53 @@ def _forest(mask: np.ndarray) -> np.ndarray:
     return label
 
 
-def _verified(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """rows (family, i, j, side, rep, copies, set) as a, b (a link of a spanning forest, or null) and a's links."""
-
-    lows = [1]
-    for _ in range(INSTANCES):
-        lows.append(band_end(lows[-1], num, den) + 1)
-
-    def result(group: list[tuple], instance: int) -> tuple[list, list, list]:
-        group.sort(key=lambda r: (r[0], r[1]))
-        left = sum(r[0] == 0 for r in group) if group[-1][0] else 0
-        mask = linked([np.frombuffer(r[3], np.uint64) for r in group], num, den, left)
-        size = np.array([len(r[3]) // 8 for r in group])
-        less = np.minimum(size[:, None], size[None, :])  # each pair counts in the instance of its smaller set alone
-        mask &= (less >= lows[instance]) & (less < lows[instance + 1])
-        label = _forest(mask)
-        weight = mask @ np.array([r[2] for r in group], np.int64)
-        keep = np.flatnonzero(weight)
-        return [group[i][1] for i in keep], [group[label[i]][1] for i in keep], weight[keep].tolist()
+def _cut(sizes: list[int], docs: int, elements: int) -> list[tuple[int, int]]:
+    """Consecutive ranges of at most so many sets and elements (one set at least)."""
+    out, at, total = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > at and (i - at >= docs or total + n > elements):
+            out.append((at, i))
+            at, total = i, 0
+        total += n
+    return [*out, (at, len(sizes))] if sizes else out
+
+
+def _unit(group: list[tuple], num: int, den: int, docs: int, elements: int) -> tuple[list, list, list]:
+    """group: (side, node, n, copies, set), all pairs of which are to be compared, or, if side 1 occurs, those of the
+    two sides. The nodes that have links, one node each reaches, and their number of links."""
+    group.sort(key=lambda r: (r[0], r[2], r[1]))
+    sets = [np.frombuffer(r[4], np.uint64) for r in group]
+    sizes = [len(x) for x in sets]
+    copies = np.array([r[3] for r in group], np.int64)
+    left = sum(r[0] == 0 for r in group)
+    one = _cut(sizes[:left], docs, elements)
+    two = [(a + left, b + left) for a, b in _cut(sizes[left:], docs, elements)]
+    label, weight = np.arange(len(group)), np.zeros(len(group), np.int64)
+
+    def root(i: int) -> int:
+        while label[i] != i:
+            label[i] = label[label[i]]
+            i = label[i]
+        return i
+
+    for x, (a, b) in enumerate(one):
+        for c, d in two or one[x:]:
+            small, large = sorted(((sizes[a], sizes[b - 1]), (sizes[c], sizes[d - 1])))
+            if small[1] * den < large[0] * num:  # sorted by size: no pair can link
+                continue
+            rows = np.r_[a:b] if (a, b) == (c, d) else np.r_[a:b, c:d]
+            mask = linked([sets[i] for i in rows], num, den, 0 if (a, b) == (c, d) else b - a)
+            weight[rows] += mask @ copies[rows]
+            for i, m in enumerate(_forest(mask)):
+                y, z = sorted((root(rows[i]), root(rows[m])))
+                label[z] = y
+    keep = np.flatnonzero(weight)
+    return [group[i][1] for i in keep], [group[root(i)][1] for i in keep], weight[keep].tolist()
+
+
+def _verified(units: DataFrame, num: int, den: int, docs: int, elements: int) -> DataFrame:
+    """units (family, bin, kind, i, j, side, node, n, copies, set) as a, b (links of a spanning forest) and a's links."""
+    names = ["a", "b", "links"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
@@ -229,82 +264,119 @@ def _verified(rows: DataFrame, num: int, den: int) -> DataFrame:
 
         def close():
             if len(group) > 1:
-                for o, x in zip(out, result(group, key[0] & (INSTANCES - 1))):
+                for o, x in zip(out, _unit(group, num, den, docs, elements)):
                     o.extend(x)
 
-        for batch in slices(batches, 6):
+        for batch in slices(batches, 9):
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:3] != key:
+                if row[:5] != key:
                     close()
-                    key, group = row[:3], []
-                group.append(row[3:])
+                    key, group = row[:5], []
+                group.append(row[5:])
             if len(out[0]) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["a", "b", "links"])
+                yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=names)
                 out = [[], [], []]
         close()
-        yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["a", "b", "links"])
+        yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=names)
+
+    by = ["family", "bin", "kind", "i", "j"]
+    ordered = units.repartition(*by).sortWithinPartitions(*by)
+    return ordered.select(*by, "side", "node", "n", "copies", "set").mapInArrow(run, "a long, b long, links long")
+
 
-    ordered = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-    return ordered.select("family", "i", "j", "side", "rep", "copies", "set").mapInArrow(run, "a long, b long, links long")
+def _placed(members: DataFrame, num: int, den: int, block_docs: int, block_elements: int) -> DataFrame:
+    """members (node, family, n, copies) with bin, block, and the numbers of blocks of the bin and its neighbours.
+
+    A family of one block is one unit. Of a larger one, bin is the logarithm of n to the base of den / num, rounded
+    down: sets that link are in the same bin (kind 0) or in neighbouring ones (kind 1, named by the lower one).
+    """
+    blocks = F.ceil(F.greatest(F.count("*") / block_docs, F.sum("n") / block_elements)).cast("int")
+    families = members.groupBy("family").agg(blocks.alias("whole"))
+    width = math.log(den / num) * (1 + 1e-9) if num < den else 1e-9
+    members = members.join(families, "family").withColumn("bin", F.when(F.col("whole") > 1, F.floor(F.log("n") / width).cast("int")).otherwise(0))
+    bins = members.where("whole > 1").groupBy("family", "bin").agg(blocks.alias("blocks"))
+    for name, step in (("below", 1), ("above", -1)):
+        other = bins.select("family", (F.col("bin") + step).alias("bin"), F.col("blocks").alias(name))
+        bins = bins.join(other, ["family", "bin"], "left")
+    members = members.join(bins, ["family", "bin"], "left").fillna({"blocks": 1, "below": 0, "above": 0})
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    return members.select("node", "family", "n", "copies", "bin", block.alias("block"), "blocks", "below", "above")
+
+
+def _units(sets: DataFrame) -> DataFrame:
+    """Placed sets, once for each unit they are in."""
+
+    def unit(bin_: Column, kind: int, i: Column, j: Column, side: Column) -> Column:
+        return F.struct(bin_.alias("bin"), F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+
+    def each(n: str, f) -> Column:
+        return F.transform(F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>")), f)
+
+    zero, one, here, block = F.lit(0), F.lit(1), F.col("bin"), F.col("block")
+    own = each("blocks", lambda o: unit(here, 0, F.least(block, o), F.greatest(block, o), F.when(block <= o, zero).otherwise(one)))
+    up = each("above", lambda o: unit(here, 1, block, o, zero))
+    down = each("below", lambda o: unit(here - 1, 1, o, block, one))
+    units = F.explode(F.concat(own, up, down)).alias("u")
+    return sets.select("node", "family", "n", "copies", "set", units).select("node", "family", "n", "copies", "set", "u.*")
 
 
 def join(
     docs: DataFrame,
     words: int = 5,
     percent: int = 80,
-    block_docs: int = 500,
-    block_elements: int = 1_000_000,
+    block_docs: int = 2000,
+    block_elements: int = 4_000_000,
+    part_docs: int = 500,
+    part_elements: int = 1_000_000,
     broadcast_ids: int = 1_000_000,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """For each row of docs: doc_id, n_shingles, component_id, n_links (linked documents, equal sets included)."""
-    num, den = percent, 100
-    bounded_batches(docs.sparkSession)
-    profile = written(profiles(docs, words, doc_id, text), "profiles")
-    known = profile.where("n > 0 AND doc_id IS NOT NULL")
-    reps = written(known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
-    families = written(components(candidates(docs, words, num, den, text)), "families")
-
-    part = lambda c: F.col(c).bitwiseAND(F.lit(~(INSTANCES - 1)))
-    members = families.select(part("node").alias("part"), F.col("component").alias("family")).join(reps.withColumn("part", part("f1")), "part")
-    members = members.groupBy("rep", "family").agg(F.max("n").alias("n"), F.max("copies").alias("copies"))
-    sizes = members.groupBy("family").agg(
-        F.ceil(F.greatest(F.count("*") / block_docs, F.sum("n") / block_elements)).cast("int").alias("blocks")
-    )
-    members = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("n")
-    if families.count() <= broadcast_ids:
-        members = F.broadcast(members)
+    """For each row of docs: doc_id, n_shingles, component_id, n_links (linked documents, equal sets included).
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, 1 << 20):
-            h, n = shingle_sets(batch.column(1).to_pylist(), words)
-            ends = np.cumsum(n)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:1], *batch.columns[2:], pa.array([h[e - m : e].tobytes() for e, m in zip(ends, n)], pa.binary())],
-                names=["rep", "family", "copies", "blocks", "block", "set"],
-            )
-
-    chosen = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).join(members, "rep")
-    chosen = chosen.select("rep", "text", "family", "copies", "blocks", "block").mapInArrow(sets, "rep long, family long, copies long, blocks int, block int, set binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    units = chosen.select("*", other).select(
-        "family",
-        F.least("block", "other").alias("i"),
-        F.greatest("block", "other").alias("j"),
-        F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"),
-        "rep",
-        "copies",
-        "set",
-    )
-    found = written(_verified(units, num, den), "links")
-    classes = components(found.select("a", "b"))
+    Blocks (what a unit gets) and parts (what is multiplied at once) are bounded by documents and elements. Tables of
+    at most broadcast_ids nodes are broadcast to the texts; beyond, the nodes' texts are written once, by a shuffle join.
+    """
+    num, den = percent, 100
+    spark = docs.sparkSession
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = numbered(rows, "doc_id").select("_rid", "doc_id", "text")
+    with bounded_batches(spark):
+        profile = written(profiles(rows, words), "profiles")
+        known = profile.where("n > 0 AND doc_id IS NOT NULL")
+        reps = written(known.groupBy("n", "f1", "f2").agg(F.min("_rid").alias("node"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
+        few = reps.count() <= broadcast_ids
+        texts = rows.select(F.col("_rid").alias("node"), "text")
+        nodes = texts.join(F.broadcast(reps.select("node")) if few else reps.select("node"), "node")
+        if not few:
+            nodes = written(nodes, "nodes")
+        stars = candidates(nodes, words, num, den)
+        families = written(components(stars), "families")
+        members = families.select("node", F.col("component").alias("family")).join(reps.select("node", "n", "copies"), "node")
+        members = _placed(members, num, den, block_docs, block_elements)
+        if few:
+            members = F.broadcast(members)
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, 1, 1 << 20):
+                h, n = shingle_sets(batch.column(1).to_pylist(), words)
+                ends = np.cumsum(n)
+                found = pa.array([h[e - m : e].tobytes() for e, m in zip(ends, n)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], found], names=[*columns, "set"])
+
+        columns = ["node", "family", "n", "copies", "bin", "block", "blocks", "below", "above"]
+        chosen = nodes.join(members, "node").select("node", "text", *columns[1:])
+        units = _units(chosen.mapInArrow(sets, "node long, family long, n long, copies long, bin int, block int, blocks int, below int, above int, set binary"))
+        found = written(_verified(units, num, den, part_docs, part_elements), "links")
+        classes = written(components(found.select("a", "b")), "classes")
+        discard(stars, families)
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
-    own = reps.join(classes, reps.rep == classes.node, "left").join(links, reps.rep == links.a, "left")
-    own = own.select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    own = reps.join(classes, "node", "left").join(links, reps.node == links.a, "left").withColumn("component", F.coalesce("component", "node"))
+    least = own.groupBy("component").agg(F.min("rep").alias("component_id"))
+    own = own.join(least, "component").select("n", "f1", "f2", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return profile.join(own, ["n", "f1", "f2"], "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"),
     )

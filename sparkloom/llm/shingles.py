@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import hashlib
 
 import numpy as np
 
@@ -21,36 +21,53 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U(_P)) | U(1)
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.lib.stride_tricks.as_strided(padded, (len(data), 8), (1, 1)).copy().view("<u8").ravel()
 
 
-@lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for p in (_P, pow(_P, -1, 1 << 64)):
-        x = np.full(n, p, np.uint64)
-        x[0] = 1
-        out.append(np.cumprod(x, dtype=np.uint64))
-    return tuple(out)
+_LONG = 256
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    return tuple(x[:n] for x in _powers(size))
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span: its eight-byte parts go through mix one after another.
+
+    No sum or polynomial of the bytes is involved, so texts built to collide in one do not collide here. Spans of over
+    256 bytes are hashed with BLAKE2b.
+    """
+    size = end - start
+    out = mix(size.astype(np.uint64) + U(0xD6E8FEB86659FD93))
+    short = np.flatnonzero((size <= _LONG) & (size > 0))
+    order = short[np.argsort(-size[short], kind="stable")]
+    left = size[order]
+    for at in range(0, int(left[0]) if len(order) else 0, 8):
+        live = order[: np.searchsorted(-left, -at, "left")]  # those of more than `at` bytes
+        from_ = start[live] + at
+        part = _gathered(data, from_)
+        cut = np.minimum(size[live] - at, 8)
+        keep = np.where(cut == 8, U(0xFFFFFFFFFFFFFFFF), (U(1) << (np.minimum(cut, 7) * 8).astype(np.uint64)) - U(1))
+        out[live] = mix((out[live] ^ (part & keep)) * U(_P) + U(0xA0761D6478BD642F))
+    for i in np.flatnonzero(size > _LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def _gathered(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each given place; data must go on for eight bytes."""
+    whole = np.lib.stride_tricks.as_strided(data, (max(0, len(data) - 7), 8), (1, 1))
+    return np.ascontiguousarray(whole[at]).view("<u8").ravel()
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word [^\\x20\\x09-\\x0D]+ (A-Z lower-cased) of all texts, and the text it is from."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    data = _LOWER[np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)]
+    data = _LOWER[np.frombuffer(b"\n".join(raw) + b"\n" * 9, np.uint8)]
     first = np.cumsum([0] + [len(r) + 1 for r in raw])[:-1]
     solid = ~_SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], solid, [False]])))
     start, end = edge[::2], edge[1::2]
-    up, down = powers(len(data) + 1)
-    total = np.concatenate([np.zeros(1, U), np.cumsum(_BYTE[data] * up[:-1], dtype=np.uint64)])
-    word = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
-    return word, np.searchsorted(first, start, "right") - 1
+    return span_hashes(data, start, end), np.searchsorted(first, start, "right") - 1
 
 
 def shingle_sets(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -4,22 +4,29 @@ Which suffixes are sorted. Every window of `length` bytes has an anchor: the pla
 bytes (leftmost of equal ones). The choice depends on the window's bytes alone, so equal windows have equal grams at
 equal offsets: a window whose gram occurs once in the corpus is not repeated, and its suffix need not be sorted. The
 windows that one anchor serves are consecutive; their bytes are the anchor's span. Spans that are equal in all
-respects are one class with a count (pre-aggregated before any exchange), and each class of a gram that occurs twice
-or more sends one suffix, from the anchor on, with the bytes before the anchor, to the sort.
+respects (by the 128 bits of two hashes) are one class with a count, pre-aggregated before any exchange, and each
+class of a gram that occurs twice or more sends one suffix, from the anchor on, with the bytes before the anchor, to
+the sort.
 
-The sort. Each task sorts its suffixes and writes, for each partition of the grams, a front-coded run: of each suffix
-the length of the prefix it shares with the one before, and the rest. A partition's runs are merged by a loser tree
-whose nodes keep the length of the prefix that the loser shares with the winner: of two candidates the one that shares
-more with the last output is less, and only of equal lengths are bytes compared, from that length on. The lengths
-come out with the order; runs of neighbours that share at least a gram are groups, and in a group equal windows are
-found by their hashes. A class of two or more members is repeated as a whole.
+The sort. Each task sorts its suffixes and writes, for each partition of the grams, front-coded runs: of each suffix
+the length of the prefix it shares with the one before, and the rest. Partitions are as many as the measured bytes
+need, and a partition's runs are merged by a loser tree whose nodes keep the length of the prefix that the loser
+shares with the winner: of two candidates the one that shares more with the last output is less, and only of equal
+lengths are bytes compared, from that length on.
+
+The verdict. The common-prefix lengths that come out with the order decide. Neighbours that share a gram are a group;
+two windows with l bytes before the anchor are equal when their suffixes share length - l bytes (the least of the
+prefix lengths between them) and what stands before their anchors shares l bytes (likewise, in the order of those
+bytes read backwards). So for each l both orders fall into blocks, and windows in the same two blocks are equal.
+
+A gram of more than most_classes classes is not left to one group: windows with at most half of their spare bytes
+before the anchor go by a hash of the bytes they have after it in common, the others by a hash of those before it.
 
 Verdicts go back to the members of the classes, the covered bytes are merged for each document, and the rest of the
 text is kept.
 
-Null texts count as empty; texts shorter than `length` keep all. Rows are documents: repeated rows repeat each other.
-docs must give its rows in the same order and partitions whenever it is read (a table or files do), since rows are
-numbered by place. Columns other than id and text are not read.
+Null texts count as empty; texts shorter than `length` keep all. Rows are documents: repeated rows repeat each other,
+whatever their ids. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -32,21 +39,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.batches import bounded_batches, slices
-from sparkloom.llm.shingles import _BYTE, U, mix, powers
-from sparkloom.session import written
+from sparkloom.llm.batches import bounded_batches, numbered, slices
+from sparkloom.llm.shingles import U, eights, mix
+from sparkloom.session import discard, written
 
 PIECE = 1 << 20  # windows of a text that are handled at once
 
 
-def _sums(data: np.ndarray) -> np.ndarray:
-    up, _ = powers(len(data) + 1)
-    return np.concatenate([np.zeros(1, U), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)])
-
-
-def _hashes(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, down = powers(len(total))
-    return mix((total[end] - total[start]) * down[start])
+class Hashes:
+    """Hashes of the substrings of data of `least` bytes or more: those of 2^k bytes at every place come from two of
+    half the length, joined by mix, so no sum or polynomial of the bytes is involved."""
+
+    def __init__(self, data: np.ndarray, lengths: tuple[int, ...]):
+        self.level: dict[int, np.ndarray] = {}
+        wanted = {1 << (n.bit_length() - 1) for n in lengths}
+        size = 8 if min(wanted) >= 8 else 1
+        h = mix(eights(data)[: max(0, len(data) - 7)] if size == 8 else data.astype(np.uint64) + U(1))
+        while True:
+            if size in wanted:
+                self.level[size] = h
+            if size >= max(wanted):
+                break
+            h = mix(h[:-size] * U(0x9E3779B97F4A7C15) + h[size:]) if len(h) > size else h[:0]
+            size *= 2
+
+    def of(self, start: np.ndarray, size: np.ndarray | int, base: int) -> np.ndarray:
+        """Of `size` bytes from start; base is one of the lengths given, size is from base to 4 times its power of 2."""
+        power = 1 << (base.bit_length() - 1)
+        h = self.level[power]
+        out = mix(np.zeros(len(start), np.uint64) + (size.astype(np.uint64) if isinstance(size, np.ndarray) else U(size)))
+        most = int(np.max(size, initial=0))
+        for step in range(0, most, power):
+            out = mix(out * U(0x9E3779B97F4A7C15) + h[start + np.minimum(step, size - power)])
+        return out
 
 
 def _sliding_least(v: np.ndarray, width: int) -> np.ndarray:
@@ -66,9 +91,9 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple
     n = len(data) - length + 1
     if n <= 0:
         return none
-    total = _sums(data)
+    hashes = Hashes(data, (gram, length))
     at = np.arange(len(data) - gram + 1)
-    h = _hashes(total, at, at + gram)
+    h = hashes.of(at, gram, gram)
     place = U((1 << 21) - 1)
     v = (h & ~place) | at.astype(np.uint64)
     least = (_sliding_least(v, length - gram + 1) & place).astype(np.int64)
@@ -81,7 +106,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple
     first, stop = change[use], stop[use]
     a = least[first]
     count, offset = stop - first, a - first
-    cls = mix(_hashes(total, first, stop - 1 + length) + mix((count * 4096 + offset).astype(np.uint64)))
+    cls = mix(hashes.of(first, count - 1 + length, length) + mix((count * 4096 + offset).astype(np.uint64)))
     return h[a], cls, first, count, offset
 
 
@@ -203,21 +228,65 @@ def merged(runs: list[Iterator[tuple[int, bytes, bytes]]]) -> Iterator[tuple[int
             node //= 2
 
 
-def repeated(group: list[tuple[bytes, bytes, int, int]], length: int) -> list[np.ndarray]:
-    """group: (suffix, bytes before the anchor, windows, members) of classes of one gram; for each which windows repeat."""
+Entry = tuple[bytes, bytes, int, int, int]  # suffix, bytes before the anchor, members, and the windows asked for
+
+
+def repeated(group: list[Entry], shared: list[int], length: int) -> list[list[tuple[int, int]]]:
+    """For classes of one gram in order of their suffixes, and the length of the prefix that each shares with the one
+    before (the first is not read): of each class the repeated windows that are asked for, as runs (first, number)."""
     if len(group) == 1:
-        return [np.full(group[0][2], group[0][3] > 1)]
-    data = np.frombuffer(b"".join(before + s for s, before, _, _ in group), np.uint8)
-    base = np.cumsum([0] + [len(b) + len(s) for s, b, _, _ in group])[:-1]
-    n = np.array([g[2] for g in group])
-    start = np.repeat(base - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    h = _hashes(_sums(data), start, start + length)
-    _, which = np.unique(h, return_inverse=True)
-    often = np.bincount(which, np.repeat([min(g[3], 2) for g in group], n))
-    return np.split(often[which] > 1, np.cumsum(n)[:-1])
-
-
-def _suffix_runs(rows: DataFrame, length: int, partitions: int) -> DataFrame:
+        (_, _, members, lo, hi) = group[0]
+        return [[(lo, hi - lo)] if members > 1 else []]
+    back = [g[1][::-1] for g in group]
+    if len(group) == 2 and group[0][2] == group[1][2] == 1:  # the most usual case, without arrays
+        few, most = length - shared[1], shared_prefix(back[0], back[1], 0)
+        low = max(few, *(len(b) - g[4] + 1 for b, g in zip(back, group)))
+        high = min(most, *(len(b) - g[3] for b, g in zip(back, group)))
+        return [[(len(b) - high, high - low + 1)] if high >= low else [] for b in back]
+    m = len(group)
+    order = sorted(range(m), key=back.__getitem__)
+    lcp = np.array(shared)
+    lcs = np.array([0, *(shared_prefix(back[a], back[b], 0) for a, b in zip(order, order[1:]))])
+    off = np.array([len(b) for b in back])
+    least, most = off - np.array([g[4] for g in group]) + 1, off - np.array([g[3] for g in group])  # bytes before the anchor
+    weight = np.array([min(g[2], 2) for g in group])
+    masks = [np.zeros(g[4] - g[3], bool) for g in group]
+    step = max(1, (1 << 20) // m)
+    for first in range(int(least.min()), int(most.max()) + 1, step):
+        before = np.arange(first, min(first + step, int(most.max()) + 1))[:, None]
+        right = np.cumsum(lcp < length - before, 1)
+        left = np.empty_like(right)
+        left[:, order] = np.cumsum(lcs < before, 1)
+        row, which = np.nonzero((before >= least) & (before <= most))
+        _, same = np.unique((row * (m + 1) + right[row, which]) * (m + 1) + left[row, which], return_inverse=True)
+        hit = np.bincount(same, weight[which])[same] > 1
+        row, which = row[hit] + first, which[hit]
+        for i in np.unique(which):
+            masks[i][off[i] - row[which == i] - group[i][3]] = True
+    out = []
+    for g, mask in zip(group, masks):
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]])))
+        out.append([(g[3] + a, b - a) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())])
+    return out
+
+
+def _entries(x: dict, raw: bytes, length: int, gram: int) -> Iterator[tuple[bytes, bytes]]:
+    """The strings that a class sends to the sort (the group's key, then the suffix), each with its payload."""
+    a, end = x["start"] + x["off"], x["start"] + x["n"] - 1 + length
+    before, suffix, kg = raw[x["start"] : a], raw[a:end], x["kg"].to_bytes(8, "big", signed=True)
+    name = kg + x["cls"].to_bytes(8, "big", signed=True) + min(x["members"], 2).to_bytes(1, "big")
+    if not x["hot"]:
+        yield kg + suffix, name + bytes(4) + x["n"].to_bytes(4, "big") + before
+        return
+    half = (length - gram) // 2
+    cut = min(max(0, x["off"] - half), x["n"])  # windows before it have more than half before the anchor
+    for lo, hi, tag, common in ((0, cut, b"b", before[-half - 1 :]), (cut, x["n"], b"a", suffix[: length - half])):
+        if lo < hi:
+            key = hashlib.blake2b(tag + kg + common, digest_size=8).digest()
+            yield key + suffix, name + lo.to_bytes(4, "big") + hi.to_bytes(4, "big") + before
+
+
+def _suffix_runs(rows: DataFrame, length: int, gram: int, partitions: int) -> DataFrame:
     """rows (text, items) of documents with classes to send, as part, run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,10 +303,9 @@ def _suffix_runs(rows: DataFrame, length: int, partitions: int) -> DataFrame:
             for text, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = (text or "").encode()
                 for x in items:
-                    a, end = x["start"] + x["off"], x["start"] + x["n"] - 1 + length
-                    payload = b"".join((x["kg"].to_bytes(8, "little", signed=True), x["cls"].to_bytes(8, "little", signed=True), x["n"].to_bytes(4, "little"), min(x["members"], 2).to_bytes(1, "little"), raw[x["start"] : a]))
-                    held.setdefault((x["kg"] >> 8) % partitions, []).append((raw[a:end], payload))
-                    size += end - x["start"] + 200
+                    for s, payload in _entries(x, raw, length, gram):
+                        held.setdefault(int.from_bytes(s[:8], "big") % partitions, []).append((s, payload))
+                        size += len(s) + len(payload) + 200
             if size > 1 << 26:
                 yield from out()
                 size = 0
@@ -246,25 +314,28 @@ def _suffix_runs(rows: DataFrame, length: int, partitions: int) -> DataFrame:
     return rows.select("text", "items").mapInArrow(run, "part int, run binary")
 
 
-def _verdicts(runs: DataFrame, length: int, gram: int) -> DataFrame:
+def _verdicts(runs: DataFrame, length: int, gram: int, partitions: int) -> DataFrame:
     """kg, cls and the runs of repeated windows (first, number) of each class."""
     schema = pa.schema({"kg": pa.int64(), "cls": pa.int64(), "first": pa.int32(), "windows": pa.int32()})
 
     def judged(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         group: list[tuple] = []
+        shared: list[int] = []
 
         def close():
-            for (_, payload), mask in zip([(g[0], g[4]) for g in group], repeated([g[:4] for g in group], length)):
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]])))
-                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                    out.append((int.from_bytes(payload[:8], "little", signed=True), int.from_bytes(payload[8:16], "little", signed=True), a, b - a))
+            entries = [(s, p[25:], p[16], int.from_bytes(p[17:21], "big"), int.from_bytes(p[21:25], "big")) for s, p in group]
+            for (_, p), found in zip(group, repeated(entries, shared, length)):
+                kg, cls = (int.from_bytes(p[i : i + 8], "big", signed=True) for i in (0, 8))
+                out.extend((kg, cls, a, n) for a, n in found)
             group.clear()
+            shared.clear()
 
         for k, s, payload in merged([decoded(p) for p in parts]):
-            if group and k < gram:
+            if group and k < 8 + gram:
                 close()
-            group.append((s, payload[21:], int.from_bytes(payload[16:20], "little"), payload[20], payload[:16]))
+            group.append((s, payload))
+            shared.append(k - 8)
             if len(out) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
                 out.clear()
@@ -285,7 +356,6 @@ def _verdicts(runs: DataFrame, length: int, gram: int) -> DataFrame:
         if held:
             yield from judged(held)
 
-    partitions = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = runs.repartition(partitions, "part").sortWithinPartitions("part")
     return ordered.mapInArrow(run, "kg long, cls long, first int, windows int")
 
@@ -317,34 +387,58 @@ def _covered(rows: DataFrame, length: int) -> DataFrame:
     return rows.repartition("rid").sortWithinPartitions("rid", "start").select("rid", "start", "windows").mapInArrow(run, "rid long, cuts array<long>")
 
 
-def repeated_bytes(docs: DataFrame, length: int = 400, gram: int = 128, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 300_000) -> tuple[DataFrame, DataFrame]:
-    """docs as rid, doc_id, text; and rid, cuts (start, end, start, end, ... of the bytes to remove) of those that have any."""
+def repeated_bytes(
+    docs: DataFrame,
+    length: int = 400,
+    gram: int = 128,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    broadcast_rows: int = 1_000_000,
+    most_classes: int = 1000,
+    part_bytes: int = 1 << 25,
+) -> tuple[DataFrame, DataFrame]:
+    """docs as _rid, doc_id, text; and rid, cuts (start, end, start, end, ... of the bytes to remove) of those that have any."""
     if length - gram + 1 > 4000 or gram < 1 or gram > length:
         raise ValueError("gram must be from length - 3999 to length")
-    bounded_batches(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = written(_all_anchors(rows.select("rid", "text"), length, gram), "anchors")
-    first = F.min(F.struct("rid", "start", "n", "off")).alias("r")
-    classes = found.groupBy("kg", "cls").agg(F.count("*").alias("members"), first)
-    often = classes.groupBy("kg").agg(F.sum("members").alias("c")).where("c > 1").select("kg")
-    classes = classes.join(often, "kg", "left_semi")
-    items = classes.groupBy("r.rid").agg(F.collect_list(F.struct("kg", "cls", "members", F.col("r.start").alias("start"), F.col("r.n").alias("n"), F.col("r.off").alias("off"))).alias("items"))
-    items = written(items, "items")
-    wanted = items.select("rid")
-    if items.count() <= 4 * broadcast_rows:
-        wanted = F.broadcast(wanted)
-    chosen = rows.select("rid", "text").join(wanted, "rid", "left_semi").join(items, "rid")
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    verdicts = written(_verdicts(_suffix_runs(chosen, length, partitions), length, gram), "verdicts")
-    back = found.select("rid", "kg", "cls", "start").join(verdicts, ["kg", "cls"])
-    cuts = _covered(back.select("rid", (F.col("start") + F.col("first")).alias("start"), "windows"), length)
-    return rows, written(cuts, "cuts")
-
-
-def deduplicated(docs: DataFrame, length: int = 400, gram: int = 128, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 300_000, keep: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep, kept (the bytes that stay; a cut may split a character)."""
-    rows, cuts = repeated_bytes(docs, length, gram, doc_id, text, broadcast_rows)
-    if cuts.count() <= broadcast_rows:
+    rows = numbered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id").select("_rid", "doc_id", "text")
+    with bounded_batches(docs.sparkSession):
+        found = written(_all_anchors(rows.select(F.col("_rid").alias("rid"), "text"), length, gram), "anchors")
+        first = F.min(F.struct("rid", "start", "n", "off")).alias("r")
+        classes = found.groupBy("kg", "cls").agg(F.count("*").alias("members"), first)
+        often = classes.groupBy("kg").agg(F.sum("members").alias("c"), F.count("*").alias("d")).where("c > 1")
+        classes = classes.join(often.select("kg", (F.col("d") > most_classes).alias("hot")), "kg")
+        item = F.struct("kg", "cls", "members", F.col("r.start").alias("start"), F.col("r.n").alias("n"), F.col("r.off").alias("off"), "hot")
+        items = written(classes.groupBy("r.rid").agg(F.collect_list(item).alias("items"), F.sum("r.n").alias("windows")), "items")
+        documents, total = items.agg(F.count("*"), F.sum(F.col("windows") + F.size("items") * (length + 100))).first()
+        partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // part_bytes))
+        wanted = items.select("rid")
+        if documents <= broadcast_rows:
+            wanted = F.broadcast(wanted)
+        texts = rows.select(F.col("_rid").alias("rid"), "text")
+        chosen = texts.join(wanted, "rid", "left_semi").join(items, "rid")
+        verdicts = written(_verdicts(_suffix_runs(chosen, length, gram, partitions), length, gram, partitions), "verdicts")
+        back = found.select("rid", "kg", "cls", "start").join(verdicts, ["kg", "cls"])
+        cuts = written(_covered(back.select("rid", (F.col("start") + F.col("first")).alias("start"), "windows"), length), "cuts")
+    discard(found, items, verdicts)
+    return rows, cuts
+
+
+def deduplicated(
+    docs: DataFrame,
+    length: int = 400,
+    gram: int = 128,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    broadcast_cuts: int = 4_000_000,
+    keep: bool = True,
+    **options,
+) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep, kept (the bytes that stay; a cut may split a character).
+
+    The cuts are broadcast to the texts where they are broadcast_cuts numbers at most, and joined by a shuffle beyond.
+    """
+    rows, cuts = repeated_bytes(docs, length, gram, doc_id, text, **options)
+    if (cuts.agg(F.sum(F.size("cuts") + 2)).first()[0] or 0) <= broadcast_cuts:
         cuts = F.broadcast(cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,6 +452,6 @@ def deduplicated(docs: DataFrame, length: int = 400, gram: int = 128, doc_id: st
             columns = [pa.array(x) for x in zip(*out)][: 5 if keep else 4]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(columns) + 1])
 
-    joined = rows.join(cuts, "rid", "left").select("doc_id", "text", "cuts")
+    joined = rows.join(cuts, F.col("_rid") == F.col("rid"), "left").select("doc_id", "text", "cuts")
     kind = dict(rows.dtypes)["doc_id"]
     return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep else ""))

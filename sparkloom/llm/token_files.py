@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.batches import bounded_batches, slices
-from sparkloom.llm.shingles import _BYTE, mix, powers
+from sparkloom.llm.shingles import eights, mix
 
 _TOKENIZERS: dict = {}
 
@@ -70,11 +70,12 @@ def cuts(data: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes texts with the library; chunks between safe cuts that were met before are looked up.
 
-    A chunk is known by a 64-bit hash of its bytes and its first eight bytes, in an open-addressing table of 2^bits
-    places; when half of them are taken the table starts anew. Chunks of over `longest` bytes are not kept.
+    A chunk of up to 15 bytes is known by those bytes and their number, in two words, in an open-addressing table of
+    2^bits places; a longer one, up to `longest`, by its bytes in a dict. Both start anew when the table is half full
+    or the ids take 2^(bits + 2) places. Chunks beyond `longest` are not kept.
     """
 
-    def __init__(self, path: str, bits: int = 21, longest: int = 64):
+    def __init__(self, path: str, bits: int = 20, longest: int = 64):
         self.tokenizer, self.bits, self.longest = _tokenizer(path), bits, longest
         words = self.tokenizer.get_vocab(with_added_tokens=False)
         self.size = np.zeros(max(words.values()) + 1, np.int64)  # bytes of each token: byte-level tokens have a character for each
@@ -83,30 +84,34 @@ class Encoder:
 
     def clear(self) -> None:
         n = 1 << self.bits
-        self.key, self.head, self.place = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.full(n, -1, np.int32)
+        self.low, self.high, self.place = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.full(n, -1, np.int32)
+        self.long: dict[bytes, int] = {}
         self.pool, self.used, self.stored = np.zeros(1 << 20, np.uint32), 0, 0
         self.at, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
 
-    def _find(self, key: np.ndarray, head: np.ndarray) -> np.ndarray:
+    def _slots(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (mix(low ^ mix(high)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+
+    def _find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The number of each chunk, or -1."""
-        mask, out = np.uint64((1 << self.bits) - 1), np.full(len(key), -1, np.int64)
-        slot, live = (key & mask).astype(np.int64), np.arange(len(key))
+        mask, out = (1 << self.bits) - 1, np.full(len(low), -1, np.int64)
+        slot, live = self._slots(low, high), np.arange(len(low))
         while len(live):
             own = self.place[slot]
-            hit = (own >= 0) & (self.key[slot] == key[live]) & (self.head[slot] == head[live])
+            hit = (own >= 0) & (self.low[slot] == low[live]) & (self.high[slot] == high[live])
             out[live[hit]] = own[hit]
             go = (own >= 0) & ~hit
-            live, slot = live[go], (slot[go] + 1) & int(mask)
+            live, slot = live[go], (slot[go] + 1) & mask
         return out
 
-    def _insert(self, key: np.ndarray, head: np.ndarray, number: np.ndarray) -> None:
+    def _insert(self, low: np.ndarray, high: np.ndarray, number: np.ndarray) -> None:
         mask = (1 << self.bits) - 1
-        slot, live = (key & np.uint64(mask)).astype(np.int64), np.arange(len(key))
+        slot, live = self._slots(low, high), np.arange(len(low))
         while len(live):
             free = self.place[slot] < 0
             self.place[slot[free]] = number[live[free]]  # of several for one place the last stays
             won = free & (self.place[slot] == number[live])
-            self.key[slot[won]], self.head[slot[won]] = key[live[won]], head[live[won]]
+            self.low[slot[won]], self.high[slot[won]] = low[live[won]], high[live[won]]
             live, slot = live[~won], (slot[~won] + 1) & mask
 
     def _store(self, chunks: list[bytes], joined: np.ndarray) -> np.ndarray:
@@ -160,22 +165,31 @@ class Encoder:
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         end = np.append(start[1:], len(data))
-        up, down = powers(len(data) + 1)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[:-1], dtype=np.uint64)])
         size = end - start
-        key = mix((total[end] - total[start]) * down[start] + size.astype(np.uint64))
-        eight = np.lib.stride_tricks.as_strided(np.concatenate([data, np.zeros(8, np.uint8)]), (len(data), 8), (1, 1))[start]
-        head = np.ascontiguousarray(eight).view(np.uint64).ravel() & np.where(size >= 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (np.minimum(size, 7) * 8).astype(np.uint64)) - np.uint64(1))
-        which = self._find(key, head)
-        fresh = np.flatnonzero(which < 0)
-        if len(fresh):
-            _, one, back = np.unique(key[fresh], return_index=True, return_inverse=True)
-            rows = fresh[one]
-            cut = safe[start[rows]] & safe[end[rows]]
-            number = self._store([whole[a:b] for a, b in zip(start[rows].tolist(), end[rows].tolist())], cut)
-            which[fresh] = number[back]
-            short = size[rows] <= self.longest
-            self._insert(key[rows][short], head[rows][short], number[short])
+        which = np.full(len(start), -1, np.int64)
+        short = np.flatnonzero(size <= 15)
+        view = eights(np.concatenate([data, np.zeros(8, np.uint8)]))
+        kept = lambda n: np.where(n >= 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (np.clip(n, 0, 7) * 8).astype(np.uint64)) - np.uint64(1))
+        low = view[start[short]] & kept(size[short])
+        high = view[np.minimum(start[short] + 8, len(data))] & kept(size[short] - 8) | size[short].astype(np.uint64) << np.uint64(56)
+        which[short] = self._find(low, high)
+        new = np.flatnonzero(which[short] < 0)
+        new = new[np.lexsort((high[new], low[new]))]
+        differs = np.concatenate([[True], (low[new][1:] != low[new][:-1]) | (high[new][1:] != high[new][:-1])]) if len(new) else np.zeros(0, bool)
+        first = new[differs]
+        rest = np.flatnonzero(size > 15)
+        chunks = [whole[a:b] for a, b in zip(start[rest].tolist(), end[rest].tolist())]
+        unknown = {c: i for i, c in zip(rest.tolist(), chunks) if c not in self.long}
+        rows = np.concatenate([short[first], np.array(list(unknown.values()), np.int64)])
+        if len(rows):
+            number = self._store([whole[a:b] for a, b in zip(start[rows].tolist(), end[rows].tolist())], safe[start[rows]] & safe[end[rows]])
+            which[short[new]] = number[: len(first)][np.cumsum(differs) - 1]
+            self._insert(low[first], high[first], number[: len(first)])
+            self.long.update(zip(unknown, number[len(first) :].tolist()))
+        which[rest] = [self.long[c] for c in chunks]
+        for c in unknown:
+            if len(c) > self.longest:
+                del self.long[c]
         n = self.n[which].astype(np.int64)
         ids = self.pool[np.repeat(self.at[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         summed = np.concatenate([[0], np.cumsum(n)])
@@ -253,7 +267,6 @@ def write(
 ) -> list[dict]:
     """Writes docs under path (a folder that all executors reach); returns the manifest, one entry for each shard."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     vocabulary = max(_tokenizer(tokenizer_path).get_vocab_size(with_added_tokens=True), end_id + 1)
     dtype = np.uint16 if vocabulary <= 1 << 16 else np.uint32
@@ -279,7 +292,8 @@ def write(
         .sortWithinPartitions("doc_id", "tie", "text")
         .select("doc_id", "text")
     )
-    rows = sorted(ordered.mapInArrow(run, "shard long, n_tokens long, n_docs long").collect())
+    with bounded_batches(spark):
+        rows = sorted(ordered.mapInArrow(run, "shard long, n_tokens long, n_docs long").collect())
     manifest, base = [], 0
     for r in rows:
         manifest.append({"shard": r.shard, "base": base, "n_tokens": r.n_tokens, "n_docs": r.n_docs})

@@ -128,7 +128,7 @@ def test_jaccard_join_variants(spark, words, percent):
         texts[i * 3 - 50] = " ".join(own)
     texts |= {1000: "A b", 1001: "a B", 1002: "a", 1003: "", 1004: None}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.join(df, words, percent, block_docs=40).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.join(df, words, percent, block_docs=40, part_docs=15).collect()}
     assert got == brute_components(texts, words, percent)
 
 
