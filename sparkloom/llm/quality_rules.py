@@ -3,11 +3,14 @@
 Cross-document part: each line is normalised (A-Z lower-cased, runs of digits made one 0, runs of white space one
 space, trimmed) and hashed; for each host the distinct documents of a line are counted; a line of more than
 max_line_docs documents is boilerplate and removed from the text; a document of which less than min_left_percent of
-the words remain is depleted and rejected. Documents of one host are distinct when their normalised lines, in order, differ: a family of
-copies counts once and does not turn its own text into boilerplate, whatever its size; near copies count each.
-
-Only SQL functions are used. The per-document part works inside the row; the cross-document part shuffles the
-hashes of line and document for each line, pre-aggregated.
+the words remain is depleted and rejected. Documents of one host are distinct when their normalised lines, in order,
+differ: a family of copies counts once and does not turn its own text into boilerplate, whatever its size; near copies
+count each.
+
+Only SQL functions are used. The per-document part works inside the row. The cross-document part reads the texts once
+and writes one narrow row for each line (the hashes of line and document, place and words), which is counted,
+pre-aggregated, and read again for the verdict; texts are not shuffled. Lines above the limit are broadcast where they
+are broadcast_lines at most, and joined by a shuffle beyond.
 """
 
 from __future__ import annotations
@@ -15,6 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.batches import numbered
+from sparkloom.session import discard, written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -25,8 +31,10 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
-def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.translate(line, UPPER, LOWER), "[0-9]+", "0"), SPACE, " "))
+def normalised_lines(text: Column) -> Column:
+    """All lines of a text, normalised; blank ones are empty strings. The whole text is rewritten before it is split."""
+    text = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), "[0-9]+", "0")
+    return F.split(F.trim(F.regexp_replace(text, "[\\x20\\x09\\x0B-\\x0D]+", " ")), " ?\\n ?")
 
 
 def _repeated(docs: DataFrame) -> DataFrame:
@@ -84,16 +92,18 @@ def _repeated(docs: DataFrame) -> DataFrame:
     ).drop("_at")
 
 
-def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; null text has no words."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    out = docs.withColumns(
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def _measured(rows: DataFrame, text: str) -> DataFrame:
+    """rows (with `in`, a struct that holds the text) with the measures."""
+    whole = F.coalesce(F.col("in").getField(text), F.lit(""))
+    out = rows.withColumns(
         {
             "_words": words(whole),
             "word_chars": F.length(F.translate(whole, " \t\n\x0b\x0c\r", "")).cast("long"),
             "n_symbols": (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long"),
-            "_lines": lines,
+            "_lines": F.filter(F.split(whole, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")),
         }
     )
     out = out.withColumns({"n_words": F.size("_words").cast("long"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")}).drop("_lines")
@@ -101,21 +111,38 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def judged(docs: DataFrame, max_line_docs: int = 10, min_left_percent: int = 20, text: str = "text", host: str = "source") -> DataFrame:
+def _held(docs: DataFrame, made: list[str], *others: str) -> tuple[DataFrame, list]:
+    """docs with all its columns in the one struct `in`, so that none clashes with a column made here, and what gives
+    them back but for those that a result replaces."""
+    back = [F.col("in").getField(c).alias(c) for c in docs.columns if c not in made and c not in others]
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in others]).alias("in"), *others), back
+
+
+def measures(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; null text has no words."""
+    rows, back = _held(docs, MEASURES)
+    return _measured(rows, text).select(*back, *MEASURES)
+
+
+def judged(
+    docs: DataFrame,
+    max_line_docs: int = 10,
+    min_left_percent: int = 20,
+    text: str = "text",
+    host: str = "source",
+    doc_id: str = "doc_id",
+    broadcast_lines: int = 1_000_000,
+) -> DataFrame:
     """docs with the measures, kept, and the text without its boilerplate lines; the measures are those of the text as given.
 
-    Other lines stay as they are, with blank ones and the order. A null host is a host of its own. Null and empty texts have no lines and fail the base rules. Repeated rows and
-    equal ids are judged each by itself. Columns of docs with the names of results are replaced.
+    Other lines stay as they are, with blank ones and the order. A null host is a host of its own. Null and empty texts
+    have no lines and fail the base rules. Repeated rows and equal ids are judged each by itself. An empty table gives an
+    empty one. Columns of docs with the names of results are replaced; others of any name pass through.
     """
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "_rid", "_words", "_lines", "_removed", "_gone"]
-    docs = docs.drop(*[c for c in docs.columns if c in made]).withColumn("_rid", F.monotonically_increasing_id())
+    source = numbered(docs, doc_id)
+    norm = source.select("_rid", F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("")).alias("_host"), normalised_lines(F.col(text)).alias("_norm"))
     lines = (
-        docs.select(
-            "_rid",
-            F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("")).alias("_host"),
-            F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), normalised).alias("_norm"),
-        )
-        .select("_rid", "_host", F.xxhash64(F.filter("_norm", lambda x: x != "")).alias("_doc"), F.posexplode("_norm").alias("_at", "_line"))
+        norm.select("_rid", "_host", F.xxhash64(F.filter("_norm", lambda x: x != "")).alias("_doc"), F.posexplode("_norm").alias("_at", "_line"))
         .where("_line <> ''")
         .select(
             "_rid",
@@ -125,18 +152,27 @@ def judged(docs: DataFrame, max_line_docs: int = 10, min_left_percent: int = 20,
             (F.length("_line") - F.length(F.translate("_line", " ", "")) + 1).cast("long").alias("_n"),
         )
     )
+    lines = written(lines, "lines")
     often = lines.groupBy("_key", "_doc").agg(F.lit(1).alias("x")).groupBy("_key").count().where(F.col("count") > max_line_docs).select("_key")
-    removed = lines.join(often, "_key", "left_semi").groupBy("_rid").agg(F.sum("_n").alias("_removed"), F.collect_list("_at").alias("_gone"))
+    often = written(often, "often")
+    few = often.count() <= broadcast_lines
+    removed = lines.join(F.broadcast(often) if few else often, "_key", "left_semi").groupBy("_rid").agg(F.sum("_n").alias("_removed"), F.collect_list("_at").alias("_gone"))
+    removed = written(removed, "removed")
+    discard(lines, often)
     left = F.col("n_words") - F.coalesce("_removed", F.lit(0))
+    whole = F.col("in").getField(text)
     # the lines are bound once, by a list of one, and not split anew for each line that stays
     rest = F.transform(
-        F.array(F.split(text, "\n")), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "_gone"), lambda i: F.get(x, i)), "\n")
+        F.array(F.split(whole, "\n")), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "_gone"), lambda i: F.get(x, i)), "\n")
     )
-    return (
-        measures(docs, text)
-        .join(removed, "_rid", "left")
-        .withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.element_at(rest, 1)))
+    rows, back = _held(source, [*MEASURES, "kept", text], "_rid")
+    out = (
+        _measured(rows, text)
+        .join(F.broadcast(removed) if removed.count() <= broadcast_lines else removed, "_rid", "left")
+        .withColumn("_left", F.when(F.col("_gone").isNull(), whole).otherwise(F.element_at(rest, 1)))
         # one CASE, not a conjunction: a filter on it stays above the join and is not copied down into the measures
         .withColumn("kept", F.when(F.col("base_failed"), False).otherwise(~(100 * left < min_left_percent * F.col("n_words"))))
-        .drop("_rid", "_removed", "_gone")
+        .select(*back, F.col("_left").alias(text), *MEASURES, "kept")
     )
+    order = [c for c in docs.columns if c not in (*MEASURES, "kept", "_rid")]
+    return out.select(*order, *MEASURES, "kept")

@@ -42,8 +42,8 @@ rep AS (SELECT doc_id, i FROM win2 QUALIFY count(*) OVER (PARTITION BY doc_id, g
 cov AS (SELECT doc_id, count(DISTINCT p) n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) p FROM rep) GROUP BY doc_id),
 norm AS (SELECT doc_id, host, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(regexp_replace(
       translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'))), lambda x: x <> '') ls FROM d),
-lines AS (SELECT doc_id, host, len(ls) shape, unnest(ls) line FROM norm),
-often AS (SELECT host, line FROM lines GROUP BY host, line HAVING count(DISTINCT shape) > 10),
+lines AS (SELECT doc_id, host, array_to_string(ls, chr(10)) doc, unnest(ls) line FROM norm),
+often AS (SELECT host, line FROM lines GROUP BY host, line HAVING count(DISTINCT doc) > 10),
 gone AS (SELECT doc_id, sum(len(line) - len(replace(line, ' ', '')) + 1) n FROM lines JOIN often USING (host, line) GROUP BY doc_id),
 base AS (SELECT w.doc_id, len(ws)::BIGINT n_words, len(array_to_string(ws, ''))::BIGINT word_chars,
       (len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT n_dup_lines,
@@ -81,12 +81,15 @@ WITH r(rh, rp, action) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/',
 p AS (SELECT page_id, url, coalesce(position('://' IN url), 0) AS cut FROM pages),
 h AS (SELECT page_id, CASE WHEN cut > 0 THEN regexp_extract(url[cut + 3:], '^[^/?#]*') ELSE '' END AS raw, CASE WHEN cut > 0 THEN url[cut + 3:] ELSE '' END AS rest FROM p),
 u AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest[len(raw) + 1:], '^[^?#]*') AS path FROM h),
+listed AS (SELECT DISTINCT host || path AS address FROM (SELECT u.*, p.url FROM u JOIN p USING (page_id)) WHERE regexp_matches(url, '[?&]ref=')),
 b AS (SELECT page_id, host, path, (SELECT max(struct_pack(n := len(rh || rp), rule := rh || rp, action := action)) FROM r WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) AS best FROM u)
-SELECT page_id, host, path, best.rule AS rule, coalesce(best.action, 'allow') AS verdict FROM b""",
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.action, CASE WHEN host || path IN (SELECT address FROM listed) THEN 'block' ELSE 'allow' END) AS verdict FROM b""",
 )
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list: the canonical form of every url of pages that has a ref parameter (bought links)."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    found = url_filter.filter_urls(pages, url_filter.rules_table(spark, URL_RULES))
+    listed = pages.where(F.col("url").rlike("[?&]ref=")).select("url")
+    found = url_filter.filter_urls(pages, url_filter.rules_table(spark, URL_RULES), listed)
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
