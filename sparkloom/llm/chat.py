@@ -57,8 +57,9 @@ def _scatter(out: np.ndarray, pool: np.ndarray, lengths: np.ndarray, to: np.ndar
 
 def assemble(conv: np.ndarray, roles: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The buffer, each turn's offset with the end last, the content's start and end in it, and which are the assistant's."""
-    kinds, which = np.unique(np.array(roles, dtype=object).astype(str), return_inverse=True)
-    heads, head_n = _pool([START + escape(k.encode()).replace(b"\n", b"\\\n") + b"\n" for k in kinds.tolist()])
+    number = {k: i for i, k in enumerate(dict.fromkeys(roles))}
+    which = np.fromiter(map(number.__getitem__, roles), np.int64, len(roles))
+    heads, head_n = _pool([START + escape(k.encode()).replace(b"\n", b"\\\n") + b"\n" for k in number])
     contents, n = _pool([escape(t.encode()) for t in texts])
     head_from, hn = (np.cumsum(head_n) - head_n)[which], head_n[which]
     size = hn + n + len(END)
@@ -69,7 +70,7 @@ def assemble(conv: np.ndarray, roles: list[str], texts: list[str]) -> tuple[np.n
     _scatter(out, contents, n, start)
     tail = np.frombuffer(END, np.uint8)
     out[(start + n)[:, None] + np.arange(len(END))] = tail
-    return out, offsets, start, start + n, (kinds == "assistant")[which]
+    return out, offsets, start, start + n, which == number.get("assistant", -1)
 
 
 def _rows(table: pa.Table, parts: dict) -> pa.RecordBatch:
