@@ -8,7 +8,9 @@ down one tree after another in numpy.
 
 Null and empty texts have the statistics of no words, and a score. Documents are independent: repeated rows repeat
 their score. Labels that are null, and labels without a document, teach nothing; without both classes the score is
-the share of label 1, or 0.5. Of several labels of a document each is an example.
+the share of label 1, or 0.5. Of several labels of a document, and of several documents of one id, each pair is an
+example; if that makes more than sample_rows, those of the least hash of their statistics are taken. Other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -168,8 +170,8 @@ def trained(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, doc_i
             x = [statistics(t or "").astype("<f8").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], names=["y", "x"])
 
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_id").select("_y", "_t").mapInArrow(run, "y double, x binary").limit(4 * sample_rows).collect()
-    rows = sorted((bytes(r.x), r.y) for r in rows)
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_id").select("_y", "_t").mapInArrow(run, "y double, x binary")
+    rows = sorted((bytes(r.x), r.y) for r in rows.orderBy(F.xxhash64("x"), "x", "y").limit(sample_rows).collect())
     x = np.array([np.frombuffer(r[0], "<f8") for r in rows]).reshape(-1, STATISTICS)
     return fit(x, np.array([r[1] for r in rows]))
 
