@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie of pieces.
 
-The vocabulary (pieces, log scores, kinds) is read from a model file; nothing is trained. A text gets the white-space
+The vocabulary (pieces, scores, kinds) is read from a model file; nothing is trained. A file of merges has ranks for
+scores, of which log scores follow by Zipf's law, so its texts are cut otherwise than by merging. A text gets the white-space
 marker U+2581 for each space and one in front. Among all ways to cut it into pieces, the one of the highest sum of
 scores is taken; of equal ones the first found with earlier starts, that is, longer last pieces. A character that no
 piece reaches costs the least score less 10 and becomes its byte pieces (or the unknown id where a vocabulary has no
@@ -90,6 +91,20 @@ class DoubleArray:
         return np.concatenate([used, np.zeros(n, bool)])
 
 
+def log_scores(scores: list[float], plain: list[int]) -> list[float]:
+    """The log scores of a vocabulary. A file of merges has their ranks, as negative whole numbers, in place of log
+    probabilities; those of Zipf's law are taken then: the piece of rank r has a probability of 1 / (r * H), H being
+    the sum of all 1 / r. Nothing is fitted."""
+    own = np.array([scores[i] for i in plain])
+    if not len(own) or not (own == np.round(own)).all():
+        return scores
+    out = list(scores)
+    rank = 1 + np.argsort(np.argsort(-own, kind="stable"), kind="stable")
+    for i, x in zip(plain, -np.log(rank) - np.log((1 / rank).sum())):
+        out[i] = float(x)
+    return out
+
+
 class Vocabulary:
     """Pieces of a model file with the trie, the solved chunks, and the bytes of each id."""
 
@@ -100,7 +115,7 @@ class Vocabulary:
         n = model.vocab_size()
         pieces = [model.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-        self.setup(pieces, [model.get_score(i) for i in range(n)], plain, {int(pieces[i][3:5], 16): i for i in range(n) if model.is_byte(i)}, model.unk_id(), cache)
+        self.setup(pieces, log_scores([model.get_score(i) for i in range(n)], plain), plain, {int(pieces[i][3:5], 16): i for i in range(n) if model.is_byte(i)}, model.unk_id(), cache)
 
     @classmethod
     def of(cls, pieces: list[str], scores: list[float], bytes_from: int | None = None, unknown: int = 0, cache: int = 150_000) -> Vocabulary:
