@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import decontaminate, jaccard_join, pii, quality_rules, sentencepieces
+from sparkloom.llm.batches import numbered
 from sparkloom.llm.queries import piece_model
 from sparkloom.session import scratch_path
 
@@ -43,9 +44,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    numbered = docs.withColumn("_rid", F.monotonically_increasing_id())
-    _, occurrences = decontaminate.hits(docs.select("text"), items)
-    return without(numbered, occurrences.select("_rid").distinct(), "_rid").select(*docs.columns)
+    rows = numbered(docs)
+    occurrences = decontaminate.hits(rows.select("_rid", "text"), items)
+    return without(rows, occurrences.select("_rid").distinct(), "_rid").select(*docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
