@@ -6,6 +6,7 @@ import ast
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,8 +32,12 @@ LINE_PATTERNS = {
         r'^\s*(///|/\*\*|#|""")',
     ),
 }
-SAME_PATTERNS = {"javascript": "typescript", "kotlin": "java"}
+SAME_PATTERNS = {"javascript": "typescript", "tsx": "typescript", "kotlin": "java"}
 GUARD_LINES = 500
+KINDS = ("function", "class", "import", "comment")
+# Definitions of two more languages for syntax chunks: function, class, import.
+_C = (r"^[A-Za-z_][\w:<>,*&~\s]*\([^;]*$", r"^\s*(template\s*<[^>]*>\s*)?(typedef\s+)?(class|struct|enum|union|namespace)\s+\w+[^;]*$", r"^\s*#\s*include\b")
+SYNTAX_PATTERNS = LINE_PATTERNS | {"c": _C, "cpp": _C}
 
 
 def split_lines(text: str) -> list[str]:
@@ -44,6 +49,56 @@ def _size(text: str) -> int:
     return len(text.encode("utf-8", "surrogatepass"))
 
 
+class Shape:
+    """What decides where blocks end, as arrays over the lines of a file: bytes, braces, indentation, blank lines."""
+
+    def __init__(self, lines: list[str]):
+        self.lines, n = lines, len(lines)
+        self.stripped = [x.strip() for x in lines]
+        self.bytes = np.concatenate([[0], np.cumsum([_size(x) + 1 for x in lines])])  # with the line feed
+        opened = np.array([x.count("{") for x in lines], np.int64)
+        closed = np.array([x.count("}") for x in lines], np.int64)
+        self.depth = np.concatenate([[0], np.cumsum(opened - closed)])  # before each line, and after the last
+        self.opens = np.flatnonzero(opened)
+        self.blank = np.array([not x for x in self.stripped], bool)
+        self.indent = np.array([len(x) - len(x.lstrip()) for x in lines], np.int64)
+        self.last = n - 1
+
+    def _first(self, hit: np.ndarray, start: int) -> int | None:
+        found = np.flatnonzero(hit[start:])
+        return start + int(found[0]) if len(found) else None
+
+    def brace_end(self, start: int) -> int:
+        """The line on which the braces opened from start on are closed again; GUARD_LINES on at the latest."""
+        guard = min(start + GUARD_LINES + 1, self.last)
+        at = np.searchsorted(self.opens, start)
+        if at == len(self.opens) or self.opens[at] > guard:
+            return guard
+        found = self._first(self.depth[1 : guard + 2] == self.depth[start], int(self.opens[at]))
+        return guard if found is None else found
+
+    def indent_end(self, start: int) -> int:
+        """The line before the first later one, the next excepted, that is not indented deeper than start."""
+        guard = min(start + GUARD_LINES + 1, self.last)
+        found = self._first((~self.blank & (self.indent <= self.indent[start]))[: guard + 1], start + 2)
+        return guard if found is None else found - 1
+
+    def run_end(self, start: int, inside: np.ndarray, ignored: np.ndarray) -> int:
+        """The last line inside of the run from start on; ignored lines neither end nor prolong it."""
+        end = self._first(~inside & ~ignored, start)
+        return start + int(np.flatnonzero(inside[start:end])[-1]) if inside[start] else start
+
+    def text(self, first: int, last: int) -> str:
+        return "\n".join(self.lines[first : last + 1])
+
+    def size(self, first: int, last: int) -> int:
+        return int(self.bytes[last + 1] - self.bytes[first]) - 1
+
+    def filled(self, start: int, most: int) -> int:
+        """The first line at which the bytes from start on reach `most`; beyond the last if none does."""
+        return int(np.searchsorted(self.bytes, self.bytes[start] + most)) - 1
+
+
 class LineChunker:
     """Blocks found line by line: functions, classes, runs of imports and comments; by size where there are none."""
 
@@ -55,89 +110,51 @@ class LineChunker:
         lines = split_lines(content)
         if not lines:
             return []
+        shape = Shape(lines)
         patterns = [re.compile(p) for p in LINE_PATTERNS.get(SAME_PATTERNS.get(language, language), LINE_PATTERNS[None])]
-        out, i = [], 0
-        while i < len(lines):
-            kind = next((k for k, p in zip(("function", "class", "import", "comment"), patterns) if p.search(lines[i].strip())), None)
-            if kind is None:
-                i += 1
+        function, class_, import_, comment = (np.array([bool(p.search(x)) for x in shape.stripped], bool) for p in patterns)
+        kinds = np.select([function, class_, import_, comment], [1, 2, 3, 4])
+        remark = comment | np.array([x.startswith(("//", "#")) for x in shape.stripped], bool)
+        never = np.zeros(len(lines), bool)
+        out, free = [], 0
+        for i in np.flatnonzero(kinds).tolist():
+            if i < free:
                 continue
-            if kind in ("function", "class"):
-                end = self._indented_end(lines, i) if language == "python" else self._braced_end(lines, i)
-            elif kind == "import":
-                end = self._run_end(lines, i, lambda x: patterns[2].search(x) or not x, lambda x: True)
+            kind = KINDS[kinds[i] - 1]
+            if kind == "import":
+                end = shape.run_end(i, import_ | shape.blank, never)
+            elif kind == "comment":
+                closed = next((j for j in range(i, len(lines)) if "*/" in lines[j]), None) if shape.stripped[i].startswith("/*") else None
+                end = shape.run_end(i, remark, shape.blank) if closed is None else closed
             else:
-                end = self._comment_end(lines, i, patterns[3])
-            body = "\n".join(lines[i : end + 1])
-            if _size(body) > self.most:
-                out += self._cut(lines[i : end + 1], i, kind)
-            elif _size(body) >= self.least:
-                out.append((body, i + 1, end + 1, kind))
-            i = end + 1
-        return out or self.by_size(lines)
-
-    def _braced_end(self, lines: list[str], start: int) -> int:
-        depth, opened = 0, False
-        for i in range(start, len(lines)):
-            opened |= "{" in lines[i]
-            depth += lines[i].count("{") - lines[i].count("}")
-            if (opened and depth == 0) or i - start > GUARD_LINES:
-                return i
-        return len(lines) - 1
-
-    def _indented_end(self, lines: list[str], start: int) -> int:
-        indent = lambda x: len(x) - len(x.lstrip())
-        for i in range(start, len(lines)):
-            if i > start + 1 and lines[i].strip() and indent(lines[i]) <= indent(lines[start]):
-                return i - 1
-            if i - start > GUARD_LINES:
-                return i
-        return len(lines) - 1
-
-    def _run_end(self, lines: list[str], start: int, inside, stops) -> int:
-        end = start
-        for i in range(start, len(lines)):
-            x = lines[i].strip()
-            if inside(x):
-                end = i
-            elif stops(x):
-                break
-        return end
-
-    def _comment_end(self, lines: list[str], start: int, pattern: re.Pattern) -> int:
-        if lines[start].strip().startswith("/*"):
-            closed = next((i for i in range(start, len(lines)) if "*/" in lines[i]), None)
-            if closed is not None:
-                return closed
-        return self._run_end(lines, start, lambda x: pattern.search(x) or x.startswith(("//", "#")), bool)
-
-    def _cut(self, lines: list[str], base: int, kind: str) -> list[tuple[str, int, int, str]]:
-        sizes = [_size(x) + 1 for x in lines]
-        out, first, total = [], 0, 0
-        for i, n in enumerate(sizes):
-            total += n
-            if total >= self.most and i > first:
-                body = "\n".join(lines[first:i])
-                if _size(body) >= self.least:
-                    out.append((body, base + first + 1, base + i, kind))
-                first = max(0, i - self.back)
-                total = sum(sizes[first : i + 1])
-        body = "\n".join(lines[first:])
-        if _size(body) >= self.least:
-            out.append((body, base + first + 1, base + len(lines), kind))
-        return out
-
-    def by_size(self, lines: list[str]) -> list[tuple[str, int, int, str]]:
-        out, first, total = [], 0, 0
-        for i, x in enumerate(lines):
-            total += _size(x) + 1
-            if total >= self.most:
-                out.append(("\n".join(lines[first : i + 1]), first + 1, i + 1, "code"))
-                first, total = max(0, i - 2), 0
-        body = "\n".join(lines[first:])
-        if _size(body) >= self.least or not out:
-            out.append((body, first + 1, len(lines), "code"))
-        return out
+                end = shape.indent_end(i) if language == "python" else shape.brace_end(i)
+            if shape.size(i, end) > self.most:
+                out += [(shape.text(a, b), a + 1, b + 1, kind) for a, b in self._pieces(shape, i, end)]
+            elif shape.size(i, end) >= self.least:
+                out.append((shape.text(i, end), i + 1, end + 1, kind))
+            free = end + 1
+        return out or self.by_size(shape)
+
+    def _pieces(self, shape: Shape, first: int, last: int) -> Iterator[tuple[int, int]]:
+        """An oversize block in pieces: the line that fills one up begins the next, with `back` lines of overlap."""
+        start, low = first, first + 1
+        while (full := max(low, shape.filled(start, self.most))) <= last:
+            if shape.size(start, full - 1) >= self.least:
+                yield start, full - 1
+            start, low = max(first, full - self.back), full + 1
+        if shape.size(start, last) >= self.least:
+            yield start, last
+
+    def by_size(self, shape: Shape) -> list[tuple[str, int, int, str]]:
+        """Pieces that end with the line that fills them up; each begins with the last three lines of the one
+        before, which are not counted again."""
+        spans, start, counted = [], 0, 0
+        while counted <= shape.last and (full := shape.filled(counted, self.most)) <= shape.last:
+            spans.append((start, full))
+            start, counted = max(0, full - 2), full + 1
+        if not spans or shape.size(start, shape.last) >= self.least:
+            spans.append((start, shape.last))
+        return [(shape.text(a, b), a + 1, b + 1, "code") for a, b in spans]
 
 
 def without_contained(spans: list[tuple]) -> list[tuple]:
@@ -173,7 +190,7 @@ class SyntaxChunker:
                 out += self._cut(lines[first - 1 : last], first, kind, name, parent)
             elif _size(body) >= self.least:
                 out.append((body, first, last, kind, name, parent))
-        return out or [(*c, None, None) for c in self.lines.by_size(lines)]
+        return out or [(*c, None, None) for c in self.lines.by_size(Shape(lines))]
 
     def _python(self, content: str) -> list[tuple]:
         try:
@@ -197,8 +214,9 @@ class SyntaxChunker:
         return out
 
     def _braces(self, lines: list[str], language: str | None) -> list[tuple]:
-        patterns = [re.compile(p) for p in LINE_PATTERNS.get(SAME_PATTERNS.get(language, language), LINE_PATTERNS[None])[:3]]
-        word = re.compile(r"\b(?:fn|function|def|func|class|struct|enum|trait|impl|type|interface|const|let|var)\s+(\w+)")
+        patterns = [re.compile(p) for p in SYNTAX_PATTERNS.get(SAME_PATTERNS.get(language, language), LINE_PATTERNS[None])[:3]]
+        shape = Shape(lines)
+        word = re.compile(r"\b(?:fn|function|def|func|class|struct|enum|union|namespace|trait|impl|type|interface|const|let|var)\s+(\w+)|(\w+)\s*\(")
         out: list[tuple] = []
         open_classes: list[tuple[int, str | None]] = []
         for i, line in enumerate(lines):
@@ -206,8 +224,8 @@ class SyntaxChunker:
             kind = next((k for k, p in zip(("function", "class", "import"), patterns) if p.search(line.strip())), None)
             if kind is None:
                 continue
-            end = i if kind == "import" else self.lines._braced_end(lines, i)
-            name = (m[1] if (m := word.search(line)) else None) if kind != "import" else None
+            end = i if kind == "import" else shape.brace_end(i)
+            name = (m[1] or m[2] if (m := word.search(line)) else None) if kind != "import" else None
             parent = open_classes[-1][1] if open_classes else None
             out.append((i + 1, end + 1, "method" if kind == "function" and parent else kind, name, parent))
             if kind == "class":
