@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import fnmatch
 import os
+import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,28 +31,57 @@ def as_files(rows: DataFrame, extensions: list[str] | None = None, most: int = M
     return kept.select("path", F.col("content").cast("string").alias("content"), language(F.col("path"), FILE_LANGUAGES).alias("language"))
 
 
+def ignore_pattern(pattern: str) -> re.Pattern:
+    """A pattern of ignore rules as a regular expression over a path: * and ? stay inside a name, ** spans folders."""
+    out, i = [], 0
+    while i < len(pattern):
+        rest = pattern[i:]
+        if rest.startswith("**/") and (i == 0 or pattern[i - 1] == "/"):
+            out.append("(?:.*/)?")
+            i += 3
+        elif rest == "**" and (i == 0 or pattern[i - 1] == "/"):
+            out.append(".*")
+            i += 2
+        elif rest[0] == "*":
+            out.append("[^/]*")
+            i += 1
+        elif rest[0] == "?":
+            out.append("[^/]")
+            i += 1
+        elif rest[0] == "[" and (m := re.match(r"\[(!|\^)?(\]?[^\]]*)\]", rest)):
+            out.append(f"(?!/)[{'^' if m[1] else ''}{m[2].replace(chr(92), chr(92) * 2).replace('[', chr(92) + '[')}]")
+            i += m.end()
+        else:
+            step = 1 if rest[0] == "\\" and len(rest) > 1 else 0
+            out.append(re.escape(rest[step]))
+            i += 1 + step
+    return re.compile("".join(out) + r"\Z", re.DOTALL)
+
+
 class Ignore:
-    """Version-control ignore rules of a tree: the last pattern that matches decides, ! takes back, / anchors."""
+    """Version-control ignore rules of a tree: the last pattern that matches decides, ! takes back, / anchors, a last /
+    means folders only, a backslash takes the next character as it is."""
 
     def __init__(self, root: str):
-        self.rules: list[tuple[str, str, bool, bool, bool]] = []
+        self.rules: list[tuple[str, re.Pattern, bool, bool, bool]] = []
         for folder, names, files in os.walk(root):
             names[:] = [n for n in names if n != ".git"]
             if ".gitignore" in files:
                 base = os.path.relpath(folder, root).replace("\\", "/")
                 for line in Path(folder, ".gitignore").read_text(errors="replace").splitlines():
-                    line = line.rstrip()
+                    line = re.sub(r"(?<!\\)[ \t]+$", "", line)
                     if line and not line.startswith("#"):
                         back, line = line.startswith("!"), line.removeprefix("!")
                         only_dirs, line = line.endswith("/"), line.rstrip("/")
-                        self.rules.append(("" if base == "." else base + "/", line.lstrip("/"), "/" in line, only_dirs, back))
+                        anchored, line = "/" in line, line.removeprefix("/")
+                        self.rules.append(("" if base == "." else base + "/", ignore_pattern(line), anchored, only_dirs, back))
 
     def __call__(self, path: str, is_dir: bool) -> bool:
         out = False
         for base, pattern, anchored, only_dirs, back in self.rules:
             if path.startswith(base) and (is_dir or not only_dirs):
                 rest = path[len(base) :]
-                if fnmatch.fnmatchcase(rest if anchored else rest.rpartition("/")[2], pattern.replace("**/", "*")):
+                if pattern.match(rest if anchored else rest.rpartition("/")[2]):
                     out = not back
         return out
 
