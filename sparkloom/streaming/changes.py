@@ -19,35 +19,6 @@ class Debounce:
     most_paths: int = 100
 
 
-class Accumulator:
-    """Distinct changed paths since the last flush."""
-
-    def __init__(self, rule: Debounce | None = None):
-        self.rule = rule or Debounce()
-        self.clear()
-
-    def clear(self) -> None:
-        self.paths: set[str] = set()
-        self.first: int | None = None
-        self.last: int | None = None
-
-    def add(self, path: str, at_ms: int) -> None:
-        self.paths.add(path)
-        self.first = at_ms if self.first is None else self.first
-        self.last = at_ms
-
-    def due(self, now_ms: int) -> bool:
-        if not self.paths:
-            return False
-        r = self.rule
-        return len(self.paths) >= r.most_paths or now_ms - self.first >= r.longest_ms or now_ms - self.last >= r.quiet_ms
-
-    def take(self) -> list[str]:
-        out = sorted(self.paths)
-        self.clear()
-        return out
-
-
 def visible(events: DataFrame, path: str = "path") -> DataFrame:
     """Events of other than hidden paths."""
     return events.where(~F.contains(F.col(path), F.lit("/.")))
@@ -68,34 +39,32 @@ def flushes(events: DataFrame, rule: Debounce, key: str = "key", path: str = "pa
     paths since the last flush, at most most_paths of them.
     """
 
+    columns = ["key", "flushed_at", "paths", "reason"]
+
     def run(batches):
-        now, held = None, Accumulator(rule)
+        now, paths, first, last = None, set(), 0, 0  # of one key, since its last flush
         out: list[tuple] = []
 
         def flush(at: int, reason: str) -> None:
-            out.append((now, pd.Timestamp(at, unit="ms"), len(held.take()), reason))
-
-        def timers(at: int | None) -> None:
-            while held.paths:
-                ends = {"quiet": held.last + rule.quiet_ms, "longest": held.first + rule.longest_ms}
-                reason = min(ends, key=ends.get)
-                if at is not None and ends[reason] > at:
-                    return
-                flush(ends[reason], reason)
+            out.append((now, pd.Timestamp(at, unit="ms"), len(paths), reason))
+            paths.clear()
 
         for batch in batches:
             for k, p, t in zip(batch["key"], batch["path"], batch["ms"]):
-                if k != now:
-                    timers(None)
-                    now = k
-                timers(t)
-                held.add(p, t)
-                if len(held.paths) >= rule.most_paths:
+                if paths:
+                    at, reason = min((last + rule.quiet_ms, "quiet"), (first + rule.longest_ms, "longest"), key=lambda x: x[0])
+                    if k != now or at <= t:
+                        flush(at, reason)
+                now, last = k, t
+                first = first if paths else t
+                paths.add(p)
+                if len(paths) >= rule.most_paths:
                     flush(t, "paths")
-            yield pd.DataFrame(out, columns=["key", "flushed_at", "paths", "reason"])
+            yield pd.DataFrame(out, columns=columns)
             out.clear()
-        timers(None)
-        yield pd.DataFrame(out, columns=["key", "flushed_at", "paths", "reason"])
+        if paths:
+            flush(*min((last + rule.quiet_ms, "quiet"), (first + rule.longest_ms, "longest"), key=lambda x: x[0]))
+        yield pd.DataFrame(out, columns=columns)
 
     rows = events.select(F.col(key).cast("string").alias("key"), F.col(path).cast("string").alias("path"), F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"))
     return rows.repartition("key").sortWithinPartitions("key", "ms", "path").mapInPandas(run, FLUSH_SCHEMA)
@@ -151,6 +120,26 @@ def watch(files: DataFrame, action: Callable[[DataFrame, int], None], checkpoint
     return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
 
 
+def reindex(store, scan: Callable[[], DataFrame], config=None) -> Callable[[DataFrame, int], None]:
+    """The action of a watch: when a micro-batch holds visible paths, the store is brought up to date with all files
+    that scan gives, incrementally. The paths themselves only say that something changed."""
+    from sparkloom.operators.indexing import index_files
+
+    def action(events: DataFrame, batch: int) -> None:
+        if not visible(events).isEmpty():
+            index_files(store, scan(), config)
+
+    return action
+
+
+def daemon(store, scan: Callable[[], DataFrame], events: DataFrame, checkpoint: str, every: str | None = "1 second", config=None):
+    """Indexes all files once, then again after each micro-batch of change events; watch()'s handle."""
+    from sparkloom.operators.indexing import index_files
+
+    index_files(store, scan(), config)
+    return watch(events, reindex(store, scan, config), checkpoint, every)
+
+
 def gap_number(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
     """events with the running number of the key's session: one more where the gap is gap_seconds or longer."""
     order = Window.partitionBy(key).orderBy(ts)

@@ -12,16 +12,6 @@ def test_debounce_defaults():
     assert (r.quiet_ms, r.longest_ms, r.most_paths) == (500, 5000, 100)
 
 
-def test_accumulator():
-    a = changes.Accumulator()
-    a.add("x", 0), a.add("y", 10), a.add("x", 20)
-    assert not a.due(100) and a.due(520)
-    assert a.take() == ["x", "y"] and not a.due(10_000)
-    for i in range(60):
-        a.add("p", i * 100)
-    assert a.due(5900)
-
-
 def test_flushes(spark):
     burst = [("k", f"p{i}", 1000 + i) for i in range(120)]
     trickle = [("t", "p", i * 400) for i in range(20)]
@@ -52,3 +42,23 @@ def test_watch_and_hidden(spark, tmp_path):
     stream = changes.visible(spark.readStream.schema("path string").parquet(folder))
     changes.watch(stream, lambda df, n: seen.extend(r.path for r in df.collect()), str(tmp_path / "c"), None).awaitTermination(60)
     assert seen == ["/r/a"]
+
+
+def test_daemon_reindexes(spark, tmp_path):
+    """The first index, then another after a micro-batch with visible paths, and none after hidden ones only."""
+    from sparkloom.operators.indexing import IndexConfig, Store
+
+    schema = "path string, content string, language string"
+    now = [("a.py", "def a():\n    return 'a long enough text to be kept as a chunk of its own'\n", "python")]
+    scan = lambda: spark.createDataFrame(now, schema)
+    store, folder = Store(spark, str(tmp_path / "store")), str(tmp_path / "in")
+    spark.createDataFrame([("/r/b.py",)], "path string").write.parquet(folder)
+    events = lambda: spark.readStream.schema("path string").parquet(folder)
+    changes.daemon(store, scan, spark.readStream.schema("path string").parquet(folder), str(tmp_path / "c0"), None, IndexConfig("fast")).awaitTermination(60)
+    assert {r.path for r in store.table("files").collect()} == {"a.py"}
+    now.append(("b.py", "x = 1\n", "python"))
+    changes.watch(events(), changes.reindex(store, scan, IndexConfig("fast")), str(tmp_path / "c1"), None).awaitTermination(60)
+    assert {r.path for r in store.table("files").collect()} == {"a.py", "b.py"}
+    version = store.version()
+    changes.reindex(store, scan)(spark.createDataFrame([("/r/.git/x",)], "path string"), 0)
+    assert store.version() == version
