@@ -23,10 +23,13 @@ def bm25_normalised(score: Column) -> Column:
     return 1 / (1 + F.exp(-0.1 * score))
 
 
-def blended(vector: Column, keyword: Column, late: Column | None = None) -> Column:
+def blended(vector: Column, keyword: Column, late: Column | None = None, weights: tuple[float, ...] | None = None) -> Column:
+    """Weights are of vector and keyword score, or, with a late-interaction score, of vector, late and keyword score."""
     if late is None:
-        return VECTOR_WEIGHT * vector + KEYWORD_WEIGHT * keyword
-    return LATE_WEIGHTS[0] * vector + LATE_WEIGHTS[1] * late + LATE_WEIGHTS[2] * keyword
+        a, b = weights or (VECTOR_WEIGHT, KEYWORD_WEIGHT)
+        return a * vector + b * keyword
+    a, b, c = weights or LATE_WEIGHTS
+    return a * vector + b * late + c * keyword
 
 
 def percent(score: Column) -> Column:

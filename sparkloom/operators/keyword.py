@@ -29,18 +29,21 @@ def document_frequencies(index: DataFrame, total: DataFrame) -> DataFrame:
     return df.join(F.broadcast(total), how="inner").select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
 
 
-def scores(index: DataFrame, total: DataFrame, queries: DataFrame, key: str, query_key: str = "query_id", query_text: str = "query") -> DataFrame:
+def scores(index: DataFrame, total: DataFrame, queries: DataFrame, key: str, query_key: str = "query_id", query_text: str = "query", broadcast_terms: int = 200_000) -> DataFrame:
     """query key, chunk key, bm25 for chunks with a term of the query; a term that a query repeats counts each time.
 
-    The queries' terms are few: the postings are filtered by them before anything is joined or summed. Document
-    frequencies come from the same postings, so their filter is the same.
+    The postings are filtered by the queries' terms before anything is joined or summed. Document frequencies come
+    from the same postings, so their filter is the same. The terms are broadcast where they are `broadcast_terms` at
+    most; beyond, the joins are by shuffle.
     """
     wanted = queries.select(query_key, F.explode(tokens(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("times"))
-    hits = index.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
+    few = wanted.count() <= broadcast_terms
+    hint = F.broadcast if few else (lambda df: df)
+    hits = index.join(hint(wanted.select("term").distinct()), "term", "left_semi")
     weights = hits.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(total), how="inner").select("term", idf(F.col("n"), F.col("df")).alias("idf"), "average")
     terms = wanted.join(weights, "term")
     part = F.col("times") * bm25_term(F.col("idf"), F.col("tf"), F.col("length"), F.col("average"))
-    return hits.join(F.broadcast(terms), "term").groupBy(query_key, key).agg(F.sum(part).alias("bm25"))
+    return hits.join(hint(terms), "term").groupBy(query_key, key).agg(F.sum(part).alias("bm25"))
 
 
 def overlap(query_terms: Column, text: Column) -> Column:

@@ -13,6 +13,7 @@ from sparkloom.functions import scores as S
 from sparkloom.functions import vectors as V
 from sparkloom.functions.text import extension, tokens
 from sparkloom.operators import keyword
+from sparkloom.session import delete_path, scratch_path
 
 OVERFETCH = 3
 
@@ -32,32 +33,76 @@ def with_cosine(chunks: DataFrame, vector: Column, query: list[float], name: str
     return chunks.withColumn(name, V.cosine(vector, F.array(*[F.lit(float(x)) for x in query])))
 
 
-def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id") -> DataFrame:
-    """query key, key, vector_score, rank: exact cosine of a bounded block of queries against all rows.
+BLOCK = 4096  # queries that are answered by one pass over the rows
 
-    The queries are collected to the driver as one matrix (they are a request, not the corpus; pass them in blocks if
-    there are many). Each Arrow batch is one matrix product, of which only the k best of each query leave the batch, so
-    what is shuffled does not grow with rows times queries.
+
+def in_blocks(queries: DataFrame, key: str, block: int, answer: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """answer(queries) for blocks of about `block` queries, dealt by a hash of their key; the answers of more than one
+    block are written as they come, so that neither plan nor driver grows with the number of queries."""
+    blocks = -(-queries.count() // block)
+    if blocks <= 1:
+        return answer(queries)
+    spark, folder = queries.sparkSession, scratch_path(queries.sparkSession, name)
+    for i in range(blocks):
+        found = answer(queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i))
+        found.write.parquet(f"{folder}/block={i}", compression="zstd")
+    return spark.read.schema(found.schema).parquet(*[f"{folder}/block={i}" for i in range(blocks)])
+
+
+def _usable(vectors, width: int) -> np.ndarray:
+    return vectors.map(lambda v: v is not None and len(v) == width and width > 0).to_numpy(bool)
+
+
+class _Best:
+    """The k best ids of each of some queries so far; of equal scores those of the lesser id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.score, self.ids = k, np.zeros((queries, 0)), np.zeros((queries, 0), np.int64)
+
+    def add(self, ids: np.ndarray, score: np.ndarray) -> None:
+        """score: a row for each id, a column for each query."""
+        every = np.concatenate([self.score, score.T], 1)
+        names = np.concatenate([self.ids, np.broadcast_to(ids, (len(every), len(ids)))], 1)
+        top = np.lexsort((names, -every), axis=1)[:, : self.k]
+        self.score, self.ids = np.take_along_axis(every, top, 1), np.take_along_axis(names, top, 1)
+
+    def frame(self, names: np.ndarray, query_key: str, key: str) -> pd.DataFrame:
+        return pd.DataFrame({query_key: np.repeat(names, self.ids.shape[1]), key: self.ids.ravel(), "vector_score": self.score.ravel()})
+
+
+def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", block: int = BLOCK) -> DataFrame:
+    """query key, key, vector_score, rank: exact cosine of all queries against all rows.
+
+    The queries are taken in blocks of bounded size, each a matrix that goes to all tasks. A batch of rows is one matrix
+    product, and a task keeps the k best of each query, so what is shuffled does not grow with rows times queries.
     """
-    rows = queries.select(query_key, vector).toPandas()
-    names = rows[query_key].to_numpy()
-    block = _unit(_matrix(rows[vector]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch) or not len(names):
-                continue
-            usable = batch[vector].map(lambda x: x is not None and len(x) == block.shape[1]).to_numpy()
-            score = np.zeros((len(batch), len(names)))
-            if usable.any():
-                score[usable] = _unit(_matrix(batch[vector][usable])) @ block.T
-            ids = batch[key].to_numpy()
-            for j, name in enumerate(names):
-                top = np.lexsort((ids, -score[:, j]))[:k]
-                yield pd.DataFrame({query_key: name, key: ids[top], "vector_score": score[top, j]})
+    def answer(part: DataFrame) -> DataFrame:
+        rows = part.select(query_key, vector).toPandas()
+        width = max((len(v) for v in rows[vector] if v is not None), default=0)
+        names = rows[query_key].to_numpy()
+        right = _usable(rows[vector], width)
+        matrix = np.zeros((len(rows), width))
+        if right.any():
+            matrix[right] = _unit(_matrix(rows[vector][right]))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = _Best(len(names), k)
+            for whole in batches:
+                for at in range(0, len(whole), 2048):
+                    batch = whole.iloc[at : at + 2048]
+                    good = _usable(batch[vector], width)
+                    score = np.zeros((len(batch), len(names)))
+                    if good.any():
+                        score[good] = _unit(_matrix(batch[vector][good])) @ matrix.T
+                    held.add(batch[key].to_numpy(), score)
+            if held.ids.size:
+                yield held.frame(names, query_key, key)
+
+        kept = chunks.select(key, vector).mapInPandas(run, f"{query_key} long, {key} long, vector_score double")
+        return best(kept, "vector_score", k, key, query_key)
 
-    kept = chunks.select(key, vector).mapInPandas(run, f"{query_key} long, {key} long, vector_score double")
-    return best(kept, "vector_score", k, key, query_key)
+    return in_blocks(queries, query_key, block, answer, "nearest")
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -69,11 +114,41 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def late_interaction(queries: DataFrame, docs: DataFrame, query_key: str = "query_id", key: str = "doc_id", token: str = "token") -> DataFrame:
-    """Mean over a query's token vectors of the highest cosine among a document's; queries are a broadcast request."""
-    pairs = docs.select(key, F.col(token).alias("_d")).join(F.broadcast(queries.select(query_key, F.col(token).alias("_q"), F.monotonically_increasing_id().alias("_n"))), how="inner")
-    most = pairs.groupBy(query_key, key, "_n").agg(F.max(V.cosine(F.col("_q"), F.col("_d"))).alias("m"))
-    return most.groupBy(query_key, key).agg(F.avg("m").alias("late_score"))
+def late_interaction(queries: DataFrame, docs: DataFrame, query_key: str = "query_id", key: str = "doc_id", token: str = "token", block: int = BLOCK) -> DataFrame:
+    """query key, key, late_score: the mean over a query's token vectors of the highest cosine among a document's.
+
+    Query tokens are taken in blocks, as in vector_topk; a task reduces the tokens of a batch to one row for each
+    document and query token. queries: a row for each token.
+    """
+    numbered = queries.select(query_key, F.col(token).alias("_q"), F.xxhash64(query_key, token).alias("_n"))
+    kind, query_kind = docs.schema[key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
+
+    def answer(part: DataFrame) -> DataFrame:
+        rows = part.toPandas()
+        width = max((len(v) for v in rows["_q"] if v is not None), default=0)
+        good_q = _usable(rows["_q"], width)
+        matrix = np.zeros((len(rows), width))
+        if good_q.any():
+            matrix[good_q] = _unit(_matrix(rows["_q"][good_q]))
+        number = np.arange(len(rows))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for whole in batches:
+                for at in range(0, len(whole), 2048):
+                    batch = whole.iloc[at : at + 2048].sort_values(key, kind="stable")
+                    good = _usable(batch[token], width)
+                    score = np.zeros((len(batch), len(rows)))
+                    if good.any():
+                        score[good] = _unit(_matrix(batch[token][good])) @ matrix.T
+                    names, first = np.unique(batch[key].to_numpy(), return_index=True)
+                    most = np.maximum.reduceat(score, first, 0)
+                    yield pd.DataFrame({query_key: np.tile(rows[query_key].to_numpy(), len(names)), key: np.repeat(names, len(rows)), "_n": np.tile(number, len(names)), "m": most.ravel()})
+
+        pairs = docs.select(key, token).where(F.col(key).isNotNull()).mapInPandas(run, f"{query_key} {query_kind}, {key} {kind}, _n long, m double")
+        return pairs.groupBy(query_key, key, "_n").agg(F.max("m").alias("m")).groupBy(query_key, key).agg(F.sum("m").alias("s"), F.count("*").alias("n"))
+
+    parts = in_blocks(numbered, "_n", block, answer, "late")
+    return parts.groupBy(query_key, key).agg((F.sum("s") / F.sum("n")).alias("late_score"))
 
 
 def of_types(chunks: DataFrame, path: str, types: list[str]) -> DataFrame:
@@ -93,11 +168,16 @@ def hybrid(
     types: list[str] | None = None,
     index: DataFrame | None = None,
     total: DataFrame | None = None,
+    late: DataFrame | None = None,
+    near: DataFrame | None = None,
+    weights: tuple[float, ...] | None = None,
 ) -> DataFrame:
     """key, score, bm25_score (normalised), vector_score, rank: the blend of cosine and BM25 over all chunks.
 
     index and total: a stored postings table and corpus row; without them they are computed from chunks. The type
-    filter comes first, statistics stay those of the whole corpus.
+    filter comes first, statistics stay those of the whole corpus. near: keys that an index of vectors found; only they
+    are scored. late: key, late_score; the blend is then of three, 0 for chunks it lacks. weights: of vector and
+    keyword score, or of vector, late and keyword score.
     """
     spark = chunks.sparkSession
     index = keyword.postings(chunks, key, text) if index is None else index
@@ -105,9 +185,15 @@ def hybrid(
     asked = spark.createDataFrame([(0, query)], "query_id long, query string")
     found = keyword.scores(index, total, asked, key)
     rows = of_types(chunks, path, types) if types else chunks
+    if near is not None:
+        rows = rows.join(near.select(key).distinct(), key, "left_semi")
     rows = with_cosine(rows.select(key, embedding), F.col(embedding), vector).drop(embedding)
     rows = rows.join(found.select(key, "bm25"), key, "left").withColumn("bm25_score", S.bm25_normalised(F.coalesce("bm25", F.lit(0.0))))
-    rows = rows.select(key, S.blended(F.col("vector_score"), F.col("bm25_score")).alias("score"), "bm25_score", "vector_score")
+    third = None
+    if late is not None:
+        rows = rows.join(late.select(key, "late_score"), key, "left")
+        third = F.coalesce("late_score", F.lit(0.0))
+    rows = rows.select(key, S.blended(F.col("vector_score"), F.col("bm25_score"), third, weights).alias("score"), "bm25_score", "vector_score")
     return best(rows, "score", limit, key)
 
 
@@ -140,6 +226,12 @@ def answer_context(results: DataFrame, path: str = "path", text: str = "content"
     return top.agg(F.array_join(F.transform(parts, lambda x: x["block"]), "\n").alias("context"))
 
 
+def prompt(context: DataFrame, question: str) -> DataFrame:
+    """answer_context()'s row with the prompt for a language model that is called elsewhere."""
+    head = "Answer the question from the code below, and name the files you rely on.\n\n"
+    return context.withColumn("prompt", F.concat(F.lit(head), F.coalesce("context", F.lit("")), F.lit(f"\n\nQuestion: {question}\n")))
+
+
 def related(results: DataFrame, chunks: DataFrame, edges: DataFrame, depth: int, max_count: int, path: str = "path", key: str = "chunk_id") -> DataFrame:
     """results and, after them, the first chunk of each file within depth of theirs in the graph, score 0.5.
 
@@ -149,7 +241,7 @@ def related(results: DataFrame, chunks: DataFrame, edges: DataFrame, depth: int,
 
     hits = results.select(path).distinct()
     near = reachable(edges, hits, depth, path).join(hits, path, "left_anti")
-    firsts = chunks.join(near, path, "left_semi").groupBy(path).agg(F.min(key).alias(key))
+    firsts = chunks.join(near, path, "left_semi").groupBy(path).agg(F.min(key).alias(key)).orderBy(path).limit(max_count)
     last = results.agg(F.coalesce(F.max("rank"), F.lit(0)).alias("n"))
     added = firsts.join(F.broadcast(last), how="inner").select(
         key,
@@ -163,48 +255,109 @@ def related(results: DataFrame, chunks: DataFrame, edges: DataFrame, depth: int,
 
 
 class IvfIndex:
-    """Inverted-file index: centroids fitted on a bounded sample, every row assigned to its nearest.
+    """Inverted-file index: centroids fitted on a bounded sample, every row in the cells of its `copies` nearest.
 
-    fit_rows bounds the sample that reaches the driver. A search probes the nearest `probes` cells of each query and
-    scores what is in them exactly; below `threshold` rows an exact search is used instead.
+    fit_rows bounds the sample that reaches the driver; all rows are indexed. A search scores what is in the `probes`
+    nearest cells of each query exactly: cells are cut into blocks of at most block_rows rows and their queries into
+    blocks too, and each pair of a cell's blocks is one matrix product. Below `threshold` rows (the size from which an
+    index is worth it; 0: always index) an exact search is used instead.
     """
 
-    def __init__(self, cells: int = 32, fit_rows: int = 20_000, rounds: int = 10, threshold: int = 1000):
-        self.cells, self.fit_rows, self.rounds, self.threshold = cells, fit_rows, rounds, threshold
-        self.centroids: np.ndarray | None = None
+    def __init__(self, cells: int = 32, fit_rows: int = 20_000, rounds: int = 10, threshold: int = 1000, copies: int = 1, block_rows: int = 20_000):
+        self.cells, self.fit_rows, self.rounds, self.threshold, self.copies, self.block_rows = cells, fit_rows, rounds, threshold, copies, block_rows
+        self.centroids = np.zeros((0, 0))
+        self.key, self.vector = "vec_id", "embedding"
 
     def build(self, rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-        """rows with the column cell, for a table partitioned by it; null where there is no usable vector."""
+        """rows with cell, for a table partitioned by it, once for each of its cells; null where there is no usable vector."""
         self.key, self.vector = key, vector
         sample = rows.where(F.size(vector) > 0).orderBy(F.xxhash64(key), key).limit(self.fit_rows).select(vector).toPandas()[vector]
+        width = max((len(v) for v in sample), default=0)
+        if any(len(v) != width for v in sample):
+            raise ValueError("vectors of different lengths")
         x = _unit(_matrix(sample))
         c = x[np.linspace(0, len(x) - 1, min(self.cells, len(x))).astype(int)] if len(x) else np.zeros((0, 0))
         for _ in range(self.rounds if len(x) else 0):
             near = (x @ c.T).argmax(1)
             c = _unit(np.stack([x[near == i].mean(0) if (near == i).any() else c[i] for i in range(len(c))]))
         self.centroids = c
+        return self.add(rows)
+
+    def _placed(self, rows: DataFrame, n: int) -> DataFrame:
+        c, vector, width = self.centroids, self.vector, self.centroids.shape[1] if len(self.centroids) else 0
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                ok = batch[vector].map(lambda v: v is not None and len(c) and len(v) == c.shape[1]).to_numpy(bool)
-                cell = pd.Series([None] * len(batch), dtype="Int32")
-                if ok.any():
-                    cell[ok] = (_unit(_matrix(batch[vector][ok])) @ c.T).argmax(1).astype("int32")
-                yield batch.assign(cell=cell)
+                good = _usable(batch[vector], width)
+                cells: list = [[None]] * len(batch)
+                if good.any():
+                    near = np.argsort(-(_unit(_matrix(batch[vector][good])) @ c.T), 1, kind="stable")[:, :n]
+                    for i, own in zip(np.flatnonzero(good), near.tolist()):
+                        cells[i] = own
+                yield batch.assign(cell=cells)
 
         from pyspark.sql import types as T
 
-        return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType())]))
+        schema = T.StructType([*rows.schema.fields, T.StructField("cell", T.ArrayType(T.IntegerType()))])
+        return rows.mapInPandas(run, schema).withColumn("cell", F.explode("cell"))
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Rows placed in the cells of a built index, to be added to its table."""
+        return self._placed(rows, self.copies)
+
+    def removed(self, indexed: DataFrame, keys: DataFrame) -> DataFrame:
+        """The index's table without some keys."""
+        return indexed.join(keys.select(self.key).distinct(), self.key, "left_anti").select(*indexed.columns)
+
+    def size(self, indexed: DataFrame) -> int:
+        return indexed.select(self.key).distinct().count()
+
+    def save(self, indexed: DataFrame, folder: str) -> None:
+        """The table, partitioned by cell, and the centroids with the settings, under a folder of any store."""
+        spark = indexed.sparkSession
+        indexed.write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/rows")
+        settings = (self.cells, self.fit_rows, self.rounds, self.threshold, self.copies, self.block_rows, self.key, self.vector)
+        kinds = "cells int, fit_rows int, rounds int, threshold int, copies int, block_rows int, key string, vector string, centroids array<array<double>>"
+        spark.createDataFrame([(*settings, self.centroids.tolist())], kinds).coalesce(1).write.mode("overwrite").parquet(f"{folder}/index")
+
+    @classmethod
+    def load(cls, spark, folder: str) -> tuple[IvfIndex, DataFrame]:
+        r = spark.read.parquet(f"{folder}/index").first()
+        index = cls(r.cells, r.fit_rows, r.rounds, r.threshold, r.copies, r.block_rows)
+        index.key, index.vector, index.centroids = r.key, r.vector, np.array(r.centroids, np.float64)
+        return index, spark.read.parquet(f"{folder}/rows")
+
+    @staticmethod
+    def clear(spark, folder: str) -> None:
+        delete_path(spark, folder)
 
     def search(self, indexed: DataFrame, queries: DataFrame, k: int, probes: int = 8, query_key: str = "query_id") -> DataFrame:
-        """query key, key, vector_score, rank of the best in the probed cells; the filter on cell prunes partitions."""
-        if indexed.count() < self.threshold:
-            return vector_topk(indexed, queries, k, self.key, self.vector, query_key)
-        asked = queries.select(query_key, self.vector).toPandas()
-        q = _unit(_matrix(asked[self.vector]))
-        near = np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, :probes] if len(asked) else np.zeros((0, 0), int)
-        probe = [(int(n), int(c), [float(x) for x in v]) for n, v, cells in zip(asked[query_key], q, near) for c in cells]
-        table = indexed.sparkSession.createDataFrame(probe, f"{query_key} long, cell int, _q array<double>")
-        rows = indexed.where(F.col("cell").isin(sorted({int(c) for c in near.ravel()}))).join(F.broadcast(table), "cell")
-        scored = rows.select(query_key, self.key, V.cosine(F.col(self.vector), F.col("_q")).alias("vector_score"))
-        return best(scored, "vector_score", k, self.key, query_key)
+        """query key, key, vector_score, rank of the best in the probed cells."""
+        key, vector, width = self.key, self.vector, self.centroids.shape[1] if len(self.centroids) else 0
+        if self.threshold and indexed.limit(self.threshold * self.copies).count() < self.threshold * self.copies:
+            rows = indexed.drop("cell").dropDuplicates([key]) if self.copies > 1 else indexed
+            return vector_topk(rows, queries, k, key, vector, query_key)
+        # blocks of each cell's rows and queries, so that a unit of work is bounded whatever a cell holds
+        rows = indexed.where("cell IS NOT NULL").select(key, vector, "cell")
+        cut = rows.groupBy("cell").agg(F.ceil(F.count("*") / self.block_rows).cast("int").alias("blocks"))
+        rows = rows.join(F.broadcast(cut), "cell").withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")).drop("blocks")
+        asked = self._placed(queries.select(query_key, vector), probes).where("cell IS NOT NULL")
+        many = asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+        asked = asked.join(F.broadcast(many), "cell").withColumn("part", F.pmod(F.xxhash64(query_key), F.col("parts")).cast("int")).drop("parts")
+        asked = asked.join(F.broadcast(cut), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        rows = rows.join(F.broadcast(many), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+        def unit(own: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+            held = _Best(len(wanted), k)
+            if len(own) and len(wanted):
+                q = _unit(_matrix(wanted[vector])).T
+                for at in range(0, len(own), 2048):
+                    part = own.iloc[at : at + 2048]
+                    held.add(part[key].to_numpy(), _unit(_matrix(part[vector])) @ q)
+            return held.frame(wanted[query_key].to_numpy(), query_key, key)
+
+        by = ["cell", "block", "part"]
+        scored = rows.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(unit, f"{query_key} long, {key} long, vector_score double")
+        if self.copies > 1:
+            scored = scored.groupBy(query_key, key).agg(F.max("vector_score").alias("vector_score"))
+        return best(scored, "vector_score", k, key, query_key)
