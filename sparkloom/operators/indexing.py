@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
-from typing import Protocol
+from dataclasses import dataclass, field, replace
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,54 +14,28 @@ from pyspark.sql import functions as F
 from sparkloom.functions.text import chunk_id, file_hash, hierarchy
 from sparkloom.operators import keyword
 from sparkloom.operators.chunking import chunk_files
+from sparkloom.operators.providers import EmbeddingProvider, HashingProvider, local_provider
+from sparkloom.operators.symbols import code_map, latest
 from sparkloom.session import delete_path
 
-TABLES = ("files", "chunks", "postings", "idf", "corpus", "edges")
-QUERY_PREFIX = "search_query: "
-
-
-class EmbeddingProvider(Protocol):
-    """Turns texts into vectors; made once for each worker."""
-
-    def embed(self, texts: list[str]) -> list[list[float]]: ...
-
-
-class HashingProvider:
-    """Deterministic stand-in for a model: signed feature hashing of tokens, length 1."""
-
-    def __init__(self, dimensions: int = 64):
-        self.dimensions = dimensions
-
-    def embed(self, texts: list[str]) -> list[list[float]]:
-        import zlib
-
-        out = []
-        for t in texts:
-            v = np.zeros(self.dimensions)
-            for w in t.lower().split():
-                h = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-                v[h % self.dimensions] += 1 if h & 0x80000000 else -1
-            n = np.sqrt((v * v).sum())
-            out.append((v / n if n else v).tolist())
-        return out
-
-
 @dataclass
 class IndexConfig:
-    """tier: fast (no vectors), balanced or quality; provider makes the embedder for the latter two."""
+    """tier: fast (no vectors), balanced or quality. provider makes the embedder of the balanced tier, quality_provider
+    that of the quality tier, by default a pooled model of 768 dimensions that reads long texts."""
 
     tier: str = "balanced"
     batch: int = 50
     incremental: bool = True
     syntax: bool = True
     provider: Callable[[], EmbeddingProvider] = field(default=HashingProvider)
+    quality_provider: Callable[[], EmbeddingProvider] = field(default=lambda: local_provider("code"))
 
 
 def embedded(chunks: DataFrame, config: IndexConfig, text: str = "content") -> DataFrame:
     """chunks with embedding, in batches; a batch that fails has empty vectors."""
     if config.tier == "fast":
         return chunks.withColumn("embedding", F.array().cast("array<float>"))
-    make, size = config.provider, config.batch
+    make, size = config.quality_provider if config.tier == "quality" else config.provider, config.batch
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = make()
@@ -143,6 +116,20 @@ class Store:
     def import_json(self, folder: str, schemas: dict[str, str]) -> None:
         self.save({n: self.spark.read.schema(s).json(f"{folder}/{n}") for n, s in schemas.items()})
 
+    def save_code_map(self, files: DataFrame) -> None:
+        """Compiles files (path, content, language) to symbols and summaries; the other tables stay."""
+        self.save(code_map(files))
+
+    def save_graph(self, edges: DataFrame) -> None:
+        self.save({"edges": edges})
+
+    def file(self, path: str) -> DataFrame:
+        return self.table("files").where(F.col("path") == path)
+
+    def counts(self) -> dict[str, int]:
+        """Rows of each table."""
+        return {n: self.table(n).count() for n in self.tables()}
+
     def clear(self) -> None:
         delete_path(self.spark, self.path)
 
@@ -156,11 +143,19 @@ def stores(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(found, "name string, bytes long")
 
 
+def clear_all(spark: SparkSession, root: str) -> int:
+    """Removes every store under root; how many there were."""
+    names = [r["name"] for r in stores(spark, root).collect()]
+    for name in names:
+        Store(spark, root, name).clear()
+    return len(names)
+
+
 def index_files(store: Store, files: DataFrame, config: IndexConfig | None = None) -> dict:
     """Brings a store up to date with files (path, content, language): changed files are cut and embedded anew, files
     that are gone are removed, statistics are recomputed. Returns the metrics."""
     config = config or IndexConfig()
-    spark = store.spark
+    began = time.monotonic()
     now = files.withColumn("hash", file_hash(F.col("content")))
     have = "files" in store.tables()
     fresh = changed(now, store.table("files")) if have and config.incremental else now
@@ -175,8 +170,9 @@ def index_files(store: Store, files: DataFrame, config: IndexConfig | None = Non
         F.col("name").alias("symbol_name"),
         "parent_name",
         hierarchy(F.col("parent_name"), F.col("name")).alias("hierarchy_path"),
-    ).dropDuplicates(["id"])
-    chunks = embedded(chunks, config)
+    )
+    # an id is path and lines: of a line that fills up a chunk alone and its overlap, the longer text stays
+    chunks = embedded(latest(chunks.withColumn("_n", F.struct(F.length("content"), F.col("content"))), "id", "_n").drop("_n"), config)
     entries = fresh.select("path", "hash", F.current_timestamp().alias("indexed_at"))
     if have and config.incremental:
         gone = store.table("files").join(now, "path", "left_anti").select("path")
@@ -184,12 +180,35 @@ def index_files(store: Store, files: DataFrame, config: IndexConfig | None = Non
         chunks = removed(store.table("chunks"), touched, "file_path").unionByName(chunks)
         entries = removed(store.table("files"), touched, "path").unionByName(entries)
     counts = fresh.count(), now.count()
-    store.save({"files": entries, "chunks": chunks})
+    contents = now.select("path", "content", "language")
+    store.save({"files": entries, "chunks": chunks, "contents": contents})
     stored = store.table("chunks")
     index = keyword.postings(stored, "id", "content")
     total = keyword.corpus(stored, "content")
     store.save({"postings": index, "corpus": total, "idf": keyword.document_frequencies(index, total)})
-    return {"total_files": counts[1], "indexed": counts[0], "skipped": counts[1] - counts[0], "chunks": stored.count()}
+    spent = time.monotonic() - began
+    return {
+        "total_files": counts[1],
+        "indexed": counts[0],
+        "skipped": counts[1] - counts[0],
+        "chunks": stored.count(),
+        "duration_ms": round(1000 * spent),
+        "files_per_second": round(counts[0] / spent, 2) if spent else 0.0,
+    }
+
+
+def ensure_indexed(store: Store, scan: Callable[[], DataFrame], config: IndexConfig | None = None) -> bool:
+    """Indexes without vectors where the store has no file yet, for a first search at once; whether it did."""
+    if "files" in store.tables() and not store.table("files").isEmpty():
+        return False
+    index_files(store, scan(), replace(config or IndexConfig(), tier="fast"))
+    return True
+
+
+def upgrade(store: Store, scan: Callable[[], DataFrame], config: IndexConfig | None = None) -> dict:
+    """Indexes all files anew, with vectors; index_files()'s metrics."""
+    config = config or IndexConfig()
+    return index_files(store, scan(), replace(config, tier="balanced" if config.tier == "fast" else config.tier, incremental=False))
 
 
 def status(files: DataFrame, chunks: DataFrame, idf: DataFrame, dimensions: int) -> DataFrame:
