@@ -6,10 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Indexed extensions, extensionless names, and the languages of extensions in three uses.
-EXTENSIONS = (
-    "rs ts tsx js jsx py go java c cpp h hpp cs rb php swift kt scala clj ex exs erl hs ml fs vue svelte html css scss sass less "
-    "json yaml yml toml xml md txt sh bash zsh fish ps1 sql graphql proto dockerfile makefile cmake gradle cargo"
-).split()
+EXTENSIONS = [
+    "rs", "ts", "tsx", "js", "jsx", "py", "go", "java", "c", "cpp", "h", "hpp", "cs", "rb", "php", "swift", "kt",
+    "scala", "clj", "ex", "exs", "erl", "hs", "ml", "fs", "vue", "svelte", "html", "css", "scss", "sass", "less",
+    "json", "yaml", "yml", "toml", "xml", "md", "txt", "sh", "bash", "zsh", "fish", "ps1", "sql", "graphql", "proto",
+    "dockerfile", "makefile", "cmake", "gradle", "cargo",
+]
 BARE_NAMES = ["dockerfile", "makefile", "cargo"]
 FILE_LANGUAGES = {
     "rs": "rust", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "py": "python", "go": "go",
@@ -124,3 +126,24 @@ def simplified_params(params: Column) -> Column:
     p = trimmed(params)
     n = F.size(F.split(p, ","))
     return F.when((F.octet_length(p) > 50) & (n > 3), F.concat(n.cast("string"), F.lit("..."))).otherwise(p)
+
+
+def after_colon(x: Column) -> Column:
+    """What follows the first colon; all of a text without one."""
+    return F.substr(x, F.instr(x, ":") + 1)
+
+
+def occurrences(text: Column, part: str) -> Column:
+    """How often a part occurs, without overlaps."""
+    return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("long")
+
+
+def indentation(line: Column) -> Column:
+    """The number of leading white-space characters."""
+    return F.length(F.regexp_extract(line, "(?U)^\\s*", 0)).cast("long")
+
+
+def preview(text: Column, first: int = 6) -> Column:
+    """The first lines, and a line of three dots where there are more."""
+    every = lines(text)
+    return F.concat(F.array_join(F.slice(every, 1, first), "\n"), F.when(F.size(every) > first, "\n...").otherwise(""))

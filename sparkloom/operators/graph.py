@@ -74,6 +74,34 @@ def imports_of(edges: DataFrame, files: DataFrame, key: str = "id") -> DataFrame
     return pairs.join(files, key)
 
 
+def importers_of(edges: DataFrame, files: DataFrame, key: str = "id") -> DataFrame:
+    """dst, and the files that import it; ids without a file go."""
+    pairs = edges.where("kind = 'ImportedBy'").select(F.col("src.id").alias("dst"), F.col("dst.id").alias(key)).distinct()
+    return pairs.join(files, key)
+
+
+def file_view(edges: DataFrame, files: DataFrame, file: str, depth: int = 2, most_related: int = 20, imports: bool = True, importers: bool = True) -> DataFrame:
+    """section, name of one file: its imports (an unknown target by what follows the first colon of its id, with
+    ' (external)'), importers, symbols, and, for a depth over 1, the first of the files within that depth."""
+    from sparkloom.functions.text import after_colon
+
+    out = edges_to(edges, "file", file).where("kind = 'DefinedIn'").select(F.lit("symbol").alias("section"), F.col("src.id").alias("name"))
+    known = files.select(F.col("id").alias("_id"), "path")
+    if imports:
+        ids = edges_from(edges, "file", file).where("kind = 'Imports'").select(F.col("dst.id").alias("_id")).distinct()
+        name = F.coalesce("path", F.concat(after_colon(F.col("_id")), F.lit(" (external)")))
+        out = out.unionByName(ids.join(known, "_id", "left").select(F.lit("import").alias("section"), name.alias("name")))
+    if importers:
+        ids = edges_to(edges, "file", file).where("kind = 'Imports'").select(F.col("src.id").alias("_id")).distinct()
+        out = out.unionByName(ids.join(known, "_id").select(F.lit("importer").alias("section"), F.col("path").alias("name")))
+    if depth > 1:
+        links = edges.where("kind = 'Imports'").select(F.col("src.id").alias("src"), F.col("dst.id").alias("dst"))
+        near = reachable(links, edges.sparkSession.createDataFrame([(file,)], "_id string"), depth, "_id")
+        near = near.join(known, "_id").select(F.lit("related").alias("section"), F.col("path").alias("name")).orderBy("name").limit(most_related)
+        out = out.unionByName(near)
+    return out
+
+
 def file_imports(edges: DataFrame, files: DataFrame, key: str = "id") -> DataFrame:
     """src, target, name: the target's path, or its id with ' (external)' where it is no known file."""
     pairs = edges.where("kind = 'Imports'").select(F.col("src.id").alias("src"), F.col("dst.id").alias("target")).distinct()
@@ -122,12 +150,11 @@ def history(commits: DataFrame, edges: DataFrame, file: str, limit: int) -> Data
     """The latest commits that modify a file: hash, short_hash, author, date, message, total, rank."""
     hashes = edges.where((F.col("kind") == "Modifies") & (F.col("dst.id") == file)).select(F.col("src.id").alias("hash")).distinct()
     rows = commits.join(hashes, "hash", "left_semi")
-    order = Window.orderBy(F.desc("timestamp"), "hash")  # one file's commits
-    return (
-        rows.withColumn("rank", F.row_number().over(order).cast("long"))
-        .withColumn("total", F.count("*").over(Window.partitionBy()).cast("long"))
-        .where(F.col("rank") <= limit)
-        .select("hash", F.substring("hash", 1, 7).alias("short_hash"), "author", F.date_format(F.timestamp_seconds("timestamp"), "yyyy-MM-dd HH:mm").alias("date"), "message", "total", "rank")
+    order = [F.desc("timestamp"), F.asc("hash")]
+    total = rows.agg(F.count("*").alias("total"))
+    top = rows.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return top.join(F.broadcast(total), how="inner").select(
+        "hash", F.substring("hash", 1, 7).alias("short_hash"), "author", F.date_format(F.timestamp_seconds("timestamp"), "yyyy-MM-dd HH:mm").alias("date"), "message", "total", "rank"
     )
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.ranking import ranked
+
 SYMBOL_SCHEMA = "id string, name string, file string, line long, kind string, signature string, summary string"
 
 # For each language the kind, the pattern and the form of the signature; m is the match.
@@ -107,13 +109,18 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(F.col(key).alias("_key")).agg(kept).select("row.*")
 
 
-def search(symbols: DataFrame, query: str) -> DataFrame:
-    """Symbols with the query in name, signature or summary, whatever its case; exact names first, then by id."""
+def search(symbols: DataFrame, query: str, limit: int | None = None) -> DataFrame:
+    """Symbols with the query in name, signature or summary, whatever its case; exact names first, then by id.
+
+    With a limit the best are picked before they are ranked; without, ranks are counted by ranges of that order.
+    """
     q = query.lower()
     found = [F.contains(F.lower(c), F.lit(q)) for c in ("name", "signature", "summary")]
-    exact = F.lower("name") == q
-    rows = symbols.where(found[0] | found[1] | found[2]).withColumn("exact", exact)
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("exact"), "id")).cast("long"))
+    rows = symbols.where(found[0] | found[1] | found[2]).withColumn("exact", F.lower("name") == q)
+    order = [F.desc("exact"), F.asc("id")]
+    if limit is not None:
+        return rows.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return ranked(rows, *order)
 
 
 def expand(symbols: DataFrame, edges: DataFrame, symbol_id: str) -> DataFrame:
@@ -152,16 +159,39 @@ def compact_overview(symbols: DataFrame) -> DataFrame:
 
 
 def snippet(content: Column, line: Column, around: int = 30) -> Column:
-    """The lines from `line` on, numbered."""
+    """The lines from `line` on, numbered in a column of four; where the file goes on, a row of dots."""
     from sparkloom.functions.text import lines
 
-    part = F.slice(lines(content), line.cast("int"), around)
-    return F.array_join(F.transform(part, lambda x, i: F.concat((line + i).cast("string"), F.lit(": "), x)), "\n")
+    every = lines(content)
+    part = F.transform(F.slice(every, line.cast("int"), around), lambda x, i: F.concat(F.lpad((line + i).cast("string"), 4, " "), F.lit(" | "), x))
+    more = F.when(F.size(every) >= line + around, F.array(F.lit("     | ..."))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(part, more), "\n")
 
 
 def import_lines(content: Column, first: int = 20) -> Column:
     """The first lines that look like imports."""
     from sparkloom.functions.text import lines, trimmed
 
-    looks = lambda x: x.startswith("use ") | x.startswith("import ") | x.startswith("from ") | x.startswith("require(")
+    looks = lambda x: x.startswith("use ") | x.startswith("import ") | x.startswith("from ") | x.startswith("require(") | x.startswith("#include")
     return F.slice(F.filter(F.transform(lines(content), trimmed), looks), 1, first)
+
+
+def file_context(files: DataFrame, symbols: DataFrame, first: int = 20) -> DataFrame:
+    """files (path, content) with lines, extension, imports (the first), n_symbols and symbols (the first, by line)."""
+    from sparkloom.functions.text import extension, lines
+
+    shown = F.concat(F.lit("["), "kind", F.lit("] "), "signature", F.lit(" (line "), F.col("line").cast("string"), F.lit(")"))
+    own = symbols.groupBy(F.col("file").alias("path")).agg(F.sort_array(F.collect_list(F.struct("line", "id", shown.alias("s")))).alias("s"))
+    return files.join(own, "path", "left").select(
+        "path",
+        F.size(lines(F.col("content"))).cast("long").alias("lines"),
+        F.coalesce(extension(F.col("path")), F.lit("unknown")).alias("extension"),
+        import_lines(F.col("content"), first).alias("imports"),
+        F.when(F.col("s").isNull(), 0).otherwise(F.size("s")).cast("long").alias("n_symbols"),
+        F.coalesce(F.transform(F.slice("s", 1, first), lambda x: x["s"]), F.array().cast("array<string>")).alias("symbols"),
+    )
+
+
+def code_map(files: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a code map, to be saved in a store: symbols, and summaries of the files that have any."""
+    return {"symbols": symbols_of(files), "summaries": file_summaries(files)}

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from sparkloom.functions.text import file_id, repo_id
+
 LOG_FORMAT = "%H|%an|%at|%s|%P"
 _HEADER = "^[0-9a-fA-F]{40}\\|"
 #: Lines of a block; the table of all blocks has a row for each.
@@ -26,6 +28,12 @@ def log(spark: SparkSession, repo: str, limit: int, path: str | None = None) ->
     return parse_log(git_lines(spark, repo, "log", f"-{limit}", f"--format={LOG_FORMAT}", "--name-only", *extra))
 
 
+def in_repo(commits: DataFrame, repo: str) -> DataFrame:
+    """parse_log()'s commits with repo_id, and their files as ids of that repository's files."""
+    key = repo_id(F.lit(repo))
+    return commits.withColumn("repo_id", key).withColumn("files_modified", F.transform("files_modified", lambda x: file_id(F.col("repo_id"), x)))
+
+
 def _earlier() -> WindowSpec:
     """All rows before one in a table of blocks, which is small enough for one task."""
     return Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
