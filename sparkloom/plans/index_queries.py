@@ -81,14 +81,8 @@ def _odd(spark, sf):
     return T.read(spark, sf, "documents").select("doc_id", F.concat("source", F.lit("/"), name).alias("path"), F.col("text").cast("binary").alias("content"))
 
 
-@register("scan_filter", f"SELECT {_ODD} path, strlen(text)::BIGINT bytes FROM documents WHERE doc_id % 6 IN (0, 1, 4, 5) AND strlen(text) <= 4000")
+@register("scan_filter", f"SELECT {_ODD} path, strlen(text)::BIGINT bytes FROM documents WHERE doc_id % 6 IN (0, 1, 4, 5) AND strlen(text) <= 1000000")
 def scan_filter(spark, sf):
-    return scan.as_files(_odd(spark, sf), most=4000).select("path", F.octet_length("content").cast("long").alias("bytes"))
-
-
-@register("scan_filter_all", f"SELECT {_ODD} path, strlen(text)::BIGINT bytes FROM documents WHERE doc_id % 6 IN (0, 1, 4, 5) AND strlen(text) <= 1000000")
-def scan_filter_all(spark, sf):
-    """With the limit of the scanner; the SQL twin of scan_filter has a limit of 4,000 bytes."""
     return scan.as_files(_odd(spark, sf)).select("path", F.octet_length("content").cast("long").alias("bytes"))
 
 
@@ -164,10 +158,55 @@ def simple_chunk(spark, sf):
     return chunking.chunk_files(f).select("path", "start_line", "end_line")
 
 
-@register("chunk_code")
+def _code(spark, sf):
+    """A source file of each part, in four languages by its key: an import, a function, a class with a method, and a
+    function of 60 lines, which is over 1,500 bytes."""
+    p = T.read(spark, sf, "part")
+    n, k = F.col("p_partkey").cast("string"), F.col("p_partkey") % 4
+    pad = F.repeat(F.lit("w"), 90)
+
+    def text(*parts):
+        return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+    row = lambda x: F.repeat(F.concat(F.lit(x), F.repeat(F.lit("v"), 30), F.lit("\n")), 60)
+    python = text("import os\n\ndef f", n, "(a):\n    return '", pad, "'\n\nclass C", n, ":\n    def m(self):\n        return '", pad, "'\n\ndef g(a):\n", row("    a = "))
+    rust = text("use a::b;\n\nfn f", n, "(a: u8) {\n    // ", pad, "\n}\n\nimpl C", n, " {\n    fn m(&self) {\n        // ", pad, "\n    }\n}\n\nfn g() {\n", row("    b = "), "}\n")
+    go = text("import x\n\nfunc f", n, "(a int) {\n    // ", pad, "\n}\n\ntype C", n, " struct {\n    // ", pad, "\n}\n\nfunc g() {\n", row("    b = "), "}\n")
+    typescript = text("import x from 'y'\n\nfunction f", n, "(a) {\n    // ", pad, "\n}\n\nclass C", n, " {\n    // ", pad, "\n}\n\nfunction g() {\n", row("    b = "), "}\n")
+    content = F.when(k == 0, python).when(k == 1, rust).when(k == 2, go).otherwise(typescript)
+    language = F.element_at(F.array(*map(F.lit, ("python", "rust", "go", "typescript"))), (k + 1).cast("int"))
+    return p.select(F.concat(F.lit("p/"), n).alias("path"), content.alias("content"), language.alias("language"))
+
+
+# of each language: type, name ({} stands for the part), parent, first and last line
+_BLOCKS = {
+    0: [("function", "f{}", None, 3, 4), ("class", "C{}", None, 6, 8), ("function", "g", None, 10, 48), ("function", "g", None, 49, 70)],
+    1: [("function", "f{}", None, 3, 5), ("class", "C{}", None, 7, 11), ("function", "g", None, 13, 51), ("function", "g", None, 52, 74)],
+    2: [("function", "f{}", None, 3, 5), ("class", "C{}", None, 7, 9), ("function", "g", None, 11, 49), ("function", "g", None, 50, 72)],
+    3: [("function", "f{}", None, 3, 5), ("class", "C{}", None, 7, 9), ("function", "g", None, 11, 49), ("function", "g", None, 50, 72)],
+}
+_VALUES = ", ".join(f"({k}, '{t}', '{n}', {a}, {b})" for k, rows in _BLOCKS.items() for t, n, _, a, b in rows)
+
+
+@register("chunk_code", f"SELECT 'p/' || p_partkey path, a::BIGINT start_line, b::BIGINT end_line, t chunk_type, replace(n, '{{}}', p_partkey::VARCHAR) AS name FROM part JOIN (VALUES {_VALUES}) v(k, t, n, a, b) ON p_partkey % 4 = k")
 def chunk_code(spark, sf):
-    """Syntax chunks of all texts, taken as Python."""
-    return chunking.chunk_files(_files(spark, sf).withColumn("language", F.lit("python")), syntax=True).select("path", "start_line", "end_line", "chunk_type", "name")
+    """Syntax chunks of a source file of each part; the methods lie in their classes and go, oversize functions are cut."""
+    return chunking.chunk_files(_code(spark, sf), syntax=True).select("path", "start_line", "end_line", "chunk_type", "name")
+
+
+# the same files by the chunker that goes line by line: blocks under 100 bytes go, pieces overlap by two lines
+_LINE_BLOCKS = {
+    0: [("function", 3, 5), ("class", 6, 9), ("function", 10, 48), ("function", 47, 70)],
+    1: [("function", 3, 5), ("class", 7, 11), ("function", 13, 51), ("function", 50, 74)],
+    2: [("function", 3, 5), ("class", 7, 9), ("function", 11, 49), ("function", 48, 72)],
+    3: [("function", 3, 5), ("class", 7, 9), ("function", 11, 49), ("function", 48, 72)],
+}
+_LINE_VALUES = ", ".join(f"({k}, '{t}', {a}, {b})" for k, rows in _LINE_BLOCKS.items() for t, a, b in rows)
+
+
+@register("chunk_lines", f"SELECT 'p/' || p_partkey path, a::BIGINT start_line, b::BIGINT end_line, t chunk_type FROM part JOIN (VALUES {_LINE_VALUES}) v(k, t, a, b) ON p_partkey % 4 = k")
+def chunk_lines(spark, sf):
+    return chunking.chunk_files(_code(spark, sf)).select("path", "start_line", "end_line", "chunk_type")
 
 
 @register(
@@ -239,14 +278,25 @@ def simplify_params(spark, sf):
     return T.read(spark, sf, "part").select("p_partkey", X.simplified_params(x).alias("params"))
 
 
-@register("snippet", f"WITH l AS (SELECT doc_id, {LINES} ls FROM documents) SELECT doc_id, array_to_string(list_transform(range(2, least(len(ls), 31) + 1), lambda i: i || ': ' || ls[i]), chr(10)) snippet FROM l")
+@register("snippet", f"WITH l AS (SELECT doc_id, {LINES} ls FROM documents) SELECT doc_id, array_to_string(list_concat(list_transform(range(2, least(len(ls), 31) + 1), lambda i: lpad(i::VARCHAR, 4, ' ') || ' | ' || ls[i]), CASE WHEN len(ls) > 31 THEN ['     | ...'] ELSE [] END), chr(10)) snippet FROM l")
 def snippet(spark, sf):
     return T.read(spark, sf, "documents").select("doc_id", symbols.snippet(F.col("text"), F.lit(2)).alias("snippet"))
 
 
-@register("parse_symbols")
+_PARSED = """WITH p AS (SELECT p_partkey k, 'p/' || p_partkey f, 'f' || p_partkey n FROM part)
+SELECT f || ':' || n id, n AS name, f AS file, CASE k % 4 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 2 END::BIGINT line, 'function' kind,
+  CASE k % 4 WHEN 0 THEN n || '(a: u8) -> u8' WHEN 1 THEN 'def ' || n || '(a, b) -> None' WHEN 2 THEN 'func ' || n || '(a int) int' ELSE n || '(a): void' END signature FROM p
+UNION ALL SELECT f || ':' || v, v, f, CASE k % 4 WHEN 2 THEN 5 ELSE 4 + (k % 4 = 0)::INT END::BIGINT, CASE k % 4 WHEN 0 THEN 'struct' WHEN 2 THEN 'struct' ELSE 'class' END,
+  CASE k % 4 WHEN 0 THEN 'struct S' WHEN 1 THEN 'class C(B)' WHEN 2 THEN 'type T struct' ELSE 'class K extends L' END FROM (SELECT *, CASE k % 4 WHEN 0 THEN 'S' WHEN 1 THEN 'C' WHEN 2 THEN 'T' ELSE 'K' END v FROM p)"""
+
+
+@register("parse_symbols", _PARSED)
 def parse_symbols(spark, sf):
     """Symbols of a source file made of each part: name and line in four languages."""
+    return symbols.symbols_of(_sources(spark, sf)).drop("summary")
+
+
+def _sources(spark, sf):
     p = T.read(spark, sf, "part")
     name = F.concat(F.lit("f"), "p_partkey")
     body = (
@@ -256,10 +306,10 @@ def parse_symbols(spark, sf):
         .otherwise(F.concat(F.lit("import x from 'y'\nexport function "), name, F.lit("(a): void {\n}\nclass K extends L {\n}\n")))
     )
     language = F.element_at(F.array(*map(F.lit, ("rust", "python", "go", "typescript"))), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return symbols.symbols_of(p.select(F.concat(F.lit("p/"), "p_partkey").alias("path"), body.alias("content"), language.alias("language"))).drop("summary")
+    return p.select(F.concat(F.lit("p/"), "p_partkey").alias("path"), body.alias("content"), language.alias("language"))
 
 
-@register("file_context_imports", f"WITH l AS (SELECT doc_id, list_transform({LINES}, lambda x: trim(x)) ls FROM documents) SELECT doc_id, len(ls)::BIGINT n_lines, len(list_filter(ls, lambda x: starts_with(x, 'use ') OR starts_with(x, 'import ') OR starts_with(x, 'from ') OR starts_with(x, 'require(')))::BIGINT imports FROM l")
+@register("file_context_imports", f"WITH l AS (SELECT doc_id, list_transform({LINES}, lambda x: trim(x)) ls FROM documents) SELECT doc_id, len(ls)::BIGINT n_lines, len(list_filter(ls, lambda x: starts_with(x, 'use ') OR starts_with(x, 'import ') OR starts_with(x, 'from ') OR starts_with(x, 'require(') OR starts_with(x, '#include')))::BIGINT imports FROM l")
 def file_context_imports(spark, sf):
     t = F.col("text")
     return T.read(spark, sf, "documents").select("doc_id", F.size(X.lines(t)).cast("long").alias("n_lines"), F.size(symbols.import_lines(t, 1 << 30)).cast("long").alias("imports"))
@@ -273,7 +323,7 @@ def extract_links(spark, sf):
 # ---- graph: commits are orders, files are parts, repositories suppliers; pages import pages
 
 _LINKS = "(SELECT page_id src, unnest([page_id * 7 % 97, page_id * 3 % 89 + 5, page_id + 1000000]) dst FROM pages)"
-_L = f"l AS (SELECT src, dst FROM {_LINKS} WHERE src <> dst AND src % 5 < 3)"
+_L = f"l AS (SELECT src, dst FROM {_LINKS} WHERE src <> dst)"
 
 
 @register("graph_edges", "SELECT kind, count(*) edges FROM (SELECT 'Modifies' kind FROM lineitem UNION ALL SELECT 'ModifiedBy' FROM lineitem UNION ALL SELECT 'BelongsTo' FROM part UNION ALL SELECT 'Contains' FROM part UNION ALL SELECT 'DefinedIn' FROM part UNION ALL SELECT 'Defines' FROM part) GROUP BY kind")
@@ -287,19 +337,9 @@ def graph_edges(spark, sf):
     return e.groupBy("kind").agg(F.count("*").alias("edges"))
 
 
-@register("graph_commit_edges", "SELECT o_orderkey::VARCHAR src, l_partkey::VARCHAR dst, count(*) edges FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 50 = 0 GROUP BY ALL")
+@register("graph_commit_edges", "SELECT o_orderkey::VARCHAR src, l_partkey::VARCHAR dst, count(*) edges FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL")
 def graph_commit_edges(spark, sf):
-    return _commit_edges(T.read(spark, sf, "lineitem").where("l_orderkey % 50 = 0"))
-
-
-@register("graph_commit_edges_all", "SELECT o_orderkey::VARCHAR src, l_partkey::VARCHAR dst, count(*) edges FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL")
-def graph_commit_edges_all(spark, sf):
-    """The edges of all commits; the SQL twin of graph_commit_edges asks for every fiftieth only."""
-    return _commit_edges(T.read(spark, sf, "lineitem"))
-
-
-def _commit_edges(lineitem):
-    c = lineitem.groupBy(F.col("l_orderkey").alias("hash")).agg(F.collect_list("l_partkey").alias("files_modified"))
+    c = T.read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("hash")).agg(F.collect_list("l_partkey").alias("files_modified"))
     return graph.commit_edges(c).where("kind = 'Modifies'").groupBy(F.col("src.id").alias("src"), F.col("dst.id").alias("dst")).agg(F.count("*").alias("edges"))
 
 
@@ -346,39 +386,6 @@ def related_expansion(spark, sf):
     return _expanded(spark, sf, T.links(spark, sf))
 
 
-_L_ALL = f"l AS (SELECT src, dst FROM {_LINKS} WHERE src <> dst)"
-
-
-@register("most_connected_all", f"WITH {_L_ALL} SELECT src::VARCHAR AS file, count(DISTINCT dst) imports FROM l GROUP BY src ORDER BY imports DESC, file LIMIT 10")
-def most_connected_all(spark, sf):
-    return graph.most_connected(graph.import_edges(T.links(spark, sf, "true")), 10)
-
-
-@register("file_imports_all", f"WITH {_L_ALL} SELECT DISTINCT src::VARCHAR src, dst::VARCHAR target, coalesce(p.url, dst || ' (external)') AS name FROM l LEFT JOIN pages p ON p.page_id = l.dst")
-def file_imports_all(spark, sf):
-    pages = T.read(spark, sf, "pages").select(F.col("page_id").cast("string").alias("id"), F.col("url").alias("path"))
-    return graph.file_imports(graph.import_edges(T.links(spark, sf, "true")), pages)
-
-
-@register("direct_imports_all", f"WITH {_L_ALL} SELECT DISTINCT src::VARCHAR src, dst::VARCHAR id FROM l JOIN pages p ON p.page_id = l.dst")
-def direct_imports_all(spark, sf):
-    pages = T.read(spark, sf, "pages").select(F.col("page_id").cast("string").alias("id"))
-    return graph.imports_of(graph.import_edges(T.links(spark, sf, "true")), pages).select("src", "id")
-
-
-_REACH_ALL = f"WITH RECURSIVE {_L_ALL}, e AS (SELECT src a, dst b FROM l UNION SELECT dst, src FROM l), r AS (SELECT 3 AS id, 0 AS step UNION SELECT e.b, r.step + 1 FROM r JOIN e ON e.a = r.id WHERE r.step < 2), n AS (SELECT DISTINCT id FROM r WHERE id <> 3)"
-
-
-@register("related_files_depth2_all", _REACH_ALL + " SELECT id::BIGINT id FROM n")
-def related_files_depth2_all(spark, sf):
-    return graph.reachable(T.links(spark, sf, "true"), spark.range(3, 4), 2)
-
-
-@register("related_expansion_all", _REACH_ALL + " SELECT page_id chunk_id, page_id::BIGINT AS path, 0.5::DOUBLE score, (1 + row_number() OVER (ORDER BY page_id))::BIGINT AS rank FROM pages WHERE page_id IN (SELECT id FROM n) UNION ALL SELECT 3, 3, 0.9::DOUBLE, 1 ORDER BY rank LIMIT 15")
-def related_expansion_all(spark, sf):
-    return _expanded(spark, sf, T.links(spark, sf, "true"))
-
-
 def _expanded(spark, sf, links):
     from sparkloom.operators.search import related
 
@@ -402,17 +409,13 @@ def find_file(spark, sf):
     return graph.find_file(T.parts(spark, sf), "1")
 
 
-#: The SQL twins of parse_log_group and blame_forward_fill ask for these orders only; parse_log_all and blame_all have all.
-_FEW = "{} <= 400"
-
-
-def _log(spark, sf, only="true"):
+def _log(spark, sf):
     """Log lines made of orders and their parts, in order of key."""
-    o = T.read(spark, sf, "orders").where(only.format("o_orderkey")).select(
+    o = T.read(spark, sf, "orders").select(
         F.col("o_orderkey").alias("k"), F.lit(0).cast("long").alias("n"),
         F.concat_ws("|", F.sha1(F.col("o_orderkey").cast("string")), F.concat(F.lit("c"), "o_custkey"), F.unix_timestamp("o_orderdate").cast("string"), "o_orderpriority", F.lit("")).alias("line"),
     )
-    li = T.read(spark, sf, "lineitem").where(only.format("l_orderkey")).select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("n"), F.concat(F.lit("f"), "l_partkey").alias("line"))
+    li = T.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("n"), F.concat(F.lit("f"), "l_partkey").alias("line"))
     return history.numbered(o.unionByName(li), F.floor(F.col("k") / 4096), "k", "n", "line")
 
 
@@ -420,30 +423,16 @@ def _parsed_log(lines):
     return history.parse_log(lines).select("hash", "author", "timestamp", "message", F.array_join("files_modified", ",").alias("files"))
 
 
-@register("parse_log_group", "SELECT sha1(o_orderkey::VARCHAR) hash, 'c' || o_custkey author, epoch(o_orderdate)::BIGINT AS timestamp, o_orderpriority message, coalesce((SELECT string_agg('f' || l_partkey, ',' ORDER BY l_linenumber, 'f' || l_partkey) FROM lineitem WHERE l_orderkey = o_orderkey), '') files FROM orders WHERE o_orderkey <= 400")
+@register("parse_log_group", "SELECT sha1(o_orderkey::VARCHAR) hash, 'c' || o_custkey author, epoch(o_orderdate)::BIGINT AS timestamp, o_orderpriority message, coalesce(f, '') files FROM orders LEFT JOIN (SELECT l_orderkey, string_agg('f' || l_partkey, ',' ORDER BY l_linenumber, 'f' || l_partkey) f FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey")
 def parse_log_group(spark, sf):
-    return _parsed_log(_log(spark, sf, _FEW))
-
-
-@register("parse_log_all", "SELECT sha1(o_orderkey::VARCHAR) hash, 'c' || o_custkey author, epoch(o_orderdate)::BIGINT AS timestamp, o_orderpriority message, coalesce(f, '') files FROM orders LEFT JOIN (SELECT l_orderkey, string_agg('f' || l_partkey, ',' ORDER BY l_linenumber, 'f' || l_partkey) f FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey")
-def parse_log_all(spark, sf):
     """The log of all orders."""
     return _parsed_log(_log(spark, sf))
 
 
-@register("blame_forward_fill", "SELECT l_linenumber::BIGINT line_number, sha1(l_orderkey::VARCHAR) commit_hash, 'c' || o_custkey author, l_quantity::BIGINT::VARCHAR content FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey <= 400")
+@register("blame_forward_fill", "SELECT l_linenumber::BIGINT line_number, sha1(l_orderkey::VARCHAR) commit_hash, 'c' || o_custkey author, l_quantity::BIGINT::VARCHAR content FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
 def blame_forward_fill(spark, sf):
-    return _blamed(spark, sf, _FEW)
-
-
-@register("blame_all", "SELECT l_linenumber::BIGINT line_number, sha1(l_orderkey::VARCHAR) commit_hash, 'c' || o_custkey author, l_quantity::BIGINT::VARCHAR content FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
-def blame_all(spark, sf):
     """The blame lines of all of lineitem."""
-    return _blamed(spark, sf)
-
-
-def _blamed(spark, sf, only="true"):
-    li = T.read(spark, sf, "lineitem").where(only.format("l_orderkey")).join(T.read(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    li = T.read(spark, sf, "lineitem").join(T.read(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     h = F.sha1(F.col("l_orderkey").cast("string"))
     three = F.array(F.concat_ws(" ", h, F.lit("1"), F.col("l_linenumber").cast("string")), F.concat(F.lit("author c"), "o_custkey"), F.concat(F.lit("\t"), F.col("l_quantity").cast("long").cast("string")))
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
@@ -473,14 +462,88 @@ def session_numbers(spark, sf):
     return n.groupBy("user_id").agg(F.max("session").cast("long").alias("sessions"))
 
 
-@register("debounce_flush")
+_GAPS = "g AS (SELECT user_id, event_id, ts, coalesce(epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts) >= 3600000, true) AS fresh FROM events), n AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) s FROM g)"
+_FLUSH = "SELECT user_id::VARCHAR AS key, epoch_us(ts) // 1000 ms, event_id FROM events"
+
+
+@register("debounce_flush", "WITH e AS (" + _FLUSH + """), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ms, event_id::VARCHAR) - 1 i FROM e),
+g AS (SELECT key, i // 3 g, count(*) paths, min(ms) a, max(ms) b FROM r GROUP BY key, i // 3)
+SELECT key, CASE WHEN paths = 3 THEN b ELSE least(b + 400000000000, a + 500000000000) END::BIGINT flushed_ms, paths, CASE WHEN paths = 3 THEN 'paths' ELSE CASE WHEN b + 400000000000 <= a + 500000000000 THEN 'quiet' ELSE 'longest' END END reason FROM g""")
 def debounce_flush(spark, sf):
-    """Flushes of each user's events, a path being an event type and value, with all three rules at work."""
-    e = T.read(spark, sf, "events").select(F.col("user_id").alias("key"), F.concat("event_type", F.floor("value").cast("string")).alias("path"), "ts")
-    return changes.flushes(e, changes.Debounce(3_600_000, 36_000_000, 3))
+    """Flushes of each user's events by the number of different paths, an event being a path; the rest waits for the quiet time."""
+    e = T.read(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").cast("string").alias("path"), "ts")
+    return _flushed(changes.flushes(e, changes.Debounce(400_000_000_000, 500_000_000_000, 3)))
+
+
+@register("debounce_quiet", "WITH " + _GAPS + " SELECT user_id::VARCHAR AS key, (epoch_us(max(ts)) // 1000 + 3600000)::BIGINT flushed_ms, count(DISTINCT event_id % 4) paths, 'quiet' reason FROM n GROUP BY user_id, s")
+def debounce_quiet(spark, sf):
+    """Flushes of each user's events after an hour without one; four different paths."""
+    e = T.read(spark, sf, "events").select(F.col("user_id").alias("key"), (F.col("event_id") % 4).cast("string").alias("path"), "ts")
+    return _flushed(changes.flushes(e, changes.Debounce(3_600_000, 500_000_000_000, 100)))
+
+
+_CHAIN = """WITH RECURSIVE e AS (SELECT user_id k, epoch_us(ts) // 1000 ms FROM events), f AS (SELECT k, min(ms) a FROM e GROUP BY k UNION ALL
+SELECT k, n FROM (SELECT f.k, f.a, (SELECT min(e.ms) FROM e WHERE e.k = f.k AND e.ms >= f.a + 604800000) n FROM f) WHERE n IS NOT NULL)
+SELECT k::VARCHAR AS key, (a + 604800000)::BIGINT flushed_ms, 1::BIGINT paths, 'longest' reason FROM f"""
+
+
+@register("debounce_longest", _CHAIN)
+def debounce_longest(spark, sf):
+    """Flushes of each user's events a week after the first since the last flush, however many follow; one path."""
+    e = T.read(spark, sf, "events").select(F.col("user_id").alias("key"), F.lit("p").alias("path"), "ts")
+    return _flushed(changes.flushes(e, changes.Debounce(500_000_000_000, 604_800_000, 100)))
+
+
+def _flushed(rows):
+    return rows.select("key", F.unix_millis("flushed_at").alias("flushed_ms"), "paths", "reason")
 
 
 @register("hidden_paths", f"SELECT count(*) events FROM documents WHERE NOT contains(CASE WHEN doc_id % 3 = 0 THEN '/r/.x/' ELSE '/r/' END || {PATH}, '/.')")
 def hidden_paths(spark, sf):
     p = F.concat(F.when(F.col("doc_id") % 3 == 0, "/r/.x/").otherwise("/r/"), T.path())
     return changes.visible(T.read(spark, sf, "documents").select(p.alias("path"))).agg(F.count("*").alias("events"))
+
+
+# ---- views and text functions
+
+
+@register("file_view", """WITH """ + _L + """, near AS (SELECT DISTINCT p.page_id FROM l a JOIN l b ON b.src = 3 OR b.dst = 3 JOIN pages p ON p.page_id IN (a.src, a.dst) WHERE p.page_id <> 3
+  AND ((a.src = 3 OR a.dst = 3) OR (CASE WHEN b.src = 3 THEN b.dst ELSE b.src END IN (a.src, a.dst))))
+SELECT 'symbol' section, 's' || page_id AS name FROM pages WHERE page_id = 3
+UNION ALL SELECT 'import', coalesce(p.url, l.dst || ' (external)') FROM (SELECT DISTINCT dst FROM l WHERE src = 3) l LEFT JOIN pages p ON p.page_id = l.dst
+UNION ALL SELECT 'importer', p.url FROM (SELECT DISTINCT src FROM l WHERE dst = 3) l JOIN pages p ON p.page_id = l.src
+UNION ALL SELECT 'related', name FROM (SELECT p.url AS name FROM near JOIN pages p USING (page_id) ORDER BY p.url LIMIT 20)""")
+def file_view(spark, sf):
+    pages = T.read(spark, sf, "pages")
+    files = pages.select(F.col("page_id").cast("string").alias("id"), F.col("url").alias("path"))
+    own = graph.symbol_edges(pages.select(F.concat(F.lit("s"), "page_id").alias("name"), F.col("page_id").alias("file_id")))
+    return graph.file_view(graph.all_edges(graph.import_edges(T.links(spark, sf)), own), files, "3", 2)
+
+
+@register("direct_importers", f"WITH {_L} SELECT DISTINCT dst::VARCHAR dst, src::VARCHAR id FROM l JOIN pages p ON p.page_id = l.src")
+def direct_importers(spark, sf):
+    pages = T.read(spark, sf, "pages").select(F.col("page_id").cast("string").alias("id"))
+    return graph.importers_of(graph.import_edges(T.links(spark, sf)), pages).select("dst", "id")
+
+
+@register("text_functions", f"WITH l AS (SELECT doc_id, text, {LINES} ls FROM documents) SELECT doc_id, substr(text, strpos(text, ':') + 1) after_colon, (len(text) - len(replace(text, chr(10), '')))::BIGINT newlines, len(regexp_extract(text, '^[ \\t\\n\\r]*', 0))::BIGINT indent, array_to_string(ls[1:6], chr(10)) || CASE WHEN len(ls) > 6 THEN chr(10) || '...' ELSE '' END preview FROM l")
+def text_functions(spark, sf):
+    t = F.col("text")
+    return T.read(spark, sf, "documents").select("doc_id", X.after_colon(t).alias("after_colon"), X.occurrences(t, "\n").alias("newlines"), X.indentation(t).alias("indent"), X.preview(t).alias("preview"))
+
+
+@register("file_context", "WITH s AS (SELECT p_brand AS path, '[function] fn ' || p_name || ' (line ' || p_size || ')' s, p_size, p_brand || ':' || p_partkey id FROM part) SELECT b AS path, 2::BIGINT AS lines, 'unknown' AS extension, 1::BIGINT imports, (SELECT count(*) FROM s WHERE path = b) n_symbols, (SELECT string_agg(s, '; ' ORDER BY p_size, id) FROM (SELECT * FROM s WHERE path = b ORDER BY p_size, id LIMIT 20)) symbols FROM (SELECT DISTINCT p_brand b FROM part)")
+def file_context(spark, sf):
+    files = T.read(spark, sf, "part").select(F.col("p_brand").alias("path")).distinct().withColumn("content", F.lit("use a;\nfn b() {}\n"))
+    own = _symbols(spark, sf).withColumn("kind", F.lit("function"))
+    return symbols.file_context(files, own).withColumns({"imports": F.size("imports").cast("long"), "symbols": F.array_join("symbols", "; ")})
+
+
+@register("code_map_summaries", "SELECT 'p/' || p_partkey path, CASE p_partkey % 4 WHEN 0 THEN 'rust' WHEN 1 THEN 'python' WHEN 2 THEN 'go' ELSE 'typescript' END AS language, 2::BIGINT symbols, CASE p_partkey % 4 WHEN 0 THEN 'a::b' WHEN 1 THEN 'os' WHEN 2 THEN '' ELSE 'y' END imports, CASE p_partkey % 4 WHEN 0 THEN 5 WHEN 1 THEN 5 WHEN 2 THEN 6 ELSE 5 END::BIGINT AS lines FROM part")
+def code_map_summaries(spark, sf):
+    return symbols.code_map(_sources(spark, sf))["summaries"].select("path", "language", F.size("symbols").cast("long").alias("symbols"), F.array_join("imports", ",").alias("imports"), "lines")
+
+
+@register("repo_commits", "SELECT sha1(o_orderkey::VARCHAR) hash, substr(sha256('r'), 1, 16) repo_id, coalesce(f, '') files FROM orders LEFT JOIN (SELECT l_orderkey, string_agg(substr(sha256('r'), 1, 16) || ':f' || l_partkey, ',' ORDER BY l_linenumber, 'f' || l_partkey) f FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey")
+def repo_commits(spark, sf):
+    return history.in_repo(history.parse_log(_log(spark, sf)), "r").select("hash", "repo_id", F.array_join("files_modified", ",").alias("files"))
