@@ -454,4 +454,5 @@ def deduplicated(
 
     joined = rows.join(cuts, F.col("_rid") == F.col("rid"), "left").select("doc_id", "text", "cuts")
     kind = dict(rows.dtypes)["doc_id"]
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep else ""))
+    with bounded_batches(docs.sparkSession):  # written, for the bound to hold whenever the result is read
+        return written(joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep else "")), "kept")
