@@ -178,8 +178,9 @@ def test_components(spark):
             m = min(label[a], label[b])
             changed |= label[a] != m or label[b] != m
             label[a] = label[b] = m
-    got = {r.node: r.component for r in graphs.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: c for x, c in label.items() if any(x in e and e[0] != e[1] for e in edges)}
+    for options in ({}, {"broadcast_nodes": 5, "hub": 1}):  # nodes with more neighbours than `hub` are joined apart
+        got = {r.node: r.component for r in graphs.components(spark.createDataFrame(edges, "a long, b long"), **options).collect()}
+        assert got == {x: c for x, c in label.items() if any(x in e and e[0] != e[1] for e in edges)}
     assert graphs.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
