@@ -72,13 +72,13 @@ def hits(
     hint = F.broadcast if small else (lambda df: df)
     lengths = sorted(r.q for r in grams.select("q").distinct().collect())  # at most `shingle` of them
 
-    rows = docs.select("_rid", words(F.col(text)).alias("_ws"))
+    rows = docs.select("_rid", words(F.col(text)).alias("_ws")).withColumn("n_words", F.size("_ws"))  # before the rows are multiplied
     if not lengths:
         return grams.select(F.lit(0).cast("long").alias("_rid"), F.lit(0).alias("start"), "size", "w", "items").where(F.lit(False))
     wanted = hint(grams.select(F.explode("shingles").alias("s")).distinct())
     found = None
     for q in lengths:
-        part = rows.select("_rid", F.size("_ws").alias("n_words"), F.posexplode(_grams("_ws", q)).alias("pos", "s"))
+        part = rows.select("_rid", "n_words", F.posexplode(_grams("_ws", q)).alias("pos", "s"))
         found = part if found is None else found.unionByName(part)
     found = written(found.join(wanted, "s", "left_semi"), "shingles")
 
