@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, decontaminate, graphs, jaccard_join, pii, quality_model, quality_rules, sentencepieces, shingles, suffix_dedup, token_files, url_filter
+from sparkloom.llm import batches, chat, decontaminate, graphs, jaccard_join, pii, quality_model, quality_rules, sentencepieces, shingles, suffix_dedup, token_files, url_filter
 from sparkloom.llm import queries as Q
 from sparkloom.session import scratch_path
 
@@ -562,3 +562,313 @@ def test_pipeline_stages_odd(spark, odd, empty):
 def test_word_hashes():
     h, doc = shingles.word_hashes(["Ab  c", "", "aB\tc\n", "É é"])
     assert doc.tolist() == [0, 0, 2, 2, 3, 3] and h[0] == h[2] and h[1] == h[3] and h[4] != h[5]
+
+
+# ---- texts made to collide, very long texts, clashing names, rows told apart
+
+
+def thue_morse(n, a, b):
+    """Two texts that agree in every sum over bytes times powers modulo 2^64, from some length on."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_colliding_texts(spark):
+    from tokenizers import Tokenizer
+
+    x, y = thue_morse(2048, "a", "b")
+    v, w = thue_morse(512, "v", "z")
+    tail = "q" * 100
+    texts = {1: x, 2: y, 3: v + tail, 4: w + tail, 5: f"{x} {v}", 6: f"{y} {w}", 7: f"some {x[:14]} {y[:14]} words", 8: None}
+    path = scratch_path(spark, "d")
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    tokenizer = Tokenizer.from_file(tokenizers_path("byte_bpe_50k.json"))
+    out = scratch_path(spark, "t")
+    got = {r.doc_id: r.ids_crc32 for r in token_files.read(spark, out, token_files.write(df, out, tokenizers_path("byte_bpe_50k.json"))).collect()}
+    assert got == {d: zlib.crc32(np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()) for d, t in texts.items()}
+    joined = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.join(df, 3, 90).collect()}
+    assert joined == brute_components(texts, 3, 90) and joined[2][1] == 2
+    for length, gram in ((400, 128), (64, 16)):
+        cut = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicated(df, length, gram, keep=False).collect()}
+        assert cut == brute_removed(texts, length)
+
+
+def test_span_hashes():
+    rng = np.random.default_rng(3)
+    data = np.concatenate([rng.integers(0, 3, 4000).astype(np.uint8), np.zeros(8, np.uint8)])
+    start = rng.integers(0, 3000, 500)
+    end = start + rng.integers(0, 900, 500)
+    h = shingles.span_hashes(data, start, end)
+    byte = [data[a:b].tobytes() for a, b in zip(start, end)]
+    assert len(set(h.tolist())) == len(set(byte))
+    assert len({(x, y) for x, y in zip(h.tolist(), byte)}) == len(set(byte))
+    fast = suffix_dedup.Hashes(data, (12, 40))
+    for n, base in ((12, 12), (15, 12), (40, 40), (75, 40)):
+        own = fast.of(np.arange(3000), n, base)
+        assert len(set(own.tolist())) == len({data[i : i + n].tobytes() for i in range(3000)})
+
+
+@pytest.mark.parametrize("most_classes", [1, 2, 1000])
+def test_suffix_dedup_of_hot_grams(spark, most_classes):
+    """One passage inside many different surroundings: with few classes allowed, windows go by what they have in common."""
+    rng = random.Random(most_classes)
+    part = lambda n: "".join(rng.choices("abc", k=n))
+    core, left, right = part(70), [part(60) for _ in range(4)], [part(60) for _ in range(4)]
+    texts = {i: part(rng.randint(0, 50)) + rng.choice(left)[rng.randint(0, 59) :] + core + rng.choice(right)[: rng.randint(0, 60)] + part(rng.randint(0, 50)) for i in range(80)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for length, gram in ((100, 20), (60, 30)):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicated(df, length, gram, keep=False, most_classes=most_classes, part_bytes=2000).collect()}
+        assert got == brute_removed(texts, length)
+
+
+def test_suffix_dedup_query_against_brute_force(spark, texts):
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in Q.op3_suffix_dedup(spark, SF).collect()}
+    assert got == brute_removed(texts, 400)
+
+
+@pytest.fixture(scope="module")
+def long_docs(spark):
+    """Texts of over 1 MB: one of 2^20 words and more, its near copy, one without spaces, and short ones."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 6))) for _ in range(5000)]
+    big = " ".join(rng.choices(words, k=(1 << 20) + 5000))
+    rows = [(1, big, "en", "s", len(big)), (2, big + " one more", "en", "s", len(big) + 9), (3, "y" * 1_200_000 + "4111111111111111", "en", "s", 0), (4, "short one", "en", "s", 9), (5, None, None, None, None)]
+    path = scratch_path(spark, "long")
+    spark.createDataFrame(rows, DOCS).write.parquet(path)
+    return spark.read.parquet(path), {r[0]: r[1] or "" for r in rows}
+
+
+def test_very_long_texts(spark, long_docs):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    df, texts = long_docs
+    # the same vocabulary in another library, which takes a text of this length in one piece
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(tokenizers_path("byte_bpe_50k.tiktoken"), "rb"))}
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    out = scratch_path(spark, "t")
+    got = {r.doc_id: r.ids_crc32 for r in token_files.read(spark, out, token_files.write(df, out, tokenizers_path("byte_bpe_50k.json"))).collect()}
+    for d in (1, 2, 4):
+        assert got[d] == zlib.crc32(np.array([*other.encode_ordinary(texts[d]), 0], "<u4").tobytes())
+    classes = {r.doc_id: r.component_id for r in jaccard_join.join(df, 3, 90).collect()}
+    assert classes[2] == 1 and classes[3] == 3 and classes[4] == 4
+    cut = {r.doc_id: r for r in suffix_dedup.deduplicated(df, keep=False).collect()}
+    assert cut[1].n_removed == cut[1].n_bytes and cut[2].n_bytes - cut[2].n_removed == 9 and cut[3].n_removed == 1_200_000 and cut[4].n_removed == 0
+    items = spark.createDataFrame([(7, " ".join(texts[1].split()[600_000:600_012]))], "item_id long, text string")
+    hit = {r.doc_id: (r.n_words, r.n_hit) for r in decontaminate.judged(df, items).collect()}
+    assert hit[1] == ((1 << 20) + 5000, 12) and hit[2][1] == 12 and hit[4] == (2, 0)
+    spans = {r.doc_id: r for r in pii.find(df).collect()}
+    assert spans[3].n_card == 1 and spans[3].spans == "card:1200000:1200016" and spans[1].n_spans == 0
+    by = {r.doc_id: r for r in quality_rules.judged(df).collect()}
+    w = texts[1].split()
+    grams = Counter(zip(w, w[1:], w[2:]))
+    hit = np.zeros(len(w), bool)
+    for i, g in enumerate(zip(w, w[1:], w[2:])):
+        if grams[g] > 1:
+            hit[i : i + 3] = True
+    assert by[1].n_words == len(w) and by[1].n_repeat_words == hit.sum() and by[3].n_words == 1
+    model = quality_model.trained(df, spark.createDataFrame([], "doc_id long, quality int"))
+    assert quality_model.scored(df, model).count() == 5
+    assert all(r.restored for r in sentencepieces.digests(df, tokenizers_path("piece_bpe_32k.model")).collect())
+
+
+CLASH = ["_rid", "_h", "_packed", "_sorted", "_same", "_at", "_removed", "_gone", "_words", "_lines", "_line", "_host", "_doc", "_key", "_left", "in", "ids", "cuts", "node", "family", "sig", "rid", "start", "kept", "n_words", "spans", "items", "score", "_id", "_t", "_ws", "c", "host", "path", "key", "hit"]
+
+
+def test_clashing_names(spark, texts):
+    """Columns named like anything made inside: those of results are replaced, the others come out as they went in."""
+    rows = list(texts.items())[:60]
+    plain = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    odd = plain.select("*", *[F.lit(f"x{c}").alias(c) for c in CLASH])
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    same = lambda a, b, names: sorted(map(str, a.select(*names).collect())) == sorted(map(str, b.select(*names).collect()))
+    a, b = quality_rules.judged(odd), quality_rules.judged(plain)
+    assert same(a, b, b.columns) and a.where("_h <> 'x_h' OR _at <> 'x_at' OR host <> 'xhost'").count() == 0
+    a, b = decontaminate.judged(odd, items), decontaminate.judged(plain, items)
+    assert same(a, b, ["doc_id", "n_words", "n_hit", "items"]) and a.where("_ws <> 'x_ws' OR c <> 'xc'").count() == 0
+    a, b = pii.find(odd), pii.find(plain)
+    assert same(a, b, ["doc_id", "base_sha256", "spans", "n_spans"]) and a.where("key <> 'xkey'").count() == 0
+    assert same(jaccard_join.join(odd), jaccard_join.join(plain), ["doc_id", "component_id", "n_links"])
+    assert same(suffix_dedup.deduplicated(odd, keep=False), suffix_dedup.deduplicated(plain, keep=False), ["doc_id", "kept_sha256"])
+    model = quality_model.trained(odd, spark.createDataFrame([], "doc_id long, quality int"))
+    assert same(quality_model.scored(odd, model), quality_model.scored(plain, model), ["doc_id", "score"])
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    wide = pages.select("*", *[F.lit(f"x{c}").alias(c) for c in CLASH])
+    rules = url_filter.rules_table(spark, Q.URL_RULES)
+    a, b = url_filter.filter_urls(wide, rules), url_filter.filter_urls(pages, rules)
+    assert same(a, b, ["page_id", "host", "path", "rule", "verdict"]) and a.where("key <> 'xkey' OR hit <> 'xhit'").count() == 0
+    talk = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    extra = talk.select("*", *[F.lit("x").alias(c) for c in ("part", "formatted", "loss_spans")])
+    assert same(chat.format_conversations(extra), chat.format_conversations(talk), ["conv_id", "formatted"])
+
+
+def test_rows_are_told_apart(spark):
+    """Rows without a usable id keep their own result, however the input is dealt when it is read again."""
+    rows = [(i % 7 if i % 5 else None, f"word{i} " * 3 + "shared passage of words that is long enough to be found again in many of these texts " * (i % 3)) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    number = batches.numbered(df)
+    assert number.select("_rid").distinct().count() == 90 == number.count()
+    assert batches.numbered(df.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])).where("_rid <> doc_id").count() == 0
+    got = sorted((r.n_bytes, r.n_removed) for r in suffix_dedup.deduplicated(df, 40, 10, keep=False).collect())
+    want = brute_removed({i: t for i, (_, t) in enumerate(rows)}, 40)
+    assert got == sorted((n, r) for n, r, _, _ in want.values())
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    jaccard_join.join(df.limit(5))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+# ---- the methods themselves
+
+
+@pytest.mark.parametrize("skip", [[], [(0, 3)], [(0, 2), (1, 3)]])
+def test_marginals_against_enumeration(skip):
+    """Belief propagation is exact on trees; with loops and the weights of a fitted model it is near."""
+    from itertools import product
+
+    rng = np.random.default_rng(len(skip))
+    k, n = len(pii.ALL_KINDS) + 1, 4
+    x = rng.normal(size=(n, pii.FEATURES)) * 0.3
+    model = {"node": rng.normal(size=(pii.FEATURES, k)) * 0.5, "edge": np.array([0.4, 0.9])}
+    chain = [(0, 1), (1, 2)] if skip == [(0, 3)] else [(0, 1), (1, 2), (2, 3)]
+    label = np.array([-1, 2, -1, -1])
+    pairs = np.array(chain + skip)
+    is_skip = np.arange(len(pairs)) >= len(chain)
+    got = pii.marginals(x, label, pairs, is_skip, model, rounds=40)
+    score = x @ model["node"]
+    want = np.zeros((n, k))
+    for y in product(range(k), repeat=n):
+        if y[1] != 3:
+            continue
+        weight = sum(score[i, c] for i, c in enumerate(y)) + sum(model["edge"][int(s)] for (a, b), s in zip(pairs, is_skip) if y[a] == y[b])
+        for i, c in enumerate(y):
+            want[i, c] += np.exp(weight)
+    want /= want.sum(1, keepdims=True)
+    assert np.abs(got - want).max() < (1e-3 if len(pairs) < n else 0.05)
+
+
+def test_field_adds_repetitions_at_the_default_confidence():
+    rng = random.Random(2)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    token = lambda: "".join(rng.choices("0123456789abcdef", k=40))
+    train = []
+    for i in range(300):
+        a, key = f"{digits(3)} {digits(4)} {digits(4)}", token()
+        train.append(f"call +49 {a} or write to x{i}@mail.example.org before 12 may, 3 of {digits(5)} items")
+        train.append(f"version {i % 9}. token = \"{key}\" holds and in line {i} again +49 {a} as said")
+    model = pii.fit([pii.Graph(t, [*pii.seeds(t), *pii.base_spans(t)]) for t in train])
+    key = token()
+    text = f"Ring +49 151 2345 6789 today. token = \"{key}\" " + "Nothing here. " * 40 + f"Later: 0151 2345 6789 and once more {key}, in 12 rows."
+    base = pii.base_spans(text)
+    added = {text[a:b]: pii.ALL_KINDS[k] for a, k, b in pii.added_spans([text], [base], model)[0]}
+    assert added.get(key) == "secret" and any(k == "phone" and "2345 6789" in t for t, k in added.items())
+    assert "12" not in added and [text[a:b] for a, _, b in base] == ["+49 151 2345 6789"]
+    clean = "In 1999 there were 12 of 4500 houses, 3.5 percent (see page 41), version 3."
+    assert pii.added_spans([clean], [[]], model) == [[]]
+
+
+def test_long_tokens_have_keys_of_their_own():
+    head = "a1" * 150
+    graph = pii.Graph(f"{head}x9 and {head}y9 and {head}x9", [])
+    assert graph.skip == [(0, 2)]
+
+
+def test_trees_against_plain_traversal_and_search():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 9, (300, 4)).astype(float)
+    y = ((x[:, 2] > 4) ^ (rng.random(300) < 0.2)).astype(float)
+    model = quality_model.fit(x, y, trees=7, depth=3, least=5)
+
+    def walk(row):
+        total = model.start
+        for node in model.roots:
+            while model.left[node] != node:
+                node = model.left[node] if row[model.feature[node]] <= model.threshold[node] else model.right[node]
+            total += model.value[node]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(model.score(x), [walk(r) for r in x])
+    stump = quality_model.fit(x, y, trees=1, depth=1, least=5, ridge=1.0)
+    p = y.mean()
+    g, h = y - p, np.full(len(y), p * (1 - p))
+    gain = {}
+    for j in range(4):
+        for t in np.unique(x[:, j])[:-1]:
+            a = x[:, j] <= t
+            if min(a.sum(), (~a).sum()) >= 5:
+                gain[j, t] = sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in (a, ~a))
+    best = max(gain.values())
+    root = stump.roots[0]
+    assert gain[int(stump.feature[root]), stump.threshold[root]] == pytest.approx(best)
+
+
+def test_quality_model_examples_are_bounded(spark):
+    docs = spark.createDataFrame([(i % 10, f"text {i} of many words") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
+    a, b = (quality_model.trained(d, labels, sample_rows=50) for d in (docs, docs.repartition(7)))
+    assert np.array_equal(a.value, b.value) and np.array_equal(a.threshold, b.threshold)
+
+
+def test_chat_roles_with_nul_and_long_ones(spark):
+    rows = [(c, t, role, "hi") for c, role in enumerate(["user\x00", "user", "r" * 1_000_000, "\x00", ""]) for t in range(2)] + [(c, 0, "user", "x") for c in range(100, 1000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r.turns_sha256 for r in chat.digests(chat.format_conversations(df)).collect()}
+    for c in range(5):
+        said = "".join(f"{r[2]}\n{r[3]}\n" for r in rows if r[0] == c)
+        assert got[c] == hashlib.sha256(said.encode()).hexdigest()
+
+
+def test_viterbi_on_documents(spark, texts):
+    """The best score of every tenth document, by a plain Viterbi over its chunks."""
+    v = sentencepieces.vocabulary(tokenizers_path("piece_bpe_32k.model"))
+    assert np.exp(v.score).sum() == pytest.approx(1)
+    known = {}
+    for d in sorted(texts)[::10]:
+        ids, n = v.encode([texts[d]])
+        assert v.decode(ids, n) == [texts[d]]
+        want = 0.0
+        for chunk in sentencepieces._CHUNK.findall(" " + texts[d]) if texts[d] else []:
+            if chunk not in known:
+                known[chunk] = brute_viterbi(v, chunk[1:]) if chunk.startswith(" ") and chunk != " " else path_score(v, v.solve([chunk])[0].tolist())
+            want += known[chunk]
+        assert path_score(v, ids.tolist()) == pytest.approx(want)
+
+
+def test_listed_urls(spark):
+    urls = ["http://a.net/x?ref=1", "http://a.net/x", "http://a.net/X", "http://b.net/es/?ref=2", "http://c.org/y"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    listed = pages.where("url LIKE '%ref=%'").select("url")
+    many = [*Q.URL_RULES, *((f"h{i}.org", "/", "block") for i in range(300))]
+    for options in ({}, {"max_blocks": 1}, {"max_blocks": 1, "broadcast_entries": 0, "salts": 3}):
+        got = [r.verdict for r in url_filter.filter_urls(pages, url_filter.rules_table(spark, many), listed, **options).orderBy("page_id").collect()]
+        assert got == ["block", "block", "allow", "block", "allow"]  # one block of the filter passes most, the join corrects it
+    found = Q.op10_url_filter(spark, "/root/testdata/sf0.01")
+    assert found.where("verdict = 'block' AND rule IS NULL").count() > 0
+
+
+def test_lines_of_a_thousand_documents_of_one_length(spark):
+    line = "the same words stand in the last line of every page of this host and say nothing more"
+    word = lambda i, j: "".join(chr(97 + int(c)) for c in f"{i * 7 + j}")
+    rows = [(i, " ".join(word(i, j) for j in range(60)) + "\n" + line, "en", "s", 0) for i in range(1000)]
+    got = quality_rules.judged(spark.createDataFrame(rows, DOCS)).where(F.endswith("text", F.lit(line))).count()
+    assert got == 0
+
+
+def test_repeated_windows_by_full_hashes(spark):
+    """The path for long documents, on short ones: the packed path's results are the same."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices("abcde", k=rng.randint(0, 40)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    path = scratch_path(spark, "w")
+    quality_rules.measures(df).write.parquet(path)
+    whole = " ".join(rng.choices("abcdefghijklmnop", k=(1 << 20) + 10))
+    w = whole.split()
+    grams = Counter(zip(w, w[1:], w[2:]))
+    hit = np.zeros(len(w), bool)
+    for i, g in enumerate(zip(w, w[1:], w[2:])):
+        if grams[g] > 1:
+            hit[i : i + 3] = True
+    row = quality_rules.measures(spark.createDataFrame([(1, whole)], "doc_id long, text string")).first()
+    assert row.n_repeat_words == hit.sum()
