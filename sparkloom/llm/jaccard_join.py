@@ -14,13 +14,16 @@ passage that many unrelated documents share, go, and no link is lost.
 
 Equal sets are one node, the row of least number, and only nodes emit signatures. The first pass counts each signature
 (pre-aggregated on the map side); a Bloom filter of fixed size, built of the shared ones, thins the second pass before
-an exact join with them. Nodes with a common signature form families: each signature is aggregated to its least node,
-which gives stars, and the stars' components are the families. Links are then verified inside families. A family that
-one block holds is one unit of work. A larger one is cut by the logarithm of the sets' sizes, so that only the same
-and the next cut can hold partners, and each cut is dealt to blocks of a bounded number of documents and elements; a
-unit is a pair of blocks that can hold partners. A unit counts intersections as matrix products, in smaller blocks,
-and puts out a spanning forest of its links and the number of links of each set, never the pairs. No candidate is
-dropped.
+an exact join with them. The least node with a signature leads it, and each leader is a family: the nodes with a
+signature that it leads. A linked pair has a common leader, and is compared in the family of the least one they have;
+a family whose nodes all have another one as their least compares nothing and goes. So families reach no further than
+signatures do: they are not chained to each other.
+
+A family that one block holds is one unit of work. A larger one is cut by the logarithm of the sets' sizes, so that
+only the same and the next cut can hold partners, and each cut is dealt to blocks of a bounded number of documents and
+elements; a unit is a pair of blocks that can hold partners. A unit counts intersections as matrix products, in smaller
+parts, and puts out a spanning forest of its links and the number of links of each set, never the pairs. No candidate
+is dropped.
 
 Documents without words, or null texts, have no shingles and link with nothing. A null id has a null component and
 links with nothing. Rows of equal id are documents of their own, which share a component where they link. Columns
@@ -151,7 +154,7 @@ def _spares(num: int, den: int, bands: int = 64) -> Column:
 
 
 def candidates(nodes: DataFrame, k: int, num: int, den: int, bloom_blocks: int = 1 << 18) -> DataFrame:
-    """Stars (a, b) of nodes (node, n, text) with a common signature that neither leaves out."""
+    """node, own: of nodes (node, text) with a signature that others keep too, the sorted leaders of such signatures."""
     shared = emitted(nodes, k, num, den, named=False).groupBy("sig").agg(F.count("*").alias("often"))
     shared = written(shared.where("often > 1"), "shared")
     rows = _maybe(emitted(nodes, k, num, den), shared.select("sig"), bloom_blocks).join(shared, "sig")
@@ -159,13 +162,9 @@ def candidates(nodes: DataFrame, k: int, num: int, den: int, bloom_blocks: int =
     kept = rows.withColumn("rank", rank).where(F.col("rank") > F.element_at(_spares(num, den), F.col("band") + 1))
     kept = written(kept.select("sig", "node"), "kept")
     leaders = kept.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("sig", "a")
-    # a node's leaders as a chain from the least: most nodes of a family have the same ones, so few pairs are distinct
-    own = kept.join(leaders, "sig").groupBy("node").agg(F.sort_array(F.collect_set("a")).alias("own"))
-    chain = F.zip_with(F.slice("own", 1, F.size("own") - 1), F.slice("own", 2, F.size("own") - 1), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
-    pairs = F.concat(F.array(F.struct(F.element_at("own", 1).alias("a"), F.col("node").alias("b"))), chain)
-    stars = written(own.select(F.explode(pairs).alias("p")).select("p.a", "p.b").where("a <> b").distinct(), "candidates")
+    own = written(kept.join(leaders, "sig").groupBy("node").agg(F.sort_array(F.collect_set("a")).alias("own")), "leaders")
     discard(shared, kept)
-    return stars
+    return own
 
 
 def linked(sets: list[np.ndarray], num: int, den: int, left: int) -> np.ndarray:
@@ -221,11 +220,18 @@ def _cut(sizes: list[int], docs: int, elements: int) -> list[tuple[int, int]]:
     return [*out, (at, len(sizes))] if sizes else out
 
 
-def _unit(group: list[tuple], num: int, den: int, docs: int, elements: int) -> tuple[list, list, list]:
-    """group: (side, node, n, copies, set), all pairs of which are to be compared, or, if side 1 occurs, those of the
-    two sides. The nodes that have links, one node each reaches, and their number of links."""
+def _unit(family: int, group: list[tuple], num: int, den: int, docs: int, elements: int) -> tuple[list, list, list]:
+    """group: (side, node, n, copies, own, set), all pairs of which are to be compared, or, if side 1 occurs, those of
+    the two sides; pairs with a common leader below the family's are another's. The nodes that have links, one node
+    each reaches, and their number of links."""
     group.sort(key=lambda r: (r[0], r[2], r[1]))
-    sets = [np.frombuffer(r[4], np.uint64) for r in group]
+    sets = [np.frombuffer(r[5], np.uint64) for r in group]
+    lower = [(i, x) for i, r in enumerate(group) for x in r[4] if x < family]
+    place = {x: j for j, x in enumerate(dict.fromkeys(x for _, x in lower))}
+    led = np.zeros((len(group), len(place)), np.float32)
+    if lower:
+        led[[i for i, _ in lower], [place[x] for _, x in lower]] = 1
+    led = led[:, led.sum(0) > 1]
     sizes = [len(x) for x in sets]
     copies = np.array([r[3] for r in group], np.int64)
     left = sum(r[0] == 0 for r in group)
@@ -246,6 +252,8 @@ def _unit(group: list[tuple], num: int, den: int, docs: int, elements: int) -> t
                 continue
             rows = np.r_[a:b] if (a, b) == (c, d) else np.r_[a:b, c:d]
             mask = linked([sets[i] for i in rows], num, den, 0 if (a, b) == (c, d) else b - a)
+            if led.shape[1]:
+                mask &= ~(led[rows] @ led[rows].T > 0)
             weight[rows] += mask @ copies[rows]
             for i, m in enumerate(_forest(mask)):
                 y, z = sorted((root(rows[i]), root(rows[m])))
@@ -255,7 +263,7 @@ def _unit(group: list[tuple], num: int, den: int, docs: int, elements: int) -> t
 
 
 def _verified(units: DataFrame, num: int, den: int, docs: int, elements: int) -> DataFrame:
-    """units (family, bin, kind, i, j, side, node, n, copies, set) as a, b (links of a spanning forest) and a's links."""
+    """units (family, bin, kind, i, j, side, node, n, copies, own, set) as a, b (links of a spanning forest) and a's links."""
     names = ["a", "b", "links"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,10 +272,10 @@ def _verified(units: DataFrame, num: int, den: int, docs: int, elements: int) ->
 
         def close():
             if len(group) > 1:
-                for o, x in zip(out, _unit(group, num, den, docs, elements)):
+                for o, x in zip(out, _unit(key[0], group, num, den, docs, elements)):
                     o.extend(x)
 
-        for batch in slices(batches, 9):
+        for batch in slices(batches, 10):
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[:5] != key:
                     close()
@@ -281,30 +289,34 @@ def _verified(units: DataFrame, num: int, den: int, docs: int, elements: int) ->
 
     by = ["family", "bin", "kind", "i", "j"]
     ordered = units.repartition(*by).sortWithinPartitions(*by)
-    return ordered.select(*by, "side", "node", "n", "copies", "set").mapInArrow(run, "a long, b long, links long")
+    return ordered.select(*by, "side", "node", "n", "copies", "own", "set").mapInArrow(run, "a long, b long, links long")
 
 
-def _placed(members: DataFrame, num: int, den: int, block_docs: int, block_elements: int) -> DataFrame:
-    """members (node, family, n, copies) with bin, block, and the numbers of blocks of the bin and its neighbours.
+def _placed(members: DataFrame, num: int, den: int, block_docs: int, block_elements: int, broadcast_ids: int) -> DataFrame:
+    """members (node, family, n) with bin, block, and the numbers of blocks of the bin and its neighbours.
 
     A family of one block is one unit. Of a larger one, bin is the logarithm of n to the base of den / num, rounded
     down: sets that link are in the same bin (kind 0) or in neighbouring ones (kind 1, named by the lower one).
     """
     blocks = F.ceil(F.greatest(F.count("*") / block_docs, F.sum("n") / block_elements)).cast("int")
-    families = members.groupBy("family").agg(blocks.alias("whole"))
+    large = written(members.groupBy("family").agg(blocks.alias("whole")).where("whole > 1").select("family"), "large")
+    hint = F.broadcast if large.count() <= broadcast_ids else (lambda df: df)
     width = math.log(den / num) * (1 + 1e-9) if num < den else 1e-9
-    members = members.join(families, "family").withColumn("bin", F.when(F.col("whole") > 1, F.floor(F.log("n") / width).cast("int")).otherwise(0))
-    bins = members.where("whole > 1").groupBy("family", "bin").agg(blocks.alias("blocks"))
+    members = members.withColumn("bin", F.floor(F.log("n") / width).cast("int"))
+    bins = members.join(hint(large), "family", "left_semi").groupBy("family", "bin").agg(blocks.alias("blocks"))
     for name, step in (("below", 1), ("above", -1)):
         other = bins.select("family", (F.col("bin") + step).alias("bin"), F.col("blocks").alias(name))
         bins = bins.join(other, ["family", "bin"], "left")
-    members = members.join(bins, ["family", "bin"], "left").fillna({"blocks": 1, "below": 0, "above": 0})
+    bins = written(bins.fillna(0), "bins")
+    hint = F.broadcast if bins.count() <= broadcast_ids else (lambda df: df)
+    members = members.join(hint(bins), ["family", "bin"], "left")
+    members = members.withColumn("bin", F.when(F.col("blocks").isNull(), 0).otherwise(F.col("bin"))).fillna({"blocks": 1, "below": 0, "above": 0})
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    return members.select("node", "family", "n", "copies", "bin", block.alias("block"), "blocks", "below", "above")
+    return members.select("node", "family", "bin", block.alias("block"), "blocks", "below", "above")
 
 
 def _units(sets: DataFrame) -> DataFrame:
-    """Placed sets, once for each unit they are in."""
+    """Sets (node, n, copies, own, places, set), once for each unit they are in."""
 
     def unit(bin_: Column, kind: int, i: Column, j: Column, side: Column) -> Column:
         return F.struct(bin_.alias("bin"), F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
@@ -316,8 +328,9 @@ def _units(sets: DataFrame) -> DataFrame:
     own = each("blocks", lambda o: unit(here, 0, F.least(block, o), F.greatest(block, o), F.when(block <= o, zero).otherwise(one)))
     up = each("above", lambda o: unit(here, 1, block, o, zero))
     down = each("below", lambda o: unit(here - 1, 1, o, block, one))
+    each_place = sets.select("node", "n", "copies", "own", "set", F.inline("places"))
     units = F.explode(F.concat(own, up, down)).alias("u")
-    return sets.select("node", "family", "n", "copies", "set", units).select("node", "family", "n", "copies", "set", "u.*")
+    return each_place.select("node", "family", "n", "copies", "own", "set", units).select("node", "family", "n", "copies", "own", "set", "u.*")
 
 
 def join(
@@ -335,7 +348,7 @@ def join(
     """For each row of docs: doc_id, n_shingles, component_id, n_links (linked documents, equal sets included).
 
     Blocks (what a unit gets) and parts (what is multiplied at once) are bounded by documents and elements. Tables of
-    at most broadcast_ids nodes are broadcast to the texts; beyond, the nodes' texts are written once, by a shuffle join.
+    at most broadcast_ids nodes or families are broadcast; beyond, the nodes' texts are written once, by a shuffle join.
     """
     num, den = percent, 100
     spark = docs.sparkSession
@@ -350,26 +363,31 @@ def join(
         nodes = texts.join(F.broadcast(reps.select("node")) if few else reps.select("node"), "node")
         if not few:
             nodes = written(nodes, "nodes")
-        stars = candidates(nodes, words, num, den)
-        families = written(components(stars), "families")
-        members = families.select("node", F.col("component").alias("family")).join(reps.select("node", "n", "copies"), "node")
-        members = _placed(members, num, den, block_docs, block_elements)
-        if few:
-            members = F.broadcast(members)
+        own = candidates(nodes, words, num, den)
+        sized = own.join(reps.select("node", "n", "copies"), "node")
+        members = sized.select("node", "n", F.get("own", F.lit(0)).alias("f"), F.explode("own").alias("family"))
+        busy = members.groupBy("family").agg(F.min("f").alias("x"), F.max("f").alias("y"), F.count("*").alias("m"))
+        busy = written(busy.where("m > 1 AND (x <> y OR x = family)").select("family"), "busy")
+        members = members.join(F.broadcast(busy) if busy.count() <= broadcast_ids else busy, "family", "left_semi")
+        places = _placed(members.drop("f"), num, den, block_docs, block_elements, broadcast_ids)
+        place = "array<struct<family:long,bin:int,block:int,blocks:int,below:int,above:int>>"
+        places = places.groupBy("node").agg(F.collect_list(F.struct("family", "bin", "block", "blocks", "below", "above")).alias("places"))
+        places = written(places.join(sized, "node"), "places")
+        if (places.agg(F.sum(F.size("places") + F.size("own"))).first()[0] or 0) <= 4 * broadcast_ids:
+            places = F.broadcast(places)
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, 1, 1 << 20):
                 h, n = shingle_sets(batch.column(1).to_pylist(), words)
                 ends = np.cumsum(n)
                 found = pa.array([h[e - m : e].tobytes() for e, m in zip(ends, n)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], found], names=[*columns, "set"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], found], names=["node", "n", "copies", "own", "places", "set"])
 
-        columns = ["node", "family", "n", "copies", "bin", "block", "blocks", "below", "above"]
-        chosen = nodes.join(members, "node").select("node", "text", *columns[1:])
-        units = _units(chosen.mapInArrow(sets, "node long, family long, n long, copies long, bin int, block int, blocks int, below int, above int, set binary"))
+        chosen = nodes.join(places, "node").select("node", "text", "n", "copies", "own", "places")
+        units = _units(chosen.mapInArrow(sets, f"node long, n long, copies long, own array<long>, places {place}, set binary"))
         found = written(_verified(units, num, den, part_docs, part_elements), "links")
         classes = written(components(found.select("a", "b")), "classes")
-        discard(stars, families)
+        discard(own)
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
     own = reps.join(classes, "node", "left").join(links, reps.node == links.a, "left").withColumn("component", F.coalesce("component", "node"))
     least = own.groupBy("component").agg(F.min("rep").alias("component_id"))
