@@ -373,7 +373,7 @@ def join(
         place = "array<struct<family:long,bin:int,block:int,blocks:int,below:int,above:int>>"
         places = places.groupBy("node").agg(F.collect_list(F.struct("family", "bin", "block", "blocks", "below", "above")).alias("places"))
         places = written(places.join(sized, "node"), "places")
-        if (places.agg(F.sum(F.size("places") + F.size("own"))).first()[0] or 0) <= 4 * broadcast_ids:
+        if (places.agg(F.sum(F.size("places") + F.size("own"))).first()[0] or 0) <= broadcast_ids:
             places = F.broadcast(places)
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
