@@ -262,12 +262,19 @@ def write(
     seq_len: int = 2048,
     batch_sequences: int = 64,
     shards: int | None = None,
+    shard_bytes: int = 1 << 28,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> list[dict]:
-    """Writes docs under path (a folder that all executors reach); returns the manifest, one entry for each shard."""
+    """Writes docs under path (a folder that all executors reach); returns the manifest, one entry for each shard.
+
+    Without a number of shards there are as many as shuffle partitions, or more where a shard would be of more than
+    about shard_bytes of text.
+    """
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if shards is None:
+        size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
     vocabulary = max(_tokenizer(tokenizer_path).get_vocab_size(with_added_tokens=True), end_id + 1)
     dtype = np.uint16 if vocabulary <= 1 << 16 else np.uint32
 
