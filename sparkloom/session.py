@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
 import uuid
@@ -48,19 +47,17 @@ _ROOTS: set[str] = set()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder. The scratch of an application is deleted when its driver ends."""
+    """A new path under the shared folder. The scratch of an application is deleted when its driver's JVM ends."""
     root = f"{shared_dir(spark)}/sparkloom/{spark.sparkContext.applicationId}"
     if root not in _ROOTS:
         _ROOTS.add(root)
-        atexit.register(_forget, spark, root)
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
-def _forget(spark: SparkSession, root: str) -> None:
-    if spark.sparkContext._jsc is not None:  # a stopped context has no file systems left
-        delete_path(spark, root)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: its lineage ends there and survives lost executors."""
     spark = df.sparkSession
