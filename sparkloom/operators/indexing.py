@@ -123,6 +123,16 @@ class Store:
     def save_graph(self, edges: DataFrame) -> None:
         self.save({"edges": edges})
 
+    def save_index(self, index, rows: DataFrame) -> None:
+        """An index of vectors and its table, beside the other tables."""
+        index.save(rows, f"{self.path}/vectors")
+
+    def load_index(self):
+        """The index of vectors and its table."""
+        from sparkloom.operators.search import IvfIndex
+
+        return IvfIndex.load(self.spark, f"{self.path}/vectors")
+
     def file(self, path: str) -> DataFrame:
         return self.table("files").where(F.col("path") == path)
 
@@ -197,6 +207,11 @@ def index_files(store: Store, files: DataFrame, config: IndexConfig | None = Non
     }
 
 
+def sync(store: Store, scan: Callable[[], DataFrame], config: IndexConfig | None = None) -> dict:
+    """Brings a store up to date with chunks found line by line; a batch whose vectors fail keeps its files."""
+    return index_files(store, scan(), replace(config or IndexConfig(), syntax=False))
+
+
 def ensure_indexed(store: Store, scan: Callable[[], DataFrame], config: IndexConfig | None = None) -> bool:
     """Indexes without vectors where the store has no file yet, for a first search at once; whether it did."""
     if "files" in store.tables() and not store.table("files").isEmpty():

@@ -9,15 +9,27 @@ from sparkloom.functions.scores import EMPTY_LENGTH, bm25_term, idf
 from sparkloom.functions.text import tokens
 
 
-def postings(chunks: DataFrame, key: str, text: str) -> DataFrame:
-    """term, chunk key, tf, length in bytes: an inverted index to keep as a table; a query then reads its terms only."""
+def postings(chunks: DataFrame, key: str, text: str, only: list[str] | None = None) -> DataFrame:
+    """term, chunk key, tf, length in bytes: an inverted index to keep as a table; a query then reads its terms only.
+
+    only: terms to which the index is limited, for one query without a stored index; other tokens do not leave the row.
+    """
+    found = tokens(F.col(text))
+    if only is not None:
+        wanted = F.array(*map(F.lit, only)) if only else F.array().cast("array<string>")
+        found = F.filter(found, lambda t: F.array_contains(wanted, t))
     return (
-        chunks.select(F.col(key), F.octet_length(text).cast("double").alias("length"), F.explode(tokens(F.col(text))).alias("term"))
+        chunks.select(F.col(key), F.octet_length(text).cast("double").alias("length"), F.explode(found).alias("term"))
         .groupBy("term", key)
         .agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     )
 
 
+def query_terms(spark, query: str) -> list[str]:
+    """The different tokens of a query."""
+    return sorted(set(spark.range(1).select(tokens(F.lit(query)).alias("t")).first()[0]))
+
+
 def corpus(chunks: DataFrame, text: str) -> DataFrame:
     """One row: n (chunks) and average (length in bytes; 500 without chunks)."""
     return chunks.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(text)) / F.nullif(F.count("*"), F.lit(0)), F.lit(EMPTY_LENGTH)).alias("average"))

@@ -133,6 +133,35 @@ class LocalServer:
             return False
 
 
+class EndpointReranker:
+    """A reranking endpoint of the usual form: {model, query, documents} in, results[].{index, relevance_score} out."""
+
+    def __init__(self, url: str, model: str, key: str, post: Post = post_json):
+        self.url, self.model, self.key, self.post = url, model, key, post
+
+    def scores(self, query: str, texts: list[str]) -> list[float]:
+        body = {"model": self.model, "query": query, "documents": texts, "top_n": len(texts)}
+        out = [0.0] * len(texts)
+        for r in self.post(self.url, body, {"Authorization": f"Bearer {self.key}"})["results"]:
+            out[r["index"]] = float(r["relevance_score"])
+        return out
+
+
+#: Reranking services in the order they are tried: name, endpoint, model.
+RERANKERS = [
+    ("jina", "https://api.jina.ai/v1/rerank", "jina-reranker-v2-base-multilingual"),
+    ("cohere", "https://api.cohere.ai/v1/rerank", "rerank-english-v3.0"),
+]
+
+
+def reranker(keys: dict[str, str], post: Post = post_json) -> Callable[[str, list[str]], list[float]] | None:
+    """The scorer of the first service that a key is given for; None, for search.rerank() to leave the order, without one."""
+    for name, url, model in RERANKERS:
+        if keys.get(name):
+            return EndpointReranker(url, model, keys[name], post).scores
+    return None
+
+
 class CachedProvider:
     """Keeps the vectors of the last `most` different texts."""
 

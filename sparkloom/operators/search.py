@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import scores as S
 from sparkloom.functions import vectors as V
-from sparkloom.functions.text import extension, tokens
+from sparkloom.functions.text import extension
 from sparkloom.operators import keyword
 from sparkloom.session import delete_path, scratch_path
 
@@ -174,13 +174,14 @@ def hybrid(
 ) -> DataFrame:
     """key, score, bm25_score (normalised), vector_score, rank: the blend of cosine and BM25 over all chunks.
 
-    index and total: a stored postings table and corpus row; without them they are computed from chunks. The type
+    index and total: a stored postings table and corpus row; without them they are computed from chunks, the index for
+    the query's terms alone. The type
     filter comes first, statistics stay those of the whole corpus. near: keys that an index of vectors found; only they
     are scored. late: key, late_score; the blend is then of three, 0 for chunks it lacks. weights: of vector and
     keyword score, or of vector, late and keyword score.
     """
     spark = chunks.sparkSession
-    index = keyword.postings(chunks, key, text) if index is None else index
+    index = keyword.postings(chunks, key, text, keyword.query_terms(spark, query)) if index is None else index
     total = keyword.corpus(chunks, text) if total is None else total
     asked = spark.createDataFrame([(0, query)], "query_id long, query string")
     found = keyword.scores(index, total, asked, key)
@@ -199,7 +200,7 @@ def hybrid(
 
 def keyword_rerank(results: DataFrame, query: str, key: str, text: str = "content", step: float = 0.05) -> DataFrame:
     """score raised by step for each distinct query term in the text, ranked again."""
-    asked = results.sparkSession.range(1).select(tokens(F.lit(query)).alias("t")).first()[0]
+    asked = keyword.query_terms(results.sparkSession, query)
     terms = F.array(*[F.lit(t) for t in asked]) if asked else F.array().cast("array<string>")
     raised = results.withColumn("score", F.col("score") + step * keyword.overlap(terms, F.col(text)))
     return raised.drop("rank").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)).cast("long"))

@@ -110,7 +110,8 @@ def bm25_top_terms(spark, sf):
 def bm25_topk(spark, sf):
     chunks = T.chunks(spark, sf)
     asked = spark.createDataFrame([(0, T.QUERY)], "query_id long, query string")
-    found = keyword.scores(keyword.postings(chunks, "chunk_id", "content"), keyword.corpus(chunks, "content"), asked, "chunk_id")
+    index = keyword.postings(chunks, "chunk_id", "content", keyword.query_terms(spark, T.QUERY))
+    found = keyword.scores(index, keyword.corpus(chunks, "content"), asked, "chunk_id")
     return rounded(search.best(found.select("chunk_id", F.round("bm25", 9).alias("bm25")), "bm25", 10, "chunk_id"), "bm25")
 
 
