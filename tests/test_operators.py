@@ -501,3 +501,41 @@ def test_toolbox(spark, tmp_path):
     assert "Question: how?" in call("ask_codebase", question="how?")[0]
     assert "Symbols: 2" in call("get_file_context", file_path=f"{src}/a.py")[0] and call("get_file_context", file_path="x")[1]
     assert "  b.rs" in call("list_indexed_files", pattern="*.rs")[0] and "a.py" not in call("list_indexed_files", pattern="*.rs")[0]
+
+
+def test_rerankers():
+    from sparkloom.operators import providers as P
+
+    post = lambda url, body, headers: {"results": [{"index": 0, "relevance_score": len(headers["Authorization"])}]}
+    assert P.reranker({}) is None and P.reranker({"cohere": "abc"}, post)("q", ["a", "b"]) == [10.0, 0.0]
+
+
+def test_command_line(spark, tmp_path):
+    from sparkloom import cli
+
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a.py").write_text(PYTHON)
+    (src / "b.rs").write_text(RUST)
+    call = lambda *a: cli.run(spark, ["--root", str(tmp_path / "root"), *a])[0]
+    assert call("status")["files"] == 0
+    assert call("index", str(src))["indexed"] == 2 and call("i", str(src))["indexed"] == 0
+    assert call("status")["files"] == 2 and len(call("st")["per_file"]) == 2
+    found = call("search", "adds two numbers sum", "--content")
+    assert found[0]["path"].endswith("a.py") and found[0]["rank"] == 1 and "def top" in found[0]["content"]
+    assert {r["path"][-3:] for r in call("s", "x", "-t", "rs")} == {".rs"}
+    assert "Question: why?" in call("ask", "why?")[0]["prompt"]
+    assert call("compile", str(src))["symbols"] == 4 and call("symbols", "top")[0]["name"] == "top"
+    store = indexing.Store(spark, str(tmp_path / "root"))
+    own = graph.file_edges(spark.createDataFrame([(f"r:{src}/{n}", "r") for n in ("a.py", "b.rs")], "id string, repo_id string"))
+    store.save_graph(graph.all_edges(own, graph.import_edges(spark.createDataFrame([(f"r:{src}/a.py", f"r:{src}/b.rs")], "src string, dst string"))))
+    assert call("graph") == [{"file": f"r:{src}/a.py", "imports": 1}]
+    assert {"section": "import", "name": f"{src}/b.rs"} in call("graph", "a.py")
+    assert len(call("search", "adds two numbers sum", "-t", "py", "--related", "1")) > len(call("search", "adds two numbers sum", "-t", "py"))
+    index = search.IvfIndex(cells=2, threshold=0)
+    rows = store.table("chunks").select(F.monotonically_increasing_id().alias("vec_id"), "embedding")
+    store.save_index(index, index.build(rows))
+    again, table = store.load_index()
+    assert again.size(table) == rows.count()
+    assert indexing.sync(store, lambda: files.scan_tree(spark, str(src)))["indexed"] == 0
+    assert call("clean", "--all")["removed"] == 1 and call("status")["files"] == 0
