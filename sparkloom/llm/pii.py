@@ -68,6 +68,12 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, free))
 
 
+def _byte(digits: str) -> bool:
+    """Whether ASCII digits, however many, are a number of at most 255."""
+    value = digits.lstrip("0")
+    return len(value) < 3 or len(value) == 3 and value <= "255"
+
+
 def _ips(text: str) -> Iterator[tuple[int, int]]:
     for run in _DOTTED.finditer(text):
         if run[0].count(".") < 3:
@@ -79,7 +85,7 @@ def _ips(text: str) -> Iterator[tuple[int, int]]:
             at += len(p) + 1
         while i + 3 < len(parts):
             if all(parts[i : i + 4]):
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts[i : i + 4]):
+                if all(_byte(p) for p in parts[i : i + 4]):
                     yield starts[i], starts[i + 3] + len(parts[i + 3])
                 i += 4
             else:
@@ -136,7 +142,7 @@ def _features(token: str, before: str, after: str) -> np.ndarray:
     x[22] = after.startswith("(")
     x[23] = "/" in token or ":" in token
     x[24] = 12 <= digits <= 19 and luhn(number)
-    x[25] = x[9] and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in bare.split("."))
+    x[25] = x[9] and all(p.isascii() and p.isdigit() and len(p) <= 3 and _byte(p) for p in bare.split("."))
     x[26] = len(bare) >= 16 and x[14]
     x[27] = len(bare) >= 16 and x[14] and bare.isalnum()
     x[28] = before[-1:] in ("=", ":")
