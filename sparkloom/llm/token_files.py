@@ -37,7 +37,6 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         _TOKENIZERS[path] = Tokenizer.from_file(path)
-        _TOKENIZERS[path].encode_special_tokens = True  # their strings in a text are ordinary text
     return _TOKENIZERS[path]
 
 
@@ -73,13 +72,18 @@ class Encoder:
     A chunk of up to 15 bytes is known by those bytes and their number, in two words, in an open-addressing table of
     2^bits places; a longer one, up to `longest`, by its bytes in a dict. Both start anew when the table is half full
     or the ids take 2^(bits + 2) places. Chunks beyond `longest` are not kept.
+
+    The string of an added token in a text becomes that token's id, as in the library. It holds no white space and takes
+    none beside it, so no cut falls inside; with a tokenizer whose added tokens do, texts are not cut.
     """
 
     def __init__(self, path: str, bits: int = 20, longest: int = 64):
         self.tokenizer, self.bits, self.longest = _tokenizer(path), bits, longest
-        words = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.size = np.zeros(max(words.values()) + 1, np.int64)  # bytes of each token: byte-level tokens have a character for each
+        words, added = self.tokenizer.get_vocab(with_added_tokens=False), self.tokenizer.get_added_tokens_decoder()
+        self.size = np.zeros(max([*words.values(), *added]) + 1, np.int64)  # bytes of each token: byte-level tokens have a character for each
         self.size[list(words.values())] = [len(w) for w in words]
+        self.size[list(added)] = [len(t.content.encode()) for t in added.values()]
+        self.cut = not any(t.lstrip or t.rstrip or t.single_word or t.normalized or len(t.content.split()) != 1 or t.content != t.content.strip() for t in added.values())
         self.clear()
 
     def clear(self) -> None:
@@ -157,7 +161,7 @@ class Encoder:
         ends = np.cumsum([len(r) for r in raw]) if raw else np.zeros(0, np.int64)
         bounds = np.concatenate([[0], ends])
         safe = np.zeros(len(data) + 1, bool)
-        safe[cuts(data)] = True
+        safe[cuts(data) if self.cut else []] = True
         safe[bounds] = safe[np.maximum(bounds - 1, 0)] = False  # a space at a text's end is not between characters
         begins = safe.copy()
         begins[bounds[:-1][np.diff(bounds) > 0]] = True

@@ -44,7 +44,7 @@ def texts():
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_sql_twin(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = Q.queries()[name](spark, SF)
     columns = sorted(df.columns)
@@ -321,6 +321,37 @@ def test_skip_chain_adds_a_repeated_number():
     assert pii.mask(text, sorted({*base, *added})).count("[PHONE]") == 2
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([*"12.@+- a", "²", "③", "٣", "1.2.3.", "00255", "0" * 4400, "999", " = "]), max_size=14).map("".join))
+def test_pii_of_digits_of_all_kinds(text):
+    want = []
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or "0") <= 255 for x in m[0].split(".")):
+            want.append((m.start(), 1, m.end()))
+    spans = pii.base_spans(text)
+    assert [s for s in spans if s[1] == 1] == want
+    pii.Graph(text, spans)
+
+
+def test_pii_unusual_digits(spark):
+    rows = [(0, "see 1.2.3.² here"), (1, "1.2.3." + "0" * 5000), (2, "③.1.2.3 and ٣.٣.٣.٣"), (3, "x@y.z " + "9" * 5000)]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].n_ip for i in range(4)] == [0, 1, 0, 0] and got[3].n_email == 1
+
+
+def test_token_files_with_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    end, path = "<|endoftext|>", scratch_path(spark, "t")
+    texts = [f"a {end} b", end, f"{end}{end}", f" {end}", f"{end} ", f"x{end}y {end}  z\n{end}", f"plain words {end}" * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    manifest = token_files.write(docs, path, tokenizers_path("byte_bpe_50k.json"))
+    tokenizer = Tokenizer.from_file(tokenizers_path("byte_bpe_50k.json"))
+    for r in token_files.read(spark, path, manifest).collect():
+        ids = np.array([*tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids, 0], "<u4")
+        assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_pii_odd(spark, odd, empty):
     rows = pii.find(odd.withColumn("spans", F.lit(1)), masked=True).collect()
     assert len(rows) == len(ODD) + 2 and rows[0].text is None
