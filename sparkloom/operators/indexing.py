@@ -8,15 +8,17 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import chunk_id, file_hash, hierarchy
-from sparkloom.operators import keyword
+from sparkloom.operators import keyword, snapshots
 from sparkloom.operators.chunking import chunk_files
 from sparkloom.operators.providers import EmbeddingProvider, HashingProvider, local_provider
+from sparkloom.operators.snapshots import clear_all, stores  # noqa: F401
 from sparkloom.operators.symbols import code_map, latest
-from sparkloom.session import delete_path
+from sparkloom.session import discard, written
+
 
 @dataclass
 class IndexConfig:
@@ -70,51 +72,9 @@ def removed(rows: DataFrame, paths: DataFrame, column: str, path: str = "path")
     return rows.join(paths.select(F.col(path).alias(column)).distinct(), column, "left_anti").select(*rows.columns)
 
 
-class Store:
-    """A named set of tables under a folder. Each save writes a new version and then points CURRENT at it."""
-
-    def __init__(self, spark: SparkSession, root: str, name: str = "default"):
-        self.spark, self.path = spark, f"{root.rstrip('/')}/{name}"
-
-    def _fs(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def version(self) -> int:
-        """The current version; 0 before the first save."""
-        p, fs = self._fs(self.path)
-        if not fs.exists(p):
-            return 0
-        done = [s.getPath().getName() for s in fs.listStatus(p)]
-        return max([int(n[1:]) for n in done if n.startswith("v") and n[1:].isdigit() and f"{n}.done" in done], default=0)
-
-    def save(self, tables: dict[str, DataFrame]) -> None:
-        """Writes a version; readers see it only when all its tables are there. Tables not given are carried over."""
-        now, after = self.version(), self.version() + 1
-        for name in {*tables, *self.tables()}:
-            df = tables[name] if name in tables else self.table(name)
-            df.write.mode("overwrite").parquet(f"{self.path}/v{after}/{name}")
-        p, fs = self._fs(f"{self.path}/v{after}.done")
-        fs.create(p, True).close()
-        if now > 1:  # readers of the last version may go on
-            delete_path(self.spark, f"{self.path}/v{now - 1}.done")
-            delete_path(self.spark, f"{self.path}/v{now - 1}")
-
-    def tables(self) -> list[str]:
-        if not self.version():
-            return []
-        p, fs = self._fs(f"{self.path}/v{self.version()}")
-        return sorted(s.getPath().getName() for s in fs.listStatus(p))
-
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self.version()}/{name}")
-
-    def export_json(self, folder: str) -> None:
-        for name in self.tables():
-            self.table(name).write.mode("overwrite").json(f"{folder}/{name}")
-
-    def import_json(self, folder: str, schemas: dict[str, str]) -> None:
-        self.save({n: self.spark.read.schema(s).json(f"{folder}/{n}") for n, s in schemas.items()})
+class Store(snapshots.Store):
+    """A store with what indexing keeps in it: files, chunks, contents, postings, terms and lengths (and the views corpus
+    and idf), symbols and summaries, edges, and an index of vectors beside its versions."""
 
     def save_code_map(self, files: DataFrame) -> None:
         """Compiles files (path, content, language) to symbols and summaries; the other tables stay."""
@@ -133,42 +93,39 @@ class Store:
 
         return IvfIndex.load(self.spark, f"{self.path}/vectors")
 
-    def file(self, path: str) -> DataFrame:
-        return self.table("files").where(F.col("path") == path)
-
-    def counts(self) -> dict[str, int]:
-        """Rows of each table."""
-        return {n: self.table(n).count() for n in self.tables()}
-
-    def clear(self) -> None:
-        delete_path(self.spark, self.path)
 
+def _counted(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """rows as written() gives them, and their number, counted as they are written."""
+    seen = Observation()
+    return written(rows.observe(seen, F.count(F.lit(1)).alias("n")), name), seen.get["n"]
 
-def stores(spark: SparkSession, root: str) -> DataFrame:
-    """name, bytes of each store under root."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [(s.getPath().getName(), fs.getContentSummary(s.getPath()).getLength()) for s in fs.listStatus(p)] if fs.exists(p) else []
-    return spark.createDataFrame(found, "name string, bytes long")
 
+def _negated(rows: DataFrame, *names: str) -> DataFrame:
+    return rows.withColumns({n: -F.col(n) for n in names})
 
-def clear_all(spark: SparkSession, root: str) -> int:
-    """Removes every store under root; how many there were."""
-    names = [r["name"] for r in stores(spark, root).collect()]
-    for name in names:
-        Store(spark, root, name).clear()
-    return len(names)
 
+def index_files(store: Store, files: DataFrame, config: IndexConfig | None = None, ledger: tuple[str, int] | None = None) -> dict:
+    """Brings a store up to date with files (path, content, language) in one commit: changed files are cut and embedded
+    anew, files that are gone are removed, postings and statistics change by what these chunks add and take away. Returns
+    the metrics, which are counted as tables are written.
 
-def index_files(store: Store, files: DataFrame, config: IndexConfig | None = None) -> dict:
-    """Brings a store up to date with files (path, content, language): changed files are cut and embedded anew, files
-    that are gone are removed, statistics are recomputed. Returns the metrics."""
+    files is read once, so hashes, chunks and contents are those of the same bytes. ledger: (stream, batch) of a stream
+    that calls this; a batch that the store has noted already changes nothing.
+    """
     config = config or IndexConfig()
     began = time.monotonic()
-    now = files.withColumn("hash", file_hash(F.col("content")))
-    have = "files" in store.tables()
-    fresh = changed(now, store.table("files")) if have and config.incremental else now
+    step = store.begin()
+    if ledger and step.base.ledger.get(ledger[0], -1) >= ledger[1]:
+        return {"total_files": 0, "indexed": 0, "skipped": 0, "chunks": 0, "duration_ms": 0, "files_per_second": 0.0, "replayed": True}
+    base = snapshots.Snapshot(store, step.base)
+    now, total = _counted(files.withColumn("hash", file_hash(F.col("content"))), "scan")
+    have = "files" in base.tables() and config.incremental
+    fresh, touched, indexed = now, None, total
+    if have:
+        old = base.table("files")
+        new_paths, indexed = _counted(changed(now, old).select("path"), "fresh")
+        fresh = now.join(new_paths, "path", "left_semi")
+        touched = written(new_paths.unionByName(old.join(now, "path", "left_anti").select("path")).distinct(), "touched")
     chunks = chunk_files(fresh, config.syntax)
     chunks = chunks.select(
         chunk_id(F.col("path"), F.col("start_line"), F.col("end_line")).alias("id"),
@@ -184,26 +141,36 @@ def index_files(store: Store, files: DataFrame, config: IndexConfig | None = Non
     # an id is path and lines: of a line that fills up a chunk alone and its overlap, the longer text stays
     chunks = embedded(latest(chunks.withColumn("_n", F.struct(F.length("content"), F.col("content"))), "id", "_n").drop("_n"), config)
     entries = fresh.select("path", "hash", F.current_timestamp().alias("indexed_at"))
-    if have and config.incremental:
-        gone = store.table("files").join(now, "path", "left_anti").select("path")
-        touched = gone.unionByName(fresh.select("path"))
-        chunks = removed(store.table("chunks"), touched, "file_path").unionByName(chunks)
-        entries = removed(store.table("files"), touched, "path").unionByName(entries)
-    counts = fresh.count(), now.count()
-    contents = now.select("path", "content", "language")
-    store.save({"files": entries, "chunks": chunks, "contents": contents})
-    stored = store.table("chunks")
-    index = keyword.postings(stored, "id", "content")
-    total = keyword.corpus(stored, "content")
-    store.save({"postings": index, "corpus": total, "idf": keyword.document_frequencies(index, total)})
+    contents = fresh.select("path", "content", "language")
+    by_file = ("file_path", "start_line")
+    if have:
+        step.change("files", entries, touched, "path", ("path",))
+        step.change("contents", contents, touched, "path", ("path",))
+        stored = step.change("chunks", chunks, touched.select(F.col("path").alias("file_path")), "file_path", by_file)
+        lost = written(base.table("chunks").join(F.broadcast(touched) if indexed <= snapshots.BROADCAST_KEYS else touched, F.col("file_path") == F.col("path"), "left_semi").select("id", "content"), "lost")
+        index = step.change("postings", keyword.postings(stored, "id", "content"), lost.select("id"), "id", ("term", "id"))
+        less = keyword.term_counts(keyword.postings(lost, "id", "content"))
+        counts = keyword.term_counts(index).unionByName(_negated(less, "df")).groupBy("term").agg(F.sum("df").alias("df"))
+        step.add("terms", counts.where("df <> 0"), ("term",), ("term",))
+        sizes = keyword.lengths(stored, "content").unionByName(_negated(keyword.lengths(lost, "content"), "n", "bytes"))
+        step.add("lengths", sizes.agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")), ())
+    else:
+        step.restart("files", entries, "path", order=("path",))
+        step.restart("contents", contents, "path", order=("path",))
+        stored = step.restart("chunks", chunks, "file_path", order=by_file)
+        index = step.restart("postings", keyword.postings(stored, "id", "content"), "id", order=("term", "id"))
+        step.restart("terms", keyword.term_counts(index), by=("term",), order=("term",))
+        step.restart("lengths", keyword.lengths(stored, "content"), by=())
+    step.commit(ledger)
+    discard(*([now, new_paths, touched, lost] if have else [now]))
     spent = time.monotonic() - began
     return {
-        "total_files": counts[1],
-        "indexed": counts[0],
-        "skipped": counts[1] - counts[0],
-        "chunks": stored.count(),
+        "total_files": total,
+        "indexed": indexed,
+        "skipped": total - indexed,
+        "chunks": store.table("corpus").first().n,
         "duration_ms": round(1000 * spent),
-        "files_per_second": round(counts[0] / spent, 2) if spent else 0.0,
+        "files_per_second": round(indexed / spent, 2) if spent else 0.0,
     }
 
 

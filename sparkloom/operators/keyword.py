@@ -25,6 +25,16 @@ def postings(chunks: DataFrame, key: str, text: str, only: list[str] | None = No
     )
 
 
+def term_counts(index: DataFrame) -> DataFrame:
+    """term, df of a postings table."""
+    return index.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def lengths(chunks: DataFrame, text: str) -> DataFrame:
+    """One row to be summed: n (chunks) and bytes."""
+    return chunks.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0)).alias("bytes"))
+
+
 def query_terms(spark, query: str) -> list[str]:
     """The different tokens of a query."""
     return sorted(set(spark.range(1).select(tokens(F.lit(query)).alias("t")).first()[0]))

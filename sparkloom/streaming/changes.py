@@ -120,14 +120,21 @@ def watch(files: DataFrame, action: Callable[[DataFrame, int], None], checkpoint
     return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
 
 
-def reindex(store, scan: Callable[[], DataFrame], config=None) -> Callable[[DataFrame, int], None]:
-    """The action of a watch: when a micro-batch holds visible paths, the store is brought up to date with all files
-    that scan gives, incrementally. The paths themselves only say that something changed."""
+def reindex(store, scan: Callable[[], DataFrame], config=None, stream: str | None = None) -> Callable[[DataFrame, int], None]:
+    """The action of a watch: when a micro-batch holds visible paths, or flushes, the store is brought up to date with all
+    files that scan gives, incrementally. The paths themselves only say that something changed.
+
+    stream: a name of the stream for the store's ledger, which is committed with the data: a batch that is run again
+    after a failure between the commit and the stream's checkpoint changes nothing.
+    """
     from sparkloom.operators.indexing import index_files
 
     def action(events: DataFrame, batch: int) -> None:
-        if not visible(events).isEmpty():
-            index_files(store, scan(), config)
+        if stream is not None and store.applied(stream) >= batch:
+            return
+        # counted, not asked whether it is empty: all partitions of a stateful stream must run, or its state is not kept
+        if (visible(events) if "path" in events.columns else events).count():
+            index_files(store, scan(), config, None if stream is None else (stream, batch))
 
     return action
 
@@ -137,7 +144,27 @@ def daemon(store, scan: Callable[[], DataFrame], events: DataFrame, checkpoint:
     from sparkloom.operators.indexing import index_files
 
     index_files(store, scan(), config)
-    return watch(events, reindex(store, scan, config), checkpoint, every)
+    return watch(events, reindex(store, scan, config, checkpoint), checkpoint, every)
+
+
+def watch_tree(store, root: str, checkpoint: str, every: str | None = "1 second", config=None, rule: Debounce | None = None, scan: Callable[[], DataFrame] | None = None):
+    """Keeps a store up to date with a source tree; watch()'s handle.
+
+    The first batch holds every file and so makes the first index; after a restart from the checkpoint, the next batch
+    holds what changed meanwhile. Changes of hidden files do not count. rule: changes are collected to flushes first.
+    """
+    from sparkloom.sources.files import scan_tree
+    from sparkloom.sources.tree_changes import tree_changes
+
+    spark = store.spark
+    events = tree_changes(spark, root, f"{checkpoint.rstrip('/')}-snapshots", initial=True)
+    events = events.where(~F.contains(F.expr("substring(path, length(key) + 1)"), F.lit("/.")))
+    if rule is not None:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        events = flush_stream(events.select("key", "path"), rule)
+    else:
+        events = events.select("key", F.expr("substring(path, length(key) + 1)").alias("path"))
+    return watch(events, reindex(store, scan or (lambda: scan_tree(spark, root)), config, checkpoint), checkpoint, every)
 
 
 def gap_number(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
