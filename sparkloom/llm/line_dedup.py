@@ -241,5 +241,5 @@ def deduplicated(
     gone = written(found.groupBy(F.col("rid").alias("_rid")).agg(F.collect_list("h").alias("_gone")), "dropped-lines")
     discard(repeated)
     delete_path(spark, pairs_at)
-    joined = rows.join(gone, "_rid", "left").drop("_rid")
+    joined = rows.join(gone.hint("merge"), "_rid", "left").drop("_rid")
     return _rebuilt(joined.withColumn("text", F.col("text").cast("binary")), least_chars)
