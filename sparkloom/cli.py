@@ -6,6 +6,7 @@ Output is text, or with --json one JSON value. A store is named by --store under
 from __future__ import annotations
 
 import argparse
+import hashlib
 import json
 import os
 
@@ -17,6 +18,7 @@ from sparkloom.functions import text as X
 from sparkloom.operators import graph, indexing, search, symbols
 from sparkloom.operators.providers import HashingProvider, query_vector
 from sparkloom.sources import files, history
+from sparkloom.streaming import changes
 
 
 def _rows(df: DataFrame) -> list[dict]:
@@ -52,6 +54,15 @@ def parser() -> argparse.ArgumentParser:
     c = add("graph", "g")
     c.add_argument("file", nargs="?")
     c.add_argument("--depth", type=int, default=2)
+    c = add("watch", "w")
+    c.add_argument("path")
+    c.add_argument("--tier", choices=("fast", "balanced", "quality"), default="balanced")
+    c.add_argument("--once", action="store_true")
+    c = add("daemon")
+    c.add_argument("path")
+    c.add_argument("--tier", choices=("fast", "balanced", "quality"), default="balanced")
+    c.add_argument("--once", action="store_true")
+    add("serve")
     c = add("history", "h")
     c.add_argument("repo")
     c.add_argument("file", nargs="?")
@@ -74,7 +85,8 @@ def _index(spark, store, a):
 def _found(store, query: str, limit: int, types: list[str] | None = None) -> DataFrame:
     chunks = store.table("chunks")
     vector = query_vector(HashingProvider(), query)
-    found = search.hybrid(chunks, query, vector, limit, "id", path="file_path", types=types, index=store.table("postings"), total=store.table("corpus"))
+    near = indexing.nearest(store, vector, search.OVERFETCH * limit)
+    found = search.hybrid(chunks, query, vector, limit, "id", path="file_path", types=types, index=store.table("postings"), total=store.table("corpus"), near=near)
     return found.join(chunks.select("id", "file_path", "start_line", "end_line", "content"), "id")
 
 
@@ -134,7 +146,36 @@ def _history(spark, store, a):
     return _rows(commits.orderBy(F.desc("timestamp"), "hash").select(F.substring("hash", 1, 7).alias("hash"), "author", date, "message", "files_modified"))
 
 
+def _watched(spark, store, a, rule):
+    """Until it is stopped, or with --once until it has caught up. The stream's checkpoint lies beside the stores, so the
+    next run goes on where this one ends."""
+    name = hashlib.sha256(os.path.abspath(a.path).encode()).hexdigest()[:12]
+    checkpoint = os.path.join(os.path.dirname(a.root.rstrip("/")) or ".", f".{os.path.basename(a.root.rstrip('/'))}-streams", a.store, f"{name}-{'flushed' if rule else 'direct'}")
+    query = changes.watch_tree(store, os.path.abspath(a.path), checkpoint, None if a.once else "1 second", indexing.IndexConfig(a.tier), rule)
+    query.awaitTermination()
+    return {"version": store.version(), "files": store.table("files").count() if "files" in store.tables() else 0}
+
+
+def _watch(spark, store, a):
+    return _watched(spark, store, a, None)
+
+
+def _daemon(spark, store, a):
+    return _watched(spark, store, a, None if a.once else changes.Debounce())
+
+
+def _serve(spark, store, a):
+    import sys
+
+    from sparkloom.tools import Toolbox
+
+    return {"answered": Toolbox(spark, a.root).serve(sys.stdin, sys.stdout)}
+
+
 _COMMANDS = {
+    **dict.fromkeys(("watch", "w"), _watch),
+    "daemon": _daemon,
+    "serve": _serve,
     **dict.fromkeys(("index", "i"), _index),
     **dict.fromkeys(("search", "s"), _search),
     **dict.fromkeys(("ask", "a"), _ask),

@@ -30,6 +30,7 @@ class IndexConfig:
     incremental: bool = True
     syntax: bool = True
     provider: Callable[[], EmbeddingProvider] = field(default=HashingProvider)
+    graph_from: int = 1000  # chunks from which a graph index of their vectors is kept
     quality_provider: Callable[[], EmbeddingProvider] = field(default=lambda: local_provider("code"))
 
 
@@ -104,6 +105,61 @@ def _negated(rows: DataFrame, *names: str) -> DataFrame:
     return rows.withColumns({n: -F.col(n) for n in names})
 
 
+def start_statistics(step: snapshots.Commit, stored: DataFrame, key: str = "id", text: str = "content") -> None:
+    """Postings, document frequencies and lengths of all chunks."""
+    index = step.restart("postings", keyword.postings(stored, key, text), key, order=("term", key))
+    step.restart("terms", keyword.term_counts(index), by=("term",), order=("term",))
+    step.restart("lengths", keyword.lengths(stored, text), by=())
+
+
+def change_statistics(step: snapshots.Commit, stored: DataFrame, lost: DataFrame, key: str = "id", text: str = "content") -> None:
+    """What chunks that came and chunks that went add to postings, document frequencies and lengths, and take from them."""
+    index = step.change("postings", keyword.postings(stored, key, text), lost.select(key), key, ("term", key))
+    less = keyword.term_counts(keyword.postings(lost, key, text))
+    counts = keyword.term_counts(index).unionByName(_negated(less, "df")).groupBy("term").agg(F.sum("df").alias("df"))
+    step.add("terms", counts.where("df <> 0"), ("term",), ("term",))
+    sizes = keyword.lengths(stored, text).unionByName(_negated(keyword.lengths(lost, text), "n", "bytes"))
+    step.add("lengths", sizes.agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")), ())
+
+
+def _graph(step: snapshots.Commit, base: snapshots.Snapshot, stored: DataFrame, lost: DataFrame | None, n: int, n_lost: int, config: IndexConfig) -> None:
+    """The graph index of the chunks' vectors, from graph_from chunks on: new vectors come as shards, lost ones as removals;
+    what is scattered is built anew."""
+    from sparkloom.operators.graph_index import GraphIndex
+
+    index, version, none = GraphIndex(key="id"), step.base.version + 1, "id string, version int"
+    spark = stored.sparkSession
+    has = "graph" in base.tables() and any(s.rows for s in base.manifest.tables["graph"].segments)
+    if lost is None or not has:
+        if n >= config.graph_from and config.tier != "fast":
+            every = stored if lost is None else base.table("chunks").join(lost, "id", "left_anti").select("id", "embedding").unionByName(stored.select("id", "embedding"))
+            step.restart("graph", index.build(every, version), "shard")
+            step.restart("graph_gone", spark.createDataFrame([], none), "id")
+        elif has:  # all is new, and an older graph does not fit it
+            step.restart("graph", index.build(stored.where("false"), version), "shard")
+            step.restart("graph_gone", spark.createDataFrame([], none), "id")
+        return
+    old, gone = base.table("graph"), base.table("graph_gone")
+    if index.scattered(old, n_lost + sum(s.rows for s in base.manifest.tables["graph_gone"].segments)):
+        live = index.rows(old, gone.unionByName(lost.select("id", F.lit(version).alias("version"))))
+        step.restart("graph", index.build(live.unionByName(stored.select("id", "embedding")), version), "shard")
+        step.restart("graph_gone", spark.createDataFrame([], none), "id")
+        return
+    step.change("graph", index.build(stored, version), spark.createDataFrame([], "shard string"), "shard")
+    step.change("graph_gone", lost.select("id", F.lit(version).alias("version")), spark.createDataFrame([], "id string"), "id")
+
+
+def nearest(store: Store, vector: list[float], k: int) -> DataFrame | None:
+    """id of the k chunks whose vectors the graph index finds nearest; None where the store has no such index."""
+    from sparkloom.operators.graph_index import GraphIndex
+
+    now = store.snapshot()
+    if "graph" not in now.tables() or not any(s.rows for s in now.manifest.tables["graph"].segments):
+        return None
+    asked = store.spark.createDataFrame([(0, [float(x) for x in vector])], "query_id long, embedding array<double>")
+    return GraphIndex(key="id").search(now.table("graph"), asked, k, now.table("graph_gone")).select("id")
+
+
 def index_files(store: Store, files: DataFrame, config: IndexConfig | None = None, ledger: tuple[str, int] | None = None) -> dict:
     """Brings a store up to date with files (path, content, language) in one commit: changed files are cut and embedded
     anew, files that are gone are removed, postings and statistics change by what these chunks add and take away. Returns
@@ -147,20 +203,16 @@ def index_files(store: Store, files: DataFrame, config: IndexConfig | None = Non
         step.change("files", entries, touched, "path", ("path",))
         step.change("contents", contents, touched, "path", ("path",))
         stored = step.change("chunks", chunks, touched.select(F.col("path").alias("file_path")), "file_path", by_file)
-        lost = written(base.table("chunks").join(F.broadcast(touched) if indexed <= snapshots.BROADCAST_KEYS else touched, F.col("file_path") == F.col("path"), "left_semi").select("id", "content"), "lost")
-        index = step.change("postings", keyword.postings(stored, "id", "content"), lost.select("id"), "id", ("term", "id"))
-        less = keyword.term_counts(keyword.postings(lost, "id", "content"))
-        counts = keyword.term_counts(index).unionByName(_negated(less, "df")).groupBy("term").agg(F.sum("df").alias("df"))
-        step.add("terms", counts.where("df <> 0"), ("term",), ("term",))
-        sizes = keyword.lengths(stored, "content").unionByName(_negated(keyword.lengths(lost, "content"), "n", "bytes"))
-        step.add("lengths", sizes.agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")), ())
+        went = base.table("chunks").join(F.broadcast(touched) if indexed <= snapshots.BROADCAST_KEYS else touched, F.col("file_path") == F.col("path"), "left_semi")
+        lost, n_lost = _counted(went.select("id", "content"), "lost")
+        change_statistics(step, stored, lost)
+        _graph(step, base, stored, lost, base.table("corpus").first().n + step.wrote["chunks"] - n_lost, n_lost, config)
     else:
         step.restart("files", entries, "path", order=("path",))
         step.restart("contents", contents, "path", order=("path",))
         stored = step.restart("chunks", chunks, "file_path", order=by_file)
-        index = step.restart("postings", keyword.postings(stored, "id", "content"), "id", order=("term", "id"))
-        step.restart("terms", keyword.term_counts(index), by=("term",), order=("term",))
-        step.restart("lengths", keyword.lengths(stored, "content"), by=())
+        start_statistics(step, stored)
+        _graph(step, base, stored, None, step.wrote["chunks"], 0, config)
     step.commit(ledger)
     discard(*([now, new_paths, touched, lost] if have else [now]))
     spent = time.monotonic() - began

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from sparkloom.functions import scores as S
 from sparkloom.functions import vectors as V
 from sparkloom.functions.text import tokens
-from sparkloom.operators import keyword, search
+from sparkloom.operators import indexing, keyword, search
+from sparkloom.operators.graph_index import GraphIndex
 from sparkloom.plans import tables as T
 from sparkloom.plans.catalogue import register
+from sparkloom.session import scratch_path, written
 
 TOKENS = "list_filter(regexp_split_to_array(lower({}), '\\s+'), lambda x: x <> '')"
 DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
@@ -95,6 +97,43 @@ def ann_ivf_topk(spark, sf):
     return rounded(ann_found(spark, sf), "vector_score")
 
 
+def graph_index(spark, sf):
+    """A graph index of all rows, and the queries: every vector whose id is divisible by 20. Recall and the part of the
+    rows that is scored are tested."""
+    rows = T.read(spark, sf, "embeddings").select("vec_id", "embedding")
+    index = GraphIndex(search=16)
+    return index, index.build(rows), rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@register("ann_graph_topk")
+def ann_graph_topk(spark, sf):
+    index, table, asked = graph_index(spark, sf)
+    return rounded(index.search(table, asked, 10), "vector_score")
+
+
+_KEPT = BASE.replace("FROM documents)", "FROM documents WHERE source IS DISTINCT FROM 'src3')", 1)
+
+
+@register("bm25_incremental", _KEPT + " SELECT term, df, round(idf, 4) idf FROM idf")
+def bm25_incremental(spark, sf):
+    """Document frequencies that three commits have kept up: all documents, a third of them with other texts; the right
+    texts of that third; the removal of one source."""
+    docs = T.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source")
+    store, third = indexing.Store(spark, scratch_path(spark, "kept-up")), F.col("id") % 3 == 0
+    other = F.when(third, F.concat(F.lit("an older text "), F.substring("content", 1, 50))).otherwise(F.col("content"))
+    step = store.begin()
+    first = step.restart("chunks", docs.withColumn("content", other), "id", order=("id",))
+    indexing.start_statistics(step, first)
+    step.commit()
+    for new, old in ((third, third), (F.lit(False), F.col("source") == "src3")):
+        step, had = store.begin(), store.table("chunks")
+        lost = written(had.where(old).select("id", "content"), "lost")
+        stored = step.change("chunks", docs.where(new), lost.select("id"), "id", ("id",))
+        indexing.change_statistics(step, stored, lost)
+        step.commit()
+    return rounded(store.table("idf"), "idf")
+
+
 @register("bm25_idf", BASE + " SELECT term, df, round(idf, 4) idf FROM idf")
 def bm25_idf(spark, sf):
     chunks = T.chunks(spark, sf)

@@ -7,8 +7,11 @@ JSON-RPC.
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Callable
+import os
+from collections.abc import Callable, Iterable
+from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +19,9 @@ from pyspark.sql import functions as F
 from sparkloom.functions import scores as S
 from sparkloom.functions import text as X
 from sparkloom.operators import search, symbols
-from sparkloom.operators.indexing import IndexConfig, Store, index_files
+from sparkloom.operators.indexing import IndexConfig, Store, index_files, nearest
 from sparkloom.operators.providers import EmbeddingProvider, HashingProvider, query_vector
+from sparkloom.operators.snapshots import Files
 from sparkloom.sources.files import scan_tree
 
 PROTOCOL = "2024-11-05"
@@ -35,6 +39,7 @@ ARGUMENTS = {
     "get_file_context": {"file_path!": "string", "include_content": False},
     "list_indexed_files": {"pattern": "string"},
 }
+KINDS = {str: "string", int: "integer", bool: "boolean"}
 ABOUT = {
     "semantic_search": "Chunks that fit a question best, by meaning and words.",
     "index_directory": "Index a folder, or bring its index up to date, with its code map.",
@@ -52,26 +57,31 @@ class ToolError(Exception):
     """What a call answers when it cannot be served."""
 
 
+class BadArguments(Exception):
+    """Arguments of other types than the tool's schema has."""
+
+
 def definitions() -> list[dict]:
     """The tools with JSON schemas of their arguments."""
-    kinds = {str: "string", int: "integer", bool: "boolean"}
     out = []
     for name, own in ARGUMENTS.items():
         properties = {}
         for key, value in own.items():
             plain = key.rstrip("!")
-            properties[plain] = {"type": "string"} if value == "string" else {"type": kinds[type(value)], "default": value}
+            properties[plain] = {"type": "string"} if value == "string" else {"type": KINDS[type(value)], "default": value}
         required = [k[:-1] for k in own if k.endswith("!")]
         out.append({"name": name, "description": ABOUT[name], "inputSchema": {"type": "object", "properties": properties, "required": required}})
     return out
 
 
 class Toolbox:
-    """The tools over the stores under root. A call's path names the store; "default" is taken without one."""
+    """The tools over the stores under root, one for each indexed folder. A call's path is that folder or one below it (or
+    a store's name); without one, the folder that was indexed last is taken."""
 
     def __init__(self, spark: SparkSession, root: str, provider: Callable[[], EmbeddingProvider] = HashingProvider, scan: Callable[..., DataFrame] = scan_tree):
         self.spark, self.root, self.make, self.scan = spark, root, provider, scan
         self.provider = provider()
+        self.last: str | None = None
 
     # ---- protocol
 
@@ -83,8 +93,28 @@ class Toolbox:
             return json.dumps(self._error(None, -32700, f"Parse error: {e}"))
         return json.dumps(self.handle(request))
 
-    def handle(self, request: dict) -> dict:
-        key, method = request.get("id"), request.get("method")
+    def serve(self, lines: Iterable[str], out: TextIO) -> int:
+        """Answers requests, a line each, until lines end; how many were answered. Blank lines and notifications (without
+        an id) get no answer."""
+        answered = 0
+        for line in lines:
+            if not line.strip():
+                continue
+            try:
+                request = json.loads(line)
+            except ValueError:
+                request = None
+            if isinstance(request, dict) and "id" not in request and isinstance(request.get("method"), str):
+                continue
+            out.write(self.answer(line) + "\n")
+            out.flush()
+            answered += 1
+        return answered
+
+    def handle(self, request) -> dict:
+        if not isinstance(request, dict) or not isinstance(request.get("method"), str):
+            return self._error(request.get("id") if isinstance(request, dict) else None, -32600, "Invalid Request")
+        key, method = request.get("id"), request["method"]
         if method == "initialize":
             server = {"name": "sparkloom", "version": "0.1"}
             return self._result(key, {"protocolVersion": PROTOCOL, "capabilities": {"tools": {"listChanged": False}}, "serverInfo": server})
@@ -96,7 +126,12 @@ class Toolbox:
             params = request.get("params")
             if not isinstance(params, dict) or not isinstance(params.get("name"), str):
                 return self._error(key, -32602, "Missing params" if params is None else "Invalid params")
-            text, failed = self.call(params["name"], params.get("arguments"))
+            if not isinstance(params.get("arguments") or {}, dict):
+                return self._error(key, -32602, "Invalid params: arguments must be an object")
+            try:
+                text, failed = self.call(params["name"], params.get("arguments"))
+            except BadArguments as e:
+                return self._error(key, -32602, f"Invalid params: {e}")
             return self._result(key, {"content": [{"type": "text", "text": text}], "isError": failed})
         return self._error(key, -32601, f"Method not found: {method}")
 
@@ -113,26 +148,54 @@ class Toolbox:
         if name not in ARGUMENTS:
             return f"Unknown tool: {name}", True
         own, given = ARGUMENTS[name], arguments or {}
-        for key in own:
-            if key.endswith("!") and not isinstance(given.get(key[:-1]), str):
-                return f"Missing required '{key[:-1]}' argument", True
-        values = {k.rstrip("!"): given.get(k.rstrip("!"), None if v == "string" else v) for k, v in own.items()}
+        values = {}
+        for key, kind in own.items():
+            plain = key.rstrip("!")
+            value = given.get(plain)
+            if value is None:
+                if key.endswith("!"):
+                    return f"The argument '{plain}' is needed", True
+                value = None if kind == "string" else kind
+            elif not isinstance(value, str if kind == "string" else type(kind)) or isinstance(value, bool) and not isinstance(kind, bool):
+                raise BadArguments(f"{plain} must be of type {KINDS[str if kind == 'string' else type(kind)]}")
+            elif isinstance(value, int) and not isinstance(value, bool) and value < 1:
+                raise BadArguments(f"{plain} must be at least 1")
+            values[plain] = value
         try:
             return getattr(self, name)(**values), False
         except ToolError as e:
             return str(e), True
+        except Exception as e:  # a tool that breaks must not end the server
+            return f"{name} failed: {type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}", True
 
     # ---- tables
 
-    def _table(self, store: str | None, name: str) -> DataFrame:
-        own = Store(self.spark, self.root, store or "default")
+    @staticmethod
+    def _name(folder: str) -> str:
+        """The store of a folder."""
+        folder = os.path.abspath(folder)
+        return f"{os.path.basename(folder) or 'root'}-{hashlib.sha256(folder.encode()).hexdigest()[:12]}"
+
+    def _store(self, path: str | None) -> Store:
+        known = Files(self.spark).list(self.root)
+        if path is None:
+            return Store(self.spark, self.root, self.last or max(known, key=known.get, default="default"))
+        folder = os.path.abspath(path)
+        while self._name(folder) not in known and os.path.dirname(folder) != folder:
+            folder = os.path.dirname(folder)
+        name = self._name(folder)
+        return Store(self.spark, self.root, name if name in known else path if path in known else self._name(path))
+
+    def _table(self, path: str | None, name: str) -> DataFrame:
+        own = self._store(path).snapshot()
         if name not in own.tables():
-            raise ToolError(f"Nothing indexed in store {store or 'default'}: call index_directory first")
+            raise ToolError(f"Nothing indexed {'yet' if path is None else f'for {path}'}: call index_directory first")
         return own.table(name)
 
-    def _found(self, store: str | None, query: str, limit: int) -> DataFrame:
-        chunks, index, total = (self._table(store, n) for n in ("chunks", "postings", "corpus"))
-        found = search.hybrid(chunks, query, query_vector(self.provider, query), limit, "id", index=index, total=total)
+    def _found(self, path: str | None, query: str, limit: int) -> DataFrame:
+        chunks, index, total = (self._table(path, n) for n in ("chunks", "postings", "corpus"))
+        vector = query_vector(self.provider, query)
+        found = search.hybrid(chunks, query, vector, limit, "id", index=index, total=total, near=nearest(self._store(path), vector, search.OVERFETCH * limit))
         return found.join(chunks.select("id", "file_path", "start_line", "end_line", "content"), "id")
 
     @staticmethod
@@ -146,13 +209,14 @@ class Toolbox:
     def semantic_search(self, query: str, path: str | None, max_results: int, mode: str, include_content: bool) -> str:
         """mode is a name for the provider's model; the one of this toolbox serves all."""
         rows = self._shown(self._found(path, query, min(max_results, MOST_RESULTS)), 15 if include_content else 0)
-        return "\n\n".join([f"Found {len(rows)} results for: '{query}'", *rows]) if rows else f"No results found for query: '{query}'"
+        return "\n\n".join([f"{len(rows)} chunks fit '{query}' best:", *rows]) if rows else f"Nothing fits '{query}'"
 
     def index_directory(self, path: str, mode: str) -> str:
-        store = Store(self.spark, self.root)
+        store = Store(self.spark, self.root, self._name(path))
         files = self.scan(self.spark, path)
         metrics = index_files(store, files, IndexConfig("fast" if mode == "fast" else "balanced", provider=self.make))
         store.save_code_map(files)
+        self.last = self._name(path)
         return json.dumps(metrics)
 
     def get_codebase_map(self, path: str | None, minimal: bool) -> str:
@@ -171,7 +235,7 @@ class Toolbox:
         if head is None:
             raise ToolError(f"Symbol not found: {symbol_id}")
         out = [f"[{head.kind}] {head.signature} ({head.file}:{head.line})"]
-        store = Store(self.spark, self.root, path or "default")
+        store = self._store(path)
         if "symbol_edges" in store.tables():
             near = symbols.expand(own, store.table("symbol_edges"), symbol_id)
             out += [f"{r.direction}: {r['name']} ({r.file})" for r in near.orderBy("direction", "id").collect()]

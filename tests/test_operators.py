@@ -488,9 +488,9 @@ def test_toolbox(spark, tmp_path):
         found = ask("tools/call", name=tool, arguments=arguments)["result"]
         return found["content"][0]["text"], found["isError"]
 
-    assert call("none")[1] and call("semantic_search")[1] and call("semantic_search", query="x") == ("Nothing indexed in store default: call index_directory first", True)
+    assert call("none")[1] and call("semantic_search")[1] and call("semantic_search", query="x") == ("Nothing indexed yet: call index_directory first", True)
     assert json.loads(call("index_directory", path=str(src))[0])["total_files"] == 2
-    assert call("semantic_search", query="adds two numbers")[0].startswith("Found")
+    assert "chunks fit" in call("semantic_search", query="adds two numbers")[0]
     assert f"1. {src}/a.py" in call("semantic_search", query="adds two numbers sum")[0]
     assert "top" in call("get_codebase_map")[0] and "long_name" in call("get_codebase_map", minimal=True)[0]
     assert f"id {src}/a.py:top" in call("search_symbols", query="TOP")[0]
@@ -503,6 +503,47 @@ def test_toolbox(spark, tmp_path):
     assert "  b.rs" in call("list_indexed_files", pattern="*.rs")[0] and "a.py" not in call("list_indexed_files", pattern="*.rs")[0]
 
 
+def test_toolbox_folders_and_bad_requests(spark, tmp_path):
+    import io
+    import json
+
+    from sparkloom import tools
+
+    for name, text in (("a", PYTHON), ("b", RUST)):
+        (tmp_path / name / "sub").mkdir(parents=True)
+        (tmp_path / name / "sub" / f"{name}.{'py' if name == 'a' else 'rs'}").write_text(text)
+    box, a, b = tools.Toolbox(spark, str(tmp_path / "root")), str(tmp_path / "a"), str(tmp_path / "b")
+    requests = [
+        {"id": 1, "method": "tools/call", "params": {"name": "index_directory", "arguments": {"path": a, "mode": "fast"}}},
+        {"method": "notifications/initialized"},
+        {"id": 2, "method": "tools/call", "params": {"name": "index_directory", "arguments": {"path": b, "mode": "fast"}}},
+        {"id": 3, "method": "tools/call", "params": {"name": "semantic_search", "arguments": {"query": "numbers", "path": f"{a}/sub"}}},
+        {"id": 4, "method": "tools/call", "params": {"name": "search_symbols", "arguments": {"query": "top", "path": b}}},
+        {"id": 5, "method": "tools/call", "params": {"name": "semantic_search", "arguments": {"query": "x", "max_results": "3"}}},
+        [],
+        {"id": 6},
+        {"id": 7, "method": "tools/call", "params": {"name": "semantic_search", "arguments": {"query": "x", "max_results": True}}},
+        {"id": 8, "method": "tools/call", "params": {"name": "semantic_search", "arguments": {"query": "x", "max_results": 0}}},
+        {"id": 9, "method": "tools/call", "params": {"name": "semantic_search", "arguments": [1]}},
+        {"id": 10, "method": "tools/call", "params": {"name": "index_directory", "arguments": {"path": 5}}},
+        {"id": 11, "method": "tools/call", "params": {"name": "semantic_search", "arguments": {"query": "x", "path": str(tmp_path / "c")}}},
+        {"id": 12, "method": "tools/call", "params": {"name": "list_indexed_files", "arguments": {}}},
+        {"id": 13, "method": "ping"},
+    ]
+    out = io.StringIO()
+    assert box.serve([*(json.dumps(r) + "\n" for r in requests), "\n", "{\n"], out) == len(requests)
+    answers = [json.loads(x) for x in out.getvalue().splitlines()]
+    by = {r["id"]: r for r in answers if r["id"] is not None}
+    said = lambda n: by[n]["result"]["content"][0]["text"]
+    assert "a.py" in said(3) and "b.rs" not in said(3) and "a.py" not in said(4)
+    assert [by[n]["error"]["code"] for n in (5, 6, 7, 8, 9, 10)] == [-32602, -32600, -32602, -32602, -32602, -32602]
+    assert sorted(r["error"]["code"] for r in answers if r["id"] is None) == [-32700, -32600]
+    assert by[11]["result"]["isError"] and "b.rs" in said(12) and "a.py" not in said(12) and by[13]["result"] == {}
+    again = tools.Toolbox(spark, str(tmp_path / "root"))
+    again.scan = lambda *x: 1 / 0
+    assert again.call("index_directory", {"path": a}) == ("index_directory failed: ZeroDivisionError: division by zero", True)
+
+
 def test_rerankers():
     from sparkloom.operators import providers as P
 
