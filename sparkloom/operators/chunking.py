@@ -40,6 +40,27 @@ _C = (r"^[A-Za-z_][\w:<>,*&~\s]*\([^;]*$", r"^\s*(template\s*<[^>]*>\s*)?(typede
 SYNTAX_PATTERNS = LINE_PATTERNS | {"c": _C, "cpp": _C}
 
 
+_STRING = r'"(?:\\.|[^"\\\n])*"'
+_COMMENT = r"//[^\n]*|/\*.*?(?:\*/|\Z)"
+_BACKTICK = r"`(?:\\.|[^`\\])*`"
+#: What is not code in each language: comments, strings, raw and template literals, characters (but no lifetimes).
+NOT_CODE = {
+    "rust": rf"""{_COMMENT}|b?r(#*)".*?"\1|b?"(?:\\.|[^"\\])*"|b?'(?:\\[^\n]|[^'\\\n])'""",
+    "go": rf"""{_COMMENT}|{_STRING}|`[^`]*`|'(?:\\.|[^'\\\n])+'""",
+    "typescript": rf"""{_COMMENT}|{_STRING}|{_BACKTICK}|'(?:\\.|[^'\\\n])*'""",
+    "c": rf"""{_COMMENT}|{_STRING}|'(?:\\.|[^'\\\n])+'""",
+    "cpp": rf"""{_COMMENT}|R"([^()\\ ]*)\(.*?\)\1"|{_STRING}|'(?:\\.|[^'\\\n])+'""",
+}
+
+
+def only_code(content: str, language: str | None) -> str:
+    """content with spaces in place of what is no code in its language; lines stay."""
+    pattern = NOT_CODE.get(SAME_PATTERNS.get(language, language))
+    if pattern is None:
+        return content
+    return re.sub(pattern, lambda m: re.sub(r"[^\n]", " ", m[0]), content, flags=re.DOTALL)
+
+
 def split_lines(text: str) -> list[str]:
     out = [x[:-1] if x.endswith("\r") else x for x in text.split("\n")]
     return out[:-1] if out[-1] == "" else out
@@ -171,7 +192,7 @@ class SyntaxChunker:
     """Whole definitions with their names and parents: Python by its own parser, other languages by braces.
 
     An approximation of a grammar for the brace languages: a definition is a line that matches a pattern, up to its
-    closing brace; a definition inside a class has it as parent.
+    closing brace, where strings and comments do not count; a definition inside a class has it as parent.
     """
 
     def __init__(self, most: int = 1500, least: int = 50):
@@ -182,7 +203,7 @@ class SyntaxChunker:
         lines = split_lines(content)
         if not lines:
             return []
-        found = without_contained(self._python(content) if language == "python" else self._braces(lines, language))
+        found = without_contained(self._python(content) if language == "python" else self._braces(lines, split_lines(only_code(content, language)), language))
         out = []
         for first, last, kind, name, parent in found:
             body = "\n".join(lines[first - 1 : last])
@@ -213,16 +234,17 @@ class SyntaxChunker:
         walk(tree, None)
         return out
 
-    def _braces(self, lines: list[str], language: str | None) -> list[tuple]:
+    def _braces(self, lines: list[str], code: list[str], language: str | None) -> list[tuple]:
+        """code: the lines without strings and comments, whose braces and words do not count."""
         patterns = [re.compile(p) for p in SYNTAX_PATTERNS.get(SAME_PATTERNS.get(language, language), LINE_PATTERNS[None])[:3]]
-        shape = Shape(lines)
+        shape = Shape(code)
         word = re.compile(r"\b(?:fn|function|def|func|class|struct|enum|union|namespace|trait|impl|type|interface|const|let|var)\s+(\w+)|(\w+)\s*\(")
         out: list[tuple] = []
         open_classes: list[tuple[int, str | None]] = []
         for i, line in enumerate(lines):
             open_classes = [c for c in open_classes if c[0] > i]
             kind = next((k for k, p in zip(("function", "class", "import"), patterns) if p.search(line.strip())), None)
-            if kind is None:
+            if kind is None or not code[i].strip():  # none, or inside of a comment or string
                 continue
             end = i if kind == "import" else shape.brace_end(i)
             name = (m[1] or m[2] if (m := word.search(line)) else None) if kind != "import" else None

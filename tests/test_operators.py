@@ -468,6 +468,26 @@ def test_syntax_chunks_of_brace_languages():
     assert kinds("export function A(p) {\n  return 1;\n}\n", "tsx") == [("function", "A", 1, 3)]
 
 
+def test_braces_in_strings_and_comments_do_not_count():
+    c = chunking.SyntaxChunker(least=5)
+    kinds = lambda text, language: [(x[3], x[4], x[1], x[2]) for x in c.chunk(text, language)]
+    two = [("function", "one", 1, 4), ("function", "two", 6, 8)]
+    bodies = {
+        "go": ['a := "{"', "a := `{ \" {`", "a := '{'", "// {", "/* { \" */"],
+        "rust": ['let a = "{ \\" {";', 'let a = r#"{ " {"#;', "let a = '{';", "let a: &'a str = b; // {", "let a = b'{';"],
+        "typescript": ['const a = "{";', "const a = `{ ${b} {`;", "const a = '{ \\' {';", "// {", "/* { */"],
+        "c": ['char *a = "{";', "char a = '{';", "// {", "/* { */"],
+        "cpp": ['auto a = R"x({ ")x";', "auto a = '{';"],
+    }
+    heads = {"go": "func {}() {{", "rust": "fn {}() {{", "typescript": "function {}() {{", "c": "int {}(void) {{", "cpp": "int {}() {{"}
+    for language, inside in bodies.items():
+        for line in inside:
+            text = f"{heads[language].format('one')}\n  {line}\n  b();\n}}\n\n{heads[language].format('two')}\n  c();\n}}\n"
+            assert kinds(text, language) == two, (language, line)
+    assert chunking.only_code('a /* x\ny */ "b" c', "go").split("\n") == ["a     ", "         c"] and chunking.only_code("'{'", None) == "'{'"
+    assert kinds("/*\nfunc no() {\n*/\nfunc one() {\n  a()\n}\n", "go") == [("function", "one", 4, 6)]
+
+
 def test_toolbox(spark, tmp_path):
     import json
 
