@@ -25,14 +25,15 @@ def node(kind: str, key: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("id"))
 
 
-def both_ways(rows: DataFrame, src: Column, dst: Column, kind: str) -> DataFrame:
-    """Edges of a kind from rows, and their reverses: one pass over rows."""
+def both_ways(rows: DataFrame, src: Column, dst: Column, kind: str, owner: str | None = None) -> DataFrame:
+    """Edges of a kind from rows, and their reverses: one pass over rows. owner: a column to keep as the edges' owner."""
     meta = F.lit(None).cast("map<string,string>")
     pair = F.array(
         F.struct(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("kind"), meta.alias("metadata")),
         F.struct(dst.alias("src"), src.alias("dst"), F.lit(EDGE_KINDS[kind]).alias("kind"), meta.alias("metadata")),
     )
-    return rows.select(F.explode(pair).alias("e")).select("e.*")
+    kept = [] if owner is None else [F.col(owner).alias("owner")]
+    return rows.select(*kept, F.explode(pair).alias("e")).select("e.*", *(["owner"] if kept else []))
 
 
 def file_edges(files: DataFrame) -> DataFrame:

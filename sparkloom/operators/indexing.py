@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import chunk_id, file_hash, hierarchy
-from sparkloom.operators import keyword, snapshots
+from sparkloom.operators import imports, keyword, snapshots
 from sparkloom.operators.chunking import chunk_files
 from sparkloom.operators.providers import EmbeddingProvider, HashingProvider, local_provider
 from sparkloom.operators.snapshots import clear_all, stores  # noqa: F401
@@ -32,6 +32,7 @@ class IndexConfig:
     provider: Callable[[], EmbeddingProvider] = field(default=HashingProvider)
     graph_from: int = 1000  # chunks from which a graph index of their vectors is kept
     quality_provider: Callable[[], EmbeddingProvider] = field(default=lambda: local_provider("code"))
+    repo: str = ""  # the repository's root, of which the ids of files in edges are made
 
 
 def embedded(chunks: DataFrame, config: IndexConfig, text: str = "content") -> DataFrame:
@@ -75,7 +76,7 @@ def removed(rows: DataFrame, paths: DataFrame, column: str, path: str = "path")
 
 class Store(snapshots.Store):
     """A store with what indexing keeps in it: files, chunks, contents, postings, terms and lengths (and the views corpus
-    and idf), symbols and summaries, edges, and an index of vectors beside its versions."""
+    and idf), imports and edges, symbols and summaries, and an index of vectors beside its versions."""
 
     def save_code_map(self, files: DataFrame) -> None:
         """Compiles files (path, content, language) to symbols and summaries; the other tables stay."""
@@ -149,6 +150,25 @@ def _graph(step: snapshots.Commit, base: snapshots.Snapshot, stored: DataFrame,
     step.change("graph_gone", lost.select("id", F.lit(version).alias("version")), spark.createDataFrame([], "id string"), "id")
 
 
+def _edges(step: snapshots.Commit, base: snapshots.Snapshot, now: DataFrame, fresh: DataFrame, touched: DataFrame | None, repo: str) -> None:
+    """Imports of the files, and the edges: those of files that came, changed or went, and of the files whose imports may
+    name one that came or went. A graph that was saved as a whole is built anew."""
+    tables = base.manifest.tables
+    if touched is None or "imports" not in tables or tables["edges"].kind != "keyed":
+        own = step.restart("imports", imports.imports_of(now), "path", order=("path",))
+        step.restart("edges", imports.edges_of(now, imports.resolved(own, now), repo), "owner", order=("owner",))
+        return
+    old = base.table("contents").join(touched, "path", "left_semi").select("path", "language")
+    own = step.change("imports", imports.imports_of(fresh), touched, "path", ("path",))
+    before = base.table("imports").join(touched, "path", "left_anti")
+    moved = old.unionByName(fresh.select("path", "language")).groupBy("path", "language").count().where("count = 1")  # not those that changed in content alone
+    again = written(imports.affected(before, moved).unionByName(touched.select("path")).distinct(), "again")
+    wanted = before.join(again, "path", "left_semi").unionByName(own)
+    edges = imports.edges_of(now.join(again, "path", "left_semi"), imports.resolved(wanted, now), repo)
+    step.change("edges", edges, again.select(F.col("path").alias("owner")), "owner", ("owner",))
+    discard(again)
+
+
 def nearest(store: Store, vector: list[float], k: int) -> DataFrame | None:
     """id of the k chunks whose vectors the graph index finds nearest; None where the store has no such index."""
     from sparkloom.operators.graph_index import GraphIndex
@@ -213,6 +233,7 @@ def index_files(store: Store, files: DataFrame, config: IndexConfig | None = Non
         stored = step.restart("chunks", chunks, "file_path", order=by_file)
         start_statistics(step, stored)
         _graph(step, base, stored, None, step.wrote["chunks"], 0, config)
+    _edges(step, base, now, fresh, touched if have else None, config.repo)
     step.commit(ledger)
     discard(*([now, new_paths, touched, lost] if have else [now]))
     spent = time.monotonic() - began

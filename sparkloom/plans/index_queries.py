@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
-from sparkloom.operators import chunking, graph, indexing, keyword, symbols
+from sparkloom.operators import chunking, graph, imports, indexing, keyword, symbols
 from sparkloom.plans import tables as T
 from sparkloom.plans.catalogue import register
 from sparkloom.plans.search_queries import TOKENS
@@ -547,3 +547,46 @@ def code_map_summaries(spark, sf):
 @register("repo_commits", "SELECT sha1(o_orderkey::VARCHAR) hash, substr(sha256('r'), 1, 16) repo_id, coalesce(f, '') files FROM orders LEFT JOIN (SELECT l_orderkey, string_agg(substr(sha256('r'), 1, 16) || ':f' || l_partkey, ',' ORDER BY l_linenumber, 'f' || l_partkey) f FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey")
 def repo_commits(spark, sf):
     return history.in_repo(history.parse_log(_log(spark, sf)), "r").select("hash", "repo_id", F.array_join("files_modified", ",").alias("files"))
+
+
+# what the files made of parts import, and the file it is: {k} is the part's key, {b} the next of its kind, {c} the next in its folder, {s} and {t} folders
+_IMPORTED = {
+    0: [(".m{c}", "w{s}/app/m{c}.py", 28), ("app.m{b}.f", "w{t}/app/m{b}.py", 4), ("os", None, 0)],
+    1: [("../t{t}/m{b}.js", "r/t{t}/m{b}.ts", 4), ("./m{c}", "r/t{s}/m{c}.ts", 28), ("react", None, 0)],
+    2: [("example.com/g/p{b}", "g/p{b}/a.go", 4), ("net/http", None, 0)],
+    3: [("crate::m{c}::f", "c{s}/src/m{c}.rs", 28), ("std::fmt::Debug", None, 0)],
+}
+_FORMS = {"{k}": "p_partkey", "{b}": "p_partkey + 4", "{c}": "p_partkey + 28", "{s}": "p_partkey % 7", "{t}": "(p_partkey + 4) % 7"}
+_PLACES = {0: "w{s}/app/m{k}.py", 1: "r/t{s}/m{k}.ts", 2: "g/p{k}/a.go", 3: "c{s}/src/m{k}.rs"}
+_BODIES = {
+    0: "from . import m{c}\nfrom app.m{b} import f\nimport os\n",
+    1: "import {{ a }} from '../t{t}/m{b}.js'\nexport * from './m{c}'\nimport React from 'react'\n",
+    2: 'package p\n\nimport (\n\tx "example.com/g/p{b}"\n\t"net/http"\n)\n',
+    3: "use crate::m{c}::f;\nuse std::fmt::{{Debug}};\n",
+}
+
+
+def _filled(form: str) -> str:
+    """A form as an SQL expression over part, for Spark and for DuckDB."""
+    out = "'" + form.replace("'", "''") + "'"
+    for name, value in _FORMS.items():
+        out = f"replace({out}, '{name}', CAST({value} AS VARCHAR(20)))"
+    return out
+
+
+_TARGETS = " UNION ALL ".join(
+    f"SELECT {_filled(_PLACES[k])} path, {_filled(spec)} spec, " + ("NULL" if target is None else f"CASE WHEN p_partkey + {back} <= (SELECT max(p_partkey) FROM part) THEN {_filled(target)} END") + f" target FROM part WHERE p_partkey % 4 = {k}"
+    for k, rows in _IMPORTED.items()
+    for spec, target, back in rows
+)
+
+
+@register("import_targets", _TARGETS)
+def import_targets(spark, sf):
+    """The imports of a source file made of each part, resolved to files: relative, by package, by the end of a path, by
+    module and by crate; null where they are external."""
+    which = F.expr("p_partkey % 4")
+    of = lambda forms: F.coalesce(*(F.when(which == k, F.expr(_filled(f.replace("{{", "{").replace("}}", "}").replace("\n", "\\n").replace("\t", "\\t")))) for k, f in forms.items()))
+    language = F.element_at(F.array(*map(F.lit, ("python", "typescript", "go", "rust"))), (which + 1).cast("int"))
+    files = T.read(spark, sf, "part").select(of(_PLACES).alias("path"), of(_BODIES).alias("content"), language.alias("language"))
+    return imports.resolved(imports.imports_of(files), files)
