@@ -20,7 +20,9 @@ prefix lengths between them) and what stands before their anchors shares l bytes
 bytes read backwards). So for each l both orders fall into blocks, and windows in the same two blocks are equal.
 
 A gram of more than most_classes classes is not left to one group: windows with at most half of their spare bytes
-before the anchor go by a hash of the bytes they have after it in common, the others by a hash of those before it.
+before the anchor go by a hash of the bytes they have after it in common, the others by a hash of those before it. Where
+these groups have more than most_classes classes still (a passage a little shorter than `length` in very many texts), their
+windows are counted by their whole bytes, which no task needs to hold together.
 
 Verdicts go back to the members of the classes, the covered bytes are merged for each document, and the rest of the
 text is kept.
@@ -36,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.batches import bounded_batches, numbered, slices
@@ -270,24 +272,91 @@ def repeated(group: list[Entry], shared: list[int], length: int) -> list[list[tu
     return out
 
 
-def _entries(x: dict, raw: bytes, length: int, gram: int) -> Iterator[tuple[bytes, bytes]]:
-    """The strings that a class sends to the sort (the group's key, then the suffix), each with its payload."""
-    a, end = x["start"] + x["off"], x["start"] + x["n"] - 1 + length
-    before, suffix, kg = raw[x["start"] : a], raw[a:end], x["kg"].to_bytes(8, "big", signed=True)
-    name = kg + x["cls"].to_bytes(8, "big", signed=True) + min(x["members"], 2).to_bytes(1, "big")
-    if not x["hot"]:
-        yield kg + suffix, name + bytes(4) + x["n"].to_bytes(4, "big") + before
-        return
+def _name(kg: int, cls: int, members: int, lo: int, hi: int) -> bytes:
+    """What the sort carries beside a suffix: the class, whether it repeats, and the windows asked for."""
+    parts = (kg.to_bytes(8, "big", signed=True), cls.to_bytes(8, "big", signed=True), min(members, 2).to_bytes(1, "big"))
+    return b"".join(parts) + lo.to_bytes(4, "big") + hi.to_bytes(4, "big")
+
+
+def _halves(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """rows (text, items) of hot classes as kg, cls, members, lo, hi, key, before, suffix: the windows lo to hi of a class
+    have the bytes in common that key is a hash of (those that have more than half before the anchor what is before it,
+    the others what follows it); before and suffix are the class's bytes before and from the anchor on."""
     half = (length - gram) // 2
-    cut = min(max(0, x["off"] - half), x["n"])  # windows before it have more than half before the anchor
-    for lo, hi, tag, common in ((0, cut, b"b", before[-half - 1 :]), (cut, x["n"], b"a", suffix[: length - half])):
-        if lo < hi:
-            key = hashlib.blake2b(tag + kg + common, digest_size=8).digest()
-            yield key + suffix, name + lo.to_bytes(4, "big") + hi.to_bytes(4, "big") + before
+    schema = pa.schema([("kg", pa.int64()), ("cls", pa.int64()), ("members", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("key", pa.int64()), ("before", pa.binary()), ("suffix", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0, 1 << 22):
+            out: list[tuple] = []
+            size = 0
+            for text, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                raw = (text or "").encode()
+                for x in items:
+                    a, end = x["start"] + x["off"], x["start"] + x["n"] - 1 + length
+                    before, suffix = raw[x["start"] : a], raw[a:end]
+                    cut = min(max(0, x["off"] - half), x["n"])
+                    for lo, hi, tag, common in ((0, cut, b"b", before[-half - 1 :]), (cut, x["n"], b"a", suffix[: length - half])):
+                        if lo < hi:
+                            digest = hashlib.blake2b(tag + x["kg"].to_bytes(8, "big", signed=True) + common, digest_size=8).digest()
+                            out.append((x["kg"], x["cls"], x["members"], lo, hi, int.from_bytes(digest, "big", signed=True), before, suffix))
+                            size += len(before) + len(suffix) + 200
+                    if size > 1 << 23:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+                        out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+    return rows.select("text", "items").mapInArrow(run, "kg long, cls long, members long, lo int, hi int, key long, before binary, suffix binary")
+
+
+def split_halves(halves: DataFrame, most_classes: int) -> tuple[DataFrame, DataFrame]:
+    """_halves() whose key has at most most_classes classes, which one task may compare, and those whose key has more."""
+    many = halves.groupBy("key").count().where(F.col("count") > most_classes).select("key")
+    return halves.join(many, "key", "left_anti"), halves.join(many, "key", "left_semi")
+
 
+def _windows(halves: DataFrame, length: int) -> DataFrame:
+    """kg, cls, members, window, digest: each window asked for, with 128 bits of a hash of its whole bytes."""
+    schema = pa.schema([("kg", pa.int64()), ("cls", pa.int64()), ("members", pa.int32()), ("window", pa.int32()), ("digest", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                out: list[tuple] = []
+                for kg, cls, members, lo, hi, before, suffix in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
+                    span = before + suffix
+                    out += [(kg, cls, min(members, 2), w, hashlib.blake2b(span[w : w + length], digest_size=16).digest()) for w in range(lo, hi)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+    rows = halves.select("kg", "cls", "members", "lo", "hi", "before", "suffix")
+    return rows.mapInArrow(run, "kg long, cls long, members int, window int, digest binary")
+
+
+def _counted(windows: DataFrame) -> DataFrame:
+    """Verdicts as of _verdicts() on _windows(): a window is repeated where another one has its digest. They are counted by
+    partial aggregation, and what is joined has a digest once, so a frequent one is skewed on one side alone."""
+    often = windows.groupBy("digest").agg(F.sum("members").alias("c")).where("c > 1").select("digest")
+    hit = windows.join(often, "digest", "left_semi")
+    place = F.row_number().over(Window.partitionBy("kg", "cls").orderBy("window"))  # at most length - gram + 1 rows
+    runs = hit.select("kg", "cls", "window", (F.col("window") - place).alias("run")).groupBy("kg", "cls", "run")
+    return runs.agg(F.min("window").alias("first"), F.count("*").cast("int").alias("windows")).select("kg", "cls", "first", "windows")
 
-def _suffix_runs(rows: DataFrame, length: int, gram: int, partitions: int) -> DataFrame:
-    """rows (text, items) of documents with classes to send, as part, run."""
+
+def _suffix_runs(rows: DataFrame, length: int, partitions: int) -> DataFrame:
+    """rows (text, items) of documents with classes to send, or _halves(), as part, run: sorted and front-coded runs of
+    the group's key and the suffix, each with its payload."""
+    hot = "key" in rows.columns
+
+    def from_texts(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bytes]]:
+        for text, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            raw = (text or "").encode()
+            for x in items:
+                a, end = x["start"] + x["off"], x["start"] + x["n"] - 1 + length
+                yield x["kg"].to_bytes(8, "big", signed=True) + raw[a:end], _name(x["kg"], x["cls"], x["members"], 0, x["n"]) + raw[x["start"] : a]
+
+    def from_halves(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bytes]]:
+        for kg, cls, members, lo, hi, key, before, suffix in zip(*(c.to_pylist() for c in batch.columns)):
+            yield key.to_bytes(8, "big", signed=True) + suffix, _name(kg, cls, members, lo, hi) + before
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[bytes, bytes]]] = {}
@@ -299,19 +368,17 @@ def _suffix_runs(rows: DataFrame, length: int, gram: int, partitions: int) -> Da
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "run": pa.array([front_coded(found)], pa.binary())})
             held.clear()
 
-        for batch in slices(batches, 0, 1 << 22):
-            for text, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = (text or "").encode()
-                for x in items:
-                    for s, payload in _entries(x, raw, length, gram):
-                        held.setdefault(int.from_bytes(s[:8], "big") % partitions, []).append((s, payload))
-                        size += len(s) + len(payload) + 200
+        for batch in batches if hot else slices(batches, 0, 1 << 22):
+            for s, payload in (from_halves if hot else from_texts)(batch):
+                held.setdefault(int.from_bytes(s[:8], "big") % partitions, []).append((s, payload))
+                size += len(s) + len(payload) + 200
             if size > 1 << 26:
                 yield from out()
                 size = 0
         yield from out()
 
-    return rows.select("text", "items").mapInArrow(run, "part int, run binary")
+    columns = ["kg", "cls", "members", "lo", "hi", "key", "before", "suffix"] if hot else ["text", "items"]
+    return rows.select(*columns).mapInArrow(run, "part int, run binary")
 
 
 def _verdicts(runs: DataFrame, length: int, gram: int, partitions: int) -> DataFrame:
@@ -408,18 +475,27 @@ def repeated_bytes(
         often = classes.groupBy("kg").agg(F.sum("members").alias("c"), F.count("*").alias("d")).where("c > 1")
         classes = classes.join(often.select("kg", (F.col("d") > most_classes).alias("hot")), "kg")
         item = F.struct("kg", "cls", "members", F.col("r.start").alias("start"), F.col("r.n").alias("n"), F.col("r.off").alias("off"), "hot")
-        items = written(classes.groupBy("r.rid").agg(F.collect_list(item).alias("items"), F.sum("r.n").alias("windows")), "items")
-        documents, total = items.agg(F.count("*"), F.sum(F.col("windows") + F.size("items") * (length + 100))).first()
+        items = written(classes.groupBy("r.rid").agg(F.collect_list(item).alias("items"), F.sum("r.n").alias("windows"), F.max("hot").alias("hot")), "items")
+        documents, total, hot = items.agg(F.count("*"), F.sum(F.col("windows") + F.size("items") * (length + 100)), F.coalesce(F.max("hot"), F.lit(False))).first()
         partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // part_bytes))
         wanted = items.select("rid")
         if documents <= broadcast_rows:
             wanted = F.broadcast(wanted)
         texts = rows.select(F.col("_rid").alias("rid"), "text")
         chosen = texts.join(wanted, "rid", "left_semi").join(items, "rid")
-        verdicts = written(_verdicts(_suffix_runs(chosen, length, gram, partitions), length, gram, partitions), "verdicts")
+        runs = _suffix_runs(chosen.withColumn("items", F.filter("items", lambda x: ~x["hot"])), length, partitions)
+        scratch = []
+        if hot:  # grams with too many classes for one task
+            mine = items.where("hot").withColumn("items", F.filter("items", lambda x: x["hot"]))
+            scratch.append(written(_halves(texts.join(mine, "rid"), length, gram), "halves"))
+            few, many = split_halves(scratch[0], most_classes)
+            runs = runs.unionByName(_suffix_runs(few, length, partitions))
+            scratch.append(written(_windows(many, length), "windows"))
+        scratch.append(written(_verdicts(runs, length, gram, partitions), "verdicts"))
+        verdicts = scratch[-1].unionByName(_counted(scratch[1])) if hot else scratch[-1]
         back = found.select("rid", "kg", "cls", "start").join(verdicts, ["kg", "cls"])
         cuts = written(_covered(back.select("rid", (F.col("start") + F.col("first")).alias("start"), "windows"), length), "cuts")
-    discard(found, items, verdicts)
+    discard(found, items, *scratch)
     return rows, cuts
 
 

@@ -653,6 +653,33 @@ def test_suffix_dedup_of_hot_grams(spark, most_classes):
         assert got == brute_removed(texts, length)
 
 
+def test_suffix_dedup_bounds_its_groups(spark, monkeypatch):
+    """3,000 documents that share 390 bytes, and a few that share 420 with one of them: no group of a task has more classes
+    than the bound, and the result is that of brute force."""
+    rng = random.Random(39)
+    part = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    core = part(390)
+    texts = {i: part(rng.randint(20, 300)) + core + part(rng.randint(20, 300)) for i in range(3000)}
+    for i in range(5):
+        at = texts[i].index(core)
+        texts[3000 + i] = part(50) + texts[i][at - 15 : at + 405] + part(50)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    seen = []
+    split = suffix_dedup.split_halves
+
+    def noted(halves, most):
+        few, many = split(halves, most)
+        sizes = [[r["count"] for r in x.groupBy("key").count().collect()] for x in (few, many)]
+        seen.append((max(sizes[0], default=0), max(sizes[1], default=0)))
+        return few, many
+
+    monkeypatch.setattr(suffix_dedup, "split_halves", noted)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicated(df, keep=False).collect()}
+    assert got == brute_removed(texts, 400)
+    assert sum(x[1] > 0 for x in got.values()) == 10
+    assert len(seen) == 1 and seen[0][0] <= 1000 and seen[0][1] > 1000
+
+
 def test_suffix_dedup_query_against_brute_force(spark, texts):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in Q.op3_suffix_dedup(spark, SF).collect()}
     assert got == brute_removed(texts, 400)
