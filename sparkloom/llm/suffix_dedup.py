@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.batches import bounded_batches, numbered, slices
@@ -332,14 +332,21 @@ def _windows(halves: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "kg long, cls long, members int, window int, digest binary")
 
 
-def _counted(windows: DataFrame) -> DataFrame:
-    """Verdicts as of _verdicts() on _windows(): a window is repeated where another one has its digest. They are counted by
-    partial aggregation, and what is joined has a digest once, so a frequent one is skewed on one side alone."""
-    often = windows.groupBy("digest").agg(F.sum("members").alias("c")).where("c > 1").select("digest")
-    hit = windows.join(often, "digest", "left_semi")
-    place = F.row_number().over(Window.partitionBy("kg", "cls").orderBy("window"))  # at most length - gram + 1 rows
-    runs = hit.select("kg", "cls", "window", (F.col("window") - place).alias("run")).groupBy("kg", "cls", "run")
-    return runs.agg(F.min("window").alias("first"), F.count("*").cast("int").alias("windows")).select("kg", "cls", "first", "windows")
+def _counted(halves: DataFrame, length: int, broadcast_digests: int) -> DataFrame:
+    """Verdicts as of _verdicts() on the windows of halves: one is repeated where another has its digest.
+
+    Windows are hashed twice and not written: to count them, when partial aggregation leaves each digest once for a task,
+    and to keep those found twice. The digests of these are broadcast up to a number, and joined by a shuffle beyond.
+    """
+    often = written(_windows(halves, length).groupBy("digest").agg(F.sum("members").alias("c")).where("c > 1").select("digest"), "often")
+    hit = _windows(halves, length).join(F.broadcast(often) if often.count() <= broadcast_digests else often, "digest", "left_semi")
+    at = hit.groupBy("kg", "cls").agg(F.sort_array(F.collect_set("window")).alias("w"))  # at most length - gram + 1 of a class
+    firsts = F.filter("w", lambda x: ~F.array_contains("w", x - 1))
+    lasts = F.filter("w", lambda x: ~F.array_contains("w", x + 1))
+    runs = at.select("kg", "cls", F.explode(F.arrays_zip(firsts.alias("first"), lasts.alias("last"))).alias("run"))
+    verdicts = written(runs.select("kg", "cls", F.col("run")["first"].alias("first"), (F.col("run")["last"] - F.col("run")["first"] + 1).alias("windows")), "counted")
+    discard(often)
+    return verdicts
 
 
 def _suffix_runs(rows: DataFrame, length: int, partitions: int) -> DataFrame:
@@ -462,6 +469,7 @@ def repeated_bytes(
     text: str = "text",
     broadcast_rows: int = 1_000_000,
     most_classes: int = 1000,
+    broadcast_digests: int = 500_000,
     part_bytes: int = 1 << 25,
 ) -> tuple[DataFrame, DataFrame]:
     """docs as _rid, doc_id, text; and rid, cuts (start, end, start, end, ... of the bytes to remove) of those that have any."""
@@ -490,9 +498,9 @@ def repeated_bytes(
             scratch.append(written(_halves(texts.join(mine, "rid"), length, gram), "halves"))
             few, many = split_halves(scratch[0], most_classes)
             runs = runs.unionByName(_suffix_runs(few, length, partitions))
-            scratch.append(written(_windows(many, length), "windows"))
+            scratch.append(_counted(many, length, broadcast_digests))
         scratch.append(written(_verdicts(runs, length, gram, partitions), "verdicts"))
-        verdicts = scratch[-1].unionByName(_counted(scratch[1])) if hot else scratch[-1]
+        verdicts = scratch[-1].unionByName(scratch[1]) if hot else scratch[-1]
         back = found.select("rid", "kg", "cls", "start").join(verdicts, ["kg", "cls"])
         cuts = written(_covered(back.select("rid", (F.col("start") + F.col("first")).alias("start"), "windows"), length), "cuts")
     discard(found, items, *scratch)

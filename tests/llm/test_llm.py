@@ -649,7 +649,7 @@ def test_suffix_dedup_of_hot_grams(spark, most_classes):
     texts = {i: part(rng.randint(0, 50)) + rng.choice(left)[rng.randint(0, 59) :] + core + rng.choice(right)[: rng.randint(0, 60)] + part(rng.randint(0, 50)) for i in range(80)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     for length, gram in ((100, 20), (60, 30)):
-        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicated(df, length, gram, keep=False, most_classes=most_classes, part_bytes=2000).collect()}
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicated(df, length, gram, keep=False, most_classes=most_classes, broadcast_digests=length % 100, part_bytes=2000).collect()}
         assert got == brute_removed(texts, length)
 
 
