@@ -495,7 +495,8 @@ def repeated_bytes(
         scratch = []
         if hot:  # grams with too many classes for one task
             mine = items.where("hot").withColumn("items", F.filter("items", lambda x: x["hot"]))
-            scratch.append(written(_halves(texts.join(mine, "rid"), length, gram), "halves"))
+            theirs = F.broadcast(mine.select("rid")) if documents <= broadcast_rows else mine.select("rid")
+            scratch.append(written(_halves(texts.join(theirs, "rid", "left_semi").join(mine, "rid"), length, gram), "halves"))
             few, many = split_halves(scratch[0], most_classes)
             runs = runs.unionByName(_suffix_runs(few, length, partitions))
             scratch.append(_counted(many, length, broadcast_digests))
