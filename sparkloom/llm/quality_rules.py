@@ -3,9 +3,9 @@
 Cross-document part: each line is normalised (A-Z lower-cased, runs of digits made one 0, runs of white space one
 space, trimmed) and hashed; for each host the distinct documents of a line are counted; a line of more than
 max_line_docs documents is boilerplate and removed from the text; a document of which less than min_left_percent of
-the words remain is depleted and rejected. Documents of one host are distinct when their normalised lines, in order,
-differ: a family of copies counts once and does not turn its own text into boilerplate, whatever its size; near copies
-count each.
+the words remain is depleted and rejected. Documents of one host are distinct when their texts as given differ: a
+family of exact copies counts once and does not turn its own text into boilerplate, whatever its size; near copies, and
+pages of a template that differ in numbers, case or white space only, count each.
 
 Only SQL functions are used. The per-document part works inside the row. The cross-document part reads the texts once
 and writes one narrow row for each line (the hashes of line and document, place and words), which is counted,
@@ -140,9 +140,9 @@ def judged(
     empty one. Columns of docs with the names of results are replaced; others of any name pass through.
     """
     source = numbered(docs, doc_id)
-    norm = source.select("_rid", F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("")).alias("_host"), normalised_lines(F.col(text)).alias("_norm"))
+    norm = source.select("_rid", F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("")).alias("_host"), F.xxhash64(text).alias("_doc"), normalised_lines(F.col(text)).alias("_norm"))
     lines = (
-        norm.select("_rid", "_host", F.xxhash64(F.filter("_norm", lambda x: x != "")).alias("_doc"), F.posexplode("_norm").alias("_at", "_line"))
+        norm.select("_rid", "_host", "_doc", F.posexplode("_norm").alias("_at", "_line"))
         .where("_line <> ''")
         .select(
             "_rid",

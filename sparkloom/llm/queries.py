@@ -54,9 +54,9 @@ win AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) i, ws FROM w WHERE len(ws)
 win2 AS (SELECT doc_id, i, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] g FROM win),
 rep AS (SELECT doc_id, i FROM win2 QUALIFY count(*) OVER (PARTITION BY doc_id, g) >= 2),
 cov AS (SELECT doc_id, count(DISTINCT p) n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) p FROM rep) GROUP BY doc_id),
-norm AS (SELECT doc_id, host, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(regexp_replace(
+norm AS (SELECT doc_id, host, t, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(regexp_replace(
       translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'))), lambda x: x <> '') ls FROM d),
-lines AS (SELECT doc_id, host, array_to_string(ls, chr(10)) doc, unnest(ls) line FROM norm),
+lines AS (SELECT doc_id, host, t AS doc, unnest(ls) line FROM norm),
 often AS (SELECT host, line FROM lines GROUP BY host, line HAVING count(DISTINCT doc) > 10),
 gone AS (SELECT doc_id, sum(len(line) - len(replace(line, ' ', '')) + 1) n FROM lines JOIN often USING (host, line) GROUP BY doc_id),
 base AS (SELECT w.doc_id, len(ws)::BIGINT n_words, len(array_to_string(ws, ''))::BIGINT word_chars,

@@ -388,8 +388,9 @@ def test_line_frequency_counts_documents(spark):
     rows = [(i, f"{own(i)}\n{shared}", "en", "s", 0) for i in range(11)]  # unrelated, all of two lines
     rows += [(100 + i, f"{own(i)}\n{shared}", "en", "t", 0) for i in range(10)]  # at the limit
     rows += [(200 + i, f"{own(i % 10)}\n\n{shared.upper()} ", "en", "u", 0) for i in range(40)]  # ten texts in copies
+    rows += [(300 + i, f"page {i}\n{shared}", "en", "v", 0) for i in range(11)]  # a template: only numbers differ
     got = {r.doc_id: r.kept for r in quality_rules.judged(spark.createDataFrame(rows, DOCS)).collect()}
-    assert not any(got[i] for i in range(11))
+    assert not any(got[i] for i in range(11)) and not any(got[300 + i] for i in range(11))
     assert all(got[100 + i] for i in range(10)) and all(got[200 + i] for i in range(40))
 
 
