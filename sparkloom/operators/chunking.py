@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+DEFINITION_SCHEMA = "path string, start_line long, end_line long, chunk_type string, name string, parent_name string"
 CHUNK_SCHEMA = "path string, content string, start_line long, end_line long, chunk_type string, name string, parent_name string"
 
 # The line patterns of each language, in the order they are tried.
@@ -37,7 +38,19 @@ GUARD_LINES = 500
 KINDS = ("function", "class", "import", "comment")
 # Definitions of two more languages for syntax chunks: function, class, import.
 _C = (r"^[A-Za-z_][\w:<>,*&~\s]*\([^;]*$", r"^\s*(template\s*<[^>]*>\s*)?(typedef\s+)?(class|struct|enum|union|namespace)\s+\w+[^;]*$", r"^\s*#\s*include\b")
-SYNTAX_PATTERNS = LINE_PATTERNS | {"c": _C, "cpp": _C}
+_JAVA_WORDS = r"(?:(?:public|private|protected|internal|static|final|abstract|synchronized|native|default|override|open|inline|suspend|sealed|data|inner)\s+)*"
+_JAVA = (
+    rf"^\s*(?!(?:return|new|else|throw|case|do|assert|yield)\b){_JAVA_WORDS}(?:<[^>]*>\s*)?[\w<>\[\],.?]+\s+\w+\s*\([^;{{]*(?:\{{|$)",
+    rf"^\s*{_JAVA_WORDS}(?:class|interface|enum|record|object)\s+\w+",
+    r"^\s*import\s+",
+)
+SYNTAX_PATTERNS = LINE_PATTERNS | {"c": _C, "cpp": _C, "java": _JAVA}
+# A method without a keyword, directly in a class's braces; and the receiver and name of a method that stands outside.
+CLASS_METHODS = {
+    "typescript": re.compile(r"^\s*(?:(?:public|private|protected|static|async|override|abstract|get|set)\s+)*[*#]?(?P<name>[\w$]+)\s*(?:<[^>]*>)?\(.*(?<!;)$"),
+    "java": re.compile(r"^\s*(?P<name>[A-Z]\w*)\s*\([^;{]*\{"),
+}
+_RECEIVER = re.compile(r"^\s*func\s*\(\s*(?:\w+\s+)?\*?\s*(\w+)[^)]*\)\s*(\w+)")
 
 
 _STRING = r'"(?:\\.|[^"\\\n])*"'
@@ -49,6 +62,7 @@ NOT_CODE = {
     "go": rf"""{_COMMENT}|{_STRING}|`[^`]*`|'(?:\\.|[^'\\\n])+'""",
     "typescript": rf"""{_COMMENT}|{_STRING}|{_BACKTICK}|'(?:\\.|[^'\\\n])*'""",
     "c": rf"""{_COMMENT}|{_STRING}|'(?:\\.|[^'\\\n])+'""",
+    "java": rf"""{_COMMENT}|\"{{3}}.*?(?:\"{{3}}|\Z)|{_STRING}|'(?:\\.|[^'\\\n])+'""",
     "cpp": rf"""{_COMMENT}|R"([^()\\ ]*)\(.*?\)\1"|{_STRING}|'(?:\\.|[^'\\\n])+'""",
 }
 
@@ -192,7 +206,8 @@ class SyntaxChunker:
     """Whole definitions with their names and parents: Python by its own parser, other languages by braces.
 
     An approximation of a grammar for the brace languages: a definition is a line that matches a pattern, up to its
-    closing brace, where strings and comments do not count; a definition inside a class has it as parent.
+    closing brace, where strings and comments do not count; a definition inside a class has it as parent, and a method
+    that stands outside has its receiver's type.
     """
 
     def __init__(self, most: int = 1500, least: int = 50):
@@ -203,9 +218,8 @@ class SyntaxChunker:
         lines = split_lines(content)
         if not lines:
             return []
-        found = without_contained(self._python(content) if language == "python" else self._braces(lines, split_lines(only_code(content, language)), language))
         out = []
-        for first, last, kind, name, parent in found:
+        for first, last, kind, name, parent in without_contained(self.definitions(content, language)):
             body = "\n".join(lines[first - 1 : last])
             if _size(body) > self.most:
                 out += self._cut(lines[first - 1 : last], first, kind, name, parent)
@@ -213,6 +227,12 @@ class SyntaxChunker:
                 out.append((body, first, last, kind, name, parent))
         return out or [(*c, None, None) for c in self.lines.by_size(Shape(lines))]
 
+    def definitions(self, content: str, language: str | None) -> list[tuple[int, int, str, str | None, str | None]]:
+        """(first line, last line, type, name, parent name) of all definitions and imports, with those inside of others."""
+        if language == "python":
+            return self._python(content)
+        return self._braces(split_lines(content), split_lines(only_code(content, language)), language)
+
     def _python(self, content: str) -> list[tuple]:
         try:
             tree = ast.parse(content)
@@ -236,22 +256,31 @@ class SyntaxChunker:
 
     def _braces(self, lines: list[str], code: list[str], language: str | None) -> list[tuple]:
         """code: the lines without strings and comments, whose braces and words do not count."""
-        patterns = [re.compile(p) for p in SYNTAX_PATTERNS.get(SAME_PATTERNS.get(language, language), LINE_PATTERNS[None])[:3]]
+        family = SAME_PATTERNS.get(language, language)
+        patterns = [re.compile(p) for p in SYNTAX_PATTERNS.get(family, LINE_PATTERNS[None])[:3]]
+        method = CLASS_METHODS.get(family)
         shape = Shape(code)
         word = re.compile(r"\b(?:fn|function|def|func|class|struct|enum|union|namespace|trait|impl|type|interface|const|let|var)\s+(\w+)|(\w+)\s*\(")
         out: list[tuple] = []
-        open_classes: list[tuple[int, str | None]] = []
+        open_classes: list[tuple[int, str | None, int]] = []  # last line, name, depth of what is directly inside
         for i, line in enumerate(lines):
             open_classes = [c for c in open_classes if c[0] > i]
             kind = next((k for k, p in zip(("function", "class", "import"), patterns) if p.search(line.strip())), None)
+            own = method.search(code[i].rstrip()) if kind is None and method and open_classes and shape.depth[i] == open_classes[-1][2] else None
+            if own:
+                kind = "function"
             if kind is None or not code[i].strip():  # none, or inside of a comment or string
                 continue
             end = i if kind == "import" else shape.brace_end(i)
             name = (m[1] or m[2] if (m := word.search(line)) else None) if kind != "import" else None
             parent = open_classes[-1][1] if open_classes else None
+            if language == "go" and (m := _RECEIVER.search(line)):
+                parent, name = m[1], m[2]
+            elif own:
+                name = own["name"]
             out.append((i + 1, end + 1, "method" if kind == "function" and parent else kind, name, parent))
             if kind == "class":
-                open_classes.append((end, name))
+                open_classes.append((end, name, int(shape.depth[i]) + 1))
         return out
 
     def _cut(self, lines: list[str], first: int, kind: str, name: str | None, parent: str | None) -> list[tuple]:
@@ -281,6 +310,19 @@ def chunk_files(files: DataFrame, syntax: bool = False, most: int = 1500) -> Dat
     return files.select("path", "content", "language").mapInPandas(run, CHUNK_SCHEMA)
 
 
+def definitions(files: DataFrame) -> DataFrame:
+    """A row for each definition and import of files (path, content, language), with those inside of others and the class
+    that holds each: the outline from which syntax chunks are taken. Null and empty content has none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = SyntaxChunker()
+        for batch in batches:
+            rows = [(path, *d) for path, content, language in zip(batch["path"], batch["content"], batch["language"]) for d in own.definitions(content or "", language)]
+            yield pd.DataFrame(rows, columns=["path", "start_line", "end_line", "chunk_type", "name", "parent_name"])
+
+    return files.select("path", "content", "language").mapInPandas(run, DEFINITION_SCHEMA)
+
+
 def drop_contained(spans: DataFrame, group: str, start: str, end: str) -> DataFrame:
     """Rows whose span lies in no other's of the group: one window, no self-join. Of equal spans one stays."""
     order = Window.partitionBy(group).orderBy(F.asc(start), F.desc(end)).rowsBetween(Window.unboundedPreceding, -1)

@@ -194,6 +194,157 @@ def chunk_code(spark, sf):
     return chunking.chunk_files(_code(spark, sf), syntax=True).select("path", "start_line", "end_line", "chunk_type", "name")
 
 
+# Sources with braces and definitions in strings, comments, raw and template literals; {} stands for the part.
+_OUTLINED = {
+    "python": '''import os
+
+class A{}:
+    x = "def no(): {{"
+    class B:
+        def m(self):
+            return """
+def ghost():
+"""
+    def n(self):
+        # class Gone:
+        return 1
+
+def f{}(a):
+    return "class No:"
+''',
+    "rust": '''use a::b;
+
+impl A{} {
+    const S: &str = r#"fn no() { "} "#;
+    fn m(&self) -> char {
+        '{'
+    }
+    /* fn ghost() {
+    } */
+    fn n(&self) {
+        let s = "}";
+    }
+}
+
+fn f{}() {
+    // }
+}
+''',
+    "typescript": '''import x from 'y'
+
+class A{} {
+    s = `class no { ${ "}" } `;
+    async m(a) {
+        return "}";
+    }
+    /* function ghost() {
+    } */
+    n(a) {
+        return '{';
+    }
+}
+
+function f{}() {
+    // }
+}
+''',
+    "go": '''import x
+
+type A{} struct {
+    s string
+}
+
+func (a *A{}) m() rune {
+    return '{'
+}
+
+/* func ghost() {
+} */
+func (A{}) n() string {
+    return `
+func no() { `
+}
+
+func f{}() {
+    // }
+}
+''',
+    "java": '''import a.b;
+
+public class A{} {
+    String s = "}";
+    public class B {
+        public int m() {
+            return '{';
+        }
+    }
+    /* public int ghost() {
+    } */
+    public int n() {
+        // }
+        return 1;
+    }
+}
+''',
+}
+# of each language: type, name, parent, first and last line
+_OUTLINES = {
+    "python": [
+        ("import", None, None, 1, 1),
+        ("class", "A{}", None, 3, 12),
+        ("class", "B", "A{}", 5, 9),
+        ("method", "m", "B", 6, 9),
+        ("method", "n", "A{}", 10, 12),
+        ("function", "f{}", None, 14, 15),
+    ],
+    "rust": [
+        ("import", None, None, 1, 1),
+        ("class", "A{}", None, 3, 13),
+        ("method", "m", "A{}", 5, 7),
+        ("method", "n", "A{}", 10, 12),
+        ("function", "f{}", None, 15, 17),
+    ],
+    "typescript": [
+        ("import", None, None, 1, 1),
+        ("class", "A{}", None, 3, 13),
+        ("method", "m", "A{}", 5, 7),
+        ("method", "n", "A{}", 10, 12),
+        ("function", "f{}", None, 15, 17),
+    ],
+    "go": [
+        ("import", None, None, 1, 1),
+        ("class", "A{}", None, 3, 5),
+        ("method", "m", "A{}", 7, 9),
+        ("method", "n", "A{}", 13, 16),
+        ("function", "f{}", None, 18, 20),
+    ],
+    "java": [
+        ("import", None, None, 1, 1),
+        ("class", "A{}", None, 3, 16),
+        ("class", "B", "A{}", 5, 9),
+        ("method", "m", "B", 6, 8),
+        ("method", "n", "A{}", 12, 15),
+    ],
+}
+_OUTLINE_VALUES = ", ".join(
+    f"({k}, '{t}', {repr(n) if n else 'NULL'}, {repr(p) if p else 'NULL'}, {a}, {b})" for k, rows in enumerate(_OUTLINES.values()) for t, n, p, a, b in rows
+)
+
+
+@register(
+    "code_definitions",
+    f"""SELECT 'p/' || p_partkey path, a::BIGINT start_line, b::BIGINT end_line, t chunk_type, replace(n, '{{}}', p_partkey::VARCHAR) AS name, replace(p, '{{}}', p_partkey::VARCHAR) parent_name
+FROM part JOIN (VALUES {_OUTLINE_VALUES}) v(k, t, n, p, a, b) ON p_partkey % 5 = k""",
+)
+def code_definitions(spark, sf):
+    """The outline of a source file of each part, in five languages by its key: definitions inside of others with their
+    parents, methods by receiver, and none in strings and comments."""
+    n, k = F.col("p_partkey").cast("string"), (F.col("p_partkey") % 5 + 1).cast("int")
+    content = F.replace(F.element_at(F.array(*map(F.lit, _OUTLINED.values())), k), F.lit("{}"), n)
+    files = T.read(spark, sf, "part").select(F.concat(F.lit("p/"), n).alias("path"), content.alias("content"), F.element_at(F.array(*map(F.lit, _OUTLINED)), k).alias("language"))
+    return chunking.definitions(files)
+
+
 # the same files by the chunker that goes line by line: blocks under 100 bytes go, pieces overlap by two lines
 _LINE_BLOCKS = {
     0: [("function", 3, 5), ("class", 6, 9), ("function", 10, 48), ("function", 47, 70)],

@@ -600,3 +600,45 @@ def test_command_line(spark, tmp_path):
     assert again.size(table) == rows.count()
     assert indexing.sync(store, lambda: files.scan_tree(spark, str(src)))["indexed"] == 0
     assert call("clean", "--all")["removed"] == 1 and call("status")["files"] == 0
+
+
+def test_definitions_of_java_and_typescript(spark):
+    java = """class K {
+    List<String> a(int x) throws E {
+        if (x > 0) {
+            return g("}");
+        } else if (h(x)) {
+            new Foo(x) { };
+        }
+        int y = k(x);
+    }
+    K() { this.x = '{'; }
+    abstract void q();
+    static <T> T one(T t) { return t; }
+}
+enum Z { P }
+"""
+    got = chunking.SyntaxChunker().definitions(java, "java")
+    assert got == [(1, 13, "class", "K", None), (2, 9, "method", "a", "K"), (10, 10, "method", "K", "K"), (12, 12, "method", "one", "K"), (14, 14, "class", "Z", None)]
+    typescript = """export class K {
+  constructor(private a: X) {
+    super(a);
+    if (a) {
+      foo(a, () => {
+      });
+    }
+  }
+  get v(): number { return 1; }
+  sig(): void;
+  x = bar(`}`);
+  private static async *w<T>(
+    a: T,
+  ) {
+    return a;
+  }
+}
+"""
+    got = chunking.SyntaxChunker().definitions(typescript, "typescript")
+    assert got == [(1, 17, "class", "K", None), (2, 8, "method", "constructor", "K"), (9, 9, "method", "v", "K"), (12, 16, "method", "w", "K")]
+    files = spark.createDataFrame([("a", None, "java"), ("b", "", "go"), ("c", "x = 1", None), (None, "func (t T) m() {\n}", "go")], "path string, content string, language string")
+    assert [tuple(r) for r in chunking.definitions(files).collect()] == [(None, 1, 2, "method", "m", "T")]
