@@ -12,17 +12,31 @@ from sparkloom.functions.text import tokens
 def postings(chunks: DataFrame, key: str, text: str, only: list[str] | None = None) -> DataFrame:
     """term, chunk key, tf, length in bytes: an inverted index to keep as a table; a query then reads its terms only.
 
-    only: terms to which the index is limited, for one query without a stored index; other tokens do not leave the row.
+    A row's tokens are counted inside of it, as runs of its sorted tokens, so nothing is shuffled; only rows whose key
+    others share (one aggregation of the keys shows it) are summed after that. only: terms to which the index is limited,
+    for one query without a stored index; other tokens do not leave the row.
     """
     found = tokens(F.col(text))
     if only is not None:
         wanted = F.array(*map(F.lit, only)) if only else F.array().cast("array<string>")
         found = F.filter(found, lambda t: F.array_contains(wanted, t))
-    return (
-        chunks.select(F.col(key), F.octet_length(text).cast("double").alias("length"), F.explode(found).alias("term"))
-        .groupBy("term", key)
-        .agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    )
+    rows = chunks.select(F.col(key), F.octet_length(text).cast("double").alias("length"), F.sort_array(found).alias("_t"))
+    names = chunks.select(F.col(key).alias("_k"))
+    shared = names.groupBy("_k").agg(F.count("*").alias("_n")).where("_n > 1").select("_k")
+    if shared.isEmpty():
+        return _runs(rows, key)
+    same = F.col(key).eqNullSafe(F.col("_k"))
+    summed = _runs(rows.join(shared, same, "left_semi"), key).groupBy("term", key).agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
+    return _runs(rows.join(shared, same, "left_anti"), key).unionByName(summed)
+
+
+def _runs(rows: DataFrame, key: str) -> DataFrame:
+    """term, key, tf, length for each run of equal tokens in the sorted array _t of a row."""
+    n = F.size("_t")
+    begins = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get("_t", i - 1) != F.get("_t", i - 2)))
+    rows = rows.withColumn("_i", F.when(n > 0, begins))
+    run = F.transform("_i", lambda i, j: F.struct(F.get("_t", i - 1).alias("term"), (F.coalesce(F.get("_i", j + 1), n + 1) - i).cast("long").alias("tf")))
+    return rows.select(key, "length", F.explode_outer(run).alias("_r")).where("_r IS NOT NULL").select("_r.term", key, "_r.tf", "length")
 
 
 def term_counts(index: DataFrame) -> DataFrame:

@@ -172,7 +172,7 @@ def bm25_normalized_zero_match(spark, sf):
 @register("postings_terms", BASE + " SELECT term, chunk_id, tf, len::DOUBLE length FROM tf")
 def postings_terms(spark, sf):
     """The whole inverted index."""
-    return keyword.postings(T.chunks(spark, sf), "chunk_id", "content")
+    return keyword.postings(T.texts(spark, sf), "chunk_id", "content")
 
 
 _RERANK = ", k AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS r0 FROM s), s2 AS (SELECT chunk_id, score + 0.05 * len(list_filter(list_distinct(" + TOKENS.format("'" + T.QUERY + "'") + "), lambda t: contains(lower(text), t))) score FROM k WHERE r0 <= 30) SELECT chunk_id, round(score, 4) score, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM s2"

@@ -17,8 +17,13 @@ def path():
     return F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "lang")
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunks without their vectors, for what reads texts alone: no join."""
+    return read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), path().alias("path"))
+
+
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), path().alias("path"))
+    docs = texts(spark, sf)
     vectors = read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     return docs.join(vectors, "chunk_id", "left")
 
