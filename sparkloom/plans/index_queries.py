@@ -105,7 +105,7 @@ def files_by_dir(spark, sf):
 
 @register("index_status", f"SELECT (SELECT count(DISTINCT source) FROM documents) files, (SELECT count(*) FROM documents) chunks, (SELECT count(DISTINCT t) FROM (SELECT unnest({TOKENS.format('text')}) t FROM documents)) vocabulary, (SELECT count(*) FROM documents) * 256.0::DOUBLE / 1048576 megabytes")
 def index_status(spark, sf):
-    c = T.chunks(spark, sf)
+    c = T.texts(spark, sf)
     idf = keyword.document_frequencies(keyword.postings(c, "chunk_id", "content"), keyword.corpus(c, "content"))
     return indexing.status(T.read(spark, sf, "documents").select("source").distinct(), c, idf, 64)
 

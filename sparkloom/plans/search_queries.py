@@ -136,7 +136,7 @@ def bm25_incremental(spark, sf):
 
 @register("bm25_idf", BASE + " SELECT term, df, round(idf, 4) idf FROM idf")
 def bm25_idf(spark, sf):
-    chunks = T.chunks(spark, sf)
+    chunks = T.texts(spark, sf)
     return rounded(keyword.document_frequencies(keyword.postings(chunks, "chunk_id", "content"), keyword.corpus(chunks, "content")), "idf")
 
 

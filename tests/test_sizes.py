@@ -23,3 +23,8 @@ def test_postings_of_shared_and_null_keys_are_summed(spark):
     rows = spark.createDataFrame([(1, "a b"), (1, "b c"), (None, "a a"), (None, "a b"), (2, "a b")], "id long, text string")
     found = sorted(map(tuple, keyword.postings(rows, "id", "text").collect()), key=str)
     assert found == sorted([("a", 1, 1, 3.0), ("b", 1, 2, 3.0), ("c", 1, 1, 3.0), ("a", None, 3, 3.0), ("b", None, 1, 3.0), ("a", 2, 1, 3.0), ("b", 2, 1, 3.0)], key=str)
+
+
+def test_term_queries_do_not_join_vectors(spark):
+    for name in ("postings_terms", "bm25_idf", "bm25_top_terms"):
+        assert "embedd" not in catalogue.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
