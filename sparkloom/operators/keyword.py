@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.scores import EMPTY_LENGTH, bm25_term, idf
 from sparkloom.functions.text import tokens
+from sparkloom.session import written
 
 
 def postings(chunks: DataFrame, key: str, text: str, only: list[str] | None = None) -> DataFrame:
@@ -65,21 +66,26 @@ def document_frequencies(index: DataFrame, total: DataFrame) -> DataFrame:
     return df.join(F.broadcast(total), how="inner").select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
 
 
-def scores(index: DataFrame, total: DataFrame, queries: DataFrame, key: str, query_key: str = "query_id", query_text: str = "query", broadcast_terms: int = 200_000) -> DataFrame:
+def scores(index: DataFrame, total: DataFrame, queries: DataFrame, key: str, query_key: str = "query_id", query_text: str = "query", broadcast_terms: int = 200_000, most: int = 4_000_000) -> DataFrame:
     """query key, chunk key, bm25 for chunks with a term of the query; a term that a query repeats counts each time.
 
     The postings are filtered by the queries' terms before anything is joined or summed. Document frequencies come
     from the same postings, so their filter is the same. The terms are broadcast where they are `broadcast_terms` at
-    most; beyond, the joins are by shuffle.
+    most; beyond, the joins are by shuffle. The document frequencies tell how many rows are to be summed; they are dealt
+    by chunk to so many partitions that each sums about `most` at most.
     """
     wanted = queries.select(query_key, F.explode(tokens(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("times"))
     few = wanted.count() <= broadcast_terms
     hint = F.broadcast if few else (lambda df: df)
     hits = index.join(hint(wanted.select("term").distinct()), "term", "left_semi")
-    weights = hits.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(total), how="inner").select("term", idf(F.col("n"), F.col("df")).alias("idf"), "average")
+    counts = written(term_counts(hits), "counts")
+    rows = wanted.join(counts, "term").agg(F.sum("df")).first()[0] or 0
+    parts = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // most))
+    weights = counts.join(F.broadcast(total), how="inner").select("term", idf(F.col("n"), F.col("df")).alias("idf"), "average")
     terms = wanted.join(weights, "term")
+    joined = hits.repartition(parts, key).join(F.broadcast(terms), "term") if few else hits.join(terms, "term").repartition(parts, key)
     part = F.col("times") * bm25_term(F.col("idf"), F.col("tf"), F.col("length"), F.col("average"))
-    return hits.join(hint(terms), "term").groupBy(query_key, key).agg(F.sum(part).alias("bm25"))
+    return joined.groupBy(query_key, key).agg(F.sum(part).alias("bm25"))
 
 
 def overlap(query_terms: Column, text: Column) -> Column:

@@ -26,5 +26,5 @@ def test_postings_of_shared_and_null_keys_are_summed(spark):
 
 
 def test_term_queries_do_not_join_vectors(spark):
-    for name in ("postings_terms", "bm25_idf", "bm25_top_terms"):
+    for name in ("postings_terms", "bm25_idf", "bm25_top_terms", "bm25_batch"):
         assert "embedd" not in catalogue.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
