@@ -45,15 +45,22 @@ def rounded(df, *names):
     return df.withColumns({n: F.round(n, 4) for n in names})
 
 
+def _found(spark, sf, limit, **options):
+    """Hybrid search of the fixed query; texts are read without a join with the vectors."""
+    texts = T.texts(spark, sf)
+    index = keyword.postings(texts, "chunk_id", "content", keyword.query_terms(spark, T.QUERY))
+    return search.hybrid(T.chunks(spark, sf), T.QUERY, T.vector(spark, sf), limit, index=index, total=keyword.corpus(texts, "content"), **options)
+
+
 @register("hybrid_search_top10", _hybrid() + TOP.format("score"))
 def hybrid_search_top10(spark, sf):
-    found = search.hybrid(T.chunks(spark, sf), T.QUERY, T.vector(spark, sf), 10)
+    found = _found(spark, sf, 10)
     return rounded(found, "score", "bm25_score", "vector_score")
 
 
 @register("filter_ext_search", _hybrid(where="WHERE lower(d.lang) IN ('de', 'fr')") + TOP.format("score"))
 def filter_ext_search(spark, sf):
-    found = search.hybrid(T.chunks(spark, sf), T.QUERY, T.vector(spark, sf), 10, path="path", types=["DE", ".fr"])
+    found = _found(spark, sf, 10, path="path", types=["DE", ".fr"])
     return rounded(found, "score", "bm25_score", "vector_score")
 
 
@@ -147,7 +154,7 @@ def bm25_top_terms(spark, sf):
 
 @register("bm25_topk", BASE + f", q AS (SELECT unnest({TOKENS.format(chr(39) + T.QUERY + chr(39)) }) term), s AS (SELECT chunk_id, sum({BM25}) bm FROM q JOIN tf USING (term) JOIN idf USING (term), tot GROUP BY chunk_id) SELECT chunk_id, round(bm, 4) bm25, rank FROM (SELECT *, row_number() OVER (ORDER BY round(bm, 9) DESC, chunk_id) AS rank FROM s) WHERE rank <= 10")
 def bm25_topk(spark, sf):
-    chunks = T.chunks(spark, sf)
+    chunks = T.texts(spark, sf)
     asked = spark.createDataFrame([(0, T.QUERY)], "query_id long, query string")
     index = keyword.postings(chunks, "chunk_id", "content", keyword.query_terms(spark, T.QUERY))
     found = keyword.scores(index, keyword.corpus(chunks, "content"), asked, "chunk_id")
@@ -163,7 +170,7 @@ def bm25_batch(spark, sf):
 
 @register("bm25_normalized_zero_match", "SELECT doc_id chunk_id, 0.5::DOUBLE bm25_score FROM documents WHERE NOT list_contains(" + TOKENS.format("text") + ", 'the')")
 def bm25_normalized_zero_match(spark, sf):
-    chunks = T.chunks(spark, sf)
+    chunks = T.texts(spark, sf)
     asked = spark.createDataFrame([(0, "the")], "query_id long, query string")
     found = keyword.scores(keyword.postings(chunks, "chunk_id", "content"), keyword.corpus(chunks, "content"), asked, "chunk_id")
     return chunks.join(found, "chunk_id", "left").where("bm25 IS NULL").select("chunk_id", S.bm25_normalised(F.coalesce("bm25", F.lit(0.0))).alias("bm25_score"))
@@ -180,14 +187,14 @@ _RERANK = ", k AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) A
 
 @register("keyword_rerank", _hybrid(_RERANK))
 def keyword_rerank(spark, sf):
-    chunks = T.chunks(spark, sf)
-    found = search.hybrid(chunks, T.QUERY, T.vector(spark, sf), 10 * search.OVERFETCH).join(chunks.select("chunk_id", "content"), "chunk_id")
+    found = F.broadcast(_found(spark, sf, 10 * search.OVERFETCH))
+    found = T.texts(spark, sf).select("chunk_id", "content").join(found, "chunk_id")
     return rounded(search.keyword_rerank(found, T.QUERY, "chunk_id").select("chunk_id", "score", "rank"), "score")
 
 
 @register("rerank_passthrough", _hybrid() + "SELECT chunk_id, round(score, 4) score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 7")
 def rerank_passthrough(spark, sf):
-    found = search.hybrid(T.chunks(spark, sf), T.QUERY, T.vector(spark, sf), 21)
+    found = _found(spark, sf, 21)
     return rounded(search.rerank(found, None, T.QUERY, 7, "chunk_id").select("chunk_id", "score", "rank"), "score")
 
 
@@ -247,20 +254,19 @@ for _how, _rule in _FUSE.items():
 
 @register("ask_context", _hybrid(", t AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM s) SELECT string_agg('--- File: ' || source || '/' || doc_id || '.' || d.lang || ' (lines 1-1) ---' || chr(10) || d.text || chr(10), chr(10) ORDER BY rank) AS context FROM t JOIN documents d ON d.doc_id = t.chunk_id WHERE rank <= 5"))
 def ask_context(spark, sf):
-    chunks = T.chunks(spark, sf)
-    found = search.hybrid(chunks, T.QUERY, T.vector(spark, sf), 5).join(chunks.select("chunk_id", "path", "content"), "chunk_id")
+    found = T.texts(spark, sf).join(F.broadcast(_found(spark, sf, 5)), "chunk_id")
     return search.answer_context(found.withColumns({"start_line": F.lit(1), "end_line": F.lit(1)}))
 
 
 @register("blend_weights", _hybrid() + "SELECT chunk_id, round(0.5 * vector_score + 0.5 * bm25_score, 4) score, rank FROM (SELECT *, row_number() OVER (ORDER BY 0.5 * vector_score + 0.5 * bm25_score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10")
 def blend_weights(spark, sf):
-    found = search.hybrid(T.chunks(spark, sf), T.QUERY, T.vector(spark, sf), 10, weights=(0.5, 0.5))
+    found = _found(spark, sf, 10, weights=(0.5, 0.5))
     return rounded(found.select("chunk_id", "score", "rank"), "score")
 
 
 @register("score_percent_bands", _hybrid() + "SELECT chunk_id, floor(greatest(round(score, 6) * 100, 0))::BIGINT score_pct, CASE WHEN round(score, 6) >= 0.7 THEN 'high' WHEN round(score, 6) >= 0.4 THEN 'medium' ELSE 'low' END score_band FROM s ORDER BY score DESC, chunk_id LIMIT 50")
 def score_percent_bands(spark, sf):
-    found = search.hybrid(T.chunks(spark, sf), T.QUERY, T.vector(spark, sf), 50).withColumn("score", F.round("score", 6))
+    found = _found(spark, sf, 50).withColumn("score", F.round("score", 6))
     return found.select("chunk_id", S.percent(F.col("score")).alias("score_pct"), S.band(F.col("score")).alias("score_band"))
 
 
