@@ -161,7 +161,7 @@ def simple_chunk(spark, sf):
 def _code(spark, sf):
     """A source file of each part, in four languages by its key: an import, a function, a class with a method, and a
     function of 60 lines, which is over 1,500 bytes."""
-    p = T.read(spark, sf, "part")
+    p = T.spread(T.read(spark, sf, "part").select("p_partkey"))
     n, k = F.col("p_partkey").cast("string"), F.col("p_partkey") % 4
     pad = F.repeat(F.lit("w"), 90)
 
@@ -341,7 +341,7 @@ def code_definitions(spark, sf):
     parents, methods by receiver, and none in strings and comments."""
     n, k = F.col("p_partkey").cast("string"), (F.col("p_partkey") % 5 + 1).cast("int")
     content = F.replace(F.element_at(F.array(*map(F.lit, _OUTLINED.values())), k), F.lit("{}"), n)
-    files = T.read(spark, sf, "part").select(F.concat(F.lit("p/"), n).alias("path"), content.alias("content"), F.element_at(F.array(*map(F.lit, _OUTLINED)), k).alias("language"))
+    files = T.spread(T.read(spark, sf, "part").select("p_partkey")).select(F.concat(F.lit("p/"), n).alias("path"), content.alias("content"), F.element_at(F.array(*map(F.lit, _OUTLINED)), k).alias("language"))
     return chunking.definitions(files)
 
 
@@ -448,7 +448,7 @@ def parse_symbols(spark, sf):
 
 
 def _sources(spark, sf):
-    p = T.read(spark, sf, "part")
+    p = T.spread(T.read(spark, sf, "part").select("p_partkey"))
     name = F.concat(F.lit("f"), "p_partkey")
     body = (
         F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("use a::b;\n\npub fn "), name, F.lit("(a: u8) -> u8 {\n}\nstruct S;\n")))
@@ -739,5 +739,5 @@ def import_targets(spark, sf):
     which = F.expr("p_partkey % 4")
     of = lambda forms: F.coalesce(*(F.when(which == k, F.expr(_filled(f.replace("{{", "{").replace("}}", "}").replace("\n", "\\n").replace("\t", "\\t")))) for k, f in forms.items()))
     language = F.element_at(F.array(*map(F.lit, ("python", "typescript", "go", "rust"))), (which + 1).cast("int"))
-    files = T.read(spark, sf, "part").select(of(_PLACES).alias("path"), of(_BODIES).alias("content"), language.alias("language"))
+    files = T.spread(T.read(spark, sf, "part").select("p_partkey")).select(of(_PLACES).alias("path"), of(_BODIES).alias("content"), language.alias("language"))
     return imports.resolved(imports.imports_of(files), files)

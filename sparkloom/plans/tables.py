@@ -13,6 +13,13 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(rows: DataFrame, most: int = 5_000, least: int = 500) -> DataFrame:
+    """rows dealt evenly to tasks of `most` rows at most, and to all cores where that leaves each `least`: a small file is
+    one or two tasks, whatever is then made of its rows."""
+    n = rows.count()
+    return rows.repartition(max(-(-n // most), min(rows.sparkSession.sparkContext.defaultParallelism, -(-n // least)), 1))
+
+
 def path():
     return F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "lang")
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import keyword
 from sparkloom.plans import catalogue
+from sparkloom.plans import tables as T
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +29,17 @@ def test_postings_of_shared_and_null_keys_are_summed(spark):
 def test_term_queries_do_not_join_vectors(spark):
     for name in ("postings_terms", "bm25_idf", "bm25_top_terms", "bm25_batch"):
         assert "embedd" not in catalogue.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_of_small_files_are_dealt_to_all_cores(spark):
+    rows = spark.range(21_000).coalesce(1)
+    sizes = [r["count"] for r in T.spread(rows).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 21_000 and len(sizes) >= 4 and max(sizes) <= 5_500
+    assert T.spread(rows.where("id < 10")).rdd.getNumPartitions() == 1 and T.spread(rows.where("id < 0")).count() == 0
+    for name in ("chunk_lines", "chunk_code", "code_definitions", "import_targets", "parse_symbols"):
+        assert "REPARTITION_BY_NUM" in plan(catalogue.queries()[name](spark, SF))
+
+
+def test_index_of_imports_is_never_broadcast(spark):
+    found = plan(catalogue.queries()["import_targets"](spark, SF))
+    assert "SortMergeJoin" in found and "BroadcastHashJoin" not in found
