@@ -184,12 +184,13 @@ def _wanted(imports: DataFrame) -> DataFrame:
 def resolved(imports: DataFrame, files: DataFrame) -> DataFrame:
     """imports_of()'s rows as path, spec, target: of the files (path, language) that a key fits the first by preference.
 
-    A key that many files import is skewed on the side of the imports alone; adaptive joins split that.
+    The join is a merge join at every size: paths pack so well in a file that Spark's estimate has it broadcast an index
+    many times its limit, which each executor then holds. A key that many files import is skewed on the side of the imports alone; adaptive joins split that.
     """
     parts = F.size(F.split("path", "/"))
     index = module_keys(files).groupBy("family", "key", "whole").agg(F.min(F.struct(parts.alias("n"), F.length("path").alias("l"), "path"))["path"].alias("target"))
     found = F.when(F.col("target").isNotNull(), F.struct("place", "target"))
-    rows = _wanted(imports).join(index, ["family", "key", "whole"], "left")
+    rows = _wanted(imports).join(index.hint("merge"), ["family", "key", "whole"], "left")
     return rows.groupBy("path", "spec").agg(F.min(found)["target"].alias("target"))
 
 
