@@ -49,6 +49,9 @@ def in_blocks(queries: DataFrame, key: str, block: int, answer: Callable[[DataFr
     return spark.read.schema(found.schema).parquet(*[f"{folder}/block={i}" for i in range(blocks)])
 
 
+TILE = 1 << 18  # scores that a task holds at once
+
+
 def _usable(vectors, width: int) -> np.ndarray:
     return vectors.map(lambda v: v is not None and len(v) == width and width > 0).to_numpy(bool)
 
@@ -58,13 +61,21 @@ class _Best:
 
     def __init__(self, queries: int, k: int):
         self.k, self.score, self.ids = k, np.zeros((queries, 0)), np.zeros((queries, 0), np.int64)
+        self.rows = max(1, min(2048, TILE // max(queries, 1)))  # rows whose scores are held at once
 
     def add(self, ids: np.ndarray, score: np.ndarray) -> None:
-        """score: a row for each id, a column for each query."""
-        every = np.concatenate([self.score, score.T], 1)
-        names = np.concatenate([self.ids, np.broadcast_to(ids, (len(every), len(ids)))], 1)
+        """score: a row for each id, a column for each query. Queries that no row betters are left as they are."""
+        new = np.arange(len(self.score)) if self.ids.shape[1] < self.k else np.flatnonzero(~(score.max(0, initial=-np.inf) < self.score[:, -1]))  # NaN counts as better
+        if not len(new):
+            return
+        every = np.concatenate([self.score[new], score.T[new]], 1)
+        names = np.concatenate([self.ids[new], np.broadcast_to(ids, (len(every), len(ids)))], 1)
         top = np.lexsort((names, -every), axis=1)[:, : self.k]
-        self.score, self.ids = np.take_along_axis(every, top, 1), np.take_along_axis(names, top, 1)
+        best, own = np.take_along_axis(every, top, 1), np.take_along_axis(names, top, 1)
+        if len(new) == len(self.score):
+            self.score, self.ids = best, own
+        else:
+            self.score[new], self.ids[new] = best, own
 
     def frame(self, names: np.ndarray, query_key: str, key: str) -> pd.DataFrame:
         return pd.DataFrame({query_key: np.repeat(names, self.ids.shape[1]), key: self.ids.ravel(), "vector_score": self.score.ravel()})
@@ -89,8 +100,8 @@ def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, key: str = "vec_i
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held = _Best(len(names), k)
             for whole in batches:
-                for at in range(0, len(whole), 2048):
-                    batch = whole.iloc[at : at + 2048]
+                for at in range(0, len(whole), held.rows):
+                    batch = whole.iloc[at : at + held.rows]
                     good = _usable(batch[vector], width)
                     score = np.zeros((len(batch), len(names)))
                     if good.any():
@@ -352,8 +363,8 @@ class IvfIndex:
             held = _Best(len(wanted), k)
             if len(own) and len(wanted):
                 q = _unit(_matrix(wanted[vector])).T
-                for at in range(0, len(own), 2048):
-                    part = own.iloc[at : at + 2048]
+                for at in range(0, len(own), held.rows):
+                    part = own.iloc[at : at + held.rows]
                     held.add(part[key].to_numpy(), _unit(_matrix(part[vector])) @ q)
             return held.frame(wanted[query_key].to_numpy(), query_key, key)
 

@@ -1,8 +1,11 @@
 """What bounds memory and shuffles at size: rows are counted where they are, and work is dealt in bounded parts."""
 
+import tracemalloc
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from sparkloom.operators import keyword
+from sparkloom.operators import keyword, search
 from sparkloom.plans import catalogue
 from sparkloom.plans import tables as T
 
@@ -43,3 +46,19 @@ def test_rows_of_small_files_are_dealt_to_all_cores(spark):
 def test_index_of_imports_is_never_broadcast(spark):
     found = plan(catalogue.queries()["import_targets"](spark, SF))
     assert "SortMergeJoin" in found and "BroadcastHashJoin" not in found
+
+
+def test_best_rows_of_many_queries_in_bounded_memory():
+    rng = np.random.default_rng(5)
+    for queries, n in ((3000, 600), (7, 5000)):
+        score, ids = rng.integers(0, 50, (n, queries)).astype(float), rng.permutation(n)
+        held = search._Best(queries, 5)
+        tracemalloc.start()
+        for at in range(0, n, held.rows):
+            held.add(ids[at : at + held.rows], score[at : at + held.rows])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40 * search.TILE * 2
+        for q in range(0, queries, 97):
+            top = np.lexsort((ids, -score[:, q]))[:5]
+            assert held.ids[q].tolist() == ids[top].tolist() and held.score[q].tolist() == score[top, q].tolist()
