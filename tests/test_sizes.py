@@ -3,9 +3,10 @@
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from sparkloom.operators import keyword, search
+from sparkloom.operators import chunking, keyword, search
 from sparkloom.plans import catalogue
 from sparkloom.plans import tables as T
 
@@ -62,3 +63,19 @@ def test_best_rows_of_many_queries_in_bounded_memory():
         for q in range(0, queries, 97):
             top = np.lexsort((ids, -score[:, q]))[:5]
             assert held.ids[q].tolist() == ids[top].tolist() and held.score[q].tolist() == score[top, q].tolist()
+
+
+def test_chunks_are_passed_on_in_bounded_frames(spark):
+    held = {}
+
+    class Files:  # stands for a table: keeps the function that runs in tasks
+        def select(self, *names):
+            return self
+
+        def mapInPandas(self, run, schema):
+            held["run"] = run
+
+    chunking.chunk_files(Files())
+    batch = pd.DataFrame({"path": [str(i) for i in range(400)], "content": ["line of text\n" * 2000] * 400, "language": [None] * 400})
+    sizes = [f["content"].str.len().sum() for f in held["run"](iter([batch]))]
+    assert len(sizes) > 3 and max(sizes) < 2 * chunking.HELD and sum(sizes) > 400 * 20_000
