@@ -2,26 +2,45 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.functions.scores import EMPTY_LENGTH, bm25_term, idf
 from sparkloom.functions.text import tokens
 from sparkloom.session import written
 
+#: Bytes of texts whose tokens a task counts together.
+HELD = 1 << 21
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_WORDS = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def words(low: str) -> list[str]:
+    """The tokens of a text that is lower-cased already. str.split() knows the same white space and four control
+    characters more."""
+    return _WORDS.findall(low) if _SEPARATORS.search(low) else low.split()
+
 
 def postings(chunks: DataFrame, key: str, text: str, only: list[str] | None = None) -> DataFrame:
     """term, chunk key, tf, length in bytes: an inverted index to keep as a table; a query then reads its terms only.
 
-    A row's tokens are counted inside of it, as runs of its sorted tokens, so nothing is shuffled; only rows whose key
-    others share (one aggregation of the keys shows it) are summed after that. only: terms to which the index is limited,
-    for one query without a stored index; other tokens do not leave the row.
+    A row's tokens are counted where the row is, in Arrow batches, so nothing is shuffled; only rows whose key others
+    share (one aggregation of the keys shows it) are summed after that. only: terms to which the index is limited, for one
+    query without a stored index; other tokens do not leave the row.
     """
-    found = tokens(F.col(text))
+    low = F.lower(text)
     if only is not None:
         wanted = F.array(*map(F.lit, only)) if only else F.array().cast("array<string>")
-        found = F.filter(found, lambda t: F.array_contains(wanted, t))
-    rows = chunks.select(F.col(key), F.octet_length(text).cast("double").alias("length"), F.sort_array(found).alias("_t"))
+        low = F.array_join(F.filter(tokens(F.col(text)), lambda t: F.array_contains(wanted, t)), " ")
+    rows = chunks.select(F.col(key), F.octet_length(text).cast("double").alias("length"), low.alias("_t"))
     names = chunks.select(F.col(key).alias("_k"))
     shared = names.groupBy("_k").agg(F.count("*").alias("_n")).where("_n > 1").select("_k")
     if shared.isEmpty():
@@ -32,12 +51,31 @@ def postings(chunks: DataFrame, key: str, text: str, only: list[str] | None = No
 
 
 def _runs(rows: DataFrame, key: str) -> DataFrame:
-    """term, key, tf, length for each run of equal tokens in the sorted array _t of a row."""
-    n = F.size("_t")
-    begins = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get("_t", i - 1) != F.get("_t", i - 2)))
-    rows = rows.withColumn("_i", F.when(n > 0, begins))
-    run = F.transform("_i", lambda i, j: F.struct(F.get("_t", i - 1).alias("term"), (F.coalesce(F.get("_i", j + 1), n + 1) - i).cast("long").alias("tf")))
-    return rows.select(key, "length", F.explode_outer(run).alias("_r")).where("_r IS NOT NULL").select("_r.term", key, "_r.tf", "length")
+    """term, key, tf, length for each different token of the lower-cased text _t of a row. The tokens of about HELD bytes
+    are counted together and come out in order of term, of which a later sort by term makes long runs."""
+    schema = T.StructType([T.StructField("term", T.StringType()), rows.schema[key], T.StructField("tf", T.LongType()), rows.schema["length"]])
+
+    def counted(frame: pa.RecordBatch) -> pa.RecordBatch:
+        found = [words(t) if t else [] for t in frame.column(2).to_pylist()]
+        row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        seen = pa.array(list(chain.from_iterable(found)), pa.string()).dictionary_encode()
+        order = pc.sort_indices(seen.dictionary)
+        place = np.empty(len(order), np.int64)
+        place[order.to_numpy()] = np.arange(len(order))
+        pairs, tf = np.unique(place[seen.indices.to_numpy()] * len(found) + row, return_counts=True)
+        term, row = (pa.array(x) for x in np.divmod(pairs, len(found)))
+        columns = [seen.dictionary.take(order).take(term), frame.column(0).take(row), pa.array(tf, pa.int64()), frame.column(1).take(row)]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+            cuts = [0, *(np.flatnonzero(np.diff(size // HELD)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a:
+                    yield counted(batch.slice(a, b - a))
+
+    return rows.select(key, "length", "_t").mapInArrow(run, schema)
 
 
 def term_counts(index: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from sparkloom.functions.text import tokens
 from sparkloom.operators import chunking, keyword, search
 from sparkloom.plans import catalogue
 from sparkloom.plans import tables as T
@@ -24,6 +25,23 @@ def test_postings_are_counted_inside_rows(spark):
     assert sorted(map(tuple, index.collect())) == [("a", 1, 1, 7.0), ("a", 4, 1, 3.0), ("b", 1, 2, 7.0), ("c", 1, 1, 7.0)]
 
 
+def test_postings_come_in_order_of_term(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"w{i % 7} v{i % 5} u{i} w{i % 7}") for i in range(200)], "id long, text string").coalesce(1)
+    whole = list(map(tuple, keyword.postings(rows, "id", "text").collect()))
+    assert len(whole) == 600 and [(r[0], r[1]) for r in whole] == sorted((r[0], r[1]) for r in whole)
+    monkeypatch.setattr(keyword, "HELD", 300)  # many frames count the same
+    assert sorted(map(tuple, keyword.postings(rows, "id", "text").collect())) == whole
+
+
+def test_postings_know_the_tokens_of_all_white_space(spark):
+    every = [chr(i) for i in (*range(1, 0x3100), 0xFEFF, 0x1D7CE, 0x1F600)]
+    rows = spark.createDataFrame([(i, f"X{c}y {c} \u0130\u03a3{c}") for i, c in enumerate(every)], "id long, text string")
+    want = {(r.id, t, r.t.count(t)) for r in rows.select("id", tokens(F.col("text")).alias("t")).collect() for t in r.t}
+    assert {(r.id, r.term, r.tf) for r in keyword.postings(rows, "id", "text").collect()} == want
+    some = keyword.postings(rows, "id", "text", ["y", "x\x1cy"]).collect()
+    assert {(r.id, r.term, r.tf) for r in some} == {x for x in want if x[1] in ("y", "x\x1cy")}
+
+
 def test_postings_of_shared_and_null_keys_are_summed(spark):
     rows = spark.createDataFrame([(1, "a b"), (1, "b c"), (None, "a a"), (None, "a b"), (2, "a b")], "id long, text string")
     found = sorted(map(tuple, keyword.postings(rows, "id", "text").collect()), key=str)
