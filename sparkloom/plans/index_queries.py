@@ -582,12 +582,13 @@ def parse_log_group(spark, sf):
 
 @register("blame_forward_fill", "SELECT l_linenumber::BIGINT line_number, sha1(l_orderkey::VARCHAR) commit_hash, 'c' || o_custkey author, l_quantity::BIGINT::VARCHAR content FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
 def blame_forward_fill(spark, sf):
-    """The blame lines of all of lineitem."""
-    li = T.read(spark, sf, "lineitem").join(T.read(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    """The blame lines of all of lineitem: three for each of its rows, which are numbered before they are joined and cut."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    li = history.numbered(T.read(spark, sf, "lineitem").select(*order), F.floor(F.col("l_orderkey") / 4096), *order)
+    li = li.join(T.read(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     h = F.sha1(F.col("l_orderkey").cast("string"))
     three = F.array(F.concat_ws(" ", h, F.lit("1"), F.col("l_linenumber").cast("string")), F.concat(F.lit("author c"), "o_custkey"), F.concat(F.lit("\t"), F.col("l_quantity").cast("long").cast("string")))
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-    rows = history.numbered(li.select(*order, F.posexplode(three).alias("p", "line")), F.floor(F.col("l_orderkey") / 4096), *order, "p")
+    rows = li.select("line_no", F.posexplode(three).alias("p", "line")).withColumn("line_no", 3 * F.col("line_no") - 2 + F.col("p"))
     return history.parse_blame(rows.select("line_no", "line")).select("line_number", "commit_hash", "author", "content")
 
 

@@ -12,6 +12,7 @@ from sparkloom.functions.text import file_id, repo_id
 
 LOG_FORMAT = "%H|%an|%at|%s|%P"
 _HEADER = "^[0-9a-fA-F]{40}\\|"
+_BLAMED = "^[0-9a-f]{40} \\d+ (\\d+)"
 #: Lines of a block; the table of all blocks has a row for each.
 BLOCK = 1 << 16
 
@@ -96,29 +97,32 @@ def changed_since(spark: SparkSession, repo: str, ref: str) -> DataFrame:
 
 def parse_blame(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     """line_number, commit_hash, author, timestamp, content of porcelain lines; headers fill forward within blocks of
-    line numbers and from block to block, and a commit's author and time, which appear once, hold for its later lines."""
-    head = F.regexp_extract("line", "^([0-9a-f]{40}) \\d+ (\\d+)", 1)
-    number = F.regexp_extract("line", "^([0-9a-f]{40}) \\d+ (\\d+)", 2)
-    found = F.when(head != "", F.struct(head.alias("hash"), number.cast("long").alias("number")))
-    lines = lines.withColumns({"_block": F.floor(F.col("line_no") / block), "_head": found})
+    line numbers and from block to block, and a commit's author and time, which appear once, hold for its later lines.
+
+    Lines are dealt by block once, for the last header of each block and for filling; of what is then dealt by commit, only
+    lines with an author, a time or a content are left.
+    """
+    found = F.when(F.col("line").rlike(_BLAMED), F.struct(F.substring("line", 1, 40).alias("hash"), F.regexp_extract("line", _BLAMED, 1).cast("long").alias("number")))
+    lines = lines.select("line_no", "line", F.floor(F.col("line_no") / block).alias("_block"))
+    lines = lines.where("_block IS NOT NULL").repartition("_block").withColumn("_head", found)
     blocks = lines.groupBy("_block").agg(F.max_by("_head", F.when(F.col("_head").isNotNull(), F.col("line_no"))).alias("_head"))
     blocks = blocks.select("_block", F.last("_head", ignorenulls=True).over(_earlier()).alias("_before"))
     order = Window.partitionBy("_block").orderBy("line_no")
     lines = lines.withColumn("_head", F.last("_head", ignorenulls=True).over(order)).join(blocks, "_block").withColumn("_head", F.coalesce("_head", "_before"))
     value = lambda name: F.when(F.col("line").startswith(name + " "), F.substr("line", F.lit(len(name) + 2)))
     filled = lines.select(
-        "line_no",
-        "line",
         F.col("_head")["hash"].alias("commit_hash"),
         F.col("_head")["number"].alias("line_number"),
         value("author").alias("a"),
         value("author-time").alias("t"),
+        F.when(F.col("line").startswith("\t"), F.substr("line", F.lit(2))).alias("content"),
     )
     per = Window.partitionBy("commit_hash")
     return (
-        filled.withColumns({"author": F.max("a").over(per), "timestamp": F.max("t").over(per).cast("long")})
-        .where(F.col("line").startswith("\t"))
-        .select("line_number", "commit_hash", "author", "timestamp", F.substr("line", F.lit(2)).alias("content"))
+        filled.where("a IS NOT NULL OR t IS NOT NULL OR content IS NOT NULL")
+        .withColumns({"author": F.max("a").over(per), "timestamp": F.max("t").over(per).cast("long")})
+        .where("content IS NOT NULL")
+        .select("line_number", "commit_hash", "author", "timestamp", "content")
     )
 
 

@@ -221,6 +221,22 @@ def test_history_over_blocks(spark):
     assert all(r.line_no == r.k + 1 for r in history.numbered(rows, F.floor(F.col("k") / 7), "k").collect())
 
 
+def test_blame_makes_its_lines_once(spark):
+    """Blocks' last headers and filling read the same dealt lines; the last header of a block reaches over blocks without."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame
+
+    blame = [x for i in range(40) for x in (f"{i % 7:040x} 1 {i}", f"author a{i % 7}", *["filename f"] * 30, f"\tline {i}")]
+    lines = spark.createDataFrame(list(enumerate(blame, 1)), "line_no long, line string").mapInPandas(counted, "line_no long, line string")
+    got = sorted(tuple(r) for r in history.parse_blame(lines, 10).select("line_number", "commit_hash", "author", "content").collect())
+    assert got == [(i, f"{i % 7:040x}", f"a{i % 7}", f"line {i}") for i in range(40)]
+    assert made.value == len(blame)
+
+
 def test_history_queries_take_all_orders(spark):
     from sparkloom.plans import catalogue
 
