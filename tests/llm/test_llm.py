@@ -686,6 +686,54 @@ def test_suffix_dedup_query_against_brute_force(spark, texts):
     assert got == brute_removed(texts, 400)
 
 
+def counted_removed(texts, length):
+    """brute_removed() for larger tables: windows are told apart by a 64-bit hash, joined from halves."""
+    raw = [(t or "").encode() for t in texts.values()]
+    ends = np.cumsum([len(b) for b in raw])
+    data = np.frombuffer(b"".join(raw), np.uint8)
+
+    def joined(a, b):
+        x = a * np.uint64(0xD6E8FEB86659FD93) + b
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xA0761D6478BD642F)
+        return x ^ (x >> np.uint64(29))
+
+    h, size, n = np.random.default_rng(1).integers(0, 2**64, 256, np.uint64)[data], 1, len(data) - length + 1
+    while 2 * size <= length:
+        h, size = joined(h[:-size], h[size:]), 2 * size
+    h = joined(h[:n], h[length - size : length - size + n])
+    whole = np.flatnonzero(np.arange(n) + length <= ends[np.searchsorted(ends, np.arange(n), "right")])
+    _, same, times = np.unique(h[whole], return_inverse=True, return_counts=True)
+    hit = whole[times[same] > 1]
+    gone = np.cumsum(np.bincount(hit, minlength=len(data) + 1) - np.bincount(hit + length, minlength=len(data) + 1))[:-1] > 0
+    out = {}
+    for d, b, end in zip(texts, raw, ends):
+        own = gone[end - len(b) : end]
+        left = np.frombuffer(b, np.uint8)[~own].tobytes()
+        out[d] = (len(b), int(own.sum()), int((np.diff(np.concatenate([[False], own]).astype(int)) == 1).sum()), hashlib.sha256(left).hexdigest())
+    return out
+
+
+def test_suffix_dedup_query_against_counted_windows(spark, texts):
+    assert counted_removed(texts, 400) == brute_removed(texts, 400)
+    large = "/root/testdata/sf0.1"
+    want = counted_removed(dict(duckdb.sql(f"SELECT doc_id, text FROM '{large}/documents.parquet'").fetchall()), 400)
+    assert len(want) == 10_000
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in Q.op3_suffix_dedup(spark, large).collect()} == want
+
+
+def test_suffix_dedup_goes_by_bytes_and_not_by_words(spark):
+    """A shared passage of over 50 words stays where it has 399 bytes and goes where it has 400; n_bytes is that of the whole text either way."""
+    rng = random.Random(51)
+    passage = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(80))[:n]
+    short, long = passage(399), passage(400)
+    assert len(short.split()) > 50
+    texts = {1: f"one <{short}> end", 2: f"two ({short}) end", 3: f"three <{long}> end", 4: f"four ({long}) end"}
+    rows = {r.doc_id: r for r in suffix_dedup.deduplicated(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert {d: r.n_bytes for d, r in rows.items()} == {d: len(t) for d, t in texts.items()}
+    assert {d: r.n_removed for d, r in rows.items()} == {1: 0, 2: 0, 3: 400, 4: 400}
+    assert bytes(rows[1].kept).decode() == texts[1] and bytes(rows[4].kept) == b"four () end"
+
+
 @pytest.fixture(scope="module")
 def long_docs(spark):
     """Texts of over 1 MB: one of 2^20 words and more, its near copy, one without spaces, and short ones."""
