@@ -734,6 +734,22 @@ def test_suffix_dedup_goes_by_bytes_and_not_by_words(spark):
     assert bytes(rows[1].kept).decode() == texts[1] and bytes(rows[4].kept) == b"four () end"
 
 
+def test_suffix_dedup_of_benchmark_passages(spark):
+    """The passages of `benchmark` of over 50 words, which recur in documents, have under 400 bytes: the contract's length leaves them, 256 bytes take them whole."""
+    large = "/root/testdata/sf0.1"
+    passages = [t for (t,) in duckdb.sql(f"SELECT text FROM '{large}/benchmark.parquet'").fetchall() if len(t.split()) > 50]
+    texts = {d: t or "" for d, t in duckdb.sql(f"SELECT doc_id, text FROM '{large}/documents.parquet'").fetchall()}
+    holders = {p: [d for d, t in texts.items() if p in t] for p in passages}
+    holders = {p: found for p, found in holders.items() if len({texts[d] for d in found}) > 1}
+    assert holders and all(256 <= len(p.encode()) < 400 for p in passages)
+    docs = spark.createDataFrame([(d, texts[d]) for d in {d for found in holders.values() for d in found}], "doc_id long, text string")
+    at = {n: {r.doc_id: r for r in suffix_dedup.deduplicated(docs, n, gram=64).collect()} for n in (256, 400)}
+    for p, found in holders.items():
+        assert all(at[256][d].n_removed >= len(p.encode()) and p.encode() not in bytes(at[256][d].kept) for d in found)
+    left = [d for d, r in at[400].items() if r.n_removed == 0]
+    assert len(left) > len(at[400]) / 2 and all(bytes(at[400][d].kept).decode() == texts[d] for d in left)
+
+
 @pytest.fixture(scope="module")
 def long_docs(spark):
     """Texts of over 1 MB: one of 2^20 words and more, its near copy, one without spaces, and short ones."""
